@@ -1,0 +1,88 @@
+"""The data model derived from the driver's tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def chat_utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").cast("string").alias("meeting_id"),
+        F.col("turn").cast("int").alias("utt_idx"),
+        F.col("role").alias("speaker"),
+        "text",
+    )
+
+
+def chat_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A query per user turn that an assistant turn answers; the answer is its reference.
+
+    The gold spans are the answer with the turn behind it and, later in a conversation, its opening.
+    One query in five asks about the whole conversation and has no spans.
+    """
+    conv = table(spark, sf_dir, "conversations")
+    asked = conv.where(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("query"))
+    answer = conv.where(F.col("role") == "assistant").select(
+        "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("reference")
+    )
+    general = (F.col("conv_id") + F.col("turn")) % 5 == 0
+    span = lambda s, e: F.struct(s.cast("int").alias("s"), e.cast("int").alias("e"))
+    t = F.col("turn")
+    spans = F.when(t >= 2, F.array(span(t + 1, t + 2), span(F.lit(0), F.lit(0)))).otherwise(F.array(span(t + 1, t + 2)))
+    none = F.array().cast("array<struct<s:int,e:int>>")
+    return asked.join(answer, ["conv_id", "turn"]).select(
+        F.concat_ws("_", "conv_id", F.concat(F.when(general, "g").otherwise("s"), "turn")).alias("query_id"),
+        F.col("conv_id").cast("string").alias("meeting_id"),
+        F.lit("test").alias("split"),
+        F.when(general, "general").otherwise("specific").alias("query_type"),
+        "query",
+        "reference",
+        F.when(general, none).otherwise(spans).alias("gold_spans"),
+        "conv_id",
+        "turn",
+    )
+
+
+def predictions(spark: SparkSession, sf_dir: str, system: str) -> DataFrame:
+    """System `a` repeats the conversation's last assistant turn, `b` puts the query before it,
+    `c` answers with the conversation's first turn."""
+    conv = table(spark, sf_dir, "conversations")
+    last = conv.where(F.col("role") == "assistant").groupBy("conv_id").agg(F.max_by("text", "turn").alias("last"))
+    if system == "c":
+        last = conv.where(F.col("turn") == 0).select("conv_id", F.col("text").alias("last"))
+    text = F.concat_ws(" ", "query", "last") if system == "b" else F.col("last")
+    return chat_queries(spark, sf_dir).join(last, "conv_id").select("query_id", text.alias("prediction"))
+
+
+def scored_pairs(spark: SparkSession, sf_dir: str, system: str) -> DataFrame:
+    """`query_id, meeting_id, query, prediction, reference` of one system."""
+    q = chat_queries(spark, sf_dir).select("query_id", "meeting_id", "conv_id", "turn", "query", "reference")
+    return q.join(predictions(spark, sf_dir, system), "query_id")
+
+
+def document_utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as transcripts: a line is an utterance, the source its speaker."""
+    return (
+        table(spark, sf_dir, "documents")
+        .select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("utt_idx", "text"))
+        .select(F.col("doc_id").cast("string").alias("meeting_id"), "utt_idx", F.col("source").alias("speaker"), "text")
+    )
+
+
+def document_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document is asked for its own first line; the last line is its reference."""
+    parts = F.split("text", "\n")
+    return table(spark, sf_dir, "documents").select(
+        F.concat(F.col("doc_id").cast("string"), F.lit("_g0")).alias("query_id"),
+        F.col("doc_id").cast("string").alias("meeting_id"),
+        F.lit("test").alias("split"),
+        F.lit("general").alias("query_type"),
+        F.element_at(parts, 1).alias("query"),
+        F.element_at(parts, -1).alias("reference"),
+        F.array().cast("array<struct<s:int,e:int>>").alias("gold_spans"),
+    )
