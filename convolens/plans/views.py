@@ -6,8 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+# Tables whose rows are long texts.
+TEXT_TABLES = ("documents", "conversations", "pages")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; long texts in fewer splits than cores are spread before they are worked on.
+
+    A table of cluster size has far more splits than cores and is read as it lies.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in TEXT_TABLES and df.rdd.getNumPartitions() < cores:
+        df = df.repartition(cores)
+    return df
 
 
 def chat_utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,3 +98,119 @@ def document_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.element_at(parts, -1).alias("reference"),
         F.array().cast("array<struct<s:int,e:int>>").alias("gold_spans"),
     )
+
+
+# --- runs, replies and markings, derived from the tables by rule ------------------------------
+
+# Two contestants from different vendors, marked by a judge of each vendor.
+CONTESTANTS = ("gpt-5.6-luna", "claude-haiku-4-5")
+JUDGES = ("gpt-5.6-sol", "claude-opus-5")
+MODELS = {
+    "click": "gpt-5.6-sol",
+    "view": "gpt-5.6-luna",
+    "purchase": "claude-opus-5",
+    "signup": "claude-haiku-4-5",
+    "error": "gemini-3.6-flash",
+}
+
+
+def event_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as prediction rows: the type is the system, the value a latency and a memory peak."""
+    e = table(spark, sf_dir, "events")
+    k = F.get_json_object("props", "$.k").cast("bigint")
+    i = F.col("event_id")
+    model = F.create_map(*[F.lit(x) for kv in MODELS.items() for x in kv])[F.col("event_type")]
+    return e.select(
+        i.alias("query_id"),
+        F.col("event_type").alias("system"),
+        "user_id",
+        model.alias("model"),
+        (k * 100).alias("prompt_tokens"),
+        k.alias("completion_tokens"),
+        F.when(i % 5 == 0, k % 7).alias("thoughts_tokens"),
+        F.when(i % 3 == 0, "batch").when(i % 3 == 1, "sync").alias("mode"),
+        F.when(i % 7 != 0, F.col("value")).alias("latency_s"),
+        F.when(i % 7 != 0, F.col("value") / 8).alias("locate_s"),
+        F.when((i % 11 != 0) | (F.col("event_type") != "error"), F.col("value") / 4).alias("generate_s"),
+        (i < 10).alias("warmup"),
+        F.when(F.col("user_id") % 2 == 0, "gpu-a").when(F.col("event_type") != "view", "gpu-b").alias("device"),
+        F.when(i % 4 != 0, F.col("value") / 16).alias("peak_vram_gb"),
+    )
+
+
+def judge_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One stored reply per query, contestant and judge; verdicts follow the ids and text lengths."""
+    q = chat_queries(spark, sf_dir)
+    pairs = [(c, ci, j, ji) for ci, c in enumerate(CONTESTANTS) for ji, j in enumerate(JUDGES)]
+    runs = F.explode(
+        F.array(
+            *[
+                F.struct(
+                    F.lit(c).alias("contestant"),
+                    F.lit(ci).alias("ci"),
+                    F.lit(j).alias("judge_model"),
+                    F.lit(ji).alias("ji"),
+                )
+                for c, ci, j, ji in pairs
+            ]
+        )
+    )
+    rows = q.select("query_id", "conv_id", "turn", F.length("reference").alias("len"), runs.alias("r")).select("*", "r.*")
+    h = (F.col("conv_id") * 7 + F.col("turn") * 3 + F.col("len") + F.col("ci") * 5 + F.col("ji") * (F.col("conv_id") % 2)) % 10
+    line = (
+        F.when(h < 4, "VERDICT: A")
+        .when(h < 7, " verdict below\nVERDICT: B ")
+        .when(h == 7, "VERDICT: tie")
+        .when(h == 8, "VERDICT: A.")
+        .otherwise("no verdict")
+    )
+    return rows.select(
+        "query_id",
+        "contestant",
+        "judge_model",
+        ((F.col("conv_id") + F.col("turn") / 2) % 2 == 1).alias("swap"),
+        F.concat(F.lit("VERDICT: B\nOn second thought\n"), line).alias("text"),
+        (h == 9).alias("truncated"),
+        F.when(h != 3, F.col("len")).alias("prompt_tokens"),
+        (h + 1).alias("completion_tokens"),
+        F.lit("sync").alias("mode"),
+        F.col("judge_model").alias("model"),
+    )
+
+
+def fact_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reference's sentences as its facts."""
+    from convolens.functions.text import sentences
+
+    return chat_queries(spark, sf_dir).select("query_id", sentences(F.col("reference")).alias("facts"))
+
+
+def marking_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Marking replies per system: the claims are the prediction's sentences, and every number whose
+    sum with the conversation's id is even is listed, some of it as strings and out of range."""
+    from convolens.functions.text import sentences
+
+    out = None
+    for si, system in enumerate(("a", "c")):
+        rows = scored_pairs(spark, sf_dir, system).select(
+            "query_id",
+            F.lit(system).alias("system"),
+            (F.col("conv_id") + F.col("turn") + si).alias("k"),
+            F.size(sentences(F.col("reference"))).alias("nf"),
+            sentences(F.col("prediction")).alias("claims"),
+        )
+        part = rows
+        out = part if out is None else out.unionByName(part)
+    even = lambda n, k: F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: (i + k) % 2 == 0)
+    as_list = lambda xs: F.array_join(F.transform(xs, lambda i: F.concat(F.lit('"'), i.cast("string"), F.lit('"'))), ", ")
+    body = F.concat(
+        F.lit('Here is my marking: {"covered_fact_numbers": [0, 9999, "x", '),
+        as_list(F.concat(even(F.col("nf"), F.col("k")), F.array(F.lit(0)))),
+        F.lit('], "summary_claims": '),
+        F.to_json("claims"),
+        F.lit(', "unsupported_claim_numbers": ['),
+        as_list(even(F.size("claims"), F.col("k") + F.size("claims"))),
+        F.lit("]} Done."),
+    )
+    text = F.when(F.col("k") % 13 == 0, F.lit("I cannot mark this {")).otherwise(body)
+    return out.select("query_id", "system", text.alias("text"))
