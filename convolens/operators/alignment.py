@@ -16,6 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from convolens import protocol
 from convolens.functions.rouge import ngram_overlap, tokenize, with_rouge
@@ -29,7 +30,7 @@ class AlignmentRefused(ValueError):
     """An alignment whose controls failed."""
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def overlap_f1(a: pd.Series, b: pd.Series) -> pd.Series:
     """Multiset F of unstemmed tokens."""
     return pd.Series([ngram_overlap(tokenize(y or "", False), tokenize(x or "", False), 1)[2] for x, y in zip(a, b)])
@@ -173,10 +174,10 @@ def _block_stats(preds: pd.DataFrame, refs: pd.DataFrame) -> pd.DataFrame:
     """For every prediction of a block, what one block of references adds to its figures."""
     if preds.empty or refs.empty:
         return pd.DataFrame({"file_id": [], "i": [], "beaten": [], "ahead": [], "total": [], "others": []})
-    js = refs["j"].to_numpy()
+    js = refs["r_j"].to_numpy()
     sizes = np.zeros(len(js))
     postings: dict[str, tuple[list, list]] = {}
-    for k, text in enumerate(refs["text"]):
+    for k, text in enumerate(refs["r_text"]):
         counts = Counter(tokenize(text or "", False))
         sizes[k] = sum(counts.values())
         for t, c in counts.items():
@@ -223,17 +224,17 @@ def rank_statistics(predictions: DataFrame, references: DataFrame, mapping: Data
             F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n_ref") - 1) / REF_BLOCK))).alias("rb"),
         )
     )
+    # New names keep the two sides of the cogroup apart where both stem from one table.
     right = references.join(sizes, "file_id").select(
-        "file_id",
-        "j",
-        "text",
-        F.floor(F.col("j") / REF_BLOCK).alias("rb"),
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n_pred") - 1) / PRED_BLOCK))).alias("pb"),
+        F.col("file_id").alias("r_file"),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n_pred") - 1) / PRED_BLOCK))).alias("r_pb"),
+        F.floor(F.col("j") / REF_BLOCK).alias("r_rb"),
+        F.col("j").alias("r_j"),
+        F.col("text").alias("r_text"),
     )
-    keys = ["file_id", "pb", "rb"]
     parts = (
-        left.groupBy(*keys)
-        .cogroup(right.groupBy(*keys))
+        left.groupBy("file_id", "pb", "rb")
+        .cogroup(right.groupBy("r_file", "r_pb", "r_rb"))
         .applyInPandas(_block_stats, "file_id string, i bigint, beaten bigint, ahead bigint, total double, others bigint")
     )
     return parts.groupBy("file_id", "i").agg(*[F.sum(c).alias(c) for c in ("beaten", "ahead", "total", "others")])
