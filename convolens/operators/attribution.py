@@ -62,38 +62,55 @@ def zero_rates(recalls: DataFrame, scores: DataFrame) -> DataFrame:
     )
 
 
-def flatness(recalls: DataFrame, baseline_scores: DataFrame) -> DataFrame:
-    """How far the baseline's bucket means lie apart: it never saw the retrieval, so they should not."""
-    means = bucket_by_recall(recalls, baseline_scores).where(F.col("mean").isNotNull())
-    # Bucket means are compared as they are reported, at four places.
-    m = F.round("mean", 4)
+def _long(items: DataFrame, metrics: Sequence[str]) -> DataFrame:
+    """`query_id, metric, score`: every metric in one pass over the items."""
+    cells = [F.struct(F.lit(m).alias("metric"), item_score(m).cast("double").alias("score")) for m in metrics]
+    return items.select("query_id", F.explode(F.array(*cells)).alias("c")).select("query_id", "c.metric", "c.score")
+
+
+def flatness(recalls: DataFrame, baseline: DataFrame, metrics: Sequence[str]) -> DataFrame:
+    """How far the baseline's bucket means lie apart: it never saw the retrieval, so they should not.
+
+    `spread` and `stdev` are NULL with fewer than two filled buckets.
+    """
+    joined = _long(baseline, metrics).join(recalls.select("query_id", F.col("recall").alias("__r")), "query_id")
+    means = (
+        joined.where(F.col("__r").isNotNull() & F.col("score").isNotNull())
+        .groupBy("metric", recall_bucket(F.col("__r")).alias("bucket"))
+        # Bucket means are compared as they are reported, at four places.
+        .agg(F.round(F.avg("score"), 4).alias("m"))
+    )
     enough = F.count(F.lit(1)) > 1
-    return means.agg(
-        F.when(enough, F.round(F.max(m) - F.min(m), 4)).alias("spread"),
-        F.when(enough, F.round(F.stddev_pop(m), 4)).alias("stdev"),
+    return means.groupBy("metric").agg(
+        F.when(enough, F.round(F.max("m") - F.min("m"), 4)).alias("spread"),
+        F.when(enough, F.round(F.stddev_pop("m"), 4)).alias("stdev"),
     )
 
 
-def decompose(recalls: DataFrame, ours: DataFrame, baseline: DataFrame, metric: str = "recall") -> DataFrame:
-    """Gap over all queries, gap under perfect retrieval, and the share that survives.
+def attribution(
+    recalls: DataFrame, ours: DataFrame, baseline: DataFrame, metrics: Sequence[str] = ("recall", "precision", "f1")
+) -> DataFrame:
+    """Per metric the gap over all queries, the gap under perfect retrieval, and the share that survives.
 
     `survival` is NULL with its reasons whenever it would not mean anything.
     """
-    score = item_score(metric)
-    o = ours.select("query_id", score.alias("o"))
-    b = baseline.select("query_id", score.alias("b"))
+    o = _long(ours, metrics).withColumnRenamed("score", "o")
+    b = _long(baseline, metrics).withColumnRenamed("score", "b")
     r = recalls.where(F.col("recall").isNotNull()).select("query_id", F.col("recall").alias("r"))
-    shared = o.join(b, "query_id").join(r, "query_id")
     hit = F.col("r") == 1.0
-    stats = shared.agg(
-        F.count(F.lit(1)).alias("n_shared"),
-        F.count_if(hit).alias("n_perfect_retrieval"),
-        F.avg("o").alias("ours_all"),
-        F.avg("b").alias("baseline_all"),
-        F.avg(F.when(hit, F.col("o"))).alias("ours_perfect"),
-        F.avg(F.when(hit, F.col("b"))).alias("baseline_perfect"),
+    stats = (
+        o.join(b, ["query_id", "metric"])
+        .join(r, "query_id")
+        .groupBy("metric")
+        .agg(
+            F.count(F.lit(1)).alias("n_shared"),
+            F.count_if(hit).alias("n_perfect_retrieval"),
+            F.avg("o").alias("ours_all"),
+            F.avg("b").alias("baseline_all"),
+            F.avg(F.when(hit, F.col("o"))).alias("ours_perfect"),
+            F.avg(F.when(hit, F.col("b"))).alias("baseline_perfect"),
+        )
     )
-    control = flatness(recalls, baseline.select("query_id", score.alias("score")))
     gap, gap_hit, spread = F.col("gap_all"), F.col("gap_perfect"), F.col("spread")
     reasons = F.filter(
         F.array(
@@ -107,22 +124,11 @@ def decompose(recalls: DataFrame, ours: DataFrame, baseline: DataFrame, metric:
         ),
         lambda x: x.isNotNull(),
     )
+    # One row per metric on either side.
     return (
-        stats.crossJoin(control)
+        stats.join(F.broadcast(flatness(recalls, baseline, metrics)), "metric", "left")
         .withColumn("gap_all", F.col("baseline_all") - F.col("ours_all"))
         .withColumn("gap_perfect", F.col("baseline_perfect") - F.col("ours_perfect"))
         .withColumn("uninterpretable_because", reasons)
         .withColumn("survival", F.when(F.size("uninterpretable_because") == 0, gap_hit / gap))
-        .withColumn("metric", F.lit(metric))
     )
-
-
-def attribution(
-    recalls: DataFrame, ours: DataFrame, baseline: DataFrame, metrics: Sequence[str] = ("recall", "precision", "f1")
-) -> DataFrame:
-    """The decomposition for every metric."""
-    out = None
-    for m in metrics:
-        part = decompose(recalls, ours, baseline, m)
-        out = part if out is None else out.unionByName(part)
-    return out

@@ -24,4 +24,4 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> None:
     """Import the modules that register queries."""
-    from convolens.plans import register_judging, register_retrieval, register_scoring  # noqa: F401
+    from convolens.plans import register_judging, register_maintenance, register_retrieval, register_scoring  # noqa: F401

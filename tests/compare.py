@@ -15,6 +15,7 @@ TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
     "conversations"
 ).split()
+TIMES = {}
 TYPES = {"string": "VARCHAR", "int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "boolean": "BOOLEAN"}
 
 
@@ -44,6 +45,7 @@ def compare(spark, con, name, fn, sql, sf_dir):
     """An empty list when the two agree, else what differs."""
     df = fn(spark, sf_dir)
     got = [tuple(r) for r in df.collect()]
+    TIMES[name] = time.time()
     cur = con.execute(sql)
     want = cur.fetchall()
     s_cols, d_cols = df.columns, [d[0] for d in cur.description]
@@ -92,7 +94,7 @@ def main(argv):
         except Exception as exc:  # noqa: BLE001 - report and go on
             problems, note = [str(exc)], f"ERROR {type(exc).__name__}: {str(exc)[:600]}"
         bad += bool(problems)
-        print(f"{'ok ' if not problems else 'BAD'} {name:28s} {time.time() - t0:6.2f}s {note}", flush=True)
+        print(f"{'ok ' if not problems else 'BAD'} {name:28s} {TIMES.get(name, time.time()) - t0:6.2f}s of {time.time() - t0:6.2f}s {note}", flush=True)
     print(f"{bad} bad")
 
 
