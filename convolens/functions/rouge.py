@@ -9,7 +9,6 @@ import re
 from collections import Counter
 from collections.abc import Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,9 +47,7 @@ def lcs_length(a: Sequence[str], b: Sequence[str]) -> int:
     """Longest common subsequence by whole-word bit operations on one big integer per row."""
     if not a or not b:
         return 0
-    at: dict[str, int] = {}
-    for i, t in enumerate(a):
-        at[t] = at.get(t, 0) | (1 << i)
+    at = _positions(a)
     full = (1 << len(a)) - 1
     row = full
     for t in b:
@@ -60,24 +57,38 @@ def lcs_length(a: Sequence[str], b: Sequence[str]) -> int:
     return len(a) - row.bit_count()
 
 
-def lcs_members(ref: np.ndarray, pred: np.ndarray) -> set[int]:
+def _positions(tokens: Sequence[str]) -> dict[str, int]:
+    """The places of every token as a bit mask."""
+    at: dict[str, int] = {}
+    for i, t in enumerate(tokens):
+        at[t] = at.get(t, 0) | (1 << i)
+    return at
+
+
+def lcs_members(ref: Sequence[str], pred: Sequence[str], at: dict[str, int] | None = None) -> set[int]:
     """Positions of the reference on one longest common subsequence with the prediction.
 
     Of equally long ones, walking back from the ends skips a prediction token only where that
-    keeps a strictly longer match.
+    keeps a strictly longer match. The table's rows are bit vectors: a zero bit is a step up.
     """
-    n, m = len(ref), len(pred)
-    best = np.zeros((n + 1, m + 1), dtype=np.int32)
-    for i in range(1, n + 1):
-        grown = np.where(pred == ref[i - 1], best[i - 1, :-1] + 1, best[i - 1, 1:])
-        best[i, 1:] = np.maximum.accumulate(grown)
+    at = _positions(pred) if at is None else at
+    # A reference token the prediction lacks repeats its row, and the way back skips it at once.
+    hits = [(i, at[t]) for i, t in enumerate(ref) if t in at]
+    full = (1 << len(pred)) - 1
+    rows = [full]
+    for _, m in hits:
+        row = rows[-1]
+        u = row & m
+        rows.append(((row + u) | (row - u)) & full)
+    height = lambda row, j: j - (row & ((1 << j) - 1)).bit_count()
     out = set()
-    i, j = n, m
+    i, j = len(hits), len(pred)
     while i and j:
-        if ref[i - 1] == pred[j - 1]:
-            out.add(i - 1)
+        place, m = hits[i - 1]
+        if m >> (j - 1) & 1:
+            out.add(place)
             i, j = i - 1, j - 1
-        elif best[i, j - 1] > best[i - 1, j]:
+        elif height(rows[i], j - 1) > height(rows[i - 1], j):
             j -= 1
         else:
             i -= 1
@@ -89,17 +100,16 @@ def summary_overlap(ref: list[list[str]], pred: list[list[str]]) -> tuple[float,
     n_ref, n_pred = sum(map(len, ref)), sum(map(len, pred))
     if not n_ref or not n_pred:
         return 0.0, 0.0, 0.0
-    ids: dict[str, int] = {}
-    code = lambda s: np.array([ids.setdefault(t, len(ids)) for t in s], dtype=np.int64)
-    coded = [code(s) for s in pred if s]
+    masks = [(s, _positions(s)) for s in pred if s]
     left_ref = Counter(t for s in ref for t in s)
     left_pred = Counter(t for s in pred for t in s)
     hits = 0
     for sent in ref:
-        if not sent:
-            continue
-        here = code(sent)
-        union = set().union(*(lcs_members(here, c) for c in coded))
+        known = set(sent)
+        union: set[int] = set()
+        for s, at in masks:
+            if not known.isdisjoint(at):
+                union |= lcs_members(sent, s, at)
         for k in sorted(union):
             t = sent[k]
             if left_pred[t] > 0 and left_ref[t] > 0:
@@ -112,10 +122,12 @@ def summary_overlap(ref: list[list[str]], pred: list[list[str]]) -> tuple[float,
 def score_pair(
     prediction: str | None, reference: str | None, metrics: Sequence[str], stemmed: bool = True
 ) -> dict[str, tuple[float, float, float]]:
-    ref_sents = [tokenize(s, stemmed) for s in split_sentences(reference)]
-    pred_sents = [tokenize(s, stemmed) for s in split_sentences(prediction)]
-    ref = [t for s in ref_sents for t in s]
-    pred = [t for s in pred_sents for t in s]
+    ref_sents = pred_sents = []
+    if "rougeLsum" in metrics:
+        ref_sents = [tokenize(s, stemmed) for s in split_sentences(reference)]
+        pred_sents = [tokenize(s, stemmed) for s in split_sentences(prediction)]
+    # Sentences end at white space, so cutting them moves no token.
+    ref, pred = tokenize(reference or "", stemmed), tokenize(prediction or "", stemmed)
     out = {}
     for m in metrics:
         if m == "rouge1":

@@ -20,6 +20,7 @@ from pyspark.sql.types import DoubleType
 
 from convolens import protocol
 from convolens.functions.rouge import ngram_overlap, tokenize, with_rouge
+from convolens.session import keep
 
 MIN_BLOCK = 2048
 PRED_BLOCK = 2_000
@@ -99,6 +100,7 @@ def _backward(exact: np.ndarray, bound: int) -> tuple[np.ndarray, int]:
 
 def align(band_rows: DataFrame, longest: int | None = None, min_block: int = MIN_BLOCK) -> DataFrame:
     """`file_id, i, j`: the order-preserving mapping of the highest total similarity."""
+    band_rows = keep(band_rows)
     if longest is None:
         longest = (band_rows.agg(F.max("i")).first()[0] or 0) + 1
     block = max(min_block, math.isqrt(longest))
@@ -317,8 +319,8 @@ def build_alignment(
     `references` also carries `query_id`. A published score decides when there is one, the
     similarity controls otherwise; a file that fails is withheld unless forced.
     """
-    rows = band(predictions, references)
-    mapping = align(rows)
+    rows = keep(band(predictions, references))
+    mapping = keep(align(rows))
     aligned = (
         mapping.join(predictions.select("file_id", "i", F.col("text").alias("prediction")), ["file_id", "i"])
         .join(references.select("file_id", "j", "query_id", F.col("text").alias("reference")), ["file_id", "j"])

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from convolens import protocol
 from convolens.functions.marking import per_query_f1
+from convolens.session import keep
 
 MISS, PARTIAL, MOST, HIT = protocol.RECALL_BUCKETS
 
@@ -73,7 +74,11 @@ def flatness(recalls: DataFrame, baseline: DataFrame, metrics: Sequence[str]) ->
 
     `spread` and `stdev` are NULL with fewer than two filled buckets.
     """
-    joined = _long(baseline, metrics).join(recalls.select("query_id", F.col("recall").alias("__r")), "query_id")
+    return _flatness(recalls, _long(baseline, metrics))
+
+
+def _flatness(recalls: DataFrame, scores: DataFrame) -> DataFrame:
+    joined = scores.join(recalls.select("query_id", F.col("recall").alias("__r")), "query_id")
     means = (
         joined.where(F.col("__r").isNotNull() & F.col("score").isNotNull())
         .groupBy("metric", recall_bucket(F.col("__r")).alias("bucket"))
@@ -94,8 +99,10 @@ def attribution(
 
     `survival` is NULL with its reasons whenever it would not mean anything.
     """
+    recalls = keep(recalls.select("query_id", "recall"))
+    base = keep(_long(baseline, metrics))
     o = _long(ours, metrics).withColumnRenamed("score", "o")
-    b = _long(baseline, metrics).withColumnRenamed("score", "b")
+    b = base.withColumnRenamed("score", "b")
     r = recalls.where(F.col("recall").isNotNull()).select("query_id", F.col("recall").alias("r"))
     hit = F.col("r") == 1.0
     stats = (
@@ -126,7 +133,7 @@ def attribution(
     )
     # One row per metric on either side.
     return (
-        stats.join(F.broadcast(flatness(recalls, baseline, metrics)), "metric", "left")
+        stats.join(F.broadcast(_flatness(recalls, base)), "metric", "left")
         .withColumn("gap_all", F.col("baseline_all") - F.col("ours_all"))
         .withColumn("gap_perfect", F.col("baseline_perfect") - F.col("ours_perfect"))
         .withColumn("uninterpretable_because", reasons)

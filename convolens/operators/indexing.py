@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from convolens.session import keep
+
 # Up to this many rows one sorted task is cheaper than two passes.
 SMALL_ROWS = 200_000
 # Beyond it every bucket is sized to hold about this many rows.
@@ -80,7 +82,7 @@ def order_statistics(
     counted values are then cut into ranges and only the range that holds a rank is sorted.
     """
     by = list(by)
-    hist = value_histogram(df, by, value)
+    hist = keep(value_histogram(df, by, value))
     cuts = hist.agg(
         F.percentile_approx("value", [i / buckets for i in range(1, buckets)], 10 * buckets).alias("c")
     ).first()["c"]

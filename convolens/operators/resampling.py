@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from convolens import protocol
+from convolens.session import keep
 from convolens.operators.indexing import averaged_median, lower_median_rank, order_statistics, upper_median_rank, with_row_index
 
 # A numbered score row is under 64 bytes, so this many are broadcast without doubt.
@@ -181,6 +182,7 @@ def paired_bootstrap(
     key: str = "query_id",
 ) -> DataFrame:
     """Interval of mean(b) - mean(a), resampling queries. One row."""
+    scores = keep(scores.select(key, "a", "b"))
     sums = draw_sums(scores.select(key, (F.col("b") - F.col("a")).alias("d"), F.lit(1.0).alias("one")), key, ["d", "one"], draws, seed, rng)
     out = _observed(scores).crossJoin(_interval(sums, F.col("d") / F.col("one"), draws, conf))
     lo, hi = f"ci{conf}_low", f"ci{conf}_high"
@@ -198,6 +200,7 @@ def paired_cluster_bootstrap(
 
     Clusters are summed first, so one that holds a third of all queries is still one row.
     """
+    scores = keep(scores.select("cluster_id", "a", "b"))
     clusters = scores.groupBy("cluster_id").agg(
         F.sum(F.col("b") - F.col("a")).alias("d"), F.count(F.lit(1)).cast("double").alias("m")
     )
@@ -238,10 +241,11 @@ def subsample_distribution(
     The picks number draws x k whatever the run's size, so they go to the scores and not the
     other way round. The upper end has no -1 here, unlike the bootstrap.
     """
+    scores = keep(scores.select(key, "score"))
     n = scores.count()
     if n < k:
         raise ValueError(f"only {n} scores, {k} needed")
-    indexed = with_row_index(scores.select(key, "score"), key, rows=n)
+    indexed = with_row_index(scores, key, rows=n)
     picks = scores.sparkSession.range(draws).select(
         F.col("id").alias("draw"), F.explode(_floyd(F.col("id"), n, k, seed)).alias("idx")
     )
@@ -291,7 +295,7 @@ def interval_records(
 
     `scores` holds `run_id, metric, split, query_id, score`; every run is scored once and kept.
     """
-    scores = scores.persist()
+    scores = keep(scores)
     out = None
     for c in comparisons:
         here = scores.where((F.col("metric") == c["metric"]) & (F.col("split") == c["split"]))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from convolens import protocol
 from convolens.functions.text import alnum_tokens, let, summary_prompt, truncate_words
 from convolens.operators.windows import BLOCK_LINES, build_windows, is_multi_block
+from convolens.session import keep
 
 # Copies of a query when a transcript is long enough to be spread over several tasks.
 HOT_SALTS = 32
@@ -266,8 +267,8 @@ def _merged(spans: Column, last_line: Column) -> Column:
     return F.aggregate(F.array_sort(clipped), none, step)
 
 
-def utterance_recall(packed: DataFrame) -> DataFrame:
-    """Share of gold lines inside the packed windows; comparable between window sizes.
+def _line_counts() -> Column:
+    """Gold lines of a packed row, and how many of them were packed.
 
     Ranges are intersected as ranges, so a span over a whole transcript costs no more than a short one.
     """
@@ -275,16 +276,20 @@ def utterance_recall(packed: DataFrame) -> DataFrame:
     shared = lambda g, p: F.greatest(F.least(g["e"], p["end"]) - F.greatest(g["s"], p["start"]) + 1, F.lit(0))
     total = lambda xs, f: F.aggregate(F.transform(xs, f), F.lit(0), lambda a, v: a + v)
     # `let` reads the merged spans once; a plain column would be spelled out at every use.
-    counted = let(
+    return let(
         _merged(F.col("gold_spans"), F.col("n_lines") - 1),
         lambda m: F.struct(
             total(m, width).alias("gold"),
             total(m, lambda g: total(F.col("picks"), lambda p: shared(g, p))).alias("got"),
         ),
     )
+
+
+def utterance_recall(packed: DataFrame) -> DataFrame:
+    """Share of gold lines inside the packed windows; comparable between window sizes."""
     return (
         packed.where(has_gold())
-        .withColumn("__c", counted)
+        .withColumn("__c", _line_counts())
         .where(F.col("__c.gold") > 0)
         .select(
             "query_id",
@@ -295,6 +300,18 @@ def utterance_recall(packed: DataFrame) -> DataFrame:
     )
 
 
+def mean_recalls(packed: DataFrame) -> DataFrame:
+    """Both recalls per budget in one pass, each over the queries that define it."""
+    hits = F.size(F.filter("picks", lambda p: p["label"] == 1))
+    rows = packed.where(has_gold()).select(
+        "budget", (hits / F.nullif(F.col("n_gold"), F.lit(0))).alias("w"), _line_counts().alias("c")
+    )
+    return rows.groupBy("budget").agg(
+        F.avg("w").alias("window_recall"),
+        F.avg(F.col("c.got") / F.nullif(F.col("c.gold"), F.lit(0))).alias("utterance_recall"),
+    )
+
+
 def locator_sweep(
     utterances: DataFrame,
     queries: DataFrame,
@@ -305,10 +322,8 @@ def locator_sweep(
     """Both recalls of every variant and budget, and the line-recall gain over the base variant."""
     parts = None
     for name, (chunk_words, scorer) in variants.items():
-        packed = locate(utterances, queries, scorer, chunk_words, budgets)
-        by_window = window_recall(packed).groupBy("budget").agg(F.avg("recall").alias("window_recall"))
-        by_line = utterance_recall(packed).groupBy("budget").agg(F.avg("recall").alias("utterance_recall"))
-        part = by_window.join(by_line, "budget").select(
+        means = mean_recalls(locate(utterances, queries, scorer, chunk_words, budgets))
+        part = means.select(
             F.lit(name).alias("variant"),
             F.lit(chunk_words or protocol.CHUNK_WORDS).alias("chunk_words"),
             "budget",
@@ -316,7 +331,8 @@ def locator_sweep(
             "utterance_recall",
         )
         parts = part if parts is None else parts.unionByName(part)
-    # One row per variant and budget, so this join is tiny.
+    # One row per variant and budget.
+    parts = keep(parts)
     ref = parts.where(F.col("variant") == base).select("budget", F.col("utterance_recall").alias("__base"))
     return parts.join(ref, "budget", "left").withColumn("gain", F.col("utterance_recall") - F.col("__base")).drop("__base")
 

@@ -17,6 +17,7 @@ from convolens.operators.indexing import (
     p95_rank,
     upper_median_rank,
 )
+from convolens.session import keep
 
 
 class IncompleteRun(ValueError):
@@ -175,16 +176,16 @@ def precision_recall(scored: DataFrame, references: DataFrame, metric: str = "ro
 
 def text_profile(rows: DataFrame, by: Sequence[str], reference: str | None = None) -> DataFrame:
     """Length, repetition and variety of the texts in `prediction`, per group."""
-    # One pass over the text: medians are then taken over counted word and sentence numbers.
+    # One pass over the text; every figure below is taken from these few numbers per row.
     text = F.coalesce("prediction", F.lit(""))
-    shape = rows.select(
+    shape = keep(rows.select(
         *by,
         F.size(T.unicode_words(text)).alias("wc"),
         F.size(T.sentences(text, trim_parts=False)).alias("sc"),
         T.self_repeat(text).alias("rep"),
         T.type_token_ratio(text).alias("ttr"),
         *([F.size(T.unicode_words(F.col(reference))).alias("ref_wc")] if reference else []),
-    )
+    ))
     out = shape.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"),
         F.avg("wc").alias("words_mean"),

@@ -12,6 +12,7 @@ from convolens.functions.rouge import rouge
 from convolens.operators.prompts import zero_shot_prompts
 from convolens.operators.retrieval import has_gold, overlaps_gold
 from convolens.operators.scoring import guard_prompts
+from convolens.session import keep
 
 TRAINING_SPLITS = ("train", "val")
 # Lines of a transcript that one step of a running count looks at.
@@ -91,6 +92,7 @@ def coarse_examples(gold: DataFrame, stemmed: bool = True) -> DataFrame:
     Only for queries with several gold windows. A sentence goes to the window with the highest
     recall of its words, to the first of equals; windows that get no sentence drop out.
     """
+    gold = keep(gold)
     pairs = gold.select(
         "query_id", "start", "text", F.posexplode(T.sentences(F.col("reference"))).alias("sent_no", "sentence")
     )

@@ -417,8 +417,7 @@ def _scores(spark, sf, system):
 
 
 def _pair(spark, sf):
-    # Scored once; the resampling reads the numbers several times.
-    return resampling.pair_scores(_scores(spark, sf, "c"), _scores(spark, sf, "b")).persist()
+    return resampling.pair_scores(_scores(spark, sf, "c"), _scores(spark, sf, "b"))
 
 
 _PAIR = """
@@ -522,7 +521,7 @@ K = 10
     ),
 )
 def subsample(spark, sf):
-    out = resampling.subsample_distribution(_scores(spark, sf, "b").persist(), K)
+    out = resampling.subsample_distribution(_scores(spark, sf, "b"), K)
     round_these = ("full_mean", "draw_mean", "low", "high", "min", "max")
     return out.select(*[F.round(c, 6).alias(c) if c in round_these else F.col(c) for c in out.columns])
 

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
+_KEPT: list[DataFrame] = []
+
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A local session; a cluster passes its own settings to spark-submit instead."""
@@ -30,3 +33,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="convolens-checkpoint-"))
     return df.checkpoint()
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """Hold a narrow table that several steps read, so the texts behind it are read once.
+
+    Partitions that do not fit go to disk, and those of a lost executor are computed again.
+    """
+    held = df.persist(StorageLevel.MEMORY_AND_DISK)
+    _KEPT.append(held)
+    return held
+
+
+def release() -> None:
+    """Let go of everything that was kept."""
+    while _KEPT:
+        _KEPT.pop().unpersist()
