@@ -49,7 +49,7 @@ def file_sizes(predictions: DataFrame, references: DataFrame) -> DataFrame:
 def band(predictions: DataFrame, references: DataFrame) -> DataFrame:
     """Similarities `file_id, i, o, sim` of every prediction with the references it may land on."""
     sizes = file_sizes(predictions, references)
-    may = predictions.join(F.broadcast(sizes), "file_id").select(
+    may = predictions.join(sizes, "file_id").select(
         "file_id", "i", F.col("text").alias("pt"), "slack", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("slack"))).alias("o")
     )
     refs = references.select("file_id", F.col("j").alias("j"), F.col("text").alias("rt"))
@@ -212,7 +212,7 @@ def rank_statistics(predictions: DataFrame, references: DataFrame, mapping: Data
     a pair. A file of ordinary length is one such meeting.
     """
     sims = band_rows.select("file_id", "i", (F.col("i") + F.col("o")).alias("j"), "sim")
-    sizes = F.broadcast(file_sizes(predictions, references))
+    sizes = file_sizes(predictions, references)
     left = (
         predictions.join(mapping.join(sims, ["file_id", "i", "j"]), ["file_id", "i"])
         .join(sizes, "file_id")

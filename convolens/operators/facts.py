@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from convolens import protocol
 from convolens.functions import marking as M
 from convolens.functions.text import let
 from convolens.operators import prompts
+from convolens.operators.indexing import number_in_order
 
 
 def extraction_requests(queries: DataFrame) -> DataFrame:
@@ -104,12 +104,14 @@ def unsupported_claims(replies: DataFrame) -> DataFrame:
 def blinded_claims(pool: DataFrame, seed: int = protocol.SEED) -> DataFrame:
     """Number the pooled claims of every query in a seeded order that does not show their source.
 
-    `pool` holds `query_id, source, claim`. A query's claims are the few its answers make.
+    `pool` holds `query_id, source, claim`. The shuffle key's high bits spread a query's claims.
     """
-    shuffled = F.xxhash64(F.lit(seed), "query_id", "source", "claim")
-    place = F.row_number().over(W.partitionBy("query_id").orderBy(shuffled, "source", "claim"))
-    return pool.select(
-        F.concat(F.col("query_id"), F.lit("__c"), F.format_string("%02d", place)).alias("claim_id"),
+    key = F.xxhash64(F.lit(seed), "query_id", "source", "claim")
+    numbered = number_in_order(
+        pool.withColumn("__h", key), ["query_id"], F.shiftright(F.col("__h"), 58), [F.col("__h"), F.col("source"), F.col("claim")], "__k"
+    )
+    return numbered.select(
+        F.concat(F.col("query_id"), F.lit("__c"), F.format_string("%02d", F.col("__k") + 1)).alias("claim_id"),
         "query_id",
         "source",
         "claim",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -130,3 +131,33 @@ def p95_rank() -> Column:
 
 def averaged_median(lower: str, upper: str) -> Column:
     return (F.col(lower) + F.col(upper)) / 2
+
+
+def number_in_order(df: DataFrame, by: Sequence[str], bucket: Column, order: Sequence[Column], name: str) -> DataFrame:
+    """Add 0, 1, 2.. within each group without sorting a group in one task.
+
+    `bucket` is a number that never falls along `order`. Buckets are counted and numbered apart,
+    then shifted by what lies before them, so a group of any size is spread over its buckets.
+    """
+    by = list(by)
+    part = df.withColumn("__b", bucket)
+    ahead = W.partitionBy(*by).orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
+    before = (
+        part.groupBy(*by, "__b")
+        .agg(F.count(F.lit(1)).alias("__m"))
+        .select(*by, "__b", F.coalesce(F.sum("__m").over(ahead), F.lit(0)).alias("__before"))
+    )
+    within = F.row_number().over(W.partitionBy(*by, "__b").orderBy(*order)) - 1
+    return (
+        part.withColumn("__in", within)
+        .join(before, [*by, "__b"])
+        .withColumn(name, F.col("__before") + F.col("__in"))
+        .drop("__b", "__in", "__before")
+    )
+
+
+def range_cuts(df: DataFrame, value: str, buckets: int = 256) -> list[float]:
+    """Boundaries of about equal shares. A value that fills several shares gets a range of its own."""
+    points = df.agg(F.percentile_approx(value, [i / buckets for i in range(1, buckets)], 10 * buckets)).first()[0] or []
+    heavy = {a for a, b in zip(points, points[1:]) if a == b}
+    return sorted(set(points) | {math.nextafter(v, math.inf) for v in heavy})

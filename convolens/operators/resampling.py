@@ -24,7 +24,7 @@ from convolens.operators.indexing import averaged_median, lower_median_rank, ord
 # A numbered score row is under 64 bytes, so this many are broadcast without doubt.
 BROADCAST_ROWS = 500_000
 # Picks that `mt` may enumerate.
-MT_PICKS = 50_000_000
+MT_PICKS = 20_000_000
 TREE_BLOCK = 65_536
 PRIME = 2_147_483_647
 

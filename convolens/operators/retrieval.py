@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 import pandas as pd
@@ -11,11 +12,14 @@ from pyspark.sql import functions as F
 
 from convolens import protocol
 from convolens.functions.text import alnum_tokens, let, summary_prompt, truncate_words
+from convolens.operators.indexing import bucket_of, number_in_order, range_cuts
 from convolens.operators.windows import BLOCK_LINES, build_windows, is_multi_block
 from convolens.session import keep
 
-# Copies of a query when a transcript is long enough to be spread over several tasks.
+# Tasks that share a transcript's windows when transcripts are long enough to need it.
 HOT_SALTS = 32
+# Queries of one transcript that one task may see.
+CROWD = 512
 
 Scorer = Callable[[DataFrame], DataFrame]
 
@@ -29,18 +33,45 @@ def has_gold() -> Column:
     return (F.col("query_type") == "specific") & (F.size("gold_spans") > 0)
 
 
-def query_windows(windows: DataFrame, queries: DataFrame, salts: int = 1) -> DataFrame:
+def is_crowded(queries: DataFrame) -> bool:
+    """Whether any transcript has so many queries that one task should not see them all."""
+    most = queries.groupBy("meeting_id").count().agg(F.max("count")).first()[0]
+    return most is not None and most > CROWD
+
+
+def query_windows(windows: DataFrame, queries: DataFrame, hot: bool = False, crowded: bool = False) -> DataFrame:
     """Every query with every window of its own transcript, labelled by gold overlap.
 
-    Windows are built once per transcript and only then meet the queries. With `salts` a hot
-    transcript's windows go to several tasks and its few queries are copied to each of them.
+    Windows are built once per transcript and only then meet the queries. When some transcripts are
+    `hot`, their windows go to several tasks and the few queries are copied to each. When some are
+    `crowded`, their queries go to several tasks and the windows of those transcripts are copied.
     """
     q = queries.select("query_id", "meeting_id", "query_type", "query", "reference", "gold_spans")
-    if salts > 1:
-        q = q.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        joined = windows.withColumn("salt", F.col("win_idx") % salts).join(q, ["meeting_id", "salt"])
-    else:
-        joined = windows.join(q, "meeting_id").withColumn("salt", F.lit(0))
+    w = windows
+    keys = ["meeting_id"]
+    if hot:
+        w = w.withColumn("salt", F.col("win_idx") % HOT_SALTS)
+        q = q.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(HOT_SALTS - 1))))
+        keys.append("salt")
+    if crowded:
+        parts = (
+            queries.groupBy("meeting_id")
+            .agg(F.ceil(F.count(F.lit(1)) / CROWD).cast("int").alias("parts"))
+            .where(F.col("parts") > 1)
+        )
+        n = F.coalesce("parts", F.lit(1))
+        q = q.join(parts, "meeting_id", "left").withColumn("part", F.pmod(F.xxhash64("query_id"), n)).drop("parts")
+        w = (
+            w.join(parts, "meeting_id", "left")
+            .withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), n.cast("bigint") - 1)))
+            .drop("parts")
+        )
+        keys.append("part")
+    joined = w.join(q, keys)
+    if not hot:
+        joined = joined.withColumn("salt", F.lit(0))
+    if not crowded:
+        joined = joined.withColumn("part", F.lit(0).cast("bigint"))
     label = F.when(has_gold(), overlaps_gold(F.col("start"), F.col("end"), F.col("gold_spans"))).otherwise(False)
     return joined.withColumn("label", label.cast("int"))
 
@@ -102,10 +133,21 @@ def embedding_scorer(window_vectors: DataFrame, query_vectors: DataFrame) -> Sco
     return score
 
 
-def rank_windows(scored: DataFrame) -> DataFrame:
-    """Rank within a query, best first; of equal scores the later window ranks higher."""
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), F.desc("start"))
-    return scored.withColumn("rank", F.row_number().over(order))
+def rank_windows(scored: DataFrame, hot: bool = False) -> DataFrame:
+    """Rank within a query, best first; of equal scores the later window ranks higher.
+
+    For `hot` transcripts a query's windows are cut into score ranges, and a range that holds one
+    score only into stretches of lines; each piece is numbered apart.
+    """
+    best_first = [F.desc("score"), F.desc("start")]
+    if not hot:
+        return scored.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(*best_first)).cast("bigint"))
+    cuts = range_cuts(scored, "score")
+    own = {a for a, b in zip(cuts, cuts[1:]) if b == math.nextafter(a, math.inf)}
+    stretch = F.when(F.col("score").isin(*own), F.floor(F.col("start") / BLOCK_LINES)).otherwise(0) if own else F.lit(0)
+    # Higher ranges, and within one score later lines, come first.
+    bucket = -(bucket_of(F.col("score"), cuts).cast("bigint") * F.lit(2**40) + stretch)
+    return number_in_order(scored, ["query_id"], bucket, best_first, "rank").withColumn("rank", F.col("rank") + 1)
 
 
 # --- packing ----------------------------------------------------------------------------------
@@ -150,7 +192,8 @@ def pack_windows(
     n_gold, n_lines, used_words, picks`. Several budgets share one ranking.
     """
     asked = [protocol.SPAN_WORDS] if budgets is None else [budgets] if isinstance(budgets, int) else list(budgets)
-    keys = ["meeting_id", "query_id"]
+    # `part` follows from the query; it only keeps the rows where the join has put them.
+    keys = ["meeting_id", "part", "query_id"]
     item = F.struct("score", "start", "end", "n_words", "label", "text")
     totals = [
         F.count(F.lit(1)).alias("n_windows"),
@@ -207,7 +250,7 @@ def locate(
     """Windows, scores and packing in one go."""
     hot = is_multi_block(utterances, chunk_words or protocol.CHUNK_WORDS, block_lines)
     wins = build_windows(utterances, chunk_words, block_lines, multi=hot)
-    pairs = query_windows(wins, queries, HOT_SALTS if hot else 1)
+    pairs = query_windows(wins, queries, hot, is_crowded(queries))
     return pack_windows(scorer(pairs), budgets, hot)
 
 

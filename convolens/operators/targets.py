@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from convolens import protocol
 from convolens.functions import text as T
 from convolens.functions.rouge import rouge
+from convolens.operators.indexing import number_in_order
 from convolens.operators.prompts import zero_shot_prompts
 from convolens.operators.retrieval import has_gold, overlaps_gold
 from convolens.operators.scoring import guard_prompts
@@ -36,20 +37,6 @@ def gold_windows(windows: DataFrame, queries: DataFrame) -> DataFrame:
     return hits.select("query_id", "query", "reference", "start", "n_words", "text")
 
 
-def _numbered(gold: DataFrame) -> DataFrame:
-    """Add each gold window's place among its query's, counted per 4096 lines and shifted."""
-    part = gold.withColumn("__c", F.floor(F.col("start") / CHUNK_LINES))
-    ahead = W.partitionBy("query_id").orderBy("__c").rowsBetween(W.unboundedPreceding, -1)
-    before = (
-        part.groupBy("query_id", "__c")
-        .agg(F.count(F.lit(1)).alias("m"))
-        .select("query_id", "__c", F.coalesce(F.sum("m").over(ahead), F.lit(0)).alias("__before"))
-    )
-    within = F.row_number().over(W.partitionBy("query_id", "__c").orderBy("start")) - 1
-    numbered = part.withColumn("__in", within).join(before, ["query_id", "__c"])
-    return numbered.withColumn("place", F.col("__before") + F.col("__in")).drop("__c", "__in", "__before")
-
-
 def span_sources(gold: DataFrame, budget: int = protocol.SPAN_WORDS) -> DataFrame:
     """Gold windows of a query joined in order and cut to the budget.
 
@@ -108,7 +95,8 @@ def coarse_examples(gold: DataFrame, stemmed: bool = True) -> DataFrame:
         .withColumn("response", F.array_join(F.transform("ss", lambda x: x["s"]), " "))
     )
     several = gold.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_gold")).where(F.col("n_gold") > 1)
-    hit = aligned.join(_numbered(gold), ["query_id", "start"]).join(several, "query_id")
+    numbered = number_in_order(gold, ["query_id"], F.floor(F.col("start") / CHUNK_LINES), [F.col("start")], "place")
+    hit = aligned.join(numbered, ["query_id", "start"]).join(several, "query_id")
     return hit.select(
         F.concat(F.col("query_id"), F.lit("_w"), F.col("place").cast("string")).alias("query_id"),
         T.summary_prompt(F.col("query"), F.col("text")).alias("prompt"),

@@ -94,7 +94,7 @@ def locator_pairs(spark, sf):
 def window_ranking(spark, sf):
     utts, queries = _chat(spark, sf)
     scored = retrieval.lexical_scorer(retrieval.query_windows(build_windows(utts, CHUNK), queries))
-    return retrieval.rank_windows(scored).select("query_id", "start", "score", F.col("rank").cast("bigint").alias("rank"))
+    return retrieval.rank_windows(scored).select("query_id", "start", "score", "rank")
 
 
 _PACKED_TEXT = "string_agg(text, chr(10) ORDER BY s)"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 # Tables whose rows are long texts.
-TEXT_TABLES = ("documents", "conversations", "pages")
+TEXT_TABLES = ("documents", "pages")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
