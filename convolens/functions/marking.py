@@ -38,7 +38,7 @@ def winner(verdict: Column, swap: Column, strict: bool = False) -> Column:
 def json_block(text: Column) -> Column:
     """From the first brace to the last, when that is a JSON object; else NULL."""
     block = F.nullif(F.regexp_extract(F.coalesce(text, F.lit("")), r"(?s)\{.*\}", 0), F.lit(""))
-    return F.when(F.is_variant_null(F.try_parse_json(block)).isNotNull(), block)
+    return F.when(F.try_parse_json(block).isNotNull(), block)
 
 
 def marking(text: Column) -> Column:
