@@ -180,6 +180,30 @@ def cache_entries(payloads: DataFrame, mode: str, budget: int, thinking: str = "
     )
 
 
+MESSAGE = (
+    "struct<model: string, content: array<struct<type: string, text: string>>, stop_reason: string, "
+    "usage: struct<input_tokens: bigint, output_tokens: bigint>>"
+)
+
+
+def message_entries(payloads: DataFrame, mode: str, budget: int, thinking: str = "off") -> DataFrame:
+    """Messages payloads (`query_id, body`) in cache form; only text blocks are part of the answer."""
+    p = payloads.withColumn("__b", F.from_json("body", MESSAGE))
+    texts = F.transform(F.filter("__b.content", lambda c: c["type"] == "text"), lambda c: c["text"])
+    return p.select(
+        "query_id",
+        F.array_join(texts, "").alias("prediction"),
+        F.col("__b.usage.input_tokens").alias("prompt_tokens"),
+        F.col("__b.usage.output_tokens").alias("completion_tokens"),
+        F.lit(None).cast("bigint").alias("reasoning_tokens"),
+        F.col("__b.stop_reason").alias("finish_reason"),
+        F.col("__b.model").alias("model_snapshot"),
+        F.lit(budget).alias("prompt_word_budget"),
+        F.lit(thinking).alias("thinking"),
+        F.lit(mode).alias("mode"),
+    )
+
+
 BATCH_LINE = (
     f"struct<custom_id: string, response: struct<status_code: int, body: {COMPLETION}>, error: string>"
 )

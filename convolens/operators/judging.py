@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from convolens import protocol
 from convolens.functions.marking import parse_verdict, winner
 from convolens.operators import prompts
-from convolens.operators.costs import vendor_of
+from convolens.operators.costs import judge_tag, vendor_of
 from convolens.operators.indexing import with_row_index
 from convolens.operators.resampling import seeded_sample
 
@@ -47,6 +47,24 @@ def judge_requests(sample: DataFrame, queries: DataFrame, a: DataFrame, b: DataF
     return rows.select("query_id", "swap", cache_key(F.col("query_id"), F.col("swap")).alias("cache_key"), prompt.alias("prompt"))
 
 
+def panel_runs(spark: SparkSession, contestants: Sequence[str], judges: Sequence[str], modes: Sequence[str]) -> DataFrame:
+    """Every combination of mode, contestant and judge, in the order runs are declared."""
+    rows = [(m, c, j) for m in modes for c in contestants for j in judges]
+    cols = "mode string, contestant string, judge_model string, run_order int"
+    runs = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], cols)
+    return runs.withColumn("run", judge_tag(F.col("contestant"), F.col("judge_model"), F.col("mode")))
+
+
+def panel_requests(runs: DataFrame, requests: DataFrame) -> DataFrame:
+    """The requests of every run; `requests` holds `contestant, mode` beside the prompts.
+
+    The table of runs is a handful of names.
+    """
+    return requests.join(F.broadcast(runs), ["contestant", "mode"]).withColumn(
+        "cache_key", F.concat_ws("/", "run", "cache_key")
+    )
+
+
 def cache_key(query_id: Column, swap: Column) -> Column:
     return F.concat(query_id, F.lit("-"), F.when(swap, "ba").otherwise("ab"))
 

@@ -6,12 +6,12 @@ from pyspark.sql import functions as F
 
 from convolens import protocol
 from convolens.functions import rouge as R
+from convolens.operators import alignment, attribution, costs, facts, judging, prompts, resampling, retrieval, targets
 from convolens.operators.indexing import with_row_index
-from convolens.operators import alignment, attribution, costs, facts, judging, retrieval, targets
 from convolens.operators.windows import build_windows
 from convolens.plans import oracle as O
 from convolens.plans import views as V
-from convolens.plans.catalogue import register
+from convolens.plans.catalogue import ORACLES, register
 from convolens.plans.register_retrieval import _CHAT_PACK, _GOT, CHUNK, SPAN, _located
 from convolens.plans.register_scoring import LAST, overlap_ctes, r6
 
@@ -644,3 +644,134 @@ def recipe_mismatches(spark, sf):
 def rebuilt_prompts(spark, sf):
     examples = targets.fusion_examples(targets.span_sources(_gold(spark, sf), SPAN))
     return targets.rebuilt_prompts(examples, retrieval.packed_prompts(_located(spark, sf)))
+
+
+# --- prompts of the fact judge, stored rescoring, modes -----------------------------------------
+
+
+@register(
+    "fact_prompts",
+    O.with_ctes(
+        O.CHAT_QUERIES,
+        LAST,
+        f"""f AS (SELECT query_id, query, reference, prediction, {O.sentences('reference')} AS ss FROM preds WHERE system = 'a'),
+        n AS (SELECT *, array_to_string(list_transform(ss, lambda s, i: i || '. ' || s), chr(10)) AS numbered FROM f)""",
+        select="""SELECT query_id, md5('Query: ' || query || chr(10) || chr(10) || 'Reference facts:' || chr(10) || numbered
+            || chr(10) || chr(10) || 'Summary:' || chr(10) || prediction) AS mark_body,
+          md5('Query: ' || query || chr(10) || chr(10) || 'Reference answer:' || chr(10) || reference) AS extract_body FROM n""",
+    ),
+)
+def fact_prompts(spark, sf):
+    q = V.chat_queries(spark, sf)
+    marks = facts.marking_requests(q, V.fact_lists(spark, sf), V.predictions(spark, sf, "a"))
+    extracts = facts.extraction_requests(q).withColumnRenamed("prompt", "extract")
+    # Only the part behind the fixed instructions is compared.
+    body = lambda c: F.md5(F.regexp_extract(c, r"(?s)\]\}\n\n(Query: .*)\z", 1))
+    return marks.join(extracts, "query_id").select(
+        "query_id", body("prompt").alias("mark_body"), body("extract").alias("extract_body")
+    )
+
+
+@register(
+    "rescored_facts",
+    O.with_ctes(
+        O.CHAT_QUERIES,
+        LAST,
+        MARKS,
+        select="""SELECT system, CAST(count_if(parsed) AS BIGINT) AS n, 0.5 AS old_fact_f1, round(avg(f), 6) AS new_fact_f1,
+          round(2 * avg(precision) * avg(recall) / (avg(precision) + avg(recall)), 6) AS f1_of_means,
+          CAST(count_if(f = 0) AS BIGINT) AS zero_queries FROM scored GROUP BY 1""".replace("0.5 AS", "CAST(0.5 AS DOUBLE) AS"),
+    ),
+)
+def rescored_facts(spark, sf):
+    items = _fact_items(spark, sf)
+    stored = items.select("system").distinct().withColumn("fact_f1", F.lit(0.5))
+    out = facts.rescored_facts(items, stored, ["system"])
+    return out.select("system", "n", "old_fact_f1", *r6("new_fact_f1", "f1_of_means"), "zero_queries")
+
+
+@register(
+    "compare_modes",
+    O.with_ctes(
+        O.CHAT_QUERIES,
+        REPLIES,
+        _TALLY,
+        """c AS (SELECT contestant, judge_model, a_wins / n_decided AS p FROM tally WHERE (contestant LIKE 'gpt%') <> (judge_model LIKE 'gpt%')),
+        g AS (SELECT contestant, count_if(winner = 'a') / count(*) AS p FROM won
+              WHERE (contestant LIKE 'gpt%') <> (judge_model LIKE 'gpt%') AND turn = 0 GROUP BY 1)""",
+        select="""SELECT contestant, c.judge_model AS clean_judge, round(c.p, 6) AS ours_win_rate_preference,
+          round(g.p, 6) AS ours_win_rate_grounded, round(g.p - c.p, 6) AS grounding_lift FROM c JOIN g USING (contestant)""",
+    ),
+)
+def compare_modes(spark, sf):
+    items = _items(spark, sf)
+    summary = lambda rows: judging.panel_summary(_vendor_risk(judging.judge_tally(rows)), V.CONTESTANTS)
+    # The replies to opening turns play the grounded mode.
+    opening = F.split("query_id", "_")[1].isin("g0", "s0")
+    out = judging.compare_modes(summary(items), summary(items.where(opening)))
+    return out.select("contestant", "clean_judge", *r6("ours_win_rate_preference", "ours_win_rate_grounded", "grounding_lift"))
+
+
+@register(
+    "reproduction_check",
+    O.with_ctes(
+        O.CHAT_QUERIES,
+        LAST,
+        overlap_ctes(1),
+        select="""SELECT CAST(50.0 AS DOUBLE) AS author_rouge1, round(avg(f) * 100, 6) AS our_rouge1, round(avg(f) * 100 - 50, 6) AS delta,
+          abs(avg(f) * 100 - 50) <= 3.0 AS passed FROM sc WHERE system = 'b'""",
+    ),
+)
+def reproduction_check(spark, sf):
+    out = alignment.reproduction_check(V.scored_pairs(spark, sf, "b").select("prediction", "reference"), 50.0, stemmed=False)
+    return out.select("author_rouge1", *r6("our_rouge1", "delta"), "passed")
+
+
+@register(
+    "model_sources",
+    O.with_ctes(
+        O.CHAT_LINES,
+        O.CHAT_QUERIES,
+        "whole AS (SELECT meeting_id, string_agg(line, chr(10) ORDER BY utt_idx) AS t FROM lines GROUP BY 1)",
+        select="SELECT query_id, query, t AS source FROM queries JOIN whole USING (meeting_id)",
+    ),
+)
+def model_sources(spark, sf):
+    return prompts.model_sources(V.chat_utterances(spark, sf), V.chat_queries(spark, sf), "full")
+
+
+def _records_sql() -> str:
+    cols = ("n_shared", "a_mean", "b_mean", "observed_diff", "median_abs_per_query_diff", "ci95_low", "ci95_high", "p_b_better", "crosses_zero")
+    part = lambda unit, name, n: (
+        f"SELECT 'c' AS run_a, 'b' AS run_b, '{unit}' AS resampling_unit, {n} AS n_clusters, {', '.join(cols)} FROM ({ORACLES[name]})"
+    )
+    return (
+        part("query", "paired_bootstrap", "CAST(NULL AS BIGINT)") + " UNION ALL " + part("meeting", "cluster_bootstrap", "n_clusters")
+    )
+
+
+@register("interval_records", _records_sql())
+def interval_records(spark, sf):
+    scores = None
+    for run in ("b", "c"):
+        pairs = V.scored_pairs(spark, sf, run).select("query_id", "prediction", "reference")
+        rows = R.with_rouge(pairs, ["rouge1"], stemmed=False).select(
+            F.lit(run).alias("run_id"), F.lit("rouge1").alias("metric"), F.lit("test").alias("split"), "query_id", F.col("rouge1.f").alias("score")
+        )
+        scores = rows if scores is None else scores.unionByName(rows)
+    todo = [
+        {"a": "c", "b": "b", "metric": "rouge1", "split": "test"},
+        {"a": "c", "b": "b", "metric": "rouge1", "split": "test", "resampling_unit": "meeting"},
+    ]
+    clusters = V.chat_queries(spark, sf).select("query_id", F.col("meeting_id").alias("cluster_id"))
+    out = resampling.interval_records(scores, todo, clusters)
+    return out.select(
+        "run_a",
+        "run_b",
+        "resampling_unit",
+        "n_clusters",
+        "n_shared",
+        *r6("a_mean", "b_mean", "observed_diff", "median_abs_per_query_diff", "ci95_low", "ci95_high"),
+        "p_b_better",
+        "crosses_zero",
+    )

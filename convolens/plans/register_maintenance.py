@@ -10,7 +10,7 @@ from convolens.plans import oracle as O
 from convolens.plans import views as V
 from convolens.plans.catalogue import register
 from convolens.plans.register_scoring import RUNS
-from convolens.sources import writers
+from convolens.sources import readers, writers
 
 _MODEL = "m AS (SELECT DISTINCT event_id, model, CASE WHEN event_id % 3 = 0 THEN 'low' ELSE 'off' END AS thinking, "
 _NAMES = _MODEL + """CASE event_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 40000 ELSE 14000 END AS budget
@@ -288,3 +288,142 @@ def merged_reports(spark, sf):
     new = F.create_map(F.lit("quality"), F.col("quality"))
     rows = V.table(spark, sf, "labels").select("doc_id", writers.merge_reports(old, new).alias("m"))
     return rows.select("doc_id", F.col("m")["quality"].alias("quality"), F.col("m")["toxic"].alias("toxic"))
+
+
+# --- the raw form, built row by row from documents ----------------------------------------------
+
+
+def _raw(spark, sf):
+    parts = F.split("text", "\n")
+    span = F.array(F.array(F.lit("0"), F.lit("1")), F.array(F.lit("3"), F.lit("3")))
+    return V.table(spark, sf, "documents").select(
+        F.concat(F.lit("val_"), F.col("doc_id").cast("string")).alias("meeting_id"),
+        F.lit("val").alias("split"),
+        F.transform(parts, lambda x: F.struct(F.col("source").alias("speaker"), x.alias("content"))).alias("meeting_transcripts"),
+        F.array(F.struct(parts[0].alias("query"), F.element_at(parts, -1).alias("answer"))).alias("general_query_list"),
+        F.transform(
+            F.slice(parts, 1, 3),
+            lambda x: F.struct(x.alias("query"), F.concat(F.lit("re: "), x).alias("answer"), F.when(F.length(x) % 2 == 0, span).alias("relevant_text_span")),
+        ).alias("specific_query_list"),
+    )
+
+
+@register(
+    "normalize_utterances",
+    O.with_ctes(
+        O.DOC_LINES, select="SELECT 'val_' || meeting_id AS meeting_id, utt_idx, line FROM lines"
+    ),
+)
+def normalize_utterances(spark, sf):
+    rows = readers.normalize_utterances(_raw(spark, sf))
+    return rows.select("meeting_id", "utt_idx", T.speaker_line(F.col("speaker"), F.col("text")).alias("line"))
+
+
+@register(
+    "normalize_queries",
+    O.with_ctes(
+        O.DOC_LINES,
+        """k AS (SELECT doc_id, text, utt_idx FROM doc_parts WHERE utt_idx < 3)""",
+        select="""SELECT 'val_' || doc_id || '_g0' AS query_id, 'general' AS query_type, parts[1] AS query, parts[-1] AS reference,
+            '' AS spans FROM split_docs
+          UNION ALL SELECT 'val_' || doc_id || '_s' || utt_idx, 'specific', text, 're: ' || text,
+            CASE WHEN length(text) % 2 = 0 THEN '0-1,3-3' ELSE '' END FROM k""",
+    ),
+)
+def normalize_queries(spark, sf):
+    shown = F.array_join(F.transform("gold_spans", lambda g: F.concat_ws("-", g["s"].cast("string"), g["e"].cast("string"))), ",")
+    return readers.normalize_queries(_raw(spark, sf)).select("query_id", "query_type", "query", "reference", shown.alias("spans"))
+
+
+@register(
+    "transcript_render",
+    O.with_ctes(
+        O.DOC_LINES,
+        select="SELECT meeting_id, md5(string_agg(line, chr(10) ORDER BY utt_idx)) AS rendered FROM lines GROUP BY 1",
+    ),
+)
+def transcript_render(spark, sf):
+    rows = _raw(spark, sf).select(
+        F.substring("meeting_id", 5, 100).alias("meeting_id"),
+        F.transform("meeting_transcripts", lambda u: F.struct(u["speaker"].alias("speaker"), u["content"].alias("text"))).alias("u"),
+    )
+    return rows.select("meeting_id", F.md5(T.format_transcript(F.col("u"))).alias("rendered"))
+
+
+_PAYLOAD = """
+p AS (SELECT event_id, event_type, event_id % 4 AS r, CAST(props->>'k' AS BIGINT) AS k FROM events)
+"""
+
+
+@register(
+    "batch_results",
+    O.with_ctes(
+        _PAYLOAD,
+        select="""SELECT CAST(event_id AS VARCHAR) AS query_id, CASE WHEN r < 2 THEN 'ok' WHEN r = 2 THEN '429' ELSE 'expired' END AS outcome,
+          CASE WHEN r < 2 THEN 'answer ' || event_type END AS prediction, CASE WHEN r < 2 THEN k END AS prompt_tokens,
+          CASE WHEN r < 2 THEN k * 2 END AS completion_tokens, CASE WHEN r = 0 THEN k END AS reasoning_tokens FROM p""",
+    ),
+)
+def batch_results(spark, sf):
+    e = V.table(spark, sf, "events").select(
+        F.col("event_id").cast("string").alias("id"),
+        (F.col("event_id") % 4).alias("r"),
+        "event_type",
+        F.get_json_object("props", "$.k").cast("bigint").alias("k"),
+    )
+    body = F.struct(
+        F.lit("m").alias("model"),
+        F.array(
+            F.struct(
+                F.struct(F.concat(F.lit("answer "), "event_type").alias("content")).alias("message"),
+                F.lit("stop").alias("finish_reason"),
+            )
+        ).alias("choices"),
+        F.struct(
+            F.col("k").alias("prompt_tokens"),
+            (F.col("k") * 2).alias("completion_tokens"),
+            F.when(F.col("r") == 0, F.struct(F.col("k").alias("reasoning_tokens"))).alias("completion_tokens_details"),
+        ).alias("usage"),
+    )
+    lines = e.select(
+        F.to_json(
+            F.struct(
+                F.col("id").alias("custom_id"),
+                F.struct(F.when(F.col("r") == 2, 429).otherwise(200).alias("status_code"), body.alias("body")).alias("response"),
+                F.when(F.col("r") == 3, "expired").alias("error"),
+            )
+        ).alias("value")
+    )
+    good, bad = costs.batch_results(lines)
+    kept = costs.cache_entries(good, "batch", 40000).select(
+        "query_id", F.lit("ok").alias("outcome"), "prediction", "prompt_tokens", "completion_tokens", "reasoning_tokens"
+    )
+    lost = bad.select("query_id", F.col("error").alias("outcome"))
+    return kept.unionByName(lost, allowMissingColumns=True)
+
+
+@register(
+    "message_entries",
+    O.with_ctes(
+        _PAYLOAD,
+        select="""SELECT CAST(event_id AS VARCHAR) AS query_id, event_type || '!' AS prediction, k AS prompt_tokens, k * 2 AS completion_tokens FROM p""",
+    ),
+)
+def message_entries(spark, sf):
+    k = F.get_json_object("props", "$.k").cast("bigint")
+    block = lambda kind, text: F.struct(F.lit(kind).alias("type"), text.alias("text"))
+    body = F.struct(
+        F.lit("m").alias("model"),
+        F.array(block("thinking", F.lit("hm")), block("text", F.col("event_type")), block("text", F.lit("!"))).alias("content"),
+        F.struct(k.alias("input_tokens"), (k * 2).alias("output_tokens")).alias("usage"),
+    )
+    rows = V.table(spark, sf, "events").select(F.col("event_id").cast("string").alias("query_id"), F.to_json(body).alias("body"))
+    return costs.message_entries(rows, "sync", 40000).select("query_id", "prediction", "prompt_tokens", "completion_tokens")
+
+
+@register(
+    "content_hashes",
+    "SELECT page_id, sha256(replace(html, chr(13) || chr(10), chr(10))) AS sha256 FROM pages",
+)
+def content_hashes(spark, sf):
+    return V.table(spark, sf, "pages").select("page_id", readers.text_hash(F.col("html")).alias("sha256"))

@@ -104,6 +104,11 @@ def existing_runs(wanted: DataFrame, present: DataFrame, key: str = "file_name")
     return wanted.join(present.select(key).distinct(), key, "left_semi")
 
 
+def text_hash(text: Column) -> Column:
+    """SHA-256 of a text whose Windows line ends count as plain ones."""
+    return F.sha2(F.replace(text, F.lit("\r\n"), F.lit("\n")), 256)
+
+
 def content_hash(spark: SparkSession, path: str) -> DataFrame:
     """`path, sha256` of files, with Windows line ends read as plain ones."""
     as_text = F.decode("content", "ISO-8859-1")
