@@ -13,6 +13,7 @@ from convolens.operators import prompts
 from convolens.operators.costs import judge_tag, vendor_of
 from convolens.operators.indexing import with_row_index
 from convolens.operators.resampling import seeded_sample
+from convolens.session import keep
 
 # Judge model per provider.
 DEFAULT_JUDGES = {"gpt": "gpt-5.6-sol", "claude": "claude-opus-5", "gemini": "gemini-3.6-flash"}
@@ -24,7 +25,7 @@ def judge_sample(a: DataFrame, b: DataFrame, n: int | None = protocol.JUDGE_SAMP
 
     With n the protocol's seeded sample; without it every shared query.
     """
-    shared = a.select("query_id").join(b.select("query_id"), "query_id")
+    shared = keep(a.select("query_id").join(b.select("query_id"), "query_id"))
     if n is None:
         placed = with_row_index(shared, "query_id", "place")
     else:

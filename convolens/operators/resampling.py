@@ -18,8 +18,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from convolens import protocol
+from convolens.operators.indexing import (
+    averaged_median,
+    lower_median_rank,
+    order_statistics,
+    upper_median_rank,
+    with_row_index,
+)
 from convolens.session import keep
-from convolens.operators.indexing import averaged_median, lower_median_rank, order_statistics, upper_median_rank, with_row_index
 
 # A numbered score row is under 64 bytes, so this many are broadcast without doubt.
 BROADCAST_ROWS = 500_000
@@ -271,6 +277,7 @@ def seeded_sample(ids: DataFrame, n: int, seed: int = protocol.SEED, key: str =
     Which positions are taken depends on the counts alone, so only n numbers are drawn on the
     driver; the ids stay where they are.
     """
+    ids = keep(ids)
     total = ids.count()
     if clip:
         n = min(n, total)

@@ -34,8 +34,15 @@ def _block_size(budget: int, block_lines: int) -> int:
     return max(block_lines, budget)
 
 
+def in_rows(transcripts: DataFrame) -> bool:
+    """Whether transcripts come as one array per row instead of one row per utterance."""
+    return "utterances" in transcripts.columns
+
+
 def is_multi_block(utterances: DataFrame, budget: int, block_lines: int = BLOCK_LINES) -> bool:
-    """Whether any transcript is longer than one block."""
+    """Whether any transcript is longer than one block. One that fits a row needs no blocks."""
+    if in_rows(utterances):
+        return False
     top = utterances.agg(F.max("utt_idx")).first()[0]
     return top is not None and top >= _block_size(budget, block_lines)
 
@@ -83,14 +90,24 @@ def _windows_of(lines: Column, budget: int) -> Column:
     return let(lines, lambda ls: let(_greedy_starts(ls, budget), lambda st: _cut(ls, st)))
 
 
+def _opened(whole: DataFrame, budget: int) -> DataFrame:
+    cut = whole.select("meeting_id", F.posexplode(_windows_of(F.col("ls"), budget)).alias("win_idx", "w"))
+    return cut.select("meeting_id", "win_idx", "w.start", "w.end", "w.n_words", "w.text")
+
+
 def build_windows(
     utterances: DataFrame, budget: int | None = None, block_lines: int = BLOCK_LINES, multi: bool | None = None
 ) -> DataFrame:
     """`meeting_id, win_idx, start, end, n_words, text`; no budget means the protocol's.
 
-    `utt_idx` must count 0..n-1 within a transcript.
+    Long form is one row per utterance, with `utt_idx` counting 0..n-1 within a transcript. Array
+    form is cut row by row, without any shuffle.
     """
     budget = budget or protocol.CHUNK_WORDS
+    if in_rows(utterances):
+        line = lambda u, i: F.struct(i.alias("utt_idx"), speaker_line(u["speaker"], u["text"]).alias("line"))
+        counted = lambda x: F.struct(x["utt_idx"], word_count(x["line"]).alias("n"), x["line"])
+        return _opened(utterances.select("meeting_id", F.transform(F.transform("utterances", line), counted).alias("ls")), budget)
     if multi is None:
         multi = is_multi_block(utterances, budget, block_lines)
     lines = _lines(utterances)
@@ -98,8 +115,7 @@ def build_windows(
         whole = lines.groupBy("meeting_id").agg(
             F.sort_array(F.collect_list(F.struct("utt_idx", "n", "line"))).alias("ls")
         )
-        cut = whole.select("meeting_id", F.posexplode(_windows_of(F.col("ls"), budget)).alias("win_idx", "w"))
-        return cut.select("meeting_id", "win_idx", "w.start", "w.end", "w.n_words", "w.text")
+        return _opened(whole, budget)
 
     size = _block_size(budget, block_lines)
     blk = F.floor(F.col("utt_idx") / size).cast("int")

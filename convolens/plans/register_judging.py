@@ -80,7 +80,7 @@ def _vendor_risk(tally):
           c.a_wins AS ours_wins, c.b_wins AS theirs_wins, c.ties, c.n_decided,
           round(c.a_wins / c.n_decided, 6) AS ours_win_rate,
           round((c.a_wins + c.ties) / c.n_decided, 6) AS ours_wins_or_ties,
-          round(d.b_wins / d.n_decided - c.b_wins / c.n_decided, 6) AS self_preference_delta
+          round(d.b_wins / d.n_decided - c.b_wins / c.n_decided, 6) + 0.0 AS self_preference_delta
           FROM c JOIN d USING (contestant)""",
     ),
 )
@@ -106,7 +106,7 @@ def _kappa_sql(source: str, x: str, y: str, cats: list[str], by: str = "") -> st
     observed = f"count_if({x} = {y}) / count(*)"
     tail = f"GROUP BY {by}" if by else ""
     return f"""SELECT {group}count(*) AS n_comparable, round({observed}, 6) AS raw,
-      round(({observed} - ({expected})) / (1 - ({expected})), 6) AS kappa FROM {source} {tail}"""
+      round(({observed} - ({expected})) / (1 - ({expected})), 6) + 0.0 AS kappa FROM {source} {tail}"""
 
 
 @register(
@@ -399,7 +399,7 @@ def _attribution_sql() -> str:
         parts.append(
             f"""SELECT '{metric}' AS metric, count(*) AS n_shared, CAST(count_if(r.recall = 1) AS BIGINT) AS n_perfect_retrieval,
             avg({o}) AS oa, avg({b}) AS ba, avg({o}) FILTER (r.recall = 1) AS op, avg({b}) FILTER (r.recall = 1) AS bp,
-            (SELECT CASE WHEN count(*) > 1 THEN round(max(m) - min(m), 4) END FROM
+            (SELECT CASE WHEN count(*) > 1 THEN round(max(m) - min(m), 4) + 0.0 END FROM
               (SELECT round(avg(s.{col}), 4) AS m FROM scored s JOIN recalls q USING (query_id)
                WHERE system = 'a' AND s.{col} IS NOT NULL AND s.parsed GROUP BY {_BUCKET.replace('recall', 'q.recall')})) AS spread
             FROM scored o JOIN scored b ON b.query_id = o.query_id AND o.system = 'c' AND b.system = 'a' AND o.parsed AND b.parsed
@@ -417,9 +417,9 @@ def _attribution_sql() -> str:
         MARKS,
         f"g AS ({body})",
         select=f"""SELECT metric, n_shared, n_perfect_retrieval, round(oa, 6) AS ours_all, round(ba, 6) AS baseline_all,
-          round(ba - oa, 6) AS gap_all, round(bp - op, 6) AS gap_perfect, spread,
+          round(ba - oa, 6) + 0.0 AS gap_all, round(bp - op, 6) + 0.0 AS gap_perfect, spread,
           {reasons} AS uninterpretable_because,
-          CASE WHEN {reasons} = '' THEN round((bp - op) / (ba - oa), 6) END AS survival FROM g""",
+          CASE WHEN {reasons} = '' THEN round((bp - op) / (ba - oa), 6) + 0.0 END AS survival FROM g""",
     )
 
 
@@ -700,7 +700,7 @@ def rescored_facts(spark, sf):
         g AS (SELECT contestant, count_if(winner = 'a') / count(*) AS p FROM won
               WHERE (contestant LIKE 'gpt%') <> (judge_model LIKE 'gpt%') AND turn = 0 GROUP BY 1)""",
         select="""SELECT contestant, c.judge_model AS clean_judge, round(c.p, 6) AS ours_win_rate_preference,
-          round(g.p, 6) AS ours_win_rate_grounded, round(g.p - c.p, 6) AS grounding_lift FROM c JOIN g USING (contestant)""",
+          round(g.p, 6) AS ours_win_rate_grounded, round(g.p - c.p, 6) + 0.0 AS grounding_lift FROM c JOIN g USING (contestant)""",
     ),
 )
 def compare_modes(spark, sf):
@@ -718,7 +718,7 @@ def compare_modes(spark, sf):
         O.CHAT_QUERIES,
         LAST,
         overlap_ctes(1),
-        select="""SELECT CAST(50.0 AS DOUBLE) AS author_rouge1, round(avg(f) * 100, 6) AS our_rouge1, round(avg(f) * 100 - 50, 6) AS delta,
+        select="""SELECT CAST(50.0 AS DOUBLE) AS author_rouge1, round(avg(f) * 100, 6) AS our_rouge1, round(avg(f) * 100 - 50, 6) + 0.0 AS delta,
           abs(avg(f) * 100 - 50) <= 3.0 AS passed FROM sc WHERE system = 'b'""",
     ),
 )

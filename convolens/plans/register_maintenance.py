@@ -169,7 +169,7 @@ def _moved(rows):
     O.with_ctes(
         _ROWS,
         select="""SELECT run_id, CASE WHEN user_id % 5 = 0 THEN 'no predictions' WHEN user_id % 7 = 0 THEN 'drifted' ELSE 'ok' END AS status,
-          CASE WHEN user_id % 5 <> 0 THEN round(rougeLsum + 0.125 - rougeLsum, 6) END AS delta FROM per""",
+          CASE WHEN user_id % 5 <> 0 THEN round(rougeLsum + 0.125 - rougeLsum, 6) + 0.0 END AS delta FROM per""",
     ),
 )
 def rescored_rows(spark, sf):

@@ -51,7 +51,7 @@ def windows(spark, sf):
 
 @register("document_windows", O.with_ctes(O.DOC_LINES, O.windows(protocol.CHUNK_WORDS), select=WINDOW_COLUMNS))
 def document_windows(spark, sf):
-    return build_windows(V.document_utterances(spark, sf))
+    return build_windows(V.document_meetings(spark, sf))
 
 
 _CHAT_PACK = [O.CHAT_LINES, O.CHAT_QUERIES, O.windows(CHUNK), O.packed(SPAN, O.CHAT_LABEL.replace("turn", "queries.turn"))]
@@ -70,7 +70,7 @@ def pack(spark, sf):
 )
 def document_pack(spark, sf):
     return _pack_columns(
-        retrieval.locate(V.document_utterances(spark, sf), V.document_queries(spark, sf))
+        retrieval.locate(V.document_meetings(spark, sf), V.document_queries(spark, sf))
     )
 
 
@@ -139,7 +139,7 @@ def zero_shot_prompt(spark, sf):
     ),
 )
 def hosted_prompt(spark, sf):
-    return prompts.hosted_prompts(V.document_utterances(spark, sf), V.document_queries(spark, sf))
+    return prompts.hosted_prompts(V.document_meetings(spark, sf), V.document_queries(spark, sf))
 
 
 @register(
@@ -228,7 +228,7 @@ def _sweep_sql() -> str:
     rows = " UNION ALL ".join(parts)
     return f"""WITH s AS ({rows}) SELECT s.variant, s.chunk_words, s.budget,
       round(s.window_recall, 6) AS window_recall, round(s.utterance_recall, 6) AS utterance_recall,
-      round(s.utterance_recall - b.utterance_recall, 6) AS gain
+      round(s.utterance_recall - b.utterance_recall, 6) + 0.0 AS gain
       FROM s JOIN s b ON b.variant = 'base' AND b.budget = s.budget"""
 
 

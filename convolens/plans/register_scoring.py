@@ -279,7 +279,7 @@ def latency_probe(spark, sf):
         """seeds AS (SELECT system, user_id AS seed, avg(generate_s) AS score FROM runs GROUP BY ALL),
         known AS (SELECT * FROM seeds WHERE score IS NOT NULL)""",
         select="""SELECT system, count(*) AS n, round(min(score), 6) AS "min", round(max(score), 6) AS "max",
-          arg_min(seed, score) AS min_seed, arg_max(seed, score) AS max_seed, round(max(score) - min(score), 6) AS "range",
+          arg_min(seed, score) AS min_seed, arg_max(seed, score) AS max_seed, round(max(score) - min(score), 6) + 0.0 AS "range",
           round(avg(score), 6) AS mean, round(stddev_samp(score), 6) AS stdev,
           CASE WHEN max(score) - min(score) >= 1.7 THEN 'BRANCH A' WHEN max(score) - min(score) >= 0.9
                THEN 'BRANCH A (weaker form)' ELSE 'BRANCH B' END AS verdict FROM known GROUP BY 1""",
@@ -427,9 +427,9 @@ obs AS (SELECT count(*) AS n_shared, avg(a) AS a_mean, avg(b) AS b_mean, avg(b)
    CAST(count_if(d > 0) AS BIGINT) AS per_query_b_wins, CAST(count_if(d < 0) AS BIGINT) AS per_query_a_wins,
    CAST(count_if(d = 0) AS BIGINT) AS per_query_ties, median(abs(d)) AS median_abs_per_query_diff FROM pair)
 """
-_OBS = """n_shared, round(a_mean, 6) AS a_mean, round(b_mean, 6) AS b_mean, round(observed_diff, 6) AS observed_diff,
+_OBS = """n_shared, round(a_mean, 6) AS a_mean, round(b_mean, 6) AS b_mean, round(observed_diff, 6) + 0.0 AS observed_diff,
   per_query_b_wins, per_query_a_wins, per_query_ties, round(median_abs_per_query_diff, 6) AS median_abs_per_query_diff"""
-_CI = f"""round(ds[{LO + 1}], 6) AS ci95_low, round(ds[{HI + 1}], 6) AS ci95_high, p_b_better,
+_CI = f"""round(ds[{LO + 1}], 6) + 0.0 AS ci95_low, round(ds[{HI + 1}], 6) + 0.0 AS ci95_high, p_b_better,
   ds[{LO + 1}] <= 0 AND ds[{HI + 1}] >= 0 AS crosses_zero"""
 ROUNDED = (
     "a_mean", "b_mean", "observed_diff", "median_abs_per_query_diff", "ci95_low", "ci95_high",

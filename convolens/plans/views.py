@@ -77,12 +77,11 @@ def scored_pairs(spark: SparkSession, sf_dir: str, system: str) -> DataFrame:
     return q.join(predictions(spark, sf_dir, system), "query_id")
 
 
-def document_utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as transcripts: a line is an utterance, the source its speaker."""
-    return (
-        table(spark, sf_dir, "documents")
-        .select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("utt_idx", "text"))
-        .select(F.col("doc_id").cast("string").alias("meeting_id"), "utt_idx", F.col("source").alias("speaker"), "text")
+def document_meetings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as transcripts in array form: a line is an utterance, the source its speaker."""
+    line = lambda x: F.struct(F.col("source").alias("speaker"), x.alias("text"))
+    return table(spark, sf_dir, "documents").select(
+        F.col("doc_id").cast("string").alias("meeting_id"), F.transform(F.split("text", "\n"), line).alias("utterances")
     )
 
 

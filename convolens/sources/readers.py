@@ -3,20 +3,38 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from convolens import schemas
 from convolens.functions.text import strip
+from convolens.operators.indexing import number_in_order
+
+
+def _ordered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Non-blank lines with what gives their order: file, where the split starts, place in the split."""
+    return (
+        spark.read.text(path)
+        .select(
+            "value",
+            F.col("_metadata.file_path").alias("file"),
+            F.col("_metadata.file_block_start").alias("at"),
+            F.monotonically_increasing_id().alias("place"),
+        )
+        .where(strip(F.col("value")) != "")
+    )
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """`line_no, value` of the non-blank lines in file order.
+    """`line_no, value` of the non-blank lines in file order, files by name.
 
-    A DataFrame scan orders its splits by size, so the line numbers come from the text input format,
-    which keeps file order; only partition sizes pass through the driver.
+    A scan hands out its splits by size, so lines are numbered split by split and shifted.
     """
-    lines = spark.sparkContext.textFile(path).filter(lambda s: s.strip() != "").zipWithIndex()
-    return lines.map(lambda p: (p[1], p[0])).toDF("line_no bigint, value string")
+    lines = number_in_order(_ordered_lines(spark, path), ["file"], F.col("at"), [F.col("place")], "__n")
+    # One row per file.
+    ahead = W.orderBy("file").rowsBetween(W.unboundedPreceding, -1)
+    shift = lines.groupBy("file").count().select("file", F.coalesce(F.sum("count").over(ahead), F.lit(0)).alias("__shift"))
+    return lines.join(shift, "file").select((F.col("__n") + F.col("__shift")).alias("line_no"), "value")
 
 
 def read_meetings(spark: SparkSession, path: str) -> DataFrame:
@@ -39,8 +57,8 @@ def read_queries(spark: SparkSession, path: str) -> DataFrame:
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     """Prediction rows; of several lines with one id the last stays."""
     fields = F.from_json("value", schemas.PREDICTIONS)
-    rows = numbered_lines(spark, path).select("line_no", fields.alias("p"))
-    return rows.groupBy("p.query_id").agg(F.max_by("p", "line_no").alias("p")).select("p.*")
+    rows = _ordered_lines(spark, path).select(F.struct("file", "at", "place").alias("k"), fields.alias("p"))
+    return rows.groupBy("p.query_id").agg(F.max_by("p", "k").alias("p")).select("p.*")
 
 
 def read_text_predictions(spark: SparkSession, path: str, file_id: str) -> DataFrame:

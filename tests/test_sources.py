@@ -56,6 +56,19 @@ def test_plain_predictions_keep_file_order(spark, tmp_path):
     assert got == ["first", "second"] + [f"line {k}" for k in range(500)]
 
 
+def test_lines_are_numbered_across_splits_and_files(spark, tmp_path):
+    (tmp_path / "b.txt").write_text("".join(f"b{k}\n" for k in range(3000)))
+    (tmp_path / "a.txt").write_text("".join(f"a{k}\n\n" for k in range(5000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        got = [r.value for r in readers.numbered_lines(spark, str(tmp_path)).orderBy("line_no").collect()]
+        nos = [r.line_no for r in readers.numbered_lines(spark, str(tmp_path)).orderBy("line_no").collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == [f"a{k}" for k in range(5000)] + [f"b{k}" for k in range(3000)]
+    assert nos == list(range(8000))
+
+
 ROW = {
     "run_id": "r", "split": "val", "n": 3, "rouge1": 0.21249, "rouge2": 0.1, "rougeLsum": 0.2, "bertscore_f1": None,
     "cost_usd_total": 2.0, "latency_s_mean": None,

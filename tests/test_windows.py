@@ -72,5 +72,13 @@ def test_default_budget_and_array_form(spark):
         [("m", [("A", "x " * 99) for _ in range(30)])],
         "meeting_id string, utterances array<struct<speaker:string,text:string>>",
     )
-    wins = _collect(build_windows(explode_meetings(df)))["m"]
-    assert [(w[1], w[2]) for w in wins] == [(0, 8), (9, 17), (18, 26), (27, 29)]
+    for form in (df, explode_meetings(df)):
+        wins = _collect(build_windows(form))["m"]
+        assert [(w[1], w[2]) for w in wins] == [(0, 8), (9, 17), (18, 26), (27, 29)]
+
+
+def test_array_form_matches_model(spark):
+    meetings = _meetings(5, [1, 30, 77])
+    rows = [(m, us) for m, us in meetings.items()]
+    df = spark.createDataFrame(rows, "meeting_id string, utterances array<struct<speaker:string,text:string>>")
+    assert _collect(build_windows(df, 25)) == _expected(meetings, 25)
