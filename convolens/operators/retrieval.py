@@ -239,6 +239,15 @@ def pack_windows(
     )
 
 
+def transcript_pairs(
+    utterances: DataFrame, queries: DataFrame, chunk_words: int | None = None, block_lines: int = BLOCK_LINES
+) -> tuple[DataFrame, bool]:
+    """Labelled (query, window) pairs, spread as the transcripts need it, and whether any is hot."""
+    hot = is_multi_block(utterances, chunk_words or protocol.CHUNK_WORDS, block_lines)
+    wins = build_windows(utterances, chunk_words, block_lines, multi=hot)
+    return query_windows(wins, queries, hot, is_crowded(queries)), hot
+
+
 def locate(
     utterances: DataFrame,
     queries: DataFrame,
@@ -248,9 +257,7 @@ def locate(
     block_lines: int = BLOCK_LINES,
 ) -> DataFrame:
     """Windows, scores and packing in one go."""
-    hot = is_multi_block(utterances, chunk_words or protocol.CHUNK_WORDS, block_lines)
-    wins = build_windows(utterances, chunk_words, block_lines, multi=hot)
-    pairs = query_windows(wins, queries, hot, is_crowded(queries))
+    pairs, hot = transcript_pairs(utterances, queries, chunk_words, block_lines)
     return pack_windows(scorer(pairs), budgets, hot)
 
 

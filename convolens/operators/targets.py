@@ -11,8 +11,9 @@ from convolens.functions import text as T
 from convolens.functions.rouge import rouge
 from convolens.operators.indexing import number_in_order
 from convolens.operators.prompts import zero_shot_prompts
-from convolens.operators.retrieval import has_gold, overlaps_gold
+from convolens.operators.retrieval import has_gold, transcript_pairs
 from convolens.operators.scoring import guard_prompts
+from convolens.operators.windows import BLOCK_LINES
 from convolens.session import keep
 
 TRAINING_SPLITS = ("train", "val")
@@ -30,11 +31,12 @@ def transcript_examples(utterances: DataFrame, queries: DataFrame, budget: int =
     return prompts.join(queries.select("query_id", F.col("reference").alias("response")), "query_id")
 
 
-def gold_windows(windows: DataFrame, queries: DataFrame) -> DataFrame:
-    """Windows that touch a gold span, numbered within their query in transcript order."""
-    q = queries.where(has_gold()).select("query_id", "meeting_id", "query", "reference", "gold_spans")
-    hits = windows.join(q, "meeting_id").where(overlaps_gold(F.col("start"), F.col("end"), F.col("gold_spans")))
-    return hits.select("query_id", "query", "reference", "start", "n_words", "text")
+def gold_windows(
+    utterances: DataFrame, queries: DataFrame, chunk_words: int | None = None, block_lines: int = BLOCK_LINES
+) -> DataFrame:
+    """Windows that touch a gold span of a query, with the query and its reference."""
+    pairs, _ = transcript_pairs(utterances, queries.where(has_gold()), chunk_words, block_lines)
+    return pairs.where(F.col("label") == 1).select("query_id", "query", "reference", "start", "n_words", "text")
 
 
 def span_sources(gold: DataFrame, budget: int = protocol.SPAN_WORDS) -> DataFrame:

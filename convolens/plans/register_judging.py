@@ -8,7 +8,6 @@ from convolens import protocol
 from convolens.functions import rouge as R
 from convolens.operators import alignment, attribution, costs, facts, judging, prompts, resampling, retrieval, targets
 from convolens.operators.indexing import with_row_index
-from convolens.operators.windows import build_windows
 from convolens.plans import oracle as O
 from convolens.plans import views as V
 from convolens.plans.catalogue import ORACLES, register
@@ -542,7 +541,7 @@ def alignment_controls(spark, sf):
 
 
 def _gold(spark, sf):
-    return targets.gold_windows(build_windows(V.chat_utterances(spark, sf), CHUNK), V.chat_queries(spark, sf))
+    return targets.gold_windows(V.chat_utterances(spark, sf), V.chat_queries(spark, sf), CHUNK)
 
 
 _SOURCES = f"""

@@ -83,8 +83,7 @@ def document_pack(spark, sf):
     ),
 )
 def locator_pairs(spark, sf):
-    utts, queries = _chat(spark, sf)
-    return retrieval.locator_pairs(retrieval.query_windows(build_windows(utts, CHUNK), queries))
+    return retrieval.locator_pairs(retrieval.transcript_pairs(*_chat(spark, sf), CHUNK)[0])
 
 
 @register(
@@ -92,9 +91,8 @@ def locator_pairs(spark, sf):
     O.with_ctes(*_CHAT_PACK, select="SELECT query_id, s AS \"start\", CAST(score AS DOUBLE) AS score, r AS rank FROM ranked"),
 )
 def window_ranking(spark, sf):
-    utts, queries = _chat(spark, sf)
-    scored = retrieval.lexical_scorer(retrieval.query_windows(build_windows(utts, CHUNK), queries))
-    return retrieval.rank_windows(scored).select("query_id", "start", "score", "rank")
+    pairs, hot = retrieval.transcript_pairs(*_chat(spark, sf), CHUNK)
+    return retrieval.rank_windows(retrieval.lexical_scorer(pairs), hot).select("query_id", "start", "score", "rank")
 
 
 _PACKED_TEXT = "string_agg(text, chr(10) ORDER BY s)"

@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 
 
 # Tables whose rows are long texts.
-TEXT_TABLES = ("documents", "pages")
+TEXT_TABLES = ("documents", "conversations", "pages")
+
+
+# What was found out about a path: its schema, and whether it has fewer splits than cores.
+_KNOWN: dict[str, tuple] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,11 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
     A table of cluster size has far more splits than cores and is read as it lies.
     """
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    path = f"{sf_dir}/{name}.parquet"
     cores = spark.sparkContext.defaultParallelism
-    if name in TEXT_TABLES and df.rdd.getNumPartitions() < cores:
-        df = df.repartition(cores)
-    return df
+    if path not in _KNOWN:
+        df = spark.read.parquet(path)
+        _KNOWN[path] = (df.schema, name in TEXT_TABLES and df.rdd.getNumPartitions() < cores)
+    schema, few = _KNOWN[path]
+    df = spark.read.schema(schema).parquet(path)
+    return df.repartition(cores) if few else df
 
 
 def chat_utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,21 +67,27 @@ def chat_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def predictions(spark: SparkSession, sf_dir: str, system: str) -> DataFrame:
-    """System `a` repeats the conversation's last assistant turn, `b` puts the query before it,
-    `c` answers with the conversation's first turn."""
+def scored_pairs(spark: SparkSession, sf_dir: str, system: str) -> DataFrame:
+    """`query_id, meeting_id, query, prediction, reference` of one system.
+
+    System `a` repeats the conversation's last assistant turn, `b` puts the query before it, and `c`
+    answers with the conversation's first turn.
+    """
     conv = table(spark, sf_dir, "conversations")
-    last = conv.where(F.col("role") == "assistant").groupBy("conv_id").agg(F.max_by("text", "turn").alias("last"))
     if system == "c":
         last = conv.where(F.col("turn") == 0).select("conv_id", F.col("text").alias("last"))
+    else:
+        last = conv.where(F.col("role") == "assistant").groupBy("conv_id").agg(F.max_by("text", "turn").alias("last"))
     text = F.concat_ws(" ", "query", "last") if system == "b" else F.col("last")
-    return chat_queries(spark, sf_dir).join(last, "conv_id").select("query_id", text.alias("prediction"))
+    return (
+        chat_queries(spark, sf_dir)
+        .join(last, "conv_id")
+        .select("query_id", "meeting_id", "conv_id", "turn", "query", "reference", text.alias("prediction"))
+    )
 
 
-def scored_pairs(spark: SparkSession, sf_dir: str, system: str) -> DataFrame:
-    """`query_id, meeting_id, query, prediction, reference` of one system."""
-    q = chat_queries(spark, sf_dir).select("query_id", "meeting_id", "conv_id", "turn", "query", "reference")
-    return q.join(predictions(spark, sf_dir, system), "query_id")
+def predictions(spark: SparkSession, sf_dir: str, system: str) -> DataFrame:
+    return scored_pairs(spark, sf_dir, system).select("query_id", "prediction")
 
 
 def document_meetings(spark: SparkSession, sf_dir: str) -> DataFrame:

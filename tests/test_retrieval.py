@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from convolens.operators import prompts, retrieval
+from convolens.operators import prompts, retrieval, targets
 from convolens.operators.windows import build_windows
 from tests import models
 
@@ -150,3 +150,25 @@ def test_run_arguments():
     assert ok("a", "b", "embed") and ok(None, None, "embed")
     assert ok("a", None, "none") and ok("a", None, "embed", 4500)
     assert ok("a", None, "none", 4500, chunk_words=3) and ok("a", None, "none", 4500, "ckpt")
+
+
+def test_training_targets_do_not_depend_on_the_spreading(spark, monkeypatch):
+    utts, queries = _data(12, [9, 80, 200], 6)
+    u, q = _frames(spark, utts, queries)
+    q = q.withColumn("reference", F.lit("w1 w2 w3. W4 w5! w6 w7 w8 w9? w10."))
+
+    def examples(block):
+        gold = targets.gold_windows(u, q, 12, block)
+        rows = targets.fusion_examples(targets.span_sources(gold, 40)).unionByName(targets.coarse_examples(gold, stemmed=False))
+        return sorted(map(tuple, rows.select("query_id", "prompt", "response").collect()))
+
+    plain = examples(4096)
+    monkeypatch.setattr(retrieval, "CROWD", 2)
+    monkeypatch.setattr(targets, "CHUNK_LINES", 16)
+    assert examples(16) == plain and any("_w" in r[0] for r in plain)
+    for qid, m, _, kind, _, _, spans in queries:
+        texts = [t for s, e, t in models.windows(utts[m], 12) if any(not (e < a or s > b) for a, b in spans)]
+        if kind == "specific" and texts:
+            words = "\n".join(texts).split()
+            want = "\n".join(texts) if len(words) <= 40 else " ".join(words[:40])
+            assert f"Transcript:\n{want}\n\nSummary:" in dict((r[0], r[1]) for r in plain)[qid]
