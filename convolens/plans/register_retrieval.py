@@ -303,7 +303,7 @@ def word_tokens(spark, sf):
     "repeat_4gram",
     f"""
 WITH w AS (SELECT doc_id, {O.uwords('text')} AS w FROM documents),
-g AS (SELECT doc_id, w, list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) AS g FROM w)
+g AS (SELECT doc_id, w, list_zip(w, w[2:], w[3:], w[4:], true) AS g FROM w)
 SELECT doc_id, CASE WHEN len(w) < 4 THEN 0.0 ELSE (len(g) - len(list_distinct(g))) / len(g) END AS repeat_4gram,
        CASE WHEN len(w) = 0 THEN 0.0 ELSE len(list_distinct(w)) / len(w) END AS type_token_ratio FROM g
 """,

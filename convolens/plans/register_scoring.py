@@ -72,17 +72,18 @@ def rouge2(spark, sf):
     return _metric(spark, sf, "rouge2")
 
 
+# The longest common subsequence is the longest rising run through the matching positions: they are
+# read by reference token, later positions first, and a list keeps the lowest end of every length.
 _LCS = f"""
 toks AS (SELECT system, query_id, {O.tokens('prediction')} AS p, {O.tokens('reference')} AS r FROM preds),
--- A row of the classic table is a list; the running maximum along it is a second fold.
-lcs AS (SELECT system, query_id, len(p) AS np, len(r) AS nr,
-  CASE WHEN len(p) = 0 OR len(r) = 0 THEN 0 ELSE list_last(list_reduce(
-    list_concat([list_resize([0], len(p) + 1, 0)], list_transform(r, lambda t:
-      list_concat([0], list_transform(p, lambda x: CASE WHEN x = t THEN 1 ELSE 0 END)))),
-    lambda prev, m: list_reduce(
-      list_concat([[0]], list_transform(range(2, len(prev) + 1), lambda k:
-        [CASE WHEN m[k] = 1 THEN prev[k - 1] + 1 ELSE prev[k] END])),
-      lambda done, cell: list_append(done, greatest(list_last(done), cell[1]))))) END AS h FROM toks)
+pt AS (SELECT system, query_id, unnest(p) AS t, generate_subscripts(p, 1) AS k FROM toks),
+rt AS (SELECT system, query_id, unnest(r) AS t, generate_subscripts(r, 1) AS k FROM toks),
+met AS (SELECT system, query_id, list(pt.k ORDER BY rt.k, pt.k DESC) AS ks FROM pt JOIN rt USING (system, query_id, t) GROUP BY ALL),
+runs AS (SELECT system, query_id, len(list_reduce(
+    list_concat([CAST([] AS BIGINT[])], list_transform(ks, lambda k: [k])),
+    lambda ends, x: list_concat(list_append(ends[1:len(list_filter(ends, lambda e: e < x[1]))], x[1]),
+                                ends[len(list_filter(ends, lambda e: e < x[1])) + 2:]))) AS h FROM met),
+lcs AS (SELECT system, query_id, len(p) AS np, len(r) AS nr, coalesce(h, 0) AS h FROM toks LEFT JOIN runs USING (system, query_id))
 """
 
 
@@ -353,7 +354,7 @@ def cache_coverage(spark, sf):
 
 _PROFILE = f"""
 w AS (SELECT source AS system, text, {O.uwords('text')} AS w, len({O.sentences('text', False)}) AS sc FROM documents),
-g AS (SELECT *, list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) AS g FROM w),
+g AS (SELECT *, list_zip(w, w[2:], w[3:], w[4:], true) AS g FROM w),
 s AS (SELECT system, len(w) AS wc, sc,
         CASE WHEN len(w) < 4 THEN 0.0 ELSE (len(g) - len(list_distinct(g))) / len(g) END AS rep,
         CASE WHEN len(w) = 0 THEN 0.0 ELSE len(list_distinct(w)) / len(w) END AS ttr FROM g),
