@@ -9,10 +9,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: Texts are taken through numpy in pieces of about this many symbols.
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,11 +44,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def spread(df: DataFrame, *keys) -> DataFrame:
-    """Dealt out by hash, in as many partitions as the session shuffles into."""
-    return df.repartition(*keys)
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """Every bit of each 64-bit number depends on all of its bits (splitmix64's finalizer)."""
     x = x ^ (x >> np.uint64(30))
@@ -152,24 +146,7 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def unioned(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
-
-
 def positive(name: str, value: int) -> int:
     if value < 1:
         raise ValueError(f"{name} must be at least 1")
     return value
-
-
-def rows_or(df: DataFrame, n: int) -> int:
-    """How many rows there are, counted no further than n."""
-    return df.limit(n).count()
-
-
-def clean_columns(df: DataFrame, *names: str) -> DataFrame:
-    """Only the named columns, so that others cannot clash with those that an operator adds."""
-    return df.select(*[F.col(n) for n in names])

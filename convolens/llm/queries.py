@@ -5,11 +5,12 @@ from __future__ import annotations
 import functools
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from convolens.llm import common as C
-from convolens.llm import seed_extend, suffix_bwt
+from convolens.llm import bpe, html_text, rans, seed_extend, sharding, suffix_bwt
 from convolens.session import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +37,72 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 
+#: The tokenizer of the queries; the operators take any path.
+TOKENIZER = "byte_bpe_50k.json"
+
+
+@register("op1_rans")
+def op1_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = C.new_path(spark, "rans")
+    rans.write(C.documents(spark, sf_dir), path, public_tokenizers.path(TOKENIZER))
+    return rans.read(spark, path).select("doc_id", "start", F.col("n").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
+@register("op2_html_text")
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html_text.main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+SHARDS = 24
+
+
+def _best(n: int) -> str:
+    """The shard, of n, with the largest of 13 hexadecimal digits: the least waiting time at equal weights."""
+    draws = ", ".join(f"substr(md5(k || ':{i}'), 1, 13)" for i in range(n))
+    return f"list_position([{draws}], list_max([{draws}]))::INTEGER - 1"
+
+
+@register(
+    "op3_rendezvous",
+    f"""
+WITH RECURSIVE steps(i, c, k) AS (
+  SELECT range, range::BIGINT, 0 FROM range(256)
+  UNION ALL
+  SELECT i, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, k + 1 FROM steps WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS step FROM steps WHERE k = 8),
+d AS (
+  SELECT doc_id, coalesce(doc_id::VARCHAR, '') AS k, hex(encode(coalesce(text, ''))) AS x FROM documents),
+sums AS (
+  SELECT doc_id, k, length(x) // 2 + 8 AS size,
+    xor(list_reduce(
+      list_prepend(4294967295::BIGINT, list_transform(range(length(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT)),
+      lambda a, b: xor(a // 256, step[xor(a % 256, b) + 1])), 4294967295) AS text_crc32
+  FROM d, crc),
+placed AS (SELECT *, {_best(SHARDS)} AS shard, {_best(SHARDS + 1)} AS grown_shard FROM sums)
+SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'key' AS law, shard::INTEGER AS shard,
+  row_number() OVER (PARTITION BY shard ORDER BY substr(md5(k), 1, 2), k) - 1 AS slot, grown_shard::INTEGER AS grown_shard
+FROM placed
+""",
+)
+def op3_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = C.documents(spark, sf_dir).select(
+        "doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("key").alias("law")
+    )
+    out = sharding.assign(rows, "doc_id", [1.0] * SHARDS, [1.0] * (SHARDS + 1))
+    return out.select("doc_id", "size", "text_crc32", "law", "shard", F.col("slot").cast("long").alias("slot"), "grown_shard")
+
+
+@register("op9_bpe")
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = bpe.encode(C.documents(spark, sf_dir), public_tokenizers.path(TOKENIZER), decoded=True)
+    return out.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 @register(
     "op5_seed_extend",
     f"""
