@@ -33,10 +33,14 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """The table, written to the shared folder and read from there: lost executors cost no step twice."""
+    """The table, written to the shared folder and read from there: lost executors cost no step twice.
+
+    Shuffle files of the steps behind it go when the driver drops their plans, which a collection there hastens.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression="zstd")
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

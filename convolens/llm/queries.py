@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from convolens.llm import common as C
-from convolens.llm import bpe, html_text, rans, seed_extend, sharding, suffix_bwt
+from convolens.llm import bpe, group_join, html_text, rans, seed_extend, sharding, suffix_bwt
 from convolens.session import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -94,6 +94,33 @@ def op3_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", "law", "shard", F.col("slot").cast("long").alias("slot"), "grown_shard")
 
 
+@register(
+    "op6_group_join",
+    """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS words
+  FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(words) >= 5
+      THEN list_distinct(list_transform(range(1, len(words) - 3), lambda i: md5(array_to_string(words[i:i + 4], ' '))))
+      WHEN len(words) > 0 THEN [md5(array_to_string(words, ' '))] ELSE [] END AS shingles
+  FROM w),
+each AS (SELECT doc_id, len(shingles) AS n, unnest(shingles) AS g FROM s),
+links AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM each a JOIN each b ON a.g = b.g AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+reach(doc_id, y) AS (
+  SELECT doc_id, doc_id FROM s
+  UNION
+  SELECT doc_id, links.y FROM reach JOIN links ON reach.y = links.x)
+SELECT doc_id, len(shingles)::BIGINT AS n_shingles, min(y) AS component_id
+FROM s JOIN reach USING (doc_id) GROUP BY doc_id, shingles
+""",
+)
+def op6_group_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_join.link_components(C.documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+
+
 @register("op9_bpe")
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bpe.encode(C.documents(spark, sf_dir), public_tokenizers.path(TOKENIZER), decoded=True)
