@@ -38,7 +38,7 @@ class Kind:
     length: int
     gram: int
     #: Anchors with more contexts than this are resolved window by window.
-    crowd: int = 256
+    crowd: int = 4096
 
     def symbols(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not self.words:
@@ -108,7 +108,8 @@ def occurrences(found: DataFrame, repeated: Column) -> DataFrame:
         .filter(repeated)
         .select("anchor", "first_doc", (F.col("least") == F.col("most")).alias("single"))
     )
-    return found.join(groups, "anchor")
+    # Written first, so that the join deals out both sides anew and a hot anchor's runs can be split.
+    return found.join(C.staged(groups, "anchors"), "anchor")
 
 
 def contexts(occ: DataFrame) -> DataFrame:

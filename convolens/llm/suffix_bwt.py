@@ -1,10 +1,14 @@
 """Suffix-array dedup: a collection's Burrows-Wheeler transform, built column by column, over UTF-8 bytes.
 
-Each round takes one more byte of every string, from the right: it fills the strings' open places in the
+Each round takes one more symbol of every string, from the right: it fills the strings' open places in the
 transform, and its rank there is where the longer suffix goes in. Common prefixes are kept alongside: a suffix
-that goes in shares one byte more with its neighbour than the least common prefix between the rows they come
+that goes in shares one symbol more with its neighbour than the least common prefix between the rows they come
 from. Transform and common prefixes lie in two files that each round reads from front to back and writes anew.
-When all bytes are in, two neighbours with a common prefix of `length` are one repeated string.
+When all symbols are in, two neighbours with a common prefix of `length` bytes are one repeated string.
+
+A symbol is `wide` bytes, and there is a collection for each distance to the anchor modulo `wide`: equal strings
+of `length` bytes have their anchor at the same distance, so they begin in the same collection. Rounds and rows
+get fewer by that factor each.
 
 The collection is what `repeats.py` leaves over: bytes around winnowed anchors that stand in more than one
 context. Equal strings of `length` bytes have the same anchor, so collections of whole anchors miss nothing.
@@ -23,19 +27,16 @@ from pyspark.sql import functions as F
 from convolens.llm import common as C
 from convolens.llm import repeats as R
 
-#: The place of a string whose next byte is not known. It sorts behind all bytes of text: UTF-8 has no 0xFF.
-OPEN = 0xFF
-
-
 class Files:
     """Transform and common prefixes on disk, read and written from front to back once per round."""
 
-    def __init__(self):
+    def __init__(self, dtype):
+        self.dtype = dtype
         self.now, self.next = tempfile.TemporaryFile(), tempfile.TemporaryFile()
 
     def read(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         self.now.seek(0)
-        return np.fromfile(self.now, np.uint8, n), np.fromfile(self.now, np.uint8, n)
+        return np.fromfile(self.now, self.dtype, n), np.fromfile(self.now, np.uint8, n)
 
     def write(self, bwt: np.ndarray, lcp: np.ndarray) -> None:
         self.next.seek(0)
@@ -70,14 +71,16 @@ def insert(x: np.ndarray, at: np.ndarray, values: np.ndarray, old: np.ndarray) -
 def collection(symbols: np.ndarray, offsets: np.ndarray, cap: int) -> tuple[np.ndarray, np.ndarray]:
     """Transform and common prefixes (at most `cap`, which is at most 254) of all strings.
 
-    Row i < m is the empty suffix of string i; row m + k is the suffix that begins with the k-th smallest byte of
-    the transform and goes on with the row that byte stands in. Suffixes that end alike stand in the order of
-    the strings and share no more than their bytes.
+    Row i < m is the empty suffix of string i; row m + k is the suffix that begins with the k-th smallest symbol of
+    the transform and goes on with the row that symbol stands in. Suffixes that end alike stand in the order of
+    the strings and share no more than their symbols. The place of a string whose next symbol is not known holds
+    the largest number of the symbols' type, which is no symbol.
     """
+    open_ = np.iinfo(symbols.dtype).max
     m = len(offsets) - 1
     length = np.diff(offsets)
-    files = Files()
-    files.write(np.full(m, OPEN, np.uint8), np.zeros(m, np.uint8))
+    files = Files(symbols.dtype)
+    files.write(np.full(m, open_, symbols.dtype), np.zeros(m, np.uint8))
     place = np.arange(m)
     active = np.flatnonzero(length > 0)
     n, taken = m, 0
@@ -87,8 +90,8 @@ def collection(symbols: np.ndarray, offsets: np.ndarray, cap: int) -> tuple[np.n
         active = active[np.argsort(place[active])]
         row = place[active]
         bwt[row] = symbols[offsets[active + 1] - taken]
-        # Rows by their byte: where the suffix that begins with it goes. Those of this round are not in yet.
-        rows = by_byte(bwt)
+        # Rows by their symbol: where the suffix that begins with it goes. Those of this round are not in yet.
+        rows = by_symbol(bwt)
         fresh = np.zeros(n, bool)
         fresh[row] = True
         slot = np.flatnonzero(fresh[rows])
@@ -107,37 +110,58 @@ def collection(symbols: np.ndarray, offsets: np.ndarray, cap: int) -> tuple[np.n
         place[active[np.searchsorted(row, rows[slot])]] = to
         lcp = insert(lcp, to, low, old)
         lcp[to[below] + 1] = next_low
-        files.write(insert(bwt, to, np.full(len(to), OPEN, np.uint8), old), lcp)
+        files.write(insert(bwt, to, np.full(len(to), open_, symbols.dtype), old), lcp)
         n += len(to)
         active = active[length[active] > taken]
     return files.read(n)
 
 
-def by_byte(bwt: np.ndarray) -> np.ndarray:
-    """Rows in the order of their bytes, those without one left out."""
-    return np.argsort(bwt, kind="stable")[: len(bwt) - int(np.count_nonzero(bwt == OPEN))]
+def by_symbol(bwt: np.ndarray) -> np.ndarray:
+    """Rows in the order of their symbols, those without one left out."""
+    return np.argsort(bwt, kind="stable")[: len(bwt) - int(np.count_nonzero(bwt == np.iinfo(bwt.dtype).max))]
 
 
-def repeated_windows(s: R.Strings, kind: R.Kind) -> np.ndarray:
-    """Flags of the windows that occur twice in the collection, from neighbours in suffix order."""
-    bwt, lcp = collection(s.symbols, s.offsets, kind.length)
-    m = len(s.windows)
-    twice = lcp >= kind.length
-    twice[:-1] |= twice[1:]
+def twice(symbols: np.ndarray, offsets: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """Flags of each string's first `starts` suffixes, strings behind one another: whether their first `length` symbols recur."""
+    bwt, lcp = collection(symbols, offsets, length)
+    m = len(starts)
+    like = lcp >= length
+    like[:-1] |= like[1:]
     longer = np.empty(len(bwt), np.int64)
-    rows = by_byte(bwt)
+    rows = by_symbol(bwt)
     longer[rows] = m + np.arange(len(rows))
-    flags = np.repeat(s.runs > 1, s.windows)
-    edge = np.cumsum(s.windows) - s.windows
-    # From each string's end to its start, a byte at a time.
-    length = np.diff(s.offsets)
+    flags = np.zeros(int(starts.sum()), bool)
+    edge = np.cumsum(starts) - starts
+    # From each string's end to its start, a symbol at a time.
+    size = np.diff(offsets)
     at, active = np.arange(m), np.arange(m)
-    for taken in range(1, int(length.max()) + 1):
-        active = active[length[active] >= taken]
+    for taken in range(1, int(size.max(initial=0)) + 1):
+        active = active[size[active] >= taken]
         at[active] = longer[at[active]]
-        start = length[active] - taken
-        hit = active[(start < s.windows[active]) & twice[at[active]]]
-        flags[edge[hit] + length[hit] - taken] = True
+        start = size[active] - taken
+        hit = (start < starts[active]) & like[at[active]]
+        flags[edge[active[hit]] + start[hit]] = True
+    return flags
+
+
+def repeated_windows(s: R.Strings, kind: R.Kind, wide: int) -> np.ndarray:
+    """Flags of the windows that occur twice among whole anchors' strings."""
+    flags = np.repeat(s.runs > 1, s.windows)
+    edge = np.cumsum(s.windows, dtype=np.int64) - s.windows
+    for distance in range(wide):
+        first = (s.lead - distance) % wide
+        starts = np.maximum(0, (s.windows - first + wide - 1) // wide).astype(np.int64)
+        size = np.where(starts > 0, (starts - 1) * wide + kind.length, 0)
+        ends = np.cumsum(size)
+        if not len(ends) or not ends[-1]:
+            continue
+        own = s.symbols[np.repeat(s.offsets[:-1] + first - (ends - size), size) + np.arange(ends[-1])]
+        names, symbols = np.unique(own.view(f">u{wide}"), return_inverse=True)
+        symbols = symbols.astype(np.uint16 if len(names) < 1 << 16 else np.uint32)
+        found = twice(symbols, np.concatenate([[0], ends]) // wide, starts, kind.length // wide)
+        owner = np.repeat(np.arange(len(starts)), starts)
+        at = np.arange(len(owner)) - np.repeat(np.cumsum(starts) - starts, starts)
+        flags[(edge[owner] + first[owner] + at * wide)[found]] = True
     return flags
 
 
@@ -146,17 +170,18 @@ def dedup(docs: DataFrame, length: int = 200, gram: int = 40, id_col: str = "doc
 
     Returns per row of `docs`: id_col, n_bytes, n_removed, n_spans (removed runs, as long as they go), kept (the
     other bytes, which need not be whole characters) and spans (the removed ranges). A null text is empty. Equal
-    rows are each other's repeats. An empty table gives an empty result. `length` is at most 254.
+    rows are each other's repeats. An empty table gives an empty result.
     """
-    if not 0 < length <= 254:
-        raise ValueError("length must be from 1 to 254")
+    wide = next(w for w in (8, 4, 2, 1) if length % w == 0)
+    if not 0 < length // wide <= 254:
+        raise ValueError(f"length must be from 1 to {254 * wide}")
     kind = R.Kind(False, length, min(gram, length))
     texts = R.keyed(docs, id_col, text_col)
     found = C.staged(R.seeds(texts, kind), "seeds")
     occ = C.staged(R.occurrences(found, F.col("runs") > 1), "repeats")
     ctx = C.staged(R.contexts(occ), "contexts")
     crowded = F.col("crowd") > kind.crowd
-    few = R.by_anchor(R.contents(texts, ctx.filter(~crowded), kind), kind, lambda s: repeated_windows(s, kind), 1024)
+    few = R.by_anchor(R.contents(texts, ctx.filter(~crowded), kind), kind, lambda s: repeated_windows(s, kind, wide), 2048)
     many = R.by_window(R.contents(texts, ctx.filter(crowded), kind), kind, F.col("total") > 1)
     cuts = R.marks(occ, few.unionByName(many), F.lit(True), False, kind)
     return _cut(texts.join(cuts, ["doc", "twin"], "left"), id_col)
