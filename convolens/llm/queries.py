@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from convolens.llm import common as C
-from convolens.llm import bpe, group_join, html_text, rans, seed_extend, sharding, suffix_bwt
+from convolens.llm import bpe, decontaminate, group_join, html_text, mtree, rans, seed_extend, sharding, suffix_bwt, toxicity
 from convolens.session import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -121,6 +121,16 @@ def op6_group_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group_join.link_components(C.documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
 
+@register("op7_decontaminate")
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(C.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+@register("op8_toxicity")
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judged(C.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 @register("op9_bpe")
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bpe.encode(C.documents(spark, sf_dir), public_tokenizers.path(TOKENIZER), decoded=True)
@@ -130,6 +140,23 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@register(
+    "op4_mtree",
+    """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM p)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+""",
+)
+def op4_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtree.top_products(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), lambda i: i % 20 == 0, 20)
+
+
 @register(
     "op5_seed_extend",
     f"""
