@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -154,3 +154,15 @@ def positive(name: str, value: int) -> int:
     if value < 1:
         raise ValueError(f"{name} must be at least 1")
     return value
+
+
+def kept_rows(docs: DataFrame, text_col: str, start: Callable[[], Callable[[pa.Array], np.ndarray]]) -> DataFrame:
+    """Rows whose text the flags of `start()` keep, with all their columns, in one pass; it is called once per task."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flags = start()
+        for batch in batches:
+            yield batch.filter(pa.array(flags(batch.column(at)), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

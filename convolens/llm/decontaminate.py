@@ -180,6 +180,26 @@ def _blocks(items: DataFrame) -> Iterator[tuple[list[int], list[str]]]:
         yield ids, texts
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents that hold no benchmark item; rows without an id stay."""
-    return docs.join(leaks(docs, benchmark, id_col=id_col, **options).select(id_col).distinct(), id_col, "left_anti")
+def clean(docs: DataFrame, benchmark: DataFrame, words: int = 5, percent: int = 80, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of `docs` that `leaks` does not find, with all columns."""
+    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text).cast("string").alias("text")).filter("text IS NOT NULL")
+    for block in _blocks(items):
+        shared = docs.sparkSession.sparkContext.broadcast(block)
+
+        def start(shared=shared):
+            index = Index(*shared.value, words)
+
+            def flags(texts: pa.Array) -> np.ndarray:
+                free = np.ones(len(texts), bool)
+                data, offsets = C.text_bytes(texts)
+                for a, b in C.pieces(offsets, 4 * C.PIECE):
+                    grams, first, n = text_shingles(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], words)
+                    for i in range(b - a):
+                        f = int(first[i])
+                        free[a + i] = next(index.found(grams[f : f + int(n[i])], int(first[i + 1]) - f, percent), None) is None
+                return free
+
+            return flags
+
+        docs = C.kept_rows(docs, text_col, start)
+    return docs

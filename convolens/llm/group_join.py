@@ -184,6 +184,19 @@ def link_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     )
 
 
+def representatives(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs` whose id is the smallest of their component, with all columns; one of rows that share an id.
+
+    Rows without an id stay.
+    """
+    found = link_components(docs, words, percent, id_col, text_col).select(id_col, "component_id")
+    kept = found.filter(F.col(id_col) == F.col("component_id")).groupBy(id_col).agg((F.count("*") > 1).alias("__twice"))
+    joined = docs.join(C.staged(kept, "kept"), id_col, "left").filter(F.col(id_col).isNull() | F.col("__twice").isNotNull())
+    once = joined.filter(F.coalesce("__twice", F.lit(False)) == F.lit(False))
+    again = joined.filter("__twice").dropDuplicates([id_col])
+    return once.unionByName(again).select(*docs.columns)
+
+
 def _links(lists: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links enough to reach whatever all links reach."""
     # Within a group: each member with the group's first.

@@ -54,15 +54,18 @@ class Kind:
         return np.uint64 if self.words else np.uint8
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def keyed(docs: DataFrame, id_col: str, text_col: str, carry: bool = False) -> DataFrame:
     """doc, twin, text: rows of one id with different texts have different twins; equal rows share both.
 
+    With `carry` there is also row, a structure of all columns but the text.
+
     `doc` is LAST where there is no id; `own_id` undoes that.
     """
     return docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"),
         F.hash(F.col(text_col)).alias("twin"),
         F.col(text_col).cast("string").alias("text"),
+        *[F.struct(*[F.col(c) for c in docs.columns if c != text_col]).alias("row")] * carry,
     )
 
 

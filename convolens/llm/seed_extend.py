@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from convolens.llm import common as C
 from convolens.llm import repeats as R
@@ -66,8 +67,29 @@ def dedup(docs: DataFrame, length: int = 50, gram: int = 10, id_col: str = "doc_
     others, and documents without one do not thin each other. Rows that share an id are one document, which does
     not thin itself; equal rows get equal results. An empty table gives an empty result.
     """
+    out = _cut(_repeats(R.keyed(docs, id_col, text_col), length, gram))
+    return out.select(R.own_id(id_col), *[c for c in out.columns if c != "doc"])
+
+
+def thinned(docs: DataFrame, length: int = 50, gram: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`docs` with the words of `dedup` taken out of the texts; a text that loses none, or is null, stays as it is."""
+    joined = _repeats(R.keyed(docs, id_col, text_col, carry=True), length, gram)
+    schema = joined.schema["row"].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, lists = batch.column(0), batch.column(1)
+            out = [None if words is None else b" ".join(words).decode() for _, _, words in _kept(texts, lists)]
+            new = [texts[i].as_py() if x is None else x for i, x in enumerate(out)]
+            yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()), batch.column(2)], names=["text", "row"])
+
+    done = joined.select("text", "cuts", "row").mapInArrow(run, StructType([StructField("text", StringType()), StructField("row", schema)]))
+    return done.select(*[(F.col("text") if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns])
+
+
+def _repeats(texts: DataFrame, length: int, gram: int) -> DataFrame:
+    """The texts with the ranges of words to take out, as `cuts`."""
     kind = R.Kind(True, C.positive("length", length), min(gram, length))
-    texts = R.keyed(docs, id_col, text_col)
     found = C.staged(R.seeds(texts, kind), "seeds")
     occ = C.staged(R.occurrences(found, F.col("first_doc") < F.col("last_doc")), "repeats")
     ctx = C.staged(R.contexts(occ), "contexts")
@@ -76,24 +98,30 @@ def dedup(docs: DataFrame, length: int = 50, gram: int = 10, id_col: str = "doc_
     many = R.by_window(R.contents(texts, ctx.filter(crowded), kind), kind, F.col("first_doc") < F.col("doc"))
     decided = ctx.select("anchor", "context", F.col("doc").alias("context_doc")).join(few.unionByName(many), ["anchor", "context"], "left")
     cuts = R.marks(occ, decided, F.col("doc") > F.col("first_doc"), True, kind)
-    return _cut(texts.join(cuts, ["doc", "twin"], "left"), id_col)
+    return texts.join(cuts, ["doc", "twin"], "left")
+
+
+def _kept(texts: pa.Array, lists: pa.ListArray) -> Iterator[tuple[list[bytes], tuple[np.ndarray, np.ndarray], list[bytes] | None]]:
+    """Each text's words, the ranges to take out, and the other words; None where there are no ranges."""
+    for i in range(len(texts)):
+        words = (texts[i].as_py() or "").encode().split()
+        start, end = R.merged(lists, i)
+        left, at = [], 0
+        for a, b in zip(start.tolist(), end.tolist()):
+            left += words[at:a]
+            at = b
+        yield words, (start, end), left + words[at:] if len(start) else None
 
 
-def _cut(joined: DataFrame, id_col: str) -> DataFrame:
+def _cut(joined: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts, lists = batch.column(0), batch.column(1), batch.column(2)
             n_words, n_removed, kept, spans = [], [], [], []
             size = 0
             first = 0
-            for i in range(len(batch)):
-                words = (texts[i].as_py() or "").encode().split()
-                start, end = R.merged(lists, i)
-                left, at = [], 0
-                for a, b in zip(start.tolist(), end.tolist()):
-                    left += words[at:a]
-                    at = b
-                left = left + words[at:] if len(start) else words
+            for i, (words, (start, end), left) in enumerate(_kept(texts, lists)):
+                left = words if left is None else left
                 n_words.append(len(words))
                 n_removed.append(len(words) - len(left))
                 kept.append(b" ".join(left))
@@ -109,7 +137,6 @@ def _cut(joined: DataFrame, id_col: str) -> DataFrame:
                     )
                     n_words, n_removed, kept, spans, size, first = [], [], [], [], 0, i + 1
 
-    out = joined.select("doc", "text", "cuts").mapInArrow(
+    return joined.select("doc", "text", "cuts").mapInArrow(
         run, "doc long, n_words long, n_removed long, kept string, spans array<struct<start: bigint, end: bigint>>"
     )
-    return out.select(R.own_id(id_col), *out.columns[1:])

@@ -194,6 +194,17 @@ def train(docs: DataFrame, labels: DataFrame, categories: Sequence[tuple[str, Co
     return models, [best_threshold(outside[:, c], target[:, c]) for c in range(len(names))]
 
 
+def probabilities(texts: pa.Array, chain: Sequence[Linear], used: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Pieces of a column: first text, and (texts, categories). `used`: features with a weight in any model."""
+    for a, n, rows, found in per_text(texts):
+        known = used[found]
+        rows, found = distinct(rows[known], found[known])
+        out = np.zeros((n, 0))
+        for m in chain:
+            out = np.column_stack([out, sigmoid(m.logit(rows, found, n, out))])
+        yield a, out
+
+
 def score(docs: DataFrame, models: Sequence[Linear], names: Sequence[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col and p_<name> for each category, for every row; a null text has no features."""
     spark = docs.sparkSession
@@ -203,13 +214,8 @@ def score(docs: DataFrame, models: Sequence[Linear], names: Sequence[str], id_co
         chain = shared.value
         used = np.any([m.weights != 0 for m in chain], axis=0)
         for batch in batches:
-            for a, n, rows, found in per_text(batch.column(1)):
-                known = used[found]
-                rows, found = distinct(rows[known], found[known])
-                out = np.zeros((n, 0))
-                for m in chain:
-                    out = np.column_stack([out, sigmoid(m.logit(rows, found, n, out))])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, n), *[pa.array(x) for x in out.T]], names=["doc", *columns])
+            for a, out in probabilities(batch.column(1), chain, used):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(out)), *[pa.array(x) for x in out.T]], names=["doc", *columns])
 
     columns = [f"p_{x}" for x in names]
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
@@ -221,6 +227,20 @@ def categories() -> list[tuple[str, Column]]:
     return [("low_quality", 1 - F.col("quality")), ("toxic", F.col("toxic"))]
 
 
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float | None = None, at_most: int = 12_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs` that `judged` does not call toxic, with all columns."""
+    models, thresholds = train(docs, labels, categories(), at_most, id_col, text_col)
+    limit = thresholds[-1] if threshold is None else threshold
+    shared = docs.sparkSession.sparkContext.broadcast(models)
+
+    def start():
+        chain = shared.value
+        used = np.any([m.weights != 0 for m in chain], axis=0)
+        return lambda texts: np.concatenate([np.zeros(0), *[p[:, -1] for _, p in probabilities(texts, chain, used)]]) < limit
+
+    return C.kept_rows(docs, text_col, start)
+
+
 def judged(docs: DataFrame, labels: DataFrame, threshold: float | None = None, at_most: int = 12_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, p_low_quality, p_toxic, toxic (p_toxic >= threshold), for every row of `docs`.
 
