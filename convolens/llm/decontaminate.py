@@ -52,6 +52,11 @@ def packed(sums: np.ndarray) -> np.ndarray:
     return np.packbits(sums > 0, axis=-1)
 
 
+def among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which of x stand in `known`, which is in order and not empty."""
+    return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
+
+
 class Index:
     """Items by number of words; per number the fingerprints and, per part of them, the items near each value."""
 
@@ -83,16 +88,16 @@ class Index:
 
     def found(self, grams: np.ndarray, n_words: int, percent: int) -> Iterator[tuple[int, int, int, float]]:
         """(item, first word, words, similarity) of the best window of one text for each item that it holds."""
-        if not len(grams):
+        if not len(grams) or not len(self.known):
             return
         hits = np.flatnonzero(self.maybe[grams >> np.uint64(44)])
-        hits = hits[np.isin(grams[hits], self.known)]
+        hits = hits[among(grams[hits], self.known)]
         if not len(hits):
             return
         sums = np.concatenate([np.zeros((1, BITS), np.int32), np.cumsum(signs(grams), axis=0)])
         for size, items in self.sizes.items():
             width = size - self.words + 1 if size >= self.words else 1
-            own = hits[np.isin(grams[hits], self.having[size])]
+            own = hits[among(grams[hits], self.having[size])]
             if size > n_words or not len(own) or (size < self.words and n_words != size):
                 continue
             # All windows of this size with one of these shingles in them.
