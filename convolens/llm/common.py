@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -32,15 +33,21 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def _collect(spark: SparkSession) -> None:
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """The table, written to the shared folder and read from there: lost executors cost no step twice.
 
-    Shuffle files of the steps behind it go when the driver drops their plans, which a collection there hastens.
+    Shuffle files of earlier steps go when the driver drops their plans, which a collection there hastens.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
+    _collect(spark)
     df.write.parquet(path, compression="zstd")
-    spark.sparkContext._jvm.System.gc()
+    _collect(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 

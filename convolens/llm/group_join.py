@@ -26,7 +26,8 @@ from convolens.llm.components import components
 
 BUCKET_BITS = 20
 _CHUNK_BITS = 14
-#: Rounds of hubs before the rest is verified pair by pair; they end early when the rest is small.
+#: Rounds of hubs before the rest is verified pair by pair; they end when the lists'
+#: pairs are no more than a few times the lists.
 ROUNDS = 6
 
 
@@ -158,25 +159,27 @@ def link_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
         raise ValueError("percent must be from 1 to 100")
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
     rows = C.staged(prefixes(texts, words, percent), "prefixes")
-    nodes = rows.filter("doc IS NOT NULL AND n > 0")
-    classes = nodes.groupBy("n", "h1", "h2").agg(F.min("doc").alias("class"))
-    leads = nodes.join(classes.select(F.col("class").alias("doc"), "n", "h1", "h2"), ["doc", "n", "h1", "h2"], "left_semi")
-    leads = leads.select("doc", "n", "prefix", "tokens").dropDuplicates(["doc", "n", "prefix"])
-    groups = leads.groupBy("prefix", "n").agg(F.min("doc").alias("group"))
-    members = C.staged(leads.select("doc", "n", "prefix").join(groups, ["prefix", "n"]).select(F.col("doc").alias("class"), "group", "n"), "members")
-    heads = leads.join(groups.select(F.col("group").alias("doc"), "prefix", "n"), ["doc", "prefix", "n"], "left_semi")
-    postings = heads.select(F.explode("tokens").alias("token"), F.col("doc").alias("group"))
+    nodes = rows.filter("doc IS NOT NULL AND n > 0").select("doc", "n", "h1", "h2", "prefix")
+    classes = C.staged(nodes.groupBy("n", "h1", "h2", "prefix").agg(F.min("doc").alias("class")), "classes")
+    groups = classes.groupBy("prefix", "n").agg(F.min("class").alias("group"))
+    members = C.staged(classes.select("class", "prefix", "n").distinct().join(groups, ["prefix", "n"]).select("class", "group", "n", "prefix"), "members")
+    # The shingles of one document for each group; only lists with two groups go on.
+    heads = members.filter("class = group").select(F.col("class").alias("doc"), "prefix").distinct()
+    postings = rows.select("doc", "prefix", "tokens").join(heads, ["doc", "prefix"], "left_semi").select("doc", F.explode("tokens").alias("token"))
+    postings = C.staged(postings.distinct() if _repeating(rows) else postings, "postings").withColumnRenamed("doc", "group")
     shared = postings.groupBy("token").agg(F.min("group").alias("least"), F.max("group").alias("most")).filter("least < most").select("token")
-    lists = C.staged(postings.join(shared, "token", "left_semi"), "lists")
+    lists = C.staged(postings.join(C.staged(shared, "shared"), "token"), "lists")
+    members = members.drop("prefix")
     wanted = lists.select("group").distinct().join(members, "group").select(F.col("class").alias("doc"))
-    same = members.filter("class <> group").select(F.col("class").alias("doc")).union(members.filter("class <> group").select("group"))
-    sets = C.staged(full_sets(texts, wanted.union(same).distinct(), words), "sets")
+    inner = members.filter("class <> group")
+    wanted = wanted.union(inner.select("class")).union(inner.select("group")).distinct()
+    sets = C.staged(full_sets(texts, C.staged(wanted, "wanted"), words), "sets")
     links = _links(lists, members, sets, percent)
     roots = components(links)
     # Back to all rows: by class, then by component.
     named = classes.join(roots.withColumnRenamed("node", "class"), "class", "left")
     named = named.select("n", "h1", "h2", "class", F.coalesce("root", "class").alias("root"))
-    out = rows.select("doc", "n", "h1", "h2").join(named, ["n", "h1", "h2"], "left")
+    out = rows.select("doc", "n", "h1", "h2").join(C.staged(named, "named"), ["n", "h1", "h2"], "left")
     has = F.col("doc").isNotNull()
     return out.select(
         F.col("doc").alias(id_col), F.col("n").alias("n_shingles"),
@@ -197,13 +200,18 @@ def representatives(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     return once.unionByName(again).select(*docs.columns)
 
 
+def _repeating(rows: DataFrame) -> bool:
+    """Whether an id stands in several rows, whose shingles then meet in one list twice."""
+    return bool(rows.groupBy("doc").count().filter("count > 1 AND doc IS NOT NULL").take(1))
+
+
 def _links(lists: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links enough to reach whatever all links reach."""
     # Within a group: each member with the group's first.
     inner = members.filter("class <> group")
     links = C.staged(verified(inner.select(F.col("class").alias("a"), F.col("group").alias("b")), sets, percent), "links")
     tried = links
-    everyone = members.count()
+    size = lists.count()
     for turn in range(ROUNDS + 1):
         roots = components(links)
         known = members.join(roots.withColumnRenamed("node", "class"), "class", "left").select("class", "group", "n", F.coalesce("root", "class").alias("root"))
@@ -220,7 +228,7 @@ def _links(lists: DataFrame, members: DataFrame, sets: DataFrame, percent: int)
         if not open_pairs:
             break
         live = lists.join(state, "token")
-        rest = turn == ROUNDS or (turn > 1 and open_pairs <= 4 * everyone)
+        rest = turn == ROUNDS or (turn > 0 and open_pairs <= 8 * size)
         if rest:
             other = lists.join(state.select("token"), "token").withColumnRenamed("group", "hub")
             pairs = live.drop("hub").join(other, "token").filter("hub < group").select("group", "hub").distinct().withColumn("n_shared", F.lit(1))
