@@ -37,7 +37,7 @@ def agreed(text: str) -> bool:
 
 
 #: Pieces whose ids a worker remembers before those not met again are forgotten.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 _NONE = 1 << 62
 
 
@@ -211,6 +211,8 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     any order; ids may be null or repeat. A piece of any length takes n log n steps.
     """
 
+    C.small_batches(docs)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
         for batch in batches:

@@ -51,6 +51,19 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(df: DataFrame) -> None:
+    """Whole texts go to Python a thousand at a time, so that a worker holds a few megabytes of them."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a staged table that no frame reads any more."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -166,6 +179,7 @@ def positive(name: str, value: int) -> int:
 def kept_rows(docs: DataFrame, text_col: str, start: Callable[[], Callable[[pa.Array], np.ndarray]]) -> DataFrame:
     """Rows whose text the flags of `start()` keep, with all their columns, in one pass; it is called once per task."""
     at = docs.columns.index(text_col)
+    small_batches(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags = start()

@@ -144,6 +144,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, words: int = 5, percent: int =
     holds does not grow with the benchmark.
     """
     spark = docs.sparkSession
+    C.small_batches(docs)
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text).cast("string").alias("text")).filter("text IS NOT NULL")
     blocks = _blocks(items)

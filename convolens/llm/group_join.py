@@ -118,10 +118,17 @@ def near(a: str, b: str, percent: int):
     return (F.col(a) * 100 >= F.col(b) * percent) & (F.col(b) * 100 >= F.col(a) * percent)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar: 100 * intersection >= percent * union."""
+def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of ids whose sets are similar: 100 * intersection >= percent * union."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, len(batch), 500):
+                part = batch.slice(lo, 500)
+                found = [own.tobytes() for own in sets_of(part.column(1), words)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary())], names=["doc", "shingles"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hit = []
             for x, y in zip(batch.column(2), batch.column(3)):
@@ -131,19 +138,13 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 hit.append(100 * shared >= percent * (len(both) - shared))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(hit, pa.bool_()))
 
-    at = lambda end: sets.select(F.col("doc").alias(end), F.col("shingles").alias(f"{end}_set"))
-    return pairs.join(at("a"), "a").join(at("b"), "b").select("a", "b", "a_set", "b_set").mapInArrow(run, "a long, b long")
-
-
-def full_sets(texts: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, len(batch), 500):
-                part = batch.slice(lo, 500)
-                found = [own.tobytes() for own in sets_of(part.column(1), words)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary())], names=["doc", "shingles"])
-
-    return texts.join(wanted, "doc", "left_semi").select("doc", "text").mapInArrow(run, "doc long, shingles binary")
+    wanted = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct()
+    full = C.staged(texts.join(wanted, "doc", "left_semi").select("doc", "text").mapInArrow(sets, "doc long, shingles binary"), "sets")
+    at = lambda end: full.select(F.col("doc").alias(end), F.col("shingles").alias(f"{end}_set"))
+    out = pairs.join(at("a"), "a").join(at("b"), "b").select("a", "b", "a_set", "b_set").mapInArrow(compare, "a long, b long")
+    out = C.staged(out, "similar")
+    C.discard(full)
+    return out
 
 
 def link_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -157,6 +158,7 @@ def link_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     C.positive("words", words)
     if not 0 < percent <= 100:
         raise ValueError("percent must be from 1 to 100")
+    C.small_batches(docs)
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
     rows = C.staged(prefixes(texts, words, percent), "prefixes")
     nodes = rows.filter("doc IS NOT NULL AND n > 0").select("doc", "n", "h1", "h2", "prefix")
@@ -169,12 +171,8 @@ def link_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     postings = C.staged(postings.distinct() if _repeating(rows) else postings, "postings").withColumnRenamed("doc", "group")
     shared = postings.groupBy("token").agg(F.min("group").alias("least"), F.max("group").alias("most")).filter("least < most").select("token")
     lists = C.staged(postings.join(C.staged(shared, "shared"), "token"), "lists")
-    members = members.drop("prefix")
-    wanted = lists.select("group").distinct().join(members, "group").select(F.col("class").alias("doc"))
-    inner = members.filter("class <> group")
-    wanted = wanted.union(inner.select("class")).union(inner.select("group")).distinct()
-    sets = C.staged(full_sets(texts, C.staged(wanted, "wanted"), words), "sets")
-    links = _links(lists, members, sets, percent)
+    C.discard(postings)
+    links = _links(lists, members.drop("prefix"), texts, words, percent)
     roots = components(links)
     # Back to all rows: by class, then by component.
     named = classes.join(roots.withColumnRenamed("node", "class"), "class", "left")
@@ -205,15 +203,13 @@ def _repeating(rows: DataFrame) -> bool:
     return bool(rows.groupBy("doc").count().filter("count > 1 AND doc IS NOT NULL").take(1))
 
 
-def _links(lists: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _links(lists: DataFrame, members: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Links enough to reach whatever all links reach."""
-    # Within a group: each member with the group's first.
-    inner = members.filter("class <> group")
-    links = C.staged(verified(inner.select(F.col("class").alias("a"), F.col("group").alias("b")), sets, percent), "links")
-    tried = links
+    spark = lists.sparkSession
     size = lists.count()
+    links = tried = spark.createDataFrame([], "a long, b long")
     for turn in range(ROUNDS + 1):
-        roots = components(links)
+        roots = components(links) if turn else spark.createDataFrame([], "node long, root long")
         known = members.join(roots.withColumnRenamed("node", "class"), "class", "left").select("class", "group", "n", F.coalesce("root", "class").alias("root"))
         known = C.staged(known, "known")
         spans = known.groupBy("group").agg(F.min("root").alias("low"), F.max("root").alias("high"))
@@ -225,10 +221,8 @@ def _links(lists: DataFrame, members: DataFrame, sets: DataFrame, percent: int)
         )
         state = C.staged(state, "open")
         open_pairs = state.agg(F.sum(F.col("size") * (F.col("size") - 1) / 2)).first()[0] or 0
-        if not open_pairs:
-            break
-        live = lists.join(state, "token")
         rest = turn == ROUNDS or (turn > 0 and open_pairs <= 8 * size)
+        live = lists.join(state, "token")
         if rest:
             other = lists.join(state.select("token"), "token").withColumnRenamed("group", "hub")
             pairs = live.drop("hub").join(other, "token").filter("hub < group").select("group", "hub").distinct().withColumn("n_shared", F.lit(1))
@@ -237,17 +231,17 @@ def _links(lists: DataFrame, members: DataFrame, sets: DataFrame, percent: int)
         hub = known.select(F.col("group").alias("hub"), F.col("class").alias("b"), F.col("n").alias("b_n"), F.col("root").alias("b_root"))
         pairs = pairs.join(known.select("group", F.col("class").alias("a"), F.col("n").alias("a_n"), F.col("root").alias("a_root")), "group").join(hub, "hub")
         pairs = pairs.filter(near("a_n", "b_n", percent) & (F.col("a_root") != F.col("b_root"))).select("a", "b", "n_shared")
-        done = tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b"))) if turn else tried
-        pairs = pairs.join(done, ["a", "b"], "left_anti")
-        if rest:
-            mine, others = known.select("group", F.col("class").alias("a"), F.col("root").alias("a_root")), known.select("group", F.col("class").alias("b"), F.col("root").alias("b_root"))
-            within = mine.join(others, "group").filter("a < b AND a_root <> b_root").select("a", "b")
-            pairs = pairs.select("a", "b").union(within).distinct()
-        else:
+        # Within a group: each member with the group's first, and at last all members that are still apart.
+        mine = known.select("group", F.col("class").alias("a"), F.col("root").alias("a_root"))
+        others = known.select("group", F.col("class").alias("b"), F.col("root").alias("b_root"))
+        within = mine.join(others, "group").filter("a > b AND a_root <> b_root")
+        within = (within if rest else within.filter(F.col("b") == F.col("group"))).select("a", "b")
+        if not rest:
             pairs = pairs.groupBy("a").agg(F.max(F.struct("n_shared", "b")).alias("best")).select("a", "best.b")
-        pairs = C.staged(pairs, "pairs")
-        found = C.staged(verified(pairs, sets, percent), "links")
-        links = links.unionByName(found)
+        pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).union(within).distinct()
+        pairs = C.staged(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        if pairs.take(1):
+            links = links.unionByName(verified(pairs, texts, words, percent))
         if rest:
             break
         tried = tried.unionByName(pairs)

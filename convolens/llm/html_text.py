@@ -219,6 +219,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html",
                 texts = [extract(h) for h in batch.column(len(names)).slice(a, b - a).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*[batch.column(k).slice(a, b - a) for k in range(len(names))], pa.array(texts, pa.string())], names=[*names, "text"])
 
+    C.small_batches(pages)
     chosen = pages.select(*names, html_col)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1])
     return chosen.mapInArrow(run, f"{schema}, text string")

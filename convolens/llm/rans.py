@@ -208,6 +208,7 @@ def blocks_of_ids(docs: DataFrame, path: str, end_id: int, id_col: str, text_col
         if size:
             yield close()
 
+    C.small_batches(docs)
     ordered = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     ordered = ordered.repartitionByRange("id").sortWithinPartitions("id", "text")
     return ordered.mapInArrow(run, f"part int, seq bigint, first bigint, n bigint, ids binary, {_DOCS}")

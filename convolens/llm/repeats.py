@@ -61,6 +61,7 @@ def keyed(docs: DataFrame, id_col: str, text_col: str, carry: bool = False) -> D
 
     `doc` is LAST where there is no id; `own_id` undoes that.
     """
+    C.small_batches(docs)
     return docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"),
         F.hash(F.col(text_col)).alias("twin"),

@@ -92,6 +92,7 @@ def _repeats(texts: DataFrame, length: int, gram: int) -> DataFrame:
     kind = R.Kind(True, C.positive("length", length), min(gram, length))
     found = C.staged(R.seeds(texts, kind), "seeds")
     occ = C.staged(R.occurrences(found, F.col("first_doc") < F.col("last_doc")), "repeats")
+    C.discard(found)
     ctx = C.staged(R.contexts(occ), "contexts")
     crowded = F.col("crowd") > kind.crowd
     few = R.by_anchor(R.contents(texts, ctx.filter(~crowded), kind), kind, lambda s: extend(s, kind))

@@ -179,6 +179,7 @@ def dedup(docs: DataFrame, length: int = 200, gram: int = 40, id_col: str = "doc
     texts = R.keyed(docs, id_col, text_col)
     found = C.staged(R.seeds(texts, kind), "seeds")
     occ = C.staged(R.occurrences(found, F.col("runs") > 1), "repeats")
+    C.discard(found)
     ctx = C.staged(R.contexts(occ), "contexts")
     crowded = F.col("crowd") > kind.crowd
     few = R.by_anchor(R.contents(texts, ctx.filter(~crowded), kind), kind, lambda s: repeated_windows(s, kind, wide), 2048)

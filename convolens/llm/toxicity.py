@@ -158,12 +158,13 @@ def distinct(rows: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return both >> DIM_BITS, both & ((1 << DIM_BITS) - 1)
 
 
-def train(docs: DataFrame, labels: DataFrame, categories: Sequence[tuple[str, Column]], at_most: int = 12_000, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[Linear], list[float]]:
+def train(docs: DataFrame, labels: DataFrame, categories: Sequence[tuple[str, Column]], at_most: int = 6_000, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[Linear], list[float]]:
     """Models of the categories, in order, and their thresholds, chosen out of fold. Each is a name and a 0/1 column over `labels`.
 
     Fitted on at most `at_most` labelled documents, chosen by a hash of their ids. Labels that are null, of an id
     that is null or has no document, count for nothing; of several labels for an id the largest counts.
     """
+    C.small_batches(docs)
     picked = labels.select(F.col(id_col).cast("long").alias("doc"), *[c.cast("double").alias(f"c{i}") for i, (_, c) in enumerate(categories)]).dropna()
     picked = picked.groupBy("doc").agg(*[F.max(f"c{i}").alias(f"c{i}") for i in range(len(categories))])
     picked = picked.orderBy(F.xxhash64("doc"), "doc").limit(at_most)
@@ -187,6 +188,9 @@ def train(docs: DataFrame, labels: DataFrame, categories: Sequence[tuple[str, Co
     sizes = np.diff(lists.offsets.to_numpy()) if len(table) else np.zeros(0, np.int64)
     found = lists.flatten().to_numpy().astype(np.int64) if len(table) else np.zeros(0, np.int64)
     rows = np.repeat(np.arange(len(table)), sizes)
+    # A feature of fewer than three rows is never chosen.
+    common = np.bincount(found, minlength=1 << DIM_BITS)[found] >= 3
+    rows, found = rows[common], found[common]
     doc = table.column("doc").to_numpy().astype(np.int64)
     folds = C.mix(doc.astype(np.uint64)) % np.uint64(FOLDS)
     target = np.array([table.column(c).to_numpy() for c in names]).T.reshape(len(table), len(names))
@@ -208,6 +212,7 @@ def probabilities(texts: pa.Array, chain: Sequence[Linear], used: np.ndarray) ->
 def score(docs: DataFrame, models: Sequence[Linear], names: Sequence[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col and p_<name> for each category, for every row; a null text has no features."""
     spark = docs.sparkSession
+    C.small_batches(docs)
     shared = spark.sparkContext.broadcast(list(models))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,7 +232,7 @@ def categories() -> list[tuple[str, Column]]:
     return [("low_quality", 1 - F.col("quality")), ("toxic", F.col("toxic"))]
 
 
-def accepted(docs: DataFrame, labels: DataFrame, threshold: float | None = None, at_most: int = 12_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float | None = None, at_most: int = 6_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` that `judged` does not call toxic, with all columns."""
     models, thresholds = train(docs, labels, categories(), at_most, id_col, text_col)
     limit = thresholds[-1] if threshold is None else threshold
@@ -241,7 +246,7 @@ def accepted(docs: DataFrame, labels: DataFrame, threshold: float | None = None,
     return C.kept_rows(docs, text_col, start)
 
 
-def judged(docs: DataFrame, labels: DataFrame, threshold: float | None = None, at_most: int = 12_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def judged(docs: DataFrame, labels: DataFrame, threshold: float | None = None, at_most: int = 6_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, p_low_quality, p_toxic, toxic (p_toxic >= threshold), for every row of `docs`.
 
     The threshold is the one that tells held-out labelled rows apart best, unless given.
