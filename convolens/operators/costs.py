@@ -240,15 +240,17 @@ def cache_coverage(queries: DataFrame, cache: DataFrame) -> DataFrame:
     )
 
 
-def batch_prefix(requests: DataFrame, order: str, cap: int | None = None) -> DataFrame:
-    """The first requests that fit the provider's token ceiling, and always at least one.
+def batch_prefix(requests: DataFrame, order: str, model: str | None = None) -> DataFrame:
+    """The first requests that fit the model's ceiling of enqueued tokens, and always at least one.
 
-    Every request is estimated at 512 tokens or more, so no more rows than the ceiling divided by
-    that can belong to the prefix: only those are sorted and summed, whatever is waiting behind.
+    Estimates hold the answer, so they are never below MAX_NEW_TOKENS: a smaller one fails the query. No more
+    rows than the ceiling divided by that can belong to the prefix, and only those are sorted and summed.
     """
-    ceiling = (cap or protocol.DEFAULT_ENQUEUE_CAP) * protocol.ENQUEUE_SAFETY
+    ceiling = ENQUEUE_CAPS.get(model, protocol.DEFAULT_ENQUEUE_CAP) * protocol.ENQUEUE_SAFETY
     most = int(ceiling // protocol.MAX_NEW_TOKENS) + 1
-    head = requests.orderBy(order).limit(most)
+    low = F.raise_error(F.concat(F.lit("estimate below the answer's tokens: "), F.col(order).cast("string"))).cast("bigint")
+    checked = requests.withColumn("est_tokens", F.when(F.col("est_tokens") < protocol.MAX_NEW_TOKENS, low).otherwise(F.col("est_tokens")))
+    head = checked.orderBy(order).limit(most)
     run = W.orderBy(order)
     return (
         head.withColumn("__sum", F.sum("est_tokens").over(run.rowsBetween(W.unboundedPreceding, 0)))

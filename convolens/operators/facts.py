@@ -104,11 +104,11 @@ def unsupported_claims(replies: DataFrame) -> DataFrame:
 def blinded_claims(pool: DataFrame, seed: int = protocol.SEED) -> DataFrame:
     """Number the pooled claims of every query in a seeded order that does not show their source.
 
-    `pool` holds `query_id, source, claim`. The shuffle key's high bits spread a query's claims.
+    `pool` holds `query_id, source, claim`. The key's first digits spread a query's claims.
     """
-    key = F.xxhash64(F.lit(seed), "query_id", "source", "claim")
+    key = F.md5(F.concat_ws("|", F.lit(str(seed)), "query_id", "source", "claim"))
     numbered = number_in_order(
-        pool.withColumn("__h", key), ["query_id"], F.shiftright(F.col("__h"), 58), [F.col("__h"), F.col("source"), F.col("claim")], "__k"
+        pool.withColumn("__h", key), ["query_id"], F.conv(F.substring("__h", 1, 2), 16, 10).cast("int"), [F.col("__h"), F.col("source"), F.col("claim")], "__k"
     )
     return numbered.select(
         F.concat(F.col("query_id"), F.lit("__c"), F.format_string("%02d", F.col("__k") + 1)).alias("claim_id"),

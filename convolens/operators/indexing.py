@@ -26,20 +26,23 @@ def _boundaries(df: DataFrame, key: str, rows: int) -> list:
         df.select(key)
         .where(F.pmod(F.xxhash64(key), F.lit(keep_one_in)) == 0)
         .distinct()
-        .orderBy(key)
-        .limit(wanted * 64)
         .collect()
     )
-    keys = [r[0] for r in sample]
+    keys = sorted(r[0] for r in sample)
     step = max(1, len(keys) // wanted)
     return keys[step::step]
 
 
 def bucket_of(key: Column, boundaries: Sequence) -> Column:
-    """How many boundaries are not above the key."""
-    if not boundaries:
-        return F.lit(0)
-    return F.size(F.filter(F.array(*[F.lit(b) for b in boundaries]), lambda b: b <= key))
+    """How many boundaries are not above the key, by bisection; 0 for NULL."""
+
+    def halves(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(key < F.lit(boundaries[mid]), halves(lo, mid)).otherwise(halves(mid + 1, hi))
+
+    return F.when(key.isNull(), 0).otherwise(halves(0, len(boundaries)))
 
 
 def with_row_index(

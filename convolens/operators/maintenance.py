@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from convolens import protocol
-from convolens.operators.indexing import with_row_index
+from convolens.operators.indexing import bucket_of, number_in_order, range_cuts
 
 ROUGE_KEYS = ("rouge1", "rouge2", "rougeL")
 
@@ -81,12 +81,6 @@ def with_model_score(pairs: DataFrame, load: Callable, name: str, column: str =
     return pairs.withColumn(column, score("prediction", "reference"))
 
 
-def training_run_name(name: str, seed: int, dry_run: bool = False) -> str:
-    """A seed off the protocol becomes a suffix, and a dry run gets a folder of its own."""
-    full = name if seed == protocol.SEED else f"{name}-seed{seed}"
-    return f"_dryrun-{full}" if dry_run else full
-
-
 # --- inputs of probes -------------------------------------------------------------------------
 
 
@@ -95,20 +89,16 @@ def longest_rows(rows: DataFrame, length: str, n: int, tie: str) -> DataFrame:
 
 
 def probe_ranks(total: int, points: int) -> list[int]:
-    """Ranks evenly spaced over a length order, the last always among them; halves round to even."""
-    if points <= 1:
-        return [total - 1]
-    if points >= total:
-        return list(range(total))
-    step = (total - 1) / (points - 1)
-    return sorted({min(total - 1, round(k * step)) for k in range(points)} | {total - 1})
+    """Ranks evenly spaced over a length order, from the first to the last; a single one is the last."""
+    spots = min(points, total)
+    last = total - 1
+    # Fixed value: halves round to even, as the protocol's do.
+    return [last] if spots <= 1 else sorted({round(k * last / (spots - 1)) for k in range(spots)})
 
 
 def length_spread_sample(rows: DataFrame, length: str, order: str, points: int) -> DataFrame:
-    """Rows spread evenly over the lengths that occur. `order` breaks ties and is below 2**32."""
-    keyed = rows.withColumn("__key", F.col(length).cast("bigint") * F.lit(2**32) + F.col(order).cast("bigint"))
-    total = keyed.count()
-    if points >= total:
-        return with_row_index(keyed, "__key", "rank", rows=total).drop("__key")
-    spots = [int(r) for r in probe_ranks(total, points)]
-    return with_row_index(keyed, "__key", "rank", rows=total).where(F.col("rank").isin(*spots)).drop("__key")
+    """Rows spread evenly over the lengths that occur, with their ranks. `order` breaks ties."""
+    cuts = range_cuts(rows, length)
+    ranked = number_in_order(rows, [], bucket_of(F.col(length), cuts), [F.col(length), F.col(order)], "rank")
+    total = rows.count()
+    return ranked if points >= total else ranked.where(F.col("rank").isin(probe_ranks(total, points)))

@@ -1,20 +1,19 @@
 """Paired resampling intervals over per-query scores.
 
-Three ways to draw. `hash` derives every pick from (draw, position) by integer arithmetic, so any
-engine can repeat it. `tree` splits every draw over blocks of scores by a seeded binomial tree and
-resamples inside each block: the same distribution, and no pick ever looks outside its block, so it
-is the one for very many scores. `mt` repeats the sequential stream of Python's generator and is
-meant for evaluation sets small enough to enumerate on the driver.
+A draw takes as many units as there are, with replacement. Units are numbered and cut into blocks; a seeded binomial
+tree says how many of a draw's picks fall into each block, and the picks are made inside the block. All of it is
+integer and plain floating-point arithmetic on (draw, position), so any engine can repeat it, and what leaves a
+block is one sum per draw.
 """
 
 from __future__ import annotations
 
-import random
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from convolens import protocol
@@ -27,10 +26,6 @@ from convolens.operators.indexing import (
 )
 from convolens.session import keep
 
-# A numbered score row is under 64 bytes, so this many are broadcast without doubt.
-BROADCAST_ROWS = 500_000
-# Picks that `mt` may enumerate.
-MT_PICKS = 20_000_000
 TREE_BLOCK = 65_536
 PRIME = 2_147_483_647
 
@@ -52,8 +47,16 @@ def hashed_sql(a: str, b: str, seed: int) -> str:
     return f"(({z} * 48271 + {y}) % {PRIME})"
 
 
+def hashed_array(a: np.ndarray, b: np.ndarray, seed: int) -> np.ndarray:
+    """The same for arrays of 64-bit integers."""
+    x = (a * 48271 + b * 69621 + seed % PRIME) % PRIME
+    y = (x * x + a * 16807 + 12345) % PRIME
+    z = (y * y + b * 40692 + x) % PRIME
+    return (z * 48271 + y) % PRIME
+
+
 def interval_ranks(draws: int, conf: int = 95) -> tuple[int, int]:
-    """0-based ranks of the interval's ends among the sorted draws."""
+    """0-based ranks of the interval's ends among the sorted draws. Fixed value: truncated as the protocol does."""
     return int((100 - conf) / 2 / 100 * draws), int((1 - (100 - conf) / 2 / 100) * draws) - 1
 
 
@@ -72,34 +75,26 @@ def with_clusters(scores: DataFrame, clusters: DataFrame, key: str = "query_id")
 # --- drawing ----------------------------------------------------------------------------------
 
 
-def _mt_picks(spark, n: int, draws: int, seed: int) -> DataFrame:
-    if n * draws > MT_PICKS:
-        raise ValueError(f"{n} x {draws} picks are too many for the sequential generator; use rng='tree'")
-    rng = random.Random(seed)
-    rows = np.fromiter((rng.randrange(n) for _ in range(n * draws)), dtype=np.int64, count=n * draws)
-    frame = pd.DataFrame({"draw": np.repeat(np.arange(draws), n), "idx": rows})
-    return spark.createDataFrame(frame)
-
-
-def _hash_picks(spark, n: int, draws: int, seed: int) -> DataFrame:
-    # Neighbouring ids share a draw, so its sums are nearly complete before the shuffle.
-    return spark.range(draws * n).select(
-        F.floor(F.col("id") / n).alias("draw"), (hashed(F.floor(F.col("id") / n), F.col("id") % n, seed) % n).alias("idx")
-    )
+def _split(draws: np.ndarray, node: int, picks: np.ndarray, share: float, seed: int) -> np.ndarray:
+    """How many of each draw's picks go to a node's first half: binomial, as a normal of twelve hashed uniforms."""
+    z = sum(hashed_array(draws * 16 + j, np.int64(node), seed + 1) / PRIME for j in range(12)) - 6.0
+    near = np.floor(picks * share + z * np.sqrt(picks * share * (1.0 - share)) + 0.5)
+    return np.clip(near, 0, picks).astype(np.int64)
 
 
-def _tree_share(seed: int, n_rows: int, n_blocks: int, block: int, draws: int) -> np.ndarray:
+def _tree_share(seed: int, n_rows: int, n_blocks: int, block: int, draws: int, size: int) -> np.ndarray:
     """How many of a draw's n_rows picks fall into one block, for every draw.
 
-    Each split of the tree is drawn from a generator seeded by its place, so every block finds the
-    same splits on its own.
+    Splits depend on their place alone, so every block finds the same ones on its own. A node is its first
+    block times 2^20 plus its last.
     """
-    size = lambda lo, hi: min(hi * TREE_BLOCK, n_rows) - lo * TREE_BLOCK
+    rows = lambda lo, hi: min(hi * size, n_rows) - lo * size
     lo, hi = 0, n_blocks
     left = np.full(draws, n_rows, dtype=np.int64)
+    every = np.arange(draws, dtype=np.int64)
     while hi - lo > 1:
         mid = (lo + hi) // 2
-        first = np.random.default_rng([seed, lo, hi]).binomial(left, size(lo, mid) / size(lo, hi))
+        first = _split(every, lo * (1 << 20) + hi, left, rows(lo, mid) / rows(lo, hi), seed)
         if block < mid:
             left, hi = first, mid
         else:
@@ -107,47 +102,33 @@ def _tree_share(seed: int, n_rows: int, n_blocks: int, block: int, draws: int) -
     return left
 
 
-def _tree_sums(indexed: DataFrame, n: int, draws: int, seed: int, values: Sequence[str]) -> DataFrame:
-    n_blocks = -(-n // TREE_BLOCK)
+def draw_sums(units: DataFrame, key: str, values: Sequence[str], draws: int, seed: int, block: int = TREE_BLOCK) -> DataFrame:
+    """Sums of each value over as many units, drawn with replacement, as there are; one row per draw."""
+    n = units.count()
+    if n == 0:
+        raise ValueError("nothing to resample: the two systems share no query")
+    indexed = with_row_index(units, key, rows=n).select("idx", *values)
+    n_blocks = -(-n // block)
     names = list(values)
 
     def resample(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        block = int(key[0])
-        rows = rows.sort_values("idx")
-        data = rows[names].to_numpy(dtype=np.float64)
-        share = _tree_share(seed, n, n_blocks, block, draws)
-        rng = np.random.default_rng([seed, block, n_blocks, 1])
+        here = int(key[0])
+        data = rows.sort_values("idx")[names].to_numpy(dtype=np.float64)
+        share = _tree_share(seed, n, n_blocks, here, draws, block)
         out = np.empty((draws, len(names)))
         for d in range(draws):
-            out[d] = data[rng.integers(0, len(data), share[d])].sum(axis=0)
+            # Positions of different blocks do not meet: a block's picks stay below four times its size.
+            at = np.arange(share[d], dtype=np.int64) + here * 4 * block
+            out[d] = data[hashed_array(np.int64(d), at, seed) % len(data)].sum(axis=0)
         frame = pd.DataFrame(out, columns=names)
         frame.insert(0, "draw", np.arange(draws))
         return frame
 
     schema = "draw bigint, " + ", ".join(f"{v} double" for v in names)
-    parts = (
-        indexed.withColumn("__block", F.floor(F.col("idx") / TREE_BLOCK))
-        .groupBy("__block")
-        .applyInPandas(resample, schema)
-    )
+    parts = indexed.withColumn("__block", F.floor(F.col("idx") / block)).groupBy("__block").applyInPandas(resample, schema)
     return parts.groupBy("draw").agg(*[F.sum(v).alias(v) for v in names])
 
 
-def draw_sums(units: DataFrame, key: str, values: Sequence[str], draws: int, seed: int, rng: str) -> DataFrame:
-    """Sums of each value over as many units, drawn with replacement, as there are; one row per draw."""
-    spark = units.sparkSession
-    n = units.count()
-    if n == 0:
-        raise ValueError("nothing to resample: the two systems share no query")
-    indexed = with_row_index(units, key, rows=n).select("idx", *values)
-    if rng == "tree":
-        return _tree_sums(indexed, n, draws, seed, values)
-    picks = _mt_picks(spark, n, draws, seed) if rng == "mt" else _hash_picks(spark, n, draws, seed)
-    # Beyond the checked size the picks meet the scores in a shuffle join on their number.
-    side = F.broadcast(indexed) if n <= BROADCAST_ROWS else indexed
-    return picks.join(side, "idx").groupBy("draw").agg(*[F.sum(v).alias(v) for v in values])
-
-
 def _interval(sums: DataFrame, diff: Column, draws: int, conf: int) -> DataFrame:
     """One row from one value per draw; the number of draws is a parameter, not data."""
     lo, hi = interval_ranks(draws, conf)
@@ -184,12 +165,12 @@ def paired_bootstrap(
     draws: int = protocol.BOOTSTRAP_DRAWS,
     seed: int = protocol.SEED,
     conf: int = 95,
-    rng: str = "hash",
+    block: int = TREE_BLOCK,
     key: str = "query_id",
 ) -> DataFrame:
     """Interval of mean(b) - mean(a), resampling queries. One row."""
     scores = keep(scores.select(key, "a", "b"))
-    sums = draw_sums(scores.select(key, (F.col("b") - F.col("a")).alias("d"), F.lit(1.0).alias("one")), key, ["d", "one"], draws, seed, rng)
+    sums = draw_sums(scores.select(key, (F.col("b") - F.col("a")).alias("d"), F.lit(1.0).alias("one")), key, ["d", "one"], draws, seed, block)
     out = _observed(scores).crossJoin(_interval(sums, F.col("d") / F.col("one"), draws, conf))
     lo, hi = f"ci{conf}_low", f"ci{conf}_high"
     return out.withColumn("crosses_zero", (F.col(lo) <= 0) & (F.col(hi) >= 0))
@@ -200,7 +181,7 @@ def paired_cluster_bootstrap(
     draws: int = protocol.BOOTSTRAP_DRAWS,
     seed: int = protocol.SEED,
     conf: int = 95,
-    rng: str = "hash",
+    block: int = TREE_BLOCK,
 ) -> DataFrame:
     """The same, resampling whole clusters; a draw's statistic is the mean over its queries.
 
@@ -210,7 +191,7 @@ def paired_cluster_bootstrap(
     clusters = scores.groupBy("cluster_id").agg(
         F.sum(F.col("b") - F.col("a")).alias("d"), F.count(F.lit(1)).cast("double").alias("m")
     )
-    sums = draw_sums(clusters, "cluster_id", ["d", "m"], draws, seed, rng)
+    sums = draw_sums(clusters, "cluster_id", ["d", "m"], draws, seed, block)
     out = (
         _observed(scores)
         .crossJoin(clusters.agg(F.count(F.lit(1)).alias("n_clusters")))
@@ -271,20 +252,17 @@ def subsample_distribution(
     )
 
 
-def seeded_sample(ids: DataFrame, n: int, seed: int = protocol.SEED, key: str = "query_id", clip: bool = False) -> DataFrame:
-    """The sample Python's generator takes from the sorted ids, with each row's place in it.
+def sample_key(seed: int, key: Column) -> Column:
+    return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
+
+
+def seeded_sample(ids: DataFrame, n: int, seed: int = protocol.SEED, key: str = "query_id") -> DataFrame:
+    """n ids, or all if there are fewer, by a seeded hash, with each one's place among them in order of id.
 
-    Which positions are taken depends on the counts alone, so only n numbers are drawn on the
-    driver; the ids stay where they are.
+    Which ids are taken depends on the seed and the ids alone. No more than n rows leave a task.
     """
-    ids = keep(ids)
-    total = ids.count()
-    if clip:
-        n = min(n, total)
-    taken = sorted(random.Random(seed).sample(range(total), n))
-    spark = ids.sparkSession
-    places = spark.createDataFrame([(int(t), i) for i, t in enumerate(taken)], "idx bigint, place int")
-    return with_row_index(ids, key, rows=total).join(F.broadcast(places), "idx").drop("idx")
+    taken = ids.orderBy(sample_key(seed, F.col(key)), key).limit(n)
+    return taken.withColumn("place", (F.row_number().over(W.orderBy(key)) - 1).cast("int"))
 
 
 # --- declared comparisons ---------------------------------------------------------------------
@@ -296,7 +274,7 @@ def interval_records(
     clusters: DataFrame | None = None,
     draws: int = protocol.BOOTSTRAP_DRAWS,
     seed: int = protocol.SEED,
-    rng: str = "hash",
+    block: int = TREE_BLOCK,
 ) -> DataFrame:
     """One row per declared comparison `{a, b, metric, split, resampling_unit?, label?}`.
 
@@ -309,9 +287,9 @@ def interval_records(
         pair = pair_scores(here.where(F.col("run_id") == c["a"]), here.where(F.col("run_id") == c["b"]))
         unit = c.get("resampling_unit", "query")
         if unit == "meeting":
-            rec = paired_cluster_bootstrap(with_clusters(pair, clusters), draws, seed, rng=rng)
+            rec = paired_cluster_bootstrap(with_clusters(pair, clusters), draws, seed, block=block)
         else:
-            rec = paired_bootstrap(pair, draws, seed, rng=rng).withColumn("n_clusters", F.lit(None).cast("bigint"))
+            rec = paired_bootstrap(pair, draws, seed, block=block).withColumn("n_clusters", F.lit(None).cast("bigint"))
         rec = rec.select(
             F.lit(c["a"]).alias("run_a"),
             F.lit(c["b"]).alias("run_b"),

@@ -261,15 +261,18 @@ def fact_summary(spark, sf):
     return out.select(*[F.col(c) if c in whole else F.round(c, 6).alias(c) for c in out.columns])
 
 
+CLAIMS = f"""u0 AS (SELECT query_id, system, conv_id + turn + CASE system WHEN 'a' THEN 0 ELSE 1 END AS k,
+              {O.sentences('prediction')} AS claims FROM preds WHERE system IN ('a', 'c')),
+        u1 AS (SELECT query_id, system, unnest(list_filter(list_transform(range(1, len(claims) + 1), lambda i:
+              CASE WHEN (i + k + len(claims)) % 2 = 0 THEN claims[i] END), lambda x: x IS NOT NULL)) AS claim FROM u0 WHERE k % 13 <> 0)"""
+
+
 @register(
     "unsupported_claims",
     O.with_ctes(
         O.CHAT_QUERIES,
         LAST,
-        f"""u0 AS (SELECT query_id, system, conv_id + turn + CASE system WHEN 'a' THEN 0 ELSE 1 END AS k,
-              {O.sentences('prediction')} AS claims FROM preds WHERE system IN ('a', 'c')),
-        u1 AS (SELECT query_id, system, unnest(list_filter(list_transform(range(1, len(claims) + 1), lambda i:
-              CASE WHEN (i + k + len(claims)) % 2 = 0 THEN claims[i] END), lambda x: x IS NOT NULL)) AS claim FROM u0 WHERE k % 13 <> 0)""",
+        CLAIMS,
         select="SELECT query_id, system, claim FROM u1",
     ),
 )
@@ -285,7 +288,20 @@ def _claim_pool(spark, sf):
     return ours.unionByName(gold)
 
 
-@register("claim_packets")
+@register(
+    "claim_packets",
+    O.with_ctes(
+        O.CHAT_QUERIES,
+        LAST,
+        f"""{CLAIMS},
+        gold AS (SELECT query_id, '{protocol.GOLD_SOURCE}' AS source, unnest({O.sentences('reference')}) AS claim FROM queries),
+        pool AS (SELECT query_id, 'system-' || system AS source, claim FROM u1 UNION ALL SELECT * FROM gold),
+        numbered AS (SELECT *, row_number() OVER (PARTITION BY query_id
+            ORDER BY md5('{protocol.SEED}|' || query_id || '|' || source || '|' || claim), source, claim) AS k FROM pool)""",
+        select="""SELECT query_id, meeting_id, query, query_id || '__c' || lpad(CAST(k AS VARCHAR), CAST(greatest(2, len(CAST(k AS VARCHAR))) AS INTEGER), '0') AS claim_id, claim
+        FROM numbered JOIN queries USING (query_id)""",
+    ),
+)
 def claim_packets(spark, sf):
     return facts.claim_packets(facts.blinded_claims(_claim_pool(spark, sf)), V.chat_queries(spark, sf))
 

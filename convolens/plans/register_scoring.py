@@ -488,9 +488,38 @@ def cluster_bootstrap(spark, sf):
     return _rounded(resampling.paired_cluster_bootstrap(resampling.with_clusters(_pair(spark, sf), clusters)))
 
 
-@register("tree_bootstrap")
+# The same with many blocks: a block's share of a draw comes down the tree of halves.
+BLOCK = 16
+_Z = " + ".join(f"{resampling.hashed_sql(f'(draw * 16 + {j})', '(lo * 1048576 + hi)', protocol.SEED + 1)} / {resampling.PRIME}" for j in range(12))
+_FIRST = f"""CAST(least(greatest(floor(cnt * share + (({_Z}) - 6.0) * sqrt(cnt * share * (1.0 - share)) + 0.5), 0), cnt) AS BIGINT)"""
+
+
+@register(
+    "tree_bootstrap",
+    O.with_ctes(
+        O.CHAT_QUERIES,
+        LAST,
+        overlap_ctes(1),
+        _PAIR,
+        f"""size AS (SELECT count(*) AS n, CAST(ceil(count(*) / {BLOCK}) AS BIGINT) AS nb FROM pair),
+        num AS (SELECT *, row_number() OVER (ORDER BY query_id) - 1 AS idx FROM pair),
+        tree AS (
+          SELECT d.range AS draw, CAST(0 AS BIGINT) AS lo, nb AS hi, n AS cnt, n FROM range({DRAWS}) d, size
+          UNION ALL
+          SELECT draw, CASE WHEN side = 0 THEN lo ELSE mid END, CASE WHEN side = 0 THEN mid ELSE hi END,
+                 CASE WHEN side = 0 THEN first ELSE cnt - first END, n
+          FROM (SELECT *, {_FIRST} AS first FROM (
+                  SELECT *, (least(mid * {BLOCK}, n) - lo * {BLOCK}) / (least(hi * {BLOCK}, n) - lo * {BLOCK}) AS share
+                  FROM (SELECT *, (lo + hi) // 2 AS mid FROM tree WHERE hi - lo > 1))), (SELECT unnest([0, 1]) AS side)),
+        slots AS (SELECT draw, lo AS block, unnest(range(cnt)) AS slot, least({BLOCK}, n - lo * {BLOCK}) AS rows_in FROM tree WHERE hi - lo = 1),
+        picks AS (SELECT draw, block * {BLOCK} + {resampling.hashed_sql('draw', f'(slot + block * {4 * BLOCK})', protocol.SEED)} % rows_in AS idx FROM slots),
+        sums AS (SELECT draw, avg(d) AS m FROM picks JOIN num USING (idx) GROUP BY 1),
+        ci AS (SELECT list_sort(list(m)) AS ds, count_if(m > 0) / {DRAWS} AS p_b_better FROM sums)""",
+        select=f"SELECT {_OBS}, {_CI} FROM obs CROSS JOIN ci",
+    ),
+)
 def tree_bootstrap(spark, sf):
-    return _rounded(resampling.paired_bootstrap(_pair(spark, sf), rng="tree"))
+    return _rounded(resampling.paired_bootstrap(_pair(spark, sf), block=BLOCK))
 
 
 K = 10
@@ -527,7 +556,14 @@ def subsample(spark, sf):
     return out.select(*[F.round(c, 6).alias(c) if c in round_these else F.col(c) for c in out.columns])
 
 
-@register("seeded_sample")
+@register(
+    "seeded_sample",
+    O.with_ctes(
+        O.CHAT_QUERIES,
+        select=f"""SELECT query_id, CAST(row_number() OVER (ORDER BY query_id) - 1 AS INTEGER) AS place
+        FROM (SELECT query_id FROM queries ORDER BY md5('{protocol.SEED}:' || query_id), query_id LIMIT {protocol.JUDGE_SAMPLE})""",
+    ),
+)
 def seeded_sample(spark, sf):
     ids = V.chat_queries(spark, sf).select("query_id")
-    return resampling.seeded_sample(ids, protocol.JUDGE_SAMPLE, clip=True)
+    return resampling.seeded_sample(ids, protocol.JUDGE_SAMPLE)

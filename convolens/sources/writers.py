@@ -9,10 +9,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Reports are for reading: a longer table is a mistake, not something to print.
-REPORT_ROWS = 10_000
-
-
 def write_jsonl(df: DataFrame, path: str, mode: str = "error") -> None:
     """JSON lines, UTF-8, one file per task."""
     df.write.mode(mode).json(path)
@@ -23,13 +19,6 @@ def write_row(row: DataFrame, path: str, mode: str = "overwrite") -> None:
     row.coalesce(1).write.mode(mode).option("ignoreNullFields", "false").json(path)
 
 
-def _small(df: DataFrame) -> list:
-    rows = df.limit(REPORT_ROWS + 1).collect()
-    if len(rows) > REPORT_ROWS:
-        raise ValueError(f"a report has at most {REPORT_ROWS} rows; aggregate first")
-    return rows
-
-
 def number_text(value: Column, places: int, scale: float = 1.0, signed: bool = False) -> Column:
     """A number at fixed places, blank where it was not measured.
 
@@ -75,19 +64,35 @@ def index_rows(records: DataFrame) -> DataFrame:
     )
 
 
+def markdown_lines(df: DataFrame) -> DataFrame:
+    """Each row as a line of a Markdown table, in the order of `df`; NULL shows as a blank."""
+    cell = lambda c: F.regexp_replace(F.replace(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")), F.lit("|"), F.lit("\\|")), "\n", " ")
+    return df.select(F.concat(F.lit("| "), F.concat_ws(" | ", *[cell(c) for c in df.columns]), F.lit(" |")).alias("value"))
+
+
+def _frame(df: DataFrame, title: str | None, notes: Sequence[str]) -> tuple[list[str], list[str]]:
+    head = [f"# {title}", ""] if title else []
+    head += ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
+    return head, ["", *[f"- {n}" for n in notes]] if notes else []
+
+
 def markdown(df: DataFrame, title: str | None = None, notes: Sequence[str] = ()) -> str:
-    """A small table as Markdown; NULL shows as a blank."""
-    cell = lambda v: "" if v is None else str(v).replace("|", "\\|").replace("\n", " ")
-    lines = [f"# {title}", ""] if title else []
-    lines += ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
-    lines += ["| " + " | ".join(cell(v) for v in r) + " |" for r in _small(df)]
-    lines += ["", *[f"- {n}" for n in notes]] if notes else []
-    return "\n".join(lines) + "\n"
+    """A report for reading as one text. `write_markdown` writes tables of any length."""
+    head, tail = _frame(df, title, notes)
+    return "\n".join([*head, *[r.value for r in markdown_lines(df).collect()], *tail]) + "\n"
+
+
+def write_markdown(df: DataFrame, path: str, title: str | None = None, notes: Sequence[str] = (), mode: str = "overwrite") -> None:
+    """The same as text files, whose parts in order are the report; only its frame is the driver's."""
+    head, tail = _frame(df, title, notes)
+    text = lambda lines: df.sparkSession.createDataFrame([("\n".join(lines),)], "value string").coalesce(1)
+    parts = text(head).unionByName(markdown_lines(df))
+    (parts.unionByName(text(tail)) if tail else parts).write.mode(mode).text(path)
 
 
 def bar_chart(df: DataFrame, label: str, value: str, title: str) -> str:
     """Horizontal bars as SVG, the longest first; the same rows always give the same text."""
-    rows = [(r[0], r[1]) for r in _small(df.where(F.col(value).isNotNull()).select(label, value))]
+    rows = [(r[0], r[1]) for r in df.where(F.col(value).isNotNull()).select(label, value).collect()]
     rows.sort(key=lambda r: (-r[1], r[0]))
     top = max((v for _, v in rows), default=1.0) or 1.0
     height = 40 + 24 * len(rows)

@@ -22,9 +22,9 @@ def test_query_matches_sql(spark, con, sf_dir, name):
 
 
 def test_only_queries_beyond_sql_go_without():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {
-        "rouge_stemmed", "tree_bootstrap", "seeded_sample", "claim_packets",
-    }
+    from convolens.plans import catalogue
+
+    assert set(catalogue.QUERIES) - set(catalogue.ORACLES) == {"rouge_stemmed"}
 
 
 def test_entry_gives_a_prompt_per_query(spark):
@@ -47,8 +47,3 @@ def test_claim_packets_hold_every_claim_once(spark, sf_dir):
     marked = facts.unsupported_claims(V.marking_replies(spark, sf_dir)).count()
     gold = sum(len(r.facts) for r in V.fact_lists(spark, sf_dir).collect())
     assert len(rows) == marked + gold
-
-
-def test_tree_bootstrap_is_repeatable(spark, sf_dir):
-    run = lambda: tuple(entry.queries()["tree_bootstrap"](spark, sf_dir).first())
-    assert run() == run()

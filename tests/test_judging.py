@@ -210,12 +210,18 @@ def test_run_names_and_vendors(spark):
     assert v == ["openai", "openai", "anthropic", "google", None, None]
 
 
-def test_batch_prefix_always_sends_one(spark):
+def test_batch_prefix_always_sends_one(spark, monkeypatch):
     df = spark.createDataFrame([(i, e) for i, e in enumerate([900.0, 600.0, 700.0, 512.0])], "ord int, est_tokens double")
-    first = lambda cap: [r.ord for r in costs.batch_prefix(df, "ord", cap).orderBy("ord").collect()]
+
+    def first(cap):
+        monkeypatch.setitem(costs.ENQUEUE_CAPS, "model", cap)
+        return [r.ord for r in costs.batch_prefix(df, "ord", "model").orderBy("ord").collect()]
+
     assert first(100) == [0]
     assert first(2000) == [0, 1]
     assert first(4000) == [0, 1, 2, 3]
+    with pytest.raises(Exception, match="estimate below"):
+        costs.batch_prefix(spark.createDataFrame([(0, 5.0)], "ord int, est_tokens double"), "ord").collect()
 
 
 def test_request_settings(spark):

@@ -2,6 +2,7 @@ import random
 import statistics
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -20,57 +21,61 @@ def _random(n, seed=1):
     return [rng.random() for _ in range(n)]
 
 
-def test_sequential_generator_matches_model(spark):
+def test_observed_figures(spark):
     a, b = _random(40, 1), _random(40, 2)
-    got = R.paired_bootstrap(_scores(spark, a, b), draws=400, seed=7, rng="mt").first()
-    lo, hi, p = models.bootstrap(a, b, 400, 7)
-    assert (got.ci95_low, got.ci95_high) == pytest.approx((lo, hi), abs=1e-12)
-    assert got.p_b_better == p
+    got = R.paired_bootstrap(_scores(spark, a, b), draws=400, seed=7).first()
     assert got.n_shared == 40 and got.observed_diff == pytest.approx(statistics.mean(b) - statistics.mean(a))
     assert got.median_abs_per_query_diff == pytest.approx(statistics.median(abs(y - x) for x, y in zip(a, b)))
     assert got.per_query_b_wins == sum(y > x for x, y in zip(a, b))
 
 
-@pytest.mark.parametrize("rng", ["mt", "hash", "tree"])
-def test_identical_systems_do_not_differ(spark, rng):
+@pytest.mark.parametrize("block", [65536, 8])
+def test_identical_systems_do_not_differ(spark, block):
     a = _random(30)
-    got = R.paired_bootstrap(_scores(spark, a, a), draws=200, rng=rng).first()
+    got = R.paired_bootstrap(_scores(spark, a, a), draws=200, block=block).first()
     assert got.observed_diff == 0 and got.ci95_low == 0 and got.ci95_high == 0
     assert got.p_b_better == 0 and got.per_query_ties == 30 and got.crosses_zero
 
 
-@pytest.mark.parametrize("rng", ["mt", "hash", "tree"])
-def test_a_uniform_shift_excludes_zero(spark, rng):
+@pytest.mark.parametrize("block", [65536, 8])
+def test_a_uniform_shift_excludes_zero(spark, block):
     a = _random(30)
-    got = R.paired_bootstrap(_scores(spark, a, [x + 0.1 for x in a]), draws=200, rng=rng).first()
+    got = R.paired_bootstrap(_scores(spark, a, [x + 0.1 for x in a]), draws=200, block=block).first()
     assert got.ci95_low == pytest.approx(0.1) and got.ci95_high == pytest.approx(0.1) and got.p_b_better == 1
     assert not got.crosses_zero
 
 
-def test_the_three_ways_agree_on_the_interval(spark):
+def test_blocks_agree_with_the_sequential_generator_on_the_interval(spark):
     a, b = _random(200, 3), _random(200, 4)
-    ci = {}
-    for rng in ("mt", "hash", "tree"):
-        r = R.paired_bootstrap(_scores(spark, a, b), draws=3000, rng=rng).first()
-        ci[rng] = (r.ci95_low, r.ci95_high)
-    width = ci["mt"][1] - ci["mt"][0]
-    for rng in ("hash", "tree"):
-        assert abs(ci[rng][0] - ci["mt"][0]) < 0.15 * width and abs(ci[rng][1] - ci["mt"][1]) < 0.15 * width
-
-
-def test_tree_over_many_blocks_draws_n_of_n(spark, monkeypatch):
-    monkeypatch.setattr(R, "TREE_BLOCK", 16)
-    n = 150
-    shares = [R._tree_share(5, n, -(-n // 16), b, 300) for b in range(-(-n // 16))]
+    lo, hi, _ = models.bootstrap(a, b, 3000, 7)
+    for block in (65536, 32):
+        r = R.paired_bootstrap(_scores(spark, a, b), draws=3000, block=block).first()
+        assert abs(r.ci95_low - lo) < 0.15 * (hi - lo) and abs(r.ci95_high - hi) < 0.15 * (hi - lo)
+
+
+def test_many_blocks_draw_n_of_n():
+    n, size = 150, 16
+    shares = [R._tree_share(5, n, -(-n // size), b, 300, size) for b in range(-(-n // size))]
     assert all(sum(s[d] for s in shares) == n for d in range(300))
     assert shares[0].mean() == pytest.approx(16, rel=0.1)
     assert shares[-1].mean() == pytest.approx(n % 16, rel=0.15)
+    # A share's variance is that of n trials.
+    assert shares[0].var() == pytest.approx(n * (16 / n) * (1 - 16 / n), rel=0.35)
+
+
+def test_shares_of_very_many_units_reach_every_block():
+    n = 2**33
+    blocks = -(-n // R.TREE_BLOCK)
+    for b in (0, blocks // 2, blocks - 1):
+        assert R._tree_share(5, n, blocks, b, 20, R.TREE_BLOCK).mean() == pytest.approx(R.TREE_BLOCK, rel=0.02)
+    high = R.hashed_array(np.int64(3), np.arange(2000, dtype=np.int64) + (blocks - 1) * 4 * R.TREE_BLOCK, 1) % R.TREE_BLOCK
+    assert high.min() < 1000 and high.max() > R.TREE_BLOCK - 1000
 
 
 def test_clusters_are_equally_likely_and_keep_their_queries(spark):
     rows = [(f"q{i}", "big" if i < 10 else "small", 0.0, 1.0 if i < 10 else 0.0) for i in range(11)]
     df = spark.createDataFrame(rows, "query_id string, cluster_id string, a double, b double")
-    got = R.paired_cluster_bootstrap(df, draws=500, rng="mt").first()
+    got = R.paired_cluster_bootstrap(df, draws=500).first()
     assert got.n_clusters == 2 and got.n_shared == 11
     assert got.observed_diff == pytest.approx(10 / 11)
     # A draw is big+big, small+small, or one of each: means 1, 0 and 10/11.
@@ -111,12 +116,12 @@ def test_hashed_picks_are_uniform_and_equal_in_sql(spark):
     assert chi2 < 150  # 96 degrees of freedom: the mean is 96, the deviation 14
 
 
-def test_seeded_sample_is_pythons(spark):
-    ids = [f"id{i}" for i in range(200)]
-    df = spark.createDataFrame([(i,) for i in ids], "query_id string").repartition(7)
-    want = sorted(random.Random(20260723).sample(sorted(ids), 25))
-    got = [r.query_id for r in R.seeded_sample(df, 25).orderBy("place").collect()]
-    assert got == want
+def test_seeded_sample_depends_on_seed_and_ids_alone(spark):
+    df = spark.createDataFrame([(f"id{i:03d}",) for i in range(200)], "query_id string").repartition(7)
+    take = lambda frame, n, seed: [r.query_id for r in R.seeded_sample(frame, n, seed).orderBy("place").collect()]
+    one = take(df, 25, 1)
+    assert one == sorted(one) == take(df.repartition(3), 25, 1) and len(one) == 25
+    assert one != take(df, 25, 2) and take(df, 500, 1) == sorted(r.query_id for r in df.collect())
 
 
 def test_interval_records(spark):

@@ -134,24 +134,15 @@ def test_a_model_scorer_sees_batches(spark):
 def test_model_sources_keep_lines_as_they_are(spark):
     utts = {"m0": [("A", "one  two"), ("B", "three"), ("C", "four")]}
     u, q = _frames(spark, utts, [("x", "m0", "val", "general", "q", "r", [])])
-    full = lambda n: prompts.model_sources(u, q, "full", model_words=n).first().source
-    assert full(3) == "A: one  two"
-    assert full(4) == "A: one  two\nB: three"
-    assert full(99) == "A: one  two\nB: three\nC: four"
+    assert prompts.model_sources(u, q, "full").first().source == "A: one  two\nB: three\nC: four"
+    long, ql = _frames(spark, {"m0": [("A", "w " * 30)] * 1000}, [("x", "m0", "val", "general", "q", "r", [])])
+    assert len(prompts.model_sources(long, ql, "full").first().source.split()) == 31_000
     packed = retrieval.locate(u, q, chunk_words=3, budgets=5)
     assert prompts.model_sources(u, q, "spans", packed).count() == 1
     with pytest.raises(ValueError):
         prompts.model_sources(u, q, "spans")
 
 
-def test_run_arguments():
-    ok = prompts.run_argument_error
-    assert ok("a", None, "embed") is None and ok(None, "b", "none", 4500) is None
-    assert ok("a", "b", "embed") and ok(None, None, "embed")
-    assert ok("a", None, "none") and ok("a", None, "embed", 4500)
-    assert ok("a", None, "none", 4500, chunk_words=3) and ok("a", None, "none", 4500, "ckpt")
-
-
 def test_training_targets_do_not_depend_on_the_spreading(spark, monkeypatch):
     utts, queries = _data(12, [9, 80, 200], 6)
     u, q = _frames(spark, utts, queries)

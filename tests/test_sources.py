@@ -145,26 +145,23 @@ def test_json_lines_round_trip(spark, tmp_path):
 # --- plug-ins and the collector ---------------------------------------------------------------
 
 
-class OverloadedError(Exception):
-    pass
-
-
-def test_retries_only_what_may_pass():
+def test_only_transient_failures_are_tried_again():
     calls, naps = [], []
 
     def flaky():
         calls.append(1)
         if len(calls) < 3:
-            raise OverloadedError()
+            raise plugins.Transient()
         return "ok"
 
-    assert plugins.with_retry(flaky, sleep=naps.append) == "ok"
-    assert len(naps) == 2 and 1 <= naps[0] < 3 and 2 <= naps[1] < 6
+    assert plugins.persistent(flaky, sleep=naps.append) == "ok"
+    assert len(naps) == 2 and 2 <= naps[0] <= 3 and 4 <= naps[1] <= 6
     with pytest.raises(KeyError):
-        plugins.with_retry(lambda: {}["x"], sleep=naps.append)
+        plugins.persistent(lambda: {}["x"], sleep=naps.append)
     assert len(naps) == 2
-    with pytest.raises(OverloadedError):
-        plugins.with_retry(lambda: (_ for _ in ()).throw(OverloadedError()), attempts=2, sleep=naps.append)
+    with pytest.raises(plugins.Transient):
+        plugins.persistent(lambda: (_ for _ in ()).throw(plugins.Transient()), (0.5,), naps.append)
+    assert len(naps) == 3
 
 
 def test_generator_and_client(spark):
@@ -276,6 +273,21 @@ def test_strict_rescoring_fails_on_drift(spark):
         maintenance.rescored_rows(old, old.withColumn("rouge2", F.lit(0.5))).collect()
 
 
+def test_spread_sample_orders_by_length_and_then_by_any_id(spark):
+    df = spark.createDataFrame([(1, 2**33), (2, 5), (1, 7), (3, 2**40), (2, 2**35)], "n int, id bigint")
+    got = sorted((r["rank"], r.n, r.id) for r in maintenance.length_spread_sample(df, "n", "id", 9).collect())
+    assert got == [(0, 1, 7), (1, 1, 2**33), (2, 2, 5), (3, 2, 2**35), (4, 3, 2**40)]
+    assert sorted(r["rank"] for r in maintenance.length_spread_sample(df, "n", "id", 3).collect()) == [0, 2, 4]
+
+
+def test_long_tables_are_written_as_markdown(spark, tmp_path):
+    df = spark.range(12_000).selectExpr("id", "CASE WHEN id = 3 THEN 'a|b' END AS t").coalesce(2).orderBy("id")
+    writers.write_markdown(df, str(tmp_path / "md"), "T", ["note"])
+    lines = "".join(p.read_text() for p in sorted((tmp_path / "md").glob("part-*"))).splitlines()
+    assert lines[:4] == ["# T", "", "| id | t |", "|---|---|"] and lines[7] == "| 3 | a\\|b |"
+    assert len(lines) == 12_006 and lines[-1] == "- note"
+
+
 def test_probe_ranks_round_halves_to_even():
     assert maintenance.probe_ranks(10, 1) == [9]
     assert maintenance.probe_ranks(4, 9) == [0, 1, 2, 3]
