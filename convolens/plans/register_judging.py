@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from convolens import protocol
 from convolens.functions import rouge as R
 from convolens.operators import alignment, attribution, costs, facts, judging, prompts, resampling, retrieval, targets
-from convolens.operators.indexing import with_row_index
 from convolens.plans import oracle as O
 from convolens.plans import views as V
 from convolens.plans.catalogue import ORACLES, register
@@ -458,68 +457,58 @@ def attribution_query(spark, sf):
 
 
 def _alignment_files(spark, sf):
-    """The second turns in order are the references; the predictions are their openings, one gone."""
-    turns = V.table(spark, sf, "conversations").where(F.col("turn") == 1).select("conv_id", "text")
-    refs = with_row_index(turns, "conv_id", "j").select(F.lit("answers").alias("file_id"), "j", "text")
-    gone = refs.count() // 3
-    i = F.when(F.col("j") > gone, F.col("j") - 1).otherwise(F.col("j"))
-    opening = F.substring("text", 1, 200)
-    preds = refs.where(F.col("j") != gone).select("file_id", i.alias("i"), opening.alias("text"))
-    return preds, refs
+    """A file for each conversation: its turns are the references, and the predictions are all but one of them."""
+    turns = V.table(spark, sf, "conversations").select(F.col("conv_id").cast("string").alias("file_id"), F.col("turn").alias("j"), "text")
+    gone = turns.groupBy("file_id").agg(F.floor(F.count("*") / 3).alias("gone"))
+    i = F.when(F.col("j") > F.col("gone"), F.col("j") - 1).otherwise(F.col("j"))
+    preds = turns.join(gone, "file_id").where(F.col("j") != F.col("gone")).select("file_id", i.alias("i"), "text")
+    return preds, turns
 
 
 _FILES = f"""
-refs AS (SELECT conv_id, text, row_number() OVER (ORDER BY conv_id) - 1 AS j FROM conversations WHERE turn = 1),
-gone AS (SELECT count(*) // 3 AS g FROM refs),
-apreds AS (SELECT CASE WHEN j > g THEN j - 1 ELSE j END AS i, substring(text, 1, 200) AS text FROM refs, gone WHERE j <> g),
-pt AS (SELECT i, {O.tokens('text')} AS t FROM apreds),
-rt AS (SELECT j, {O.tokens('text')} AS t FROM refs),
-pcnt AS (SELECT i, tok, count(*) AS c FROM (SELECT i, unnest(t) AS tok FROM pt) GROUP BY ALL),
-rcnt AS (SELECT j, tok, count(*) AS c FROM (SELECT j, unnest(t) AS tok FROM rt) GROUP BY ALL),
-shared AS (SELECT i, j, sum(least(pcnt.c, rcnt.c)) AS h FROM pcnt JOIN rcnt USING (tok) GROUP BY ALL),
-sim AS (SELECT pt.i, rt.j, coalesce(h, 0) AS h, CASE WHEN coalesce(h, 0) = 0 THEN 0.0 ELSE
+refs AS (SELECT CAST(conv_id AS VARCHAR) AS file_id, turn AS j, text, count(*) OVER (PARTITION BY conv_id) AS nr FROM conversations),
+apreds AS (SELECT file_id, CASE WHEN j > nr // 3 THEN j - 1 ELSE j END AS i, text FROM refs WHERE j <> nr // 3),
+pt AS (SELECT file_id, i, {O.tokens('text')} AS t FROM apreds),
+rt AS (SELECT file_id, j, nr, {O.tokens('text')} AS t FROM refs),
+pcnt AS (SELECT file_id, i, tok, count(*) AS c FROM (SELECT file_id, i, unnest(t) AS tok FROM pt) GROUP BY ALL),
+rcnt AS (SELECT file_id, j, tok, count(*) AS c FROM (SELECT file_id, j, unnest(t) AS tok FROM rt) GROUP BY ALL),
+shared AS (SELECT file_id, i, j, sum(least(pcnt.c, rcnt.c)) AS h FROM pcnt JOIN rcnt USING (file_id, tok) GROUP BY ALL),
+sim AS (SELECT pt.file_id, pt.i, rt.j, rt.nr, coalesce(h, 0) AS h, CASE WHEN coalesce(h, 0) = 0 THEN 0.0 ELSE
    2 * (h / len(pt.t)) * (h / len(rt.t)) / (h / len(pt.t) + h / len(rt.t)) END AS sim
-   FROM pt CROSS JOIN rt LEFT JOIN shared ON shared.i = pt.i AND shared.j = rt.j),
-sz AS (SELECT (SELECT count(*) FROM apreds) AS np, (SELECT count(*) FROM refs) AS nr)
+   FROM pt JOIN rt ON rt.file_id = pt.file_id LEFT JOIN shared ON shared.file_id = pt.file_id AND shared.i = pt.i AND shared.j = rt.j)
 """
 
 
 @register(
     "similarity_band",
-    O.with_ctes(
-        _FILES, select="SELECT i, CAST(j - i AS INTEGER) AS o, round(sim, 6) AS sim FROM sim, sz WHERE j - i BETWEEN 0 AND nr - np"
-    ),
+    O.with_ctes(_FILES, select="SELECT file_id, i, CAST(j - i AS INTEGER) AS o, round(sim, 6) AS sim FROM sim WHERE j - i IN (0, 1)"),
 )
 def similarity_band(spark, sf):
-    return alignment.band(*_alignment_files(spark, sf)).select("i", "o", F.round("sim", 6).alias("sim"))
+    return alignment.band(*_alignment_files(spark, sf)).select("file_id", "i", "o", F.round("sim", 6).alias("sim"))
 
 
 # With one reference gone the best mapping is the best place to switch from offset 0 to 1.
 _SWITCH = """
-b AS (SELECT i, max(sim) FILTER (j = i) AS s0, max(sim) FILTER (j = i + 1) AS s1 FROM sim WHERE j - i IN (0, 1) GROUP BY 1),
-t AS (SELECT i, coalesce(sum(s0) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
-           + sum(s1) OVER (ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS total FROM b),
-best AS (SELECT arg_max(i, (round(total, 9), -i)) AS sw FROM t),
-map AS (SELECT i, CASE WHEN i >= sw THEN i + 1 ELSE i END AS j FROM b, best)
+b AS (SELECT file_id, i, max(sim) FILTER (j = i) AS s0, max(sim) FILTER (j = i + 1) AS s1 FROM sim WHERE j - i IN (0, 1) GROUP BY 1, 2),
+t AS (SELECT file_id, i, coalesce(sum(s0) OVER (PARTITION BY file_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+           + sum(s1) OVER (PARTITION BY file_id ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS total FROM b),
+best AS (SELECT file_id, arg_max(i, (round(total, 9), -i)) AS sw FROM t GROUP BY 1),
+map AS (SELECT file_id, i, CASE WHEN i >= sw THEN i + 1 ELSE i END AS j FROM b JOIN best USING (file_id))
 """
 
 
-@register("align", O.with_ctes(_FILES, _SWITCH, select="SELECT i, CAST(j AS BIGINT) AS j FROM map"))
+@register("align", O.with_ctes(_FILES, _SWITCH, select="SELECT file_id, i, CAST(j AS BIGINT) AS j FROM map"))
 def align(spark, sf):
-    return alignment.align(alignment.band(*_alignment_files(spark, sf))).select("i", "j")
+    return alignment.align(alignment.band(*_alignment_files(spark, sf)))
 
 
-@register(
-    "rigid_offset",
-    O.with_ctes(
-        _FILES,
-        select="""SELECT round(greatest(max(m), 0.0), 6) AS rigid FROM (SELECT j - i AS o, avg(sim) AS m FROM sim, sz
-          WHERE j - i BETWEEN 0 AND nr - np GROUP BY 1)""",
-    ),
-)
+_RIGID = "SELECT file_id, greatest(max(m), 0.0) AS rigid FROM (SELECT file_id, j - i AS o, avg(sim) AS m FROM sim WHERE j - i IN (0, 1) GROUP BY 1, 2) GROUP BY 1"
+
+
+@register("rigid_offset", O.with_ctes(_FILES, select=f"SELECT file_id, round(rigid, 6) AS rigid FROM ({_RIGID})"))
 def rigid_offset(spark, sf):
     rows = alignment.band(*_alignment_files(spark, sf))
-    return alignment.rigid_offset(rows).select(F.round("rigid", 6).alias("rigid"))
+    return alignment.rigid_offset(rows).select("file_id", F.round("rigid", 6).alias("rigid"))
 
 
 @register(
@@ -527,30 +516,28 @@ def rigid_offset(spark, sf):
     O.with_ctes(
         _FILES,
         _SWITCH,
-        """m AS (SELECT s.i, s.j, s.sim FROM map JOIN sim s USING (i, j)),
-        per AS (SELECT m.i, any_value(m.sim) AS sim, count_if(s.j <> m.j AND s.sim < m.sim) / (any_value(nr) - 1) AS pct,
+        f"""m AS (SELECT s.file_id, s.i, s.j, s.sim, s.nr FROM map JOIN sim s USING (file_id, i, j)),
+        per AS (SELECT m.file_id, m.i, any_value(m.nr) AS nr, any_value(m.sim) AS sim, count_if(s.j <> m.j AND s.sim < m.sim) / (any_value(m.nr) - 1) AS pct,
             sum(s.sim) FILTER (s.j <> m.j) AS other,
-            count_if(s.j <> m.j AND (s.sim > m.sim OR (s.sim = m.sim AND s.j < m.j))) = 0 AS top FROM m JOIN sim s ON s.i = m.i, sz GROUP BY m.i),
-        rig AS (SELECT greatest(max(x), 0.0) AS rigid FROM (SELECT avg(sim) AS x FROM sim, sz WHERE j - i BETWEEN 0 AND nr - np GROUP BY j - i))""",
-        select="""SELECT count(*) AS n_predictions, any_value(nr) AS n_references, round(avg(sim), 4) AS mean_matched_similarity,
-          round(avg(pct), 4) AS mean_matched_percentile, round(sum(other) / (count(*) * (any_value(nr) - 1)), 4) AS mean_unmatched_similarity,
-          round(avg(CASE WHEN top THEN 1.0 ELSE 0.0 END), 4) AS top1_recovery,
-          round(avg(sim) / any_value(rigid), 4) AS margin_over_rigid FROM per, sz, rig""",
+            count_if(s.j <> m.j AND (s.sim > m.sim OR (s.sim = m.sim AND s.j < m.j))) = 0 AS top
+          FROM m JOIN sim s ON s.file_id = m.file_id AND s.i = m.i GROUP BY 1, 2),
+        rig AS ({_RIGID}),
+        f AS (SELECT file_id, count(*) AS n_predictions, any_value(nr) AS n_references, any_value(nr) - count(*) AS slack,
+            round(avg(sim), 4) AS mean_matched_similarity, round(avg(pct), 4) AS mean_matched_percentile,
+            round(sum(other) / (count(*) * (any_value(nr) - 1)), 4) AS mean_unmatched_similarity,
+            round(avg(CASE WHEN top THEN 1.0 ELSE 0.0 END), 4) AS top1_recovery,
+            round(avg(CASE WHEN top THEN 1.0 ELSE 0.0 END) * any_value(nr), 2) AS top1_lift_over_chance,
+            round(any_value(rigid), 4) AS best_rigid_offset_similarity,
+            CASE WHEN any_value(rigid) > 0 THEN round(avg(sim) / any_value(rigid), 4) END AS margin_over_rigid, true AS monotone
+          FROM per JOIN rig USING (file_id) GROUP BY 1)""",
+        select=f"""SELECT *, mean_matched_similarity >= {protocol.MIN_MEAN_SIM} AND mean_matched_percentile >= {protocol.MIN_MEAN_PERCENTILE}
+          AND top1_lift_over_chance >= {protocol.MIN_TOP1_LIFT} AND coalesce(margin_over_rigid, 0.0) >= {protocol.MIN_MARGIN} AS passed FROM f""",
     ),
 )
 def alignment_controls(spark, sf):
     preds, refs = _alignment_files(spark, sf)
     rows = alignment.band(preds, refs)
-    out = alignment.verify(preds, refs, alignment.align(rows), rows)
-    return out.select(
-        "n_predictions",
-        "n_references",
-        "mean_matched_similarity",
-        "mean_matched_percentile",
-        "mean_unmatched_similarity",
-        "top1_recovery",
-        "margin_over_rigid",
-    )
+    return alignment.verify(preds, refs, alignment.align(rows), rows)
 
 
 # --- training targets -------------------------------------------------------------------------

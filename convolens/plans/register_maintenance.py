@@ -210,7 +210,7 @@ def length_spread(spark, sf):
 
 
 # Word lengths stand in for token ids.
-SIZE, MOST = 32, 6
+SIZE, MOST = 512, 32
 _IDS = f"""
 ids AS (SELECT doc_id, list_transform({O.words('text')}, lambda w: CAST(len(w) AS INTEGER)) AS t, (doc_id % 7) + 1 AS np FROM documents),
 w AS (SELECT doc_id, np, {SIZE} - np AS width, t[1:{MOST} * ({SIZE} - np)] AS t FROM ids),
@@ -247,8 +247,8 @@ def chunk_tokens(spark, sf):
 
 @register(
     "padded_batches",
-    f"""WITH e AS (SELECT doc_id, doc_id // 16 AS batch, CAST(least(len({O.words('text')}) + 5, 128) AS BIGINT) AS n,
-        least(5, 128) AS np FROM documents),
+    f"""WITH e AS (SELECT doc_id, doc_id // 16 AS batch, CAST(least(len({O.words('text')}) + 5, {SIZE * MOST}) AS BIGINT) AS n,
+        5 AS np FROM documents),
     m AS (SELECT batch, max(n) AS top FROM e GROUP BY 1)
     SELECT doc_id, top AS width, n AS ones, top - n + np AS ignored FROM e JOIN m USING (batch)""",
 )
@@ -257,7 +257,7 @@ def padded_batches(spark, sf):
         "doc_id",
         F.floor(F.col("doc_id") / 16).alias("batch"),
         chunks.masked_example(
-            F.array_repeat(F.lit(7), 5), F.transform(T.words(F.col("text")), F.length), 128
+            F.array_repeat(F.lit(7), 5), F.transform(T.words(F.col("text")), F.length), SIZE * MOST
         ).alias("e"),
     )
     rows = chunks.padded_batches(docs.select("doc_id", "batch", "e.*"), ["batch"], 0)
@@ -302,7 +302,7 @@ def _raw(spark, sf):
         F.transform(parts, lambda x: F.struct(F.col("source").alias("speaker"), x.alias("content"))).alias("meeting_transcripts"),
         F.array(F.struct(parts[0].alias("query"), F.element_at(parts, -1).alias("answer"))).alias("general_query_list"),
         F.transform(
-            F.slice(parts, 1, 3),
+            parts,
             lambda x: F.struct(x.alias("query"), F.concat(F.lit("re: "), x).alias("answer"), F.when(F.length(x) % 2 == 0, span).alias("relevant_text_span")),
         ).alias("specific_query_list"),
     )
@@ -323,7 +323,7 @@ def normalize_utterances(spark, sf):
     "normalize_queries",
     O.with_ctes(
         O.DOC_LINES,
-        """k AS (SELECT doc_id, text, utt_idx FROM doc_parts WHERE utt_idx < 3)""",
+        """k AS (SELECT doc_id, text, utt_idx FROM doc_parts)""",
         select="""SELECT 'val_' || doc_id || '_g0' AS query_id, 'general' AS query_type, parts[1] AS query, parts[-1] AS reference,
             '' AS spans FROM split_docs
           UNION ALL SELECT 'val_' || doc_id || '_s' || utt_idx, 'specific', text, 're: ' || text,
