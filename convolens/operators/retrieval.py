@@ -16,8 +16,8 @@ from convolens.operators.indexing import bucket_of, number_in_order, range_cuts
 from convolens.operators.windows import BLOCK_LINES, build_windows, is_multi_block
 from convolens.session import keep
 
-# Tasks that share a transcript's windows when transcripts are long enough to need it.
-HOT_SALTS = 32
+# Windows of one transcript that one task may see when transcripts are long enough to need it.
+HOT_WINDOWS = 256
 # Queries of one transcript that one task may see.
 CROWD = 512
 
@@ -47,11 +47,15 @@ def query_windows(windows: DataFrame, queries: DataFrame, hot: bool = False, cro
     `crowded`, their queries go to several tasks and the windows of those transcripts are copied.
     """
     q = queries.select("query_id", "meeting_id", "query_type", "query", "reference", "gold_spans")
-    w = windows
+    # Tokens once per query and once per window; what no scorer reads is pruned.
+    q = q.withColumn("__q", F.array_distinct(alnum_tokens(F.col("query"))))
+    w = windows.withColumn("__w", F.array_distinct(alnum_tokens(F.col("text"))))
     keys = ["meeting_id"]
     if hot:
-        w = w.withColumn("salt", F.col("win_idx") % HOT_SALTS)
-        q = q.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(HOT_SALTS - 1))))
+        # Each transcript by its own number of parts: short ones stay whole.
+        salts = windows.groupBy("meeting_id").agg(F.ceil(F.count(F.lit(1)) / HOT_WINDOWS).cast("int").alias("salts"))
+        w = w.join(salts, "meeting_id").withColumn("salt", F.col("win_idx") % F.col("salts")).drop("salts")
+        q = q.join(salts, "meeting_id").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
         keys.append("salt")
     if crowded:
         parts = (
@@ -86,8 +90,7 @@ def locator_pairs(pairs: DataFrame) -> DataFrame:
 
 def lexical_scorer(pairs: DataFrame) -> DataFrame:
     """Distinct shared tokens. The deterministic stand-in where no model is at hand."""
-    shared = F.size(F.array_intersect(alnum_tokens(F.col("query")), alnum_tokens(F.col("text"))))
-    return pairs.withColumn("score", shared.cast("double"))
+    return pairs.withColumn("score", F.size(F.array_intersect("__q", "__w")).cast("double")).drop("__q", "__w")
 
 
 def model_scorer(load: Callable[[], Callable[[list[str], list[str]], Sequence[float]]], name: str) -> Scorer:
@@ -101,7 +104,7 @@ def model_scorer(load: Callable[[], Callable[[list[str], list[str]], Sequence[fl
             model = plugins.once(name, load)
             return pd.Series(model(query.tolist(), text.tolist()), dtype="float64")
 
-        return pairs.withColumn("score", predict("query", "text"))
+        return pairs.drop("__q", "__w").withColumn("score", predict("query", "text"))
 
     return score
 
@@ -121,6 +124,7 @@ def embedding_scorer(window_vectors: DataFrame, query_vectors: DataFrame) -> Sco
     """Cosine of stored vectors: `(meeting_id, start, vector)` and `(query_id, vector)`."""
 
     def score(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.drop("__q", "__w")
         w = window_vectors.select("meeting_id", "start", F.col("vector").alias("__w"))
         q = query_vectors.select("query_id", F.col("vector").alias("__q"))
         return (
