@@ -6,6 +6,10 @@ from __future__ import annotations
 WS = r"[\s\x0b\x1c-\x1f\x{85}\pZ]+"
 
 
+def literal(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
 def words(text: str) -> str:
     return f"list_filter(regexp_split_to_array({text}, '{WS}'), lambda x: x <> '')"
 

@@ -182,26 +182,27 @@ def position_swap(spark, sf):
     return judging.judge_sample(ids("documents"), ids("labels"), n=None)
 
 
+_SHOWN = """chr(10) || chr(10) || 'Summary A:' || chr(10) || CASE WHEN swap THEN b.prediction ELSE a.prediction END
+            || chr(10) || chr(10) || 'Summary B:' || chr(10) || CASE WHEN swap THEN a.prediction ELSE b.prediction END"""
+
+
 @register(
     "judge_prompts",
     O.with_ctes(
         O.CHAT_QUERIES,
         LAST,
         """o AS (SELECT query_id, (row_number() OVER (ORDER BY query_id) - 1) % 2 = 1 AS swap FROM queries)""",
-        select="""SELECT a.query_id, o.swap, a.query_id || '-' || CASE WHEN swap THEN 'ba' ELSE 'ab' END AS cache_key,
-          md5('Query: ' || a.query || chr(10) || chr(10) || 'Reference answer:' || chr(10) || a.reference
-            || chr(10) || chr(10) || 'Summary A:' || chr(10) || CASE WHEN swap THEN b.prediction ELSE a.prediction END
-            || chr(10) || chr(10) || 'Summary B:' || chr(10) || CASE WHEN swap THEN a.prediction ELSE b.prediction END) AS body
+        select=f"""SELECT a.query_id, o.swap, a.query_id || '-' || CASE WHEN swap THEN 'ba' ELSE 'ab' END AS cache_key,
+          {O.literal(prompts.GROUNDED)} || a.query || chr(10) || chr(10) || 'Reference answer:' || chr(10) || a.reference || {_SHOWN} AS grounded,
+          {O.literal(prompts.BLIND)} || a.query || {_SHOWN} AS preference
           FROM preds a JOIN preds b USING (query_id) JOIN o USING (query_id) WHERE a.system = 'a' AND b.system = 'c'""",
     ),
 )
 def judge_prompts(spark, sf):
     a, c = V.predictions(spark, sf, "a"), V.predictions(spark, sf, "c")
     sample = judging.judge_sample(a, c, n=None)
-    rows = judging.judge_requests(sample, V.chat_queries(spark, sf), a, c, "grounded")
-    # Only the part behind the fixed instructions is compared.
-    body = F.regexp_extract("prompt", r"(?s)'VERDICT: TIE'\.\n\n(.*)\z", 1)
-    return rows.select("query_id", "swap", "cache_key", F.md5(body).alias("body"))
+    asked = lambda mode: judging.judge_requests(sample, V.chat_queries(spark, sf), a, c, mode).withColumnRenamed("prompt", mode)
+    return asked("grounded").join(asked("preference").select("query_id", "preference"), "query_id")
 
 
 # --- facts ------------------------------------------------------------------------------------
@@ -658,20 +659,16 @@ def rebuilt_prompts(spark, sf):
         LAST,
         f"""f AS (SELECT query_id, query, reference, prediction, {O.sentences('reference')} AS ss FROM preds WHERE system = 'a'),
         n AS (SELECT *, array_to_string(list_transform(ss, lambda s, i: i || '. ' || s), chr(10)) AS numbered FROM f)""",
-        select="""SELECT query_id, md5('Query: ' || query || chr(10) || chr(10) || 'Reference facts:' || chr(10) || numbered
-            || chr(10) || chr(10) || 'Summary:' || chr(10) || prediction) AS mark_body,
-          md5('Query: ' || query || chr(10) || chr(10) || 'Reference answer:' || chr(10) || reference) AS extract_body FROM n""",
+        select=f"""SELECT query_id, {O.literal(prompts.MARK)} || query || chr(10) || chr(10) || 'Reference facts:' || chr(10) || numbered
+            || chr(10) || chr(10) || 'Summary:' || chr(10) || prediction AS mark,
+          {O.literal(prompts.EXTRACT)} || query || chr(10) || chr(10) || 'Reference answer:' || chr(10) || reference AS extract FROM n""",
     ),
 )
 def fact_prompts(spark, sf):
     q = V.chat_queries(spark, sf)
     marks = facts.marking_requests(q, V.fact_lists(spark, sf), V.predictions(spark, sf, "a"))
-    extracts = facts.extraction_requests(q).withColumnRenamed("prompt", "extract")
-    # Only the part behind the fixed instructions is compared.
-    body = lambda c: F.md5(F.regexp_extract(c, r"(?s)\]\}\n\n(Query: .*)\z", 1))
-    return marks.join(extracts, "query_id").select(
-        "query_id", body("prompt").alias("mark_body"), body("extract").alias("extract_body")
-    )
+    extracts = facts.extraction_requests(q).select("query_id", F.col("prompt").alias("extract"))
+    return marks.join(extracts, "query_id").select("query_id", F.col("prompt").alias("mark"), "extract")
 
 
 @register(
