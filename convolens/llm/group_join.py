@@ -18,17 +18,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from convolens.llm import common as C
 from convolens.llm.components import components
 
-BUCKET_BITS = 20
+BUCKET_BITS = 21
 _CHUNK_BITS = 14
-#: Rounds of hubs before the rest is verified pair by pair; they end when the lists'
-#: pairs are no more than a few times the lists.
-ROUNDS = 6
+#: Rounds of hubs before the rest is verified pair by pair; they end when those pairs are a few times the lists' rows.
+ROUNDS = 4
 
 
 def shingle_hashes(data: np.ndarray, offsets: np.ndarray, words: int) -> Iterator[np.ndarray]:
@@ -56,7 +55,7 @@ def sets_of(column: pa.Array, words: int) -> Iterator[np.ndarray]:
 
 
 def bucket_counts(texts: DataFrame, words: int) -> np.ndarray:
-    """In how many documents each bucket's shingles stand, over all documents; 2^20 numbers, whatever the input."""
+    """In how many documents each bucket's shingles stand, over all documents; 2^21 numbers, whatever the input."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << BUCKET_BITS, np.int64)
@@ -65,14 +64,14 @@ def bucket_counts(texts: DataFrame, words: int) -> np.ndarray:
                 np.add.at(total, (own >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), 1)
         parts = total.reshape(-1, 1 << _CHUNK_BITS)
         if total.any():
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts), dtype=np.int32)), pa.array([p.tobytes() for p in parts], pa.binary())], names=["chunk", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts), dtype=np.int32)), pa.array([p.astype(np.int32).tobytes() for p in parts], pa.binary())], names=["chunk", "n"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for chunk, n in zip(batch.column(0).to_pylist(), batch.column(1)):
-                own = np.frombuffer(n.as_buffer(), np.int64)
-                sums[chunk] = sums[chunk] + own if chunk in sums else own.copy()
+                own = np.frombuffer(n.as_buffer(), np.int32)
+                sums[chunk] = sums[chunk] + own if chunk in sums else own.astype(np.int64)
         for chunk, n in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([n.tobytes()], pa.binary())], names=["chunk", "n"])
 
@@ -113,9 +112,9 @@ def prefixes(texts: DataFrame, words: int, percent: int) -> DataFrame:
     return texts.select("doc", "text").mapInArrow(run, "doc long, n long, h1 long, h2 long, prefix long, tokens array<bigint>")
 
 
-def near(a: str, b: str, percent: int):
-    """Sizes that allow the similarity."""
-    return (F.col(a) * 100 >= F.col(b) * percent) & (F.col(b) * 100 >= F.col(a) * percent)
+def may_reach(a_n: Column, a_pos: Column, b_n: Column, b_pos: Column, percent: int) -> Column:
+    """Whether two sets can be similar if the shingle at these places is the first that they share: it and all behind it count at most."""
+    return F.least(a_n - a_pos, b_n - b_pos) * (100 + percent) >= (a_n + b_n) * percent
 
 
 def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -167,16 +166,14 @@ def link_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     members = C.staged(classes.select("class", "prefix", "n").distinct().join(groups, ["prefix", "n"]).select("class", "group", "n", "prefix"), "members")
     # The shingles of one document for each group; only lists with two groups go on.
     heads = members.filter("class = group").select(F.col("class").alias("doc"), "prefix").distinct()
-    postings = rows.select("doc", "prefix", "tokens").join(heads, ["doc", "prefix"], "left_semi").select("doc", F.explode("tokens").alias("token"))
+    postings = rows.select("doc", "n", "prefix", "tokens").join(heads, ["doc", "prefix"], "left_semi").select("doc", "n", F.posexplode("tokens").alias("pos", "token"))
     postings = C.staged(postings.distinct() if _repeating(rows) else postings, "postings").withColumnRenamed("doc", "group")
     shared = postings.groupBy("token").agg(F.min("group").alias("least"), F.max("group").alias("most")).filter("least < most").select("token")
     lists = C.staged(postings.join(C.staged(shared, "shared"), "token"), "lists")
     C.discard(postings)
-    links = _links(lists, members.drop("prefix"), texts, words, percent)
-    roots = components(links)
+    roots = _classes(lists, members.drop("prefix"), texts, words, percent)
     # Back to all rows: by class, then by component.
-    named = classes.join(roots.withColumnRenamed("node", "class"), "class", "left")
-    named = named.select("n", "h1", "h2", "class", F.coalesce("root", "class").alias("root"))
+    named = classes.join(roots.distinct(), "class").select("n", "h1", "h2", "class", "root")
     out = rows.select("doc", "n", "h1", "h2").join(C.staged(named, "named"), ["n", "h1", "h2"], "left")
     has = F.col("doc").isNotNull()
     return out.select(
@@ -203,34 +200,45 @@ def _repeating(rows: DataFrame) -> bool:
     return bool(rows.groupBy("doc").count().filter("count > 1 AND doc IS NOT NULL").take(1))
 
 
-def _links(lists: DataFrame, members: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links enough to reach whatever all links reach."""
+def _classes(lists: DataFrame, members: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """class, root: the smallest class that links reach from each."""
     spark = lists.sparkSession
-    size = lists.count()
-    links = tried = spark.createDataFrame([], "a long, b long")
+    rows = lists.count()
+    tried = spark.createDataFrame([], "a long, b long")
+    known = members.withColumn("root", F.col("class"))
     for turn in range(ROUNDS + 1):
-        roots = components(links) if turn else spark.createDataFrame([], "node long, root long")
-        known = members.join(roots.withColumnRenamed("node", "class"), "class", "left").select("class", "group", "n", F.coalesce("root", "class").alias("root"))
         known = C.staged(known, "known")
-        spans = known.groupBy("group").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+        # A group whose members are apart counts as a component of its own.
+        apart = F.min("root") != F.max("root")
+        spans = known.groupBy("group").agg(F.when(apart, -1 - F.col("group")).otherwise(F.min("root")).alias("root"))
         mask = int(C.numbers(turn, 1)[0] >> np.uint64(1)) if turn else 0
+        counted = (
+            lists.join(spans, "group").groupBy("token", "root")
+            .agg(F.count("*").alias("n"), F.min(F.col("group").bitwiseXOR(F.lit(mask))).alias("hub"))
+        )
+        # The hub is one of the list's largest component, another one in each round.
         state = (
-            lists.join(spans, "group").groupBy("token")
-            .agg(F.min("low").alias("low"), F.max("high").alias("high"), F.min(F.col("group").bitwiseXOR(F.lit(mask))).alias("hub"), F.count("*").alias("size"))
-            .filter("low < high").select("token", F.col("hub").bitwiseXOR(F.lit(mask)).alias("hub"), "size")
+            counted.groupBy("token")
+            .agg(F.count("*").alias("parts"), F.sum("n").alias("size"), F.max(F.struct("n", "root", "hub")).alias("top"), F.min("root").alias("least"))
+            .filter("parts > 1 OR least < 0")
+            .select("token", "size", F.col("top.hub").bitwiseXOR(F.lit(mask)).alias("hub"), F.col("top.root").alias("most"), (F.col("size") - F.col("top.n")).alias("others"))
         )
         state = C.staged(state, "open")
-        open_pairs = state.agg(F.sum(F.col("size") * (F.col("size") - 1) / 2)).first()[0] or 0
-        rest = turn == ROUNDS or (turn > 0 and open_pairs <= 8 * size)
-        live = lists.join(state, "token")
+        # Pairs of all that stand outside a list's largest component with the rest of the list.
+        open_pairs = state.agg(F.sum(F.col("others") * F.col("size"))).first()[0] or 0
+        rest = turn == ROUNDS or (turn > 0 and open_pairs <= 8 * rows)
+        h = lists.select(F.col("token").alias("h_token"), F.col("group").alias("hub"), F.col("n").alias("h_n"), F.col("pos").alias("h_pos"))
+        reach = may_reach(F.col("n"), F.col("pos"), F.col("h_n"), F.col("h_pos"), percent) & (F.col("group") != F.col("hub"))
         if rest:
-            other = lists.join(state.select("token"), "token").withColumnRenamed("group", "hub")
-            pairs = live.drop("hub").join(other, "token").filter("hub < group").select("group", "hub").distinct().withColumn("n_shared", F.lit(1))
+            outside = lists.join(state.select("token", "most"), "token").join(spans, "group")
+            outside = outside.filter((F.col("root") != F.col("most")) | (F.col("root") < 0)).select("token", "group", "n", "pos")
+            pairs = outside.join(h, (F.col("token") == F.col("h_token")) & reach).select("group", "hub").distinct().withColumn("n_shared", F.lit(1))
         else:
-            pairs = live.filter("group <> hub").groupBy("group", "hub").agg(F.count("*").alias("n_shared"))
-        hub = known.select(F.col("group").alias("hub"), F.col("class").alias("b"), F.col("n").alias("b_n"), F.col("root").alias("b_root"))
-        pairs = pairs.join(known.select("group", F.col("class").alias("a"), F.col("n").alias("a_n"), F.col("root").alias("a_root")), "group").join(hub, "hub")
-        pairs = pairs.filter(near("a_n", "b_n", percent) & (F.col("a_root") != F.col("b_root"))).select("a", "b", "n_shared")
+            hubs = h.join(state.select(F.col("token").alias("h_token"), "hub"), ["h_token", "hub"])
+            pairs = lists.join(hubs, (F.col("token") == F.col("h_token")) & reach).groupBy("group", "hub").agg(F.count("*").alias("n_shared"))
+        hub = known.select(F.col("group").alias("hub"), F.col("class").alias("b"), F.col("root").alias("b_root"))
+        pairs = pairs.join(known.select("group", F.col("class").alias("a"), F.col("root").alias("a_root")), "group").join(hub, "hub")
+        pairs = pairs.filter(F.col("a_root") != F.col("b_root")).select("a", "b", "n_shared")
         # Within a group: each member with the group's first, and at last all members that are still apart.
         mine = known.select("group", F.col("class").alias("a"), F.col("root").alias("a_root"))
         others = known.select("group", F.col("class").alias("b"), F.col("root").alias("b_root"))
@@ -241,8 +249,12 @@ def _links(lists: DataFrame, members: DataFrame, texts: DataFrame, words: int, p
         pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).union(within).distinct()
         pairs = C.staged(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         if pairs.take(1):
-            links = links.unionByName(verified(pairs, texts, words, percent))
+            found = verified(pairs, texts, words, percent)
+            at = lambda end: known.select(F.col("class").alias(end), F.col("root").alias(f"{end}_root"))
+            merged = components(found.join(at("a"), "a").join(at("b"), "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b")))
+            known = known.join(merged.select(F.col("node").alias("root"), F.col("root").alias("next")), "root", "left")
+            known = known.select("class", "group", "n", F.coalesce("next", "root").alias("root"))
         if rest:
             break
         tried = tried.unionByName(pairs)
-    return links
+    return known.select("class", "root")
