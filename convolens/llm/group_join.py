@@ -5,8 +5,8 @@ their first shingles, the prefix. Equal sets are one class, classes of the same
 that share a prefix shingle and have sizes near enough are candidates; their members are verified by their sets.
 
 Links are wanted as components, so no list of groups is turned into all of its pairs: in each round a list has one
-hub, each member that is not yet in the hub's component is verified against the hub with which it shares most, and
-lists whose members are all in one component are done. What rounds leave over is verified pair by pair, in full.
+hub, and members that are not yet in its component are verified against it; lists whose members are all in one
+component are done. What rounds leave over is verified pair by pair, in full.
 
 The order is by how often a shingle's bucket occurs, of a fixed number of buckets: any order gives right results,
 and this one keeps what is common out of the prefixes.
@@ -28,6 +28,8 @@ BUCKET_BITS = 21
 _CHUNK_BITS = 14
 #: Rounds of hubs before the rest is verified pair by pair; they end when those pairs are a few times the lists' rows.
 ROUNDS = 4
+#: Hubs of a list in each round after the first.
+HUBS = 16
 
 
 def shingle_hashes(data: np.ndarray, offsets: np.ndarray, words: int) -> Iterator[np.ndarray]:
@@ -200,6 +202,11 @@ def _repeating(rows: DataFrame) -> bool:
     return bool(rows.groupBy("doc").count().filter("count > 1 AND doc IS NOT NULL").take(1))
 
 
+def _mask(turn: int, i: int) -> Column:
+    """What a list's groups are combined with to put them in an order of their own."""
+    return F.shiftrightunsigned(F.xxhash64("token", F.lit(turn), F.lit(i)), 1)
+
+
 def _classes(lists: DataFrame, members: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """class, root: the smallest class that links reach from each."""
     spark = lists.sparkSession
@@ -211,17 +218,21 @@ def _classes(lists: DataFrame, members: DataFrame, texts: DataFrame, words: int,
         # A group whose members are apart counts as a component of its own.
         apart = F.min("root") != F.max("root")
         spans = known.groupBy("group").agg(F.when(apart, -1 - F.col("group")).otherwise(F.min("root")).alias("root"))
-        mask = int(C.numbers(turn, 1)[0] >> np.uint64(1)) if turn else 0
-        counted = (
-            lists.join(spans, "group").groupBy("token", "root")
-            .agg(F.count("*").alias("n"), F.min(F.col("group").bitwiseXOR(F.lit(mask))).alias("hub"))
-        )
-        # The hub is one of the list's largest component, another one in each round.
+        # Hubs are of the list's largest component: first the group with the fewest rare shingles before the list's own,
+        # which is the likeliest original of a cluster, and each other group tries the hub it shares most with. Later
+        # they are any HUBS groups, others in each list and round, and groups that are still outside try all of them.
+        by_root = lists.join(spans, "group").groupBy("token", "root")
+        if turn == 0:
+            counted = by_root.agg(F.count("*").alias("n"), F.array(F.min(F.struct("pos", "group"))["group"]).alias("hubs"))
+        else:
+            lowest = [F.min(F.col("group").bitwiseXOR(_mask(turn, i))).alias(f"m{i}") for i in range(HUBS)]
+            hubs = F.array_distinct(F.array(*[F.col(f"m{i}").bitwiseXOR(_mask(turn, i)) for i in range(HUBS)]))
+            counted = by_root.agg(F.count("*").alias("n"), *lowest).select("token", "root", "n", hubs.alias("hubs"))
         state = (
             counted.groupBy("token")
-            .agg(F.count("*").alias("parts"), F.sum("n").alias("size"), F.max(F.struct("n", "root", "hub")).alias("top"), F.min("root").alias("least"))
+            .agg(F.count("*").alias("parts"), F.sum("n").alias("size"), F.max(F.struct("n", "root", "hubs")).alias("top"), F.min("root").alias("least"))
             .filter("parts > 1 OR least < 0")
-            .select("token", "size", F.col("top.hub").bitwiseXOR(F.lit(mask)).alias("hub"), F.col("top.root").alias("most"), (F.col("size") - F.col("top.n")).alias("others"))
+            .select("token", "size", "top.hubs", F.col("top.root").alias("most"), (F.col("size") - F.col("top.n")).alias("others"))
         )
         state = C.staged(state, "open")
         # Pairs of all that stand outside a list's largest component with the rest of the list.
@@ -234,7 +245,7 @@ def _classes(lists: DataFrame, members: DataFrame, texts: DataFrame, words: int,
             outside = outside.filter((F.col("root") != F.col("most")) | (F.col("root") < 0)).select("token", "group", "n", "pos")
             pairs = outside.join(h, (F.col("token") == F.col("h_token")) & reach).select("group", "hub").distinct().withColumn("n_shared", F.lit(1))
         else:
-            hubs = h.join(state.select(F.col("token").alias("h_token"), "hub"), ["h_token", "hub"])
+            hubs = h.join(state.select(F.col("token").alias("h_token"), F.explode("hubs").alias("hub")), ["h_token", "hub"])
             pairs = lists.join(hubs, (F.col("token") == F.col("h_token")) & reach).groupBy("group", "hub").agg(F.count("*").alias("n_shared"))
         hub = known.select(F.col("group").alias("hub"), F.col("class").alias("b"), F.col("root").alias("b_root"))
         pairs = pairs.join(known.select("group", F.col("class").alias("a"), F.col("root").alias("a_root")), "group").join(hub, "hub")
@@ -244,8 +255,9 @@ def _classes(lists: DataFrame, members: DataFrame, texts: DataFrame, words: int,
         others = known.select("group", F.col("class").alias("b"), F.col("root").alias("b_root"))
         within = mine.join(others, "group").filter("a > b AND a_root <> b_root")
         within = (within if rest else within.filter(F.col("b") == F.col("group"))).select("a", "b")
-        if not rest:
+        if turn == 0:
             pairs = pairs.groupBy("a").agg(F.max(F.struct("n_shared", "b")).alias("best")).select("a", "best.b")
+        pairs = pairs.select("a", "b")
         pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).union(within).distinct()
         pairs = C.staged(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         if pairs.take(1):
