@@ -37,7 +37,7 @@ def agreed(text: str) -> bool:
 
 
 #: Pieces whose ids a worker remembers before those not met again are forgotten.
-REMEMBERED = 200_000
+REMEMBERED = 400_000
 _NONE = 1 << 62
 
 
@@ -204,6 +204,9 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
+C.held(codec.cache_clear)
+
+
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
     """The token ids of each text, and with `decoded` the text that they decode to.
 

@@ -101,6 +101,20 @@ def powers(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
+_HELD: list[Callable[[], None]] = [_POWERS.clear]
+
+
+def held(clear: Callable[[], None]) -> None:
+    """Register what a worker remembers between tasks, so that `forget` can drop it."""
+    _HELD.append(clear)
+
+
+def forget() -> None:
+    """Drop what tasks of other operators left in this worker."""
+    for clear in _HELD:
+        clear()
+
+
 class Prefix:
     """Polynomial hashes of all substrings of an array of 64-bit symbols, after one pass."""
 
@@ -182,6 +196,7 @@ def kept_rows(docs: DataFrame, text_col: str, start: Callable[[], Callable[[pa.A
     small_batches(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         flags = start()
         for batch in batches:
             yield batch.filter(pa.array(flags(batch.column(at)), pa.bool_()))

@@ -26,8 +26,8 @@ from convolens.llm.components import components
 
 BUCKET_BITS = 21
 _CHUNK_BITS = 14
-#: Rounds of hubs before the rest is verified pair by pair; they end when those pairs are a few times the lists' rows.
-ROUNDS = 4
+#: Rounds of hubs before the rest is verified pair by pair.
+ROUNDS = 3
 #: Hubs of a list in each round after the first.
 HUBS = 16
 
@@ -60,6 +60,7 @@ def bucket_counts(texts: DataFrame, words: int) -> np.ndarray:
     """In how many documents each bucket's shingles stand, over all documents; 2^21 numbers, whatever the input."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        C.forget()
         total = np.zeros(1 << BUCKET_BITS, np.int64)
         for batch in batches:
             for own in sets_of(batch.column(0), words):
@@ -89,6 +90,7 @@ def prefixes(texts: DataFrame, words: int, percent: int) -> DataFrame:
     counts = texts.sparkSession.sparkContext.broadcast(bucket_counts(texts, words).astype(np.uint32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        C.forget()
         rank = counts.value
         for batch in batches:
             for lo in range(0, len(batch), 500):
@@ -123,6 +125,7 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
     """The pairs (a, b) of ids whose sets are similar: 100 * intersection >= percent * union."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        C.forget()
         for batch in batches:
             for lo in range(0, len(batch), 500):
                 part = batch.slice(lo, 500)
@@ -210,7 +213,6 @@ def _mask(turn: int, i: int) -> Column:
 def _classes(lists: DataFrame, members: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """class, root: the smallest class that links reach from each."""
     spark = lists.sparkSession
-    rows = lists.count()
     tried = spark.createDataFrame([], "a long, b long")
     known = members.withColumn("root", F.col("class"))
     for turn in range(ROUNDS + 1):
@@ -230,14 +232,12 @@ def _classes(lists: DataFrame, members: DataFrame, texts: DataFrame, words: int,
             counted = by_root.agg(F.count("*").alias("n"), *lowest).select("token", "root", "n", hubs.alias("hubs"))
         state = (
             counted.groupBy("token")
-            .agg(F.count("*").alias("parts"), F.sum("n").alias("size"), F.max(F.struct("n", "root", "hubs")).alias("top"), F.min("root").alias("least"))
+            .agg(F.count("*").alias("parts"), F.max(F.struct("n", "root", "hubs")).alias("top"), F.min("root").alias("least"))
             .filter("parts > 1 OR least < 0")
-            .select("token", "size", "top.hubs", F.col("top.root").alias("most"), (F.col("size") - F.col("top.n")).alias("others"))
+            .select("token", "top.hubs", F.col("top.root").alias("most"))
         )
         state = C.staged(state, "open")
-        # Pairs of all that stand outside a list's largest component with the rest of the list.
-        open_pairs = state.agg(F.sum(F.col("others") * F.col("size"))).first()[0] or 0
-        rest = turn == ROUNDS or (turn > 0 and open_pairs <= 8 * rows)
+        rest = turn == ROUNDS
         h = lists.select(F.col("token").alias("h_token"), F.col("group").alias("hub"), F.col("n").alias("h_n"), F.col("pos").alias("h_pos"))
         reach = may_reach(F.col("n"), F.col("pos"), F.col("h_n"), F.col("h_pos"), percent) & (F.col("group") != F.col("hub"))
         if rest:

@@ -78,6 +78,7 @@ def seeds(texts: DataFrame, kind: Kind) -> DataFrame:
     """One row per run: doc, twin, pos, windows, lead, anchor, context."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        C.forget()
         for batch in batches:
             data, offsets = C.text_bytes(batch.column(2))
             doc, twin = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -136,6 +137,7 @@ def contents(texts: DataFrame, ctx: DataFrame, kind: Kind) -> DataFrame:
     names = ["anchor", "context", "windows", "lead", "runs", "crowd"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        C.forget()
         for batch in batches:
             data, offsets = C.text_bytes(batch.column(1))
             lists = batch.column(2)
@@ -206,6 +208,7 @@ def by_anchor(strings: DataFrame, kind: Kind, resolve: Callable[[Strings], np.nd
     """Ranges of repeated windows, from a resolver that sees whole anchors, about `batch` strings at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        C.forget()
         held: list[pa.RecordBatch] = []
         n = 0
 

@@ -216,6 +216,7 @@ def score(docs: DataFrame, models: Sequence[Linear], names: Sequence[str], id_co
     shared = spark.sparkContext.broadcast(list(models))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        C.forget()
         chain = shared.value
         used = np.any([m.weights != 0 for m in chain], axis=0)
         for batch in batches:
