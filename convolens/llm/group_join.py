@@ -85,8 +85,19 @@ def bucket_counts(texts: DataFrame, words: int) -> np.ndarray:
     return out.reshape(-1)
 
 
+def counted(own: np.ndarray) -> bytes:
+    """How many of a set's shingles have each value of the hash's last byte; 255 stands for that many or more."""
+    return np.minimum(np.bincount(own.view(np.uint8)[:: 8], minlength=256), 255).astype(np.uint8).tobytes()
+
+
+def most_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """An upper bound of the shared shingles for each row of counts."""
+    a, b = (np.where(x == 255, 1 << 40, x.astype(np.int64)) for x in (a, b))
+    return np.minimum(a, b).sum(axis=1)
+
+
 def prefixes(texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """doc, n, two hashes of the set, one of the prefix, and the prefix's shingles."""
+    """doc, n, two hashes of the set, one of the prefix, the set's counts by last byte, and the prefix's shingles."""
     counts = texts.sparkSession.sparkContext.broadcast(bucket_counts(texts, words).astype(np.uint32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,9 +106,10 @@ def prefixes(texts: DataFrame, words: int, percent: int) -> DataFrame:
         for batch in batches:
             for lo in range(0, len(batch), 500):
                 part = batch.slice(lo, 500)
-                n, one, two, group, tokens = [], [], [], [], []
+                n, one, two, group, counts_, tokens = [], [], [], [], [], []
                 for own in sets_of(part.column(1), words):
                     n.append(len(own))
+                    counts_.append(counted(own))
                     one.append(C.mix(own + np.uint64(1)).sum())
                     two.append(C.mix(own + np.uint64(2)).sum())
                     # At least percent of the set must be shared, so one of these is.
@@ -109,11 +121,11 @@ def prefixes(texts: DataFrame, words: int, percent: int) -> DataFrame:
                 signed = lambda x: pa.array(C.signed(np.array(x, np.uint64)))
                 ends = np.cumsum([0, *map(len, tokens)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(n, pa.int64()), signed(one), signed(two), signed(group), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(tokens)))],
-                    names=["doc", "n", "h1", "h2", "prefix", "tokens"],
+                    [part.column(0), pa.array(n, pa.int64()), signed(one), signed(two), signed(group), pa.array(counts_, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(tokens)))],
+                    names=["doc", "n", "h1", "h2", "prefix", "counts", "tokens"],
                 )
 
-    return texts.select("doc", "text").mapInArrow(run, "doc long, n long, h1 long, h2 long, prefix long, tokens array<bigint>")
+    return texts.select("doc", "text").mapInArrow(run, "doc long, n long, h1 long, h2 long, prefix long, counts binary, tokens array<bigint>")
 
 
 def may_reach(a_n: Column, a_pos: Column, b_n: Column, b_pos: Column, percent: int) -> Column:
@@ -121,6 +133,22 @@ def may_reach(a_n: Column, a_pos: Column, b_n: Column, b_pos: Column, percent: i
     return F.least(a_n - a_pos, b_n - b_pos) * (100 + percent) >= (a_n + b_n) * percent
 
 
+def hopeful(pairs: DataFrame, counts: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets can be similar by their counts, which are a fiftieth of long sets. No similar pair is lost."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                a, b = (np.frombuffer(b"".join(x.as_py() for x in batch.column(k)), np.uint8).reshape(-1, 256) for k in (2, 3))
+                shared = most_shared(a, b)
+                total = batch.column(4).to_numpy() + batch.column(5).to_numpy()
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(shared * (100 + percent) >= total * percent))
+
+    at = lambda end: counts.select(F.col("doc").alias(end), F.col("counts").alias(f"{end}_c"), F.col("n").alias(f"{end}_n"))
+    joined = pairs.join(at("a"), "a").join(at("b"), "b").select("a", "b", "a_c", "b_c", "a_n", "b_n")
+    return joined.mapInArrow(run, "a long, b long").distinct()
+
+
 def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) of ids whose sets are similar: 100 * intersection >= percent * union."""
 
@@ -176,7 +204,9 @@ def link_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     shared = postings.groupBy("token").agg(F.min("group").alias("least"), F.max("group").alias("most")).filter("least < most").select("token")
     lists = C.staged(postings.join(C.staged(shared, "shared"), "token"), "lists")
     C.discard(postings)
-    roots = _classes(lists, members.drop("prefix"), texts, words, percent)
+    heads = classes.select(F.col("class").alias("doc"), "h1", "h2")
+    counts = C.staged(rows.select("doc", "n", "h1", "h2", "counts").join(heads, ["doc", "h1", "h2"], "left_semi").select("doc", "n", "counts"), "counts")
+    roots = _classes(lists, members.drop("prefix"), counts, texts, words, percent)
     # Back to all rows: by class, then by component.
     named = classes.join(roots.distinct(), "class").select("n", "h1", "h2", "class", "root")
     out = rows.select("doc", "n", "h1", "h2").join(C.staged(named, "named"), ["n", "h1", "h2"], "left")
@@ -210,7 +240,7 @@ def _mask(turn: int, i: int) -> Column:
     return F.shiftrightunsigned(F.xxhash64("token", F.lit(turn), F.lit(i)), 1)
 
 
-def _classes(lists: DataFrame, members: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+def _classes(lists: DataFrame, members: DataFrame, counts: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """class, root: the smallest class that links reach from each."""
     spark = lists.sparkSession
     tried = spark.createDataFrame([], "a long, b long")
@@ -260,8 +290,9 @@ def _classes(lists: DataFrame, members: DataFrame, texts: DataFrame, words: int,
         pairs = pairs.select("a", "b")
         pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).union(within).distinct()
         pairs = C.staged(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        if pairs.take(1):
-            found = verified(pairs, texts, words, percent)
+        likely = C.staged(hopeful(pairs, counts, percent), "likely")
+        if likely.take(1):
+            found = verified(likely, texts, words, percent)
             at = lambda end: known.select(F.col("class").alias(end), F.col("root").alias(f"{end}_root"))
             merged = components(found.join(at("a"), "a").join(at("b"), "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b")))
             known = known.join(merged.select(F.col("node").alias("root"), F.col("root").alias("next")), "root", "left")
