@@ -33,6 +33,54 @@ def test_main_text(html, text):
     assert html_text.extract(html) == text
 
 
+def test_content_letters_choose_the_region():
+    teaser = "<article><h3>Read this</h3><p>Teaser words.</p></article>"
+    long = f"<p>{LONG}</p>" * 6
+    for page in (f"<div>{long}</div>{teaser}", f"<div>{teaser}</div><main>{long}</main>", f"<main>{long}{teaser}</main>", f"<body><div><div>{long}</div>{teaser}</div></body>"):
+        assert html_text.extract(page).count(LONG.strip()) == 6
+    parts = "".join(f"<article><h2>Part {k}</h2>{f'<p>{LONG}</p>' * k}</article>" for k in (1, 9, 3)) + "<article><p>The end.</p></article>"
+    for page in (parts, f"<main><div>{parts}</div></main>"):
+        text = html_text.extract(page)
+        assert text.count(LONG.strip()) == 13 and all(f"Part {k}" in text for k in (1, 9, 3)) and text.endswith("The end.")
+
+
+@pytest.mark.parametrize("n", [3, 250, 5000])
+def test_elements_end_without_end_tags(n):
+    article = f"<article><h1>T</h1><p>{LONG}</article>"
+    whole = f"T {LONG.strip()}"
+    for excluded in (
+        f"<nav><ul>{'<li><a href=x>Menu</a>' * n}</ul></nav>", f"<div class=sidebar><dl>{'<dt>a<dd>b' * n}</dl></div>", f"<div class=ad>{'<p>x' * n}</div>",
+        f"<select>{'<option>x' * n}</select>", f"<div class=widget><table>{'<tr><td>a<th>b' * n}</table></div>", f"<div class=menu>{'<div>x' * n}{'</div>' * n}</div>",
+    ):
+        assert html_text.extract(excluded + article) == whole
+    for open_one, rest in (
+        (f"<p class=ad>x<p>{LONG}<p>y", ""), (f"<p class=ad>x<div>{LONG}</div><p>y", ""), (f"<ul><li class=ad>x<li>{LONG}<li>y</ul>", ""), (f"<dl><dt class=promo>x<dd>{LONG}<dt>y</dl>", ""),
+        (f"<table><tr><td class=ad>x<td>{LONG}<tr><td>y</table>", ""), (f"<table><tr class=ad><td>x<tr><td>{LONG}<tr><th>y</table>", ""),
+        (f"<ul><li>{LONG}<ul class=related><li>x<li>x</li></li></ul>y</ul>", ""), (f"<table><tr><td>{LONG}<table class=ad><tr><td>x<td>x</td></td></tr></table>y</table>", ""),
+    ):
+        assert html_text.extract(f"<article>{open_one}</article>{rest}") == f"{LONG.strip()} y"
+
+
+@pytest.mark.parametrize(
+    "html",
+    [
+        f"<div class=post><h1>Title</h1><p>Lead.</p><div class=body>{f'<p>{LONG}</p>' * 9}</div></div>",
+        f"<div class=post><div><h1>Title</h1></div><div>Lead.</div><div class=body>{f'<p>{LONG}</p>' * 9}</div></div>",
+        f"<div class=post><div class=top><h1>Title</h1><p>Lead.</p></div><div><div class=body>{f'<p>{LONG}</p>' * 9}</div></div></div>",
+        f"<main><h1>Title</h1><p>Lead.</p><article>{f'<p>{LONG}</p>' * 9}</article></main>",
+        f"<h1>Title</h1><p>Lead.</p><article>{f'<p>{LONG}</p>' * 9}</article>",
+    ],
+)
+def test_headings_and_leads_outside_the_body_stay(html):
+    menu = "<ul>" + "<li><a href=x>Menu</a>" * 12 + "</ul>"
+    assert html_text.extract(f"<body>{menu}{html}{menu}</body>") == " ".join(["Title Lead.", *[LONG.strip()] * 9])
+
+
+def test_content_outside_the_main_child_stays():
+    html = f"<div><div>{f'<p>{LONG}</p>' * 12}</div><div><p>Last: {LONG}</p></div><p>End.</p></div>"
+    assert html_text.extract(html) == " ".join([*[LONG.strip()] * 12, f"Last: {LONG.strip()}", "End."])
+
+
 def test_main_text_of_tables(spark):
     df = spark.createDataFrame([(1, "u", "<p>a</p>", "t"), (None, None, None, None), (1, "u", "<p>a</p>", "t")], "page_id long, url string, html string, text string")
     assert sorted((r.page_id or 0, r.text) for r in html_text.main_text(df).collect()) == [(0, ""), (1, "a"), (1, "a")]
