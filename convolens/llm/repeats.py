@@ -185,23 +185,27 @@ class Strings:
 
 
 def ranges_batch(s: Strings, repeated: np.ndarray) -> pa.RecordBatch:
-    """Decisions from a flag per window (all strings' windows behind one another): runs of flags as ranges."""
-    edge = np.cumsum(s.windows) - s.windows
-    padded = np.zeros(int(s.windows.sum()) + len(s.windows), np.int8)
+    """Decisions from a flag per window (all strings' windows behind one another): one row for each string with any, its flags as ranges."""
     owner = np.repeat(np.arange(len(s.windows)), s.windows)
-    slot = np.arange(len(owner)) + owner
-    padded[slot] = repeated
-    steps = np.diff(np.concatenate([[0], padded, [0]]))
-    starts, ends = np.flatnonzero(steps == 1), np.flatnonzero(steps == -1)
-    which = np.searchsorted(edge + np.arange(len(edge)), starts, side="right") - 1
-    base = edge[which] + which
-    return pa.RecordBatch.from_arrays(
-        [pa.array(s.anchor[which]), pa.array(s.context[which]), pa.array((starts - base).astype(np.int32)), pa.array((ends - base).astype(np.int32))],
-        names=["anchor", "context", "first", "last"],
-    )
+    at = np.flatnonzero(repeated)
+    owner = owner[at]
+    return folded(s.anchor, s.context, owner, at - (np.cumsum(s.windows) - s.windows)[owner])
+
+
+def folded(anchor: np.ndarray, context: np.ndarray, owner: np.ndarray, window: np.ndarray) -> pa.RecordBatch:
+    """One row per owner of windows (both ascending), neighbouring windows as one range."""
+    new = np.ones(len(owner), bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (window[1:] != window[:-1] + 1)
+    start = np.flatnonzero(new)
+    last = window[np.concatenate([start[1:], [len(owner)]]) - 1] + 1 if len(start) else window
+    which, counts = np.unique(owner[start], return_counts=True)
+    ranges = pa.StructArray.from_arrays([pa.array(window[start].astype(np.int32)), pa.array(last.astype(np.int32))], names=["first", "last"])
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), ranges)
+    return pa.RecordBatch.from_arrays([pa.array(anchor[which]), pa.array(context[which]), lists], names=["anchor", "context", "ranges"])
 
 
-RANGES = "anchor long, context long, first int, last int"
+#: At most one row per context of an anchor, so a run meets at most one.
+RANGES = "anchor long, context long, ranges array<struct<first: int, last: int>>"
 
 
 def by_anchor(strings: DataFrame, kind: Kind, resolve: Callable[[Strings], np.ndarray], batch: int = 4096) -> DataFrame:
@@ -262,7 +266,16 @@ def by_window(strings: DataFrame, kind: Kind, repeated: Column) -> DataFrame:
     windows = strings.mapInArrow(run, "h1 long, h2 long, anchor long, context long, doc long, runs long, first int")
     equal = windows.groupBy("h1", "h2").agg(F.min("doc").alias("first_doc"), F.max("doc").alias("last_doc"), F.sum("runs").alias("total"))
     equal = equal.filter((F.col("total") > 1) | (F.col("first_doc") < F.col("last_doc"))).drop("last_doc")
-    return windows.join(equal, ["h1", "h2"]).filter(repeated).select("anchor", "context", "first", (F.col("first") + 1).alias("last"))
+    # A context has no more windows than fit around its anchor.
+    each = windows.join(equal, ["h1", "h2"]).filter(repeated).groupBy("anchor", "context").agg(F.sort_array(F.collect_set("first")).alias("windows"))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(2)
+            owner = np.repeat(np.arange(len(batch)), lists.value_lengths().to_numpy())
+            yield folded(batch.column(0).to_numpy(), batch.column(1).to_numpy(), owner, lists.flatten().to_numpy().astype(np.int64))
+
+    return each.mapInArrow(fold, RANGES)
 
 
 def window_hashes(symbols: np.ndarray, offsets: np.ndarray, windows: np.ndarray, kind: Kind) -> tuple[np.ndarray, np.ndarray]:
@@ -272,27 +285,35 @@ def window_hashes(symbols: np.ndarray, offsets: np.ndarray, windows: np.ndarray,
     return C.Prefix(x, 21).of(start, start + kind.length), C.Prefix(x, 22).of(start, start + kind.length)
 
 
-def marks(occ: DataFrame, decided: DataFrame, whole: Column, first_only: bool, kind: Kind) -> DataFrame:
+#: Contexts with more runs than one in this many of all: there are fewer of them than this, so they can be broadcast.
+HOT = 1000
+
+
+def marks(occ: DataFrame, ctx: DataFrame, ranges: DataFrame, whole: Column, first_only: bool, kind: Kind) -> DataFrame:
     """Per document the ranges of symbols to take out, as `cuts`.
 
-    `whole`: of an anchor with one context, which runs repeat entirely. `first_only`: decisions hold for a context's
-    first document; its runs in later documents repeat entirely.
+    `whole`: of an anchor with one context, which runs repeat entirely. `first_only`: ranges hold for a context's
+    first document; its runs in later documents repeat entirely. Contexts with very many runs go to the runs, the others
+    meet theirs by key.
     """
-    single = occ.filter(F.col("single") & whole).select("doc", "twin", "pos", F.lit(0).alias("first"), F.col("windows").alias("last"))
-    several = occ.filter(~F.col("single"))
-    joined = several.join(decided, ["anchor", "context"])
+    key = ["anchor", "context"]
+    decided = ctx.select(*key, F.col("runs").alias("of"), F.col("doc").alias("context_doc")).join(ranges, key, "left" if first_only else "inner")
+    decided = C.staged(decided, "decided")
+    total = ctx.agg(F.sum("runs")).first()[0] or 0
+    hot = F.broadcast(decided.filter(F.col("of") * HOT > total))
+    several = occ.filter(~F.col("single")).select("doc", "twin", "pos", "windows", *key)
+    joined = several.join(hot, key).unionByName(several.join(hot.select(*key), key, "left_anti").join(decided.filter(F.col("of") * HOT <= total), key))
+    all_of_it = lambda last: F.array(F.struct(F.lit(0).alias("first"), F.col(last).alias("last")))
     if first_only:
-        later = F.col("doc") > F.col("context_doc")
-        joined = joined.filter(later | F.col("first").isNotNull()).select(
-            "doc", "twin", "pos", F.when(later, 0).otherwise(F.col("first")).alias("first"), F.when(later, F.col("windows")).otherwise(F.col("last")).alias("last")
-        )
-    else:
-        joined = joined.select("doc", "twin", "pos", "first", "last")
+        own = F.when(F.col("doc") > F.col("context_doc"), all_of_it("windows")).otherwise(F.col("ranges"))
+        joined = joined.withColumn("ranges", own).filter("ranges IS NOT NULL")
+    single = occ.filter(F.col("single") & whole).select("doc", "twin", "pos", all_of_it("windows").alias("ranges"))
+    cut = lambda r: F.struct((F.col("pos") + r["first"]).alias("start"), (F.col("pos") + r["last"] + kind.length - 1).alias("end"))
     return (
-        single.unionByName(joined)
-        .select("doc", "twin", (F.col("pos") + F.col("first")).alias("start"), (F.col("pos") + F.col("last") + kind.length - 1).alias("end"))
+        single.unionByName(joined.select("doc", "twin", "pos", "ranges"))
+        .select("doc", "twin", F.transform("ranges", cut).alias("cuts"))
         .groupBy("doc", "twin")
-        .agg(F.collect_list(F.struct("start", "end")).alias("cuts"))
+        .agg(F.flatten(F.collect_list("cuts")).alias("cuts"))
     )
 
 

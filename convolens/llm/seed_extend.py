@@ -97,8 +97,7 @@ def _repeats(texts: DataFrame, length: int, gram: int) -> DataFrame:
     crowded = F.col("crowd") > kind.crowd
     few = R.by_anchor(R.contents(texts, ctx.filter(~crowded), kind), kind, lambda s: extend(s, kind))
     many = R.by_window(R.contents(texts, ctx.filter(crowded), kind), kind, F.col("first_doc") < F.col("doc"))
-    decided = ctx.select("anchor", "context", F.col("doc").alias("context_doc")).join(few.unionByName(many), ["anchor", "context"], "left")
-    cuts = R.marks(occ, decided, F.col("doc") > F.col("first_doc"), True, kind)
+    cuts = R.marks(occ, ctx, few.unionByName(many), F.col("doc") > F.col("first_doc"), True, kind)
     return texts.join(cuts, ["doc", "twin"], "left")
 
 

@@ -184,7 +184,7 @@ def dedup(docs: DataFrame, length: int = 200, gram: int = 40, id_col: str = "doc
     crowded = F.col("crowd") > kind.crowd
     few = R.by_anchor(R.contents(texts, ctx.filter(~crowded), kind), kind, lambda s: repeated_windows(s, kind, wide), 2048)
     many = R.by_window(R.contents(texts, ctx.filter(crowded), kind), kind, F.col("total") > 1)
-    cuts = R.marks(occ, few.unionByName(many), F.lit(True), False, kind)
+    cuts = R.marks(occ, ctx, few.unionByName(many), F.lit(True), False, kind)
     return _cut(texts.join(cuts, ["doc", "twin"], "left"), id_col)
 
 
