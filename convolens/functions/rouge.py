@@ -13,7 +13,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from convolens.functions import overlap
 from convolens.functions.stemmer import stem
+from convolens.functions.text import alnum_tokens, scoring_lines
 
 METRICS = ("rouge1", "rouge2", "rougeL", "rougeLsum")
 _TOKEN = re.compile(r"[a-z0-9]+")
@@ -97,9 +99,10 @@ def lcs_members(ref: Sequence[str], pred: Sequence[str], at: dict[str, int] | No
 
 def summary_overlap(ref: list[list[str]], pred: list[list[str]]) -> tuple[float, float, float]:
     """Per reference sentence, the union of its matches with every predicted sentence."""
-    n_ref, n_pred = sum(map(len, ref)), sum(map(len, pred))
-    if not n_ref or not n_pred:
-        return 0.0, 0.0, 0.0
+    return prf(summary_hits(ref, pred), sum(map(len, pred)), sum(map(len, ref)))
+
+
+def summary_hits(ref: list[list[str]], pred: list[list[str]]) -> int:
     masks = [(s, _positions(s)) for s in pred if s]
     left_ref = Counter(t for s in ref for t in s)
     left_pred = Counter(t for s in pred for t in s)
@@ -116,7 +119,7 @@ def summary_overlap(ref: list[list[str]], pred: list[list[str]]) -> tuple[float,
                 hits += 1
                 left_pred[t] -= 1
                 left_ref[t] -= 1
-    return prf(hits, n_pred, n_ref)
+    return hits
 
 
 def score_pair(
@@ -156,40 +159,48 @@ def rouge(prediction: Column, reference: Column, metrics: Sequence[str] = METRIC
 
 
 def with_rouge(pairs: DataFrame, metrics: Sequence[str] = METRICS, stemmed: bool = True) -> DataFrame:
-    """Add one `p, r, f` struct column per metric to `prediction, reference` rows."""
-    scored = pairs.withColumn("__rouge", rouge(F.col("prediction"), F.col("reference"), metrics, stemmed))
-    return scored.select(*pairs.columns, *[F.col(f"__rouge.{m}").alias(m) for m in metrics])
+    """Add one `p, r, f` struct column per metric to `prediction, reference` rows.
+
+    Stems are those of a vocabulary: each distinct word once (`operators/stems.py`). N-grams are counted in the JVM; the
+    subsequences of L and Lsum are found by bit operations on whole rows, in Arrow batches.
+    """
+    from convolens.operators.stems import stemmed_sentences
+
+    unknown = set(metrics) - set(METRICS)
+    if unknown:
+        raise ValueError(f"unknown metrics {sorted(unknown)}")
+    rows = pairs.select(F.struct(*pairs.columns).alias("row"), F.col("prediction").alias("pred"), F.col("reference").alias("ref"))
+    rows = stemmed_sentences(rows, ["pred", "ref"]) if stemmed else rows.select("row", *[token_sentences(F.col(c)).alias(c) for c in ("pred", "ref")])
+    # Sentences end at white space, so cutting them moves no token.
+    rows = rows.select("row", "pred", "ref", F.flatten("pred").alias("p"), F.flatten("ref").alias("r"))
+    longest = [m for m in metrics if m in ("rougeL", "rougeLsum")]
+    if longest:
+        rows = rows.withColumn("hits", _subsequence_hits(longest)(F.col("pred"), F.col("ref")))
+    p, r = F.col("p"), F.col("r")
+    score = lambda m: overlap.ngram_overlap(p, r, int(m[-1])) if m in ("rouge1", "rouge2") else overlap.prf(F.col("hits")[m], F.size(p), F.size(r))
+    return rows.select("row.*", *[score(m).alias(m) for m in metrics])
+
+
+def _subsequence_hits(metrics: Sequence[str]):
+    """Matches by longest common subsequences of two arrays of sentences, as one number per metric."""
+
+    @F.pandas_udf("struct<" + ", ".join(f"{m}: int" for m in metrics) + ">")
+    def hits(pred: pd.Series, ref: pd.Series) -> pd.DataFrame:
+        rows = []
+        for p, r in zip(pred, ref):
+            p, r = [list(s) for s in p], [list(s) for s in r]
+            flat = lambda x: [t for s in x for t in s]
+            rows.append([lcs_length(flat(r), flat(p)) if m == "rougeL" else summary_hits(r, p) for m in metrics])
+        return pd.DataFrame(rows, columns=list(metrics))
+
+    return hits
 
 
-# --- the same counts without Python, for unstemmed tokens --------------------------------------
+def token_sentences(text: Column) -> Column:
+    """Tokens of every sentence; line breaks are flattened first, and sentences without tokens left out."""
+    return F.filter(F.transform(F.split(scoring_lines(text), "\n"), alnum_tokens), lambda s: F.size(s) > 0)
 
 
 def token_f1(a: Column, b: Column) -> Column:
     """Multiset overlap F of two token arrays; 0 where either is empty or nothing is shared."""
-    from convolens.functions.text import let
-
-    # A token's k-th copy is named token + k, which turns the multisets into sets.
-    def numbered(tokens: Column) -> Column:
-        return let(
-            F.array_sort(tokens),
-            lambda t: F.aggregate(
-                t,
-                F.struct(F.lit("").alias("last"), F.lit(0).alias("k"), F.array().cast("array<string>").alias("out")),
-                lambda acc, x: let(
-                    F.when(acc["last"] == x, acc["k"] + 1).otherwise(F.lit(1)),
-                    lambda k: F.struct(
-                        x.alias("last"), k.alias("k"), F.concat(acc["out"], F.array(F.concat_ws(" ", x, k))).alias("out")
-                    ),
-                ),
-                lambda acc: acc["out"],
-            ),
-        )
-
-    def formula(na: Column, nb: Column, hits: Column) -> Column:
-        p, r = hits / na, hits / nb
-        return F.when((na == 0) | (nb == 0) | (hits == 0), F.lit(0.0)).otherwise(2 * p * r / (p + r))
-
-    return let(
-        F.struct(F.size(a).alias("na"), F.size(b).alias("nb"), F.size(F.array_intersect(numbered(a), numbered(b))).alias("h")),
-        lambda s: formula(s["na"], s["nb"], s["h"]),
-    )
+    return overlap.ngram_overlap(a, b, 1)["f"]

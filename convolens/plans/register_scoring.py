@@ -9,6 +9,7 @@ from convolens.functions import rouge as R
 from convolens.functions import text as T
 from convolens.operators import costs, resampling, scoring
 from convolens.plans import oracle as O
+from convolens.plans import stems_sql
 from convolens.plans import views as V
 from convolens.plans.catalogue import register
 
@@ -74,8 +75,8 @@ def rouge2(spark, sf):
 
 # The longest common subsequence is the longest rising run through the matching positions: they are
 # read by reference token, later positions first, and a list keeps the lowest end of every length.
-_LCS = f"""
-toks AS (SELECT system, query_id, {O.tokens('prediction')} AS p, {O.tokens('reference')} AS r FROM preds),
+_TOKS = f"toks AS (SELECT system, query_id, {O.tokens('prediction')} AS p, {O.tokens('reference')} AS r FROM preds),"
+_LCS_OF = """
 pt AS (SELECT system, query_id, unnest(p) AS t, generate_subscripts(p, 1) AS k FROM toks),
 rt AS (SELECT system, query_id, unnest(r) AS t, generate_subscripts(r, 1) AS k FROM toks),
 met AS (SELECT system, query_id, list(pt.k ORDER BY rt.k, pt.k DESC) AS ks FROM pt JOIN rt USING (system, query_id, t) GROUP BY ALL),
@@ -92,7 +93,7 @@ lcs AS (SELECT system, query_id, len(p) AS np, len(r) AS nr, coalesce(h, 0) AS h
     O.with_ctes(
         O.CHAT_QUERIES,
         LAST,
-        _LCS,
+        _TOKS + _LCS_OF,
         select="""SELECT system, query_id, round(h / greatest(np, 1), 6) AS precision,
           round(h / greatest(nr, 1), 6) AS recall,
           CASE WHEN h = 0 THEN 0.0 ELSE round(2.0 * h / (np + nr), 6) END AS fmeasure FROM lcs""",
@@ -102,7 +103,38 @@ def rouge_l(spark, sf):
     return _metric(spark, sf, "rougeL")
 
 
-@register("rouge_stemmed")
+def _f(hits: str, less: int = 0) -> str:
+    """F of hits against both lengths, each less by `less`."""
+    n_pred, n_ref = (f"greatest(len({side}) - {less}, 1)" for side in ("p", "r"))
+    p, r = f"coalesce({hits}, 0) / {n_pred}", f"coalesce({hits}, 0) / {n_ref}"
+    return f"CASE WHEN coalesce({hits}, 0) > 0 THEN round(2 * ({p}) * ({r}) / (({p}) + ({r})), 6) ELSE 0.0 END"
+
+
+_GRAMS = """
+g{n} AS (
+  SELECT query_id, side, g, count(*) AS c
+  FROM (SELECT query_id, side, unnest(list_transform(range(1, greatest(len(t) - {n} + 2, 1)), lambda i: array_to_string(t[i:i + {n} - 1], ' '))) AS g FROM flat) GROUP BY ALL),
+h{n} AS (
+  SELECT p.query_id, sum(least(p.c, r.c)) AS h FROM g{n} p JOIN g{n} r ON p.query_id = r.query_id AND p.g = r.g AND p.side = 'p' AND r.side = 'r' GROUP BY 1),
+"""
+
+
+@register(
+    "rouge_stemmed",
+    O.with_ctes(
+        O.CHAT_QUERIES,
+        LAST,
+        stems_sql.SENTENCES
+        + stems_sql.UNION_LCS
+        + _GRAMS.format(n=1)
+        + _GRAMS.format(n=2)
+        + "stemmed AS (SELECT 'b' AS system, q.query_id, coalesce(x.t, []) AS p, coalesce(y.t, []) AS r FROM (SELECT query_id FROM preds WHERE system = 'b') q"
+        " LEFT JOIN flat x ON q.query_id = x.query_id AND x.side = 'p' LEFT JOIN flat y ON q.query_id = y.query_id AND y.side = 'r'),"
+        + _LCS_OF.replace("FROM toks", "FROM stemmed"),
+        select=f"""SELECT stemmed.query_id, {_f('h1.h')} AS rouge1, {_f('h2.h', 1)} AS rouge2, {_f('lcs.h')} AS "rougeL", {_f('lsum.h')} AS "rougeLsum"
+          FROM (SELECT query_id, p, r FROM stemmed) stemmed LEFT JOIN h1 USING (query_id) LEFT JOIN h2 USING (query_id) LEFT JOIN (SELECT query_id, h FROM lcs) lcs USING (query_id) LEFT JOIN lsum USING (query_id)""",
+    ),
+)
 def rouge_stemmed(spark, sf):
     pairs = V.scored_pairs(spark, sf, "b").select("query_id", "prediction", "reference")
     scored = R.with_rouge(pairs)
