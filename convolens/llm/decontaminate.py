@@ -1,6 +1,7 @@
 """Benchmark decontamination: windows of documents that are near copies of benchmark items.
 
-A window has as many words as the item it is compared with. Its SimHash adds up the signs of its shingles'
+A window has as many words as the item it is compared with; a document of fewer words is one window. An item of fewer words
+than a shingle is one shingle, and so are the windows that it is compared with. A window's SimHash adds up the signs of its shingles'
 hashes. Items are indexed by BLOCKS parts of their fingerprints: a fingerprint within RADIUS bits of an item's agrees
 with it up to RADIUS // BLOCKS bits in one part, and each part's table lists the items within that many bits of
 every value, so no fingerprint in the radius is missed. What is found is verified by the exact similarity of the
@@ -29,8 +30,14 @@ RADIUS = 23
 AT_ONCE = 16 << 20
 
 
-def text_shingles(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash of the shingle at each word, each text's first word, and number of shingles; a short text is one shingle."""
+def whole(prefix: C.Prefix, start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The one shingle of n words from each start; the length keeps it apart from others."""
+    return C.mix(prefix.of(start, start + n) + n.astype(np.uint64))
+
+
+def text_shingles(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, C.Prefix]:
+    """Hash of the shingle at each word, each text's first word, number of shingles, and hashes of all runs of words; a short
+    text is one shingle."""
     starts, ends, first = C.word_spans(data, offsets)
     hashes = C.word_hashes(data, starts, ends, lower=True)
     prefix = C.Prefix(hashes, 31)
@@ -38,8 +45,8 @@ def text_shingles(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np
     at = np.arange(len(hashes))
     out = prefix.of(at, np.minimum(at + words, len(hashes)))
     short = np.flatnonzero((n > 0) & (n < words))
-    out[first[short]] = C.mix(prefix.of(first[short], first[short] + n[short]) + n[short].astype(np.uint64))
-    return out, first, np.where(n >= words, n - words + 1, np.minimum(n, 1))
+    out[first[short]] = whole(prefix, first[short], n[short])
+    return out, first, np.where(n >= words, n - words + 1, np.minimum(n, 1)), prefix
 
 
 def signs(shingles: np.ndarray) -> np.ndarray:
@@ -63,7 +70,7 @@ class Index:
     def __init__(self, ids: list[int], texts: list[str], words: int):
         self.words = words
         data, offsets = C.text_bytes(pa.array(texts, pa.string()))
-        grams, first, n = text_shingles(data, offsets, words)
+        grams, first, n, _ = text_shingles(data, offsets, words)
         self.shingles = [np.sort(grams[f : f + k]) for f, k in zip(first, n)]
         self.ids = ids
         keep = [i for i in range(len(ids)) if n[i]]
@@ -73,8 +80,14 @@ class Index:
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[known >> np.uint64(44)] = True
         self.sizes: dict[int, list[int]] = defaultdict(list)
+        #: Items of one shingle by number of words, each shingle's items.
+        self.short: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
         for i in keep:
-            self.sizes[int(first[i + 1] - first[i])].append(i)
+            size = int(first[i + 1] - first[i])
+            if size < words:
+                self.short[size][int(self.shingles[i][0])].append(i)
+            else:
+                self.sizes[size].append(i)
         bits = np.array([bin(x).count("1") for x in range(256)], np.uint8)
         near = bits[np.arange(256)[:, None] ^ np.arange(256)[None, :]] <= RADIUS // BLOCKS
         self.prints, self.tables, self.having = {}, {}, {}
@@ -86,9 +99,19 @@ class Index:
             self.having[size] = np.unique(np.concatenate([self.shingles[i] for i in items]))
         self.bits = bits
 
-    def found(self, grams: np.ndarray, n_words: int, percent: int) -> Iterator[tuple[int, int, int, float]]:
-        """(item, first word, words, similarity) of the best window of one text for each item that it holds."""
-        if not len(grams) or not len(self.known):
+    def found(self, grams: np.ndarray, n_words: int, percent: int, prefix: C.Prefix, at: int) -> Iterator[tuple[int, int, int, float]]:
+        """(item, first word, words, similarity) of the best window of one text for each item that it holds; the text
+        begins at word `at` of `prefix`."""
+        for size, items in self.short.items():
+            if size <= n_words:
+                own = whole(prefix, np.arange(at, at + n_words - size + 1), np.full(n_words - size + 1, size))
+                wanted = np.sort(np.fromiter(items, np.uint64, len(items)))
+                hits = np.flatnonzero(among(own, wanted))
+                for gram, first in dict(zip(own[hits][::-1].tolist(), hits[::-1].tolist())).items():
+                    for i in items[gram]:
+                        yield self.ids[i], first, size, 1.0
+        # A text of fewer words than a shingle shares none with a longer item.
+        if n_words < self.words or not len(self.known):
             return
         hits = np.flatnonzero(self.maybe[grams >> np.uint64(44)])
         hits = hits[among(grams[hits], self.known)]
@@ -96,31 +119,32 @@ class Index:
             return
         sums = np.concatenate([np.zeros((1, BITS), np.int32), np.cumsum(signs(grams), axis=0)])
         for size, items in self.sizes.items():
-            width = size - self.words + 1 if size >= self.words else 1
             own = hits[among(grams[hits], self.having[size])]
-            if size > n_words or not len(own) or (size < self.words and n_words != size):
+            if not len(own):
                 continue
-            # All windows of this size with one of these shingles in them.
+            # All windows of this size with one of these shingles in them; a shorter text is one window.
+            width = min(size, n_words) - self.words + 1
+            theirs = size - self.words + 1
             last = len(grams) - width
             flags = np.zeros(len(grams) + 1, np.int32)
-            np.add.at(flags, np.maximum(own - width + 1, 0), 1)
+            np.add.at(flags, np.minimum(np.maximum(own - width + 1, 0), last), 1)
             np.add.at(flags, np.minimum(own, last) + 1, -1)
             starts = np.flatnonzero(np.cumsum(flags[: last + 1]) > 0)
-            if not len(starts):
+            if 100 * width < percent * theirs or not len(starts):
                 continue
             prints = packed(sums[starts + width] - sums[starts])
             best: dict[int, tuple[float, int]] = {}
-            for at, fingerprint in zip(starts.tolist(), prints):
+            for first, fingerprint in zip(starts.tolist(), prints):
                 near = np.unique(np.concatenate([self.tables[size][b][fingerprint[b]] for b in range(BLOCKS)]))
                 near = near[self.bits[self.prints[size][near] ^ fingerprint].sum(axis=1) <= RADIUS]
                 for k in near.tolist():
-                    both = _shared(np.sort(grams[at : at + width]), self.shingles[items[k]])
-                    if 100 * both >= percent * (2 * width - both):
-                        score = both / (2 * width - both)
+                    both = _shared(np.sort(grams[first : first + width]), self.shingles[items[k]])
+                    if 100 * both >= percent * (width + theirs - both):
+                        score = both / (width + theirs - both)
                         if score > best.get(k, (0.0, 0))[0]:
-                            best[k] = (score, at)
-            for k, (score, at) in sorted(best.items()):
-                yield self.ids[items[k]], at, size, score
+                            best[k] = (score, first)
+            for k, (score, first) in sorted(best.items()):
+                yield self.ids[items[k]], first, min(size, n_words), score
 
 
 def _shared(a: np.ndarray, b: np.ndarray) -> int:
@@ -137,7 +161,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, words: int = 5, percent: int =
     """id_col, item_col, first_word, n_words, similarity: documents with a window near an item, the best window of each.
 
     Words are lower-cased; similarity is at least percent / 100. A document or an item without words, or null, is
-    near nothing; a text of fewer than `words` words is one shingle. Items that are equal are found alike. Equal
+    near nothing; an item of fewer than `words` words is one shingle and stands in every document with the same run of
+    words, a document of fewer words than an item is one window. Items that are equal are found alike. Equal
     rows get equal results; rows without an id are searched too. No documents or no items give no rows.
 
     The items go to the tasks in blocks of AT_ONCE letters, one pass over the documents for each: what a task
@@ -161,10 +186,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, words: int = 5, percent: int =
                 doc = batch.column(0).to_pylist()
                 rows = []
                 for a, b in C.pieces(offsets, 4 * C.PIECE):
-                    grams, first, n = text_shingles(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], words)
+                    grams, first, n, prefix = text_shingles(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], words)
                     for i in range(b - a):
                         f, count = int(first[i]), int(n[i])
-                        rows += [(doc[a + i], *row) for row in index.found(grams[f : f + count], int(first[i + 1]) - f, percent)]
+                        rows += [(doc[a + i], *row) for row in index.found(grams[f : f + count], int(first[i + 1]) - f, percent, prefix, f)]
                 if rows:
                     columns = list(zip(*rows))
                     yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in columns[:4]], pa.array(columns[4], pa.float64())], names=["doc", "item", "first_word", "n_words", "similarity"])
@@ -199,10 +224,10 @@ def clean(docs: DataFrame, benchmark: DataFrame, words: int = 5, percent: int =
                 free = np.ones(len(texts), bool)
                 data, offsets = C.text_bytes(texts)
                 for a, b in C.pieces(offsets, 4 * C.PIECE):
-                    grams, first, n = text_shingles(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], words)
+                    grams, first, n, prefix = text_shingles(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], words)
                     for i in range(b - a):
                         f = int(first[i])
-                        free[a + i] = next(index.found(grams[f : f + int(n[i])], int(first[i + 1]) - f, percent), None) is None
+                        free[a + i] = next(index.found(grams[f : f + int(n[i])], int(first[i + 1]) - f, percent, prefix, f), None) is None
                 return free
 
             return flags

@@ -186,3 +186,18 @@ def test_pipeline_against_plain_code(spark, sf_dir):
         else:
             assert sorted((r.doc_id, r.text) for r in after) == sorted(before) and all(r.n_tokens == len(r.ids) for r in after)
     assert 0 < docs.count() < whole
+
+
+def test_shared_folder_without_the_setting():
+    """Without spark.checkpoint.dir a local session takes a temporary folder, once; a cluster is told."""
+
+    class Session:
+        def __init__(self, master, named=None):
+            self.sparkContext = type("Context", (), {"master": master, "applicationId": f"app-{master}"})
+            self.conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: named or default)})
+
+    local = Session("local[2]")
+    assert C.shared_dir(local) == C.shared_dir(local) and C.shared_dir(local).startswith("file:///")
+    assert C.shared_dir(Session("spark://x:7077", "s3a://y/z/")) == "s3a://y/z"
+    with pytest.raises(ValueError):
+        C.shared_dir(Session("spark://x:7077"))

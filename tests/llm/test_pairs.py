@@ -6,6 +6,8 @@ import re
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from convolens.llm import components, decontaminate, group_join, mtree
 
 
@@ -46,9 +48,10 @@ def test_components_of_chains_stars_and_rings(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-@pytest.mark.parametrize("seed, rounds", [(1, 6), (2, 0), (3, 2)])
-def test_join_links_what_is_similar(spark, monkeypatch, seed, rounds):
+@pytest.mark.parametrize("seed, rounds, few", [(1, 2, 0), (2, 3, 16)])
+def test_join_links_what_is_similar(spark, monkeypatch, seed, rounds, few):
     monkeypatch.setattr(group_join, "ROUNDS", rounds)
+    monkeypatch.setattr(group_join, "FEW", few)
     rows = [(3 * i % 1000, t) for i, t in enumerate(near_texts(seed, 90))]
     sets = {i: set(shingles(t)) for i, t in rows}
     links = [(a, b) for a in sets for b in sets if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
@@ -70,6 +73,16 @@ def test_join_takes_nulls_repeats_and_clashing_names(spark):
     assert group_join.link_components(df.limit(0)).count() == 0
 
 
+def test_sets_of_one_id_are_one_node(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(3, a), (5, a), (5, b), (7, b), (8, c), (9, c + " end"), (9, c + " other"), (10, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("twice", F.lit(1)).withColumn("id", F.lit("x"))
+    got = sorted((r.doc_id, r.component_id) for r in group_join.link_components(df).collect())
+    assert got == [(3, 3), (5, 3), (5, 3), (7, 3), (8, 8), (9, 8), (9, 8), (10, 10)]
+    kept = group_join.representatives(df)
+    assert sorted(r.doc_id for r in kept.collect()) == [3, 8, 10] and kept.columns == df.columns
+
+
 def weighted(a, b):
     from collections import Counter
 
@@ -78,20 +91,37 @@ def weighted(a, b):
 
 
 def plain_leaks(docs, items):
+    """From the contract: every window of an item's number of words, or the whole of a shorter document."""
     split = lambda t: re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())
     out = set()
     for d, t in docs:
         w = split(t)
         for i, x in items:
             size = len(split(x))
-            for at in range(len(w) - size + 1 if size else 0):
-                if size < 5 and len(w) != size:
-                    continue
+            for at in range(max(1, len(w) - size + 1) if size and w else 0):
                 if weighted(shingles(" ".join(w[at : at + size])), shingles(x)) >= 0.8:
                     out.add((d, i))
     return out
 
 
+def test_leaks_in_short_documents_and_of_short_items(spark):
+    fifty = [f"w{k}" for k in range(50)]
+    items = [(1, " ".join(fifty)), (2, "four words of it"), (3, "one"), (4, "four words of it"), (None, "no id")]
+    docs = [
+        (1, " ".join(fifty[:49])), (2, " ".join(fifty[:40])), (3, " ".join(fifty[1:49])), (4, "here are Four words of it again, four words of it"), (5, "four words of"),
+        (6, "four words of it"), (7, "One"), (8, "x one y"), (9, ""), (10, "words no id here"), (6, "four words of it"), (None, "and one"),
+    ]
+    df = spark.createDataFrame([(d, t, 0) for d, t in docs], "doc_id long, text string, item_id int")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.leaks(df, bench).collect()
+    want = plain_leaks(list(enumerate(t for _, t in docs)), list(enumerate(x for _, x in items)))
+    assert sorted((str(r.doc_id), str(r.item_id)) for r in got) == sorted((str(docs[d][0]), str(items[i][0])) for d, i in want)
+    assert {(1, 1), (3, 1), (4, 2), (7, 3), (8, 3)} <= {(r.doc_id, r.item_id) for r in got} and (2, 1) not in {(r.doc_id, r.item_id) for r in got}
+    assert [(r.first_word, r.n_words) for r in got if (r.doc_id, r.item_id) == (4, 2)] == [(2, 4)]
+    kept = decontaminate.clean(df, bench)
+    assert sorted(str(r.doc_id) for r in kept.collect()) == ["2", "5", "9"] and kept.columns == df.columns
+
+
 def test_leaks_are_all_windows_near_an_item(spark):
     rng = random.Random(4)
     word = lambda: f"w{rng.randrange(60)}"
