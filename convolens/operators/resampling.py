@@ -4,6 +4,9 @@ A draw takes as many units as there are, with replacement. Units are numbered an
 tree says how many of a draw's picks fall into each block, and the picks are made inside the block. All of it is
 integer and plain floating-point arithmetic on (draw, position), so any engine can repeat it, and what leaves a
 block is one sum per draw.
+
+The unit of work is a block and a range of draws. Few blocks are given to several tasks, each with other draws; many
+blocks are a task each.
 """
 
 from __future__ import annotations
@@ -27,6 +30,10 @@ from convolens.operators.indexing import (
 from convolens.session import keep
 
 TREE_BLOCK = 65_536
+#: Tasks that few blocks are spread over, by ranges of draws.
+TASKS = 32
+#: Picks that a task makes at a time.
+AT_ONCE = 1 << 18
 PRIME = 2_147_483_647
 
 
@@ -82,16 +89,15 @@ def _split(draws: np.ndarray, node: int, picks: np.ndarray, share: float, seed:
     return np.clip(near, 0, picks).astype(np.int64)
 
 
-def _tree_share(seed: int, n_rows: int, n_blocks: int, block: int, draws: int, size: int) -> np.ndarray:
-    """How many of a draw's n_rows picks fall into one block, for every draw.
+def _tree_share(seed: int, n_rows: int, n_blocks: int, block: int, every: np.ndarray, size: int) -> np.ndarray:
+    """How many of a draw's n_rows picks fall into one block, for each of some draws.
 
     Splits depend on their place alone, so every block finds the same ones on its own. A node is its first
     block times 2^20 plus its last.
     """
     rows = lambda lo, hi: min(hi * size, n_rows) - lo * size
     lo, hi = 0, n_blocks
-    left = np.full(draws, n_rows, dtype=np.int64)
-    every = np.arange(draws, dtype=np.int64)
+    left = np.full(len(every), n_rows, dtype=np.int64)
     while hi - lo > 1:
         mid = (lo + hi) // 2
         first = _split(every, lo * (1 << 20) + hi, left, rows(lo, mid) / rows(lo, hi), seed)
@@ -111,21 +117,38 @@ def draw_sums(units: DataFrame, key: str, values: Sequence[str], draws: int, see
     n_blocks = -(-n // block)
     names = list(values)
 
+    spread = max(1, min(draws, -(-TASKS // n_blocks)))
+
     def resample(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        here = int(key[0])
+        here, part = int(key[0]), int(key[1])
         data = rows.sort_values("idx")[names].to_numpy(dtype=np.float64)
-        share = _tree_share(seed, n, n_blocks, here, draws, block)
-        out = np.empty((draws, len(names)))
-        for d in range(draws):
+        every = np.arange(part * draws // spread, (part + 1) * draws // spread, dtype=np.int64)
+        share = _tree_share(seed, n, n_blocks, here, every, block)
+        out = np.zeros((len(every), len(names)))
+        ends = np.cumsum(share)
+        first = 0
+        while first < len(every):
+            last = max(first + 1, int(np.searchsorted(ends, ends[first] - share[first] + AT_ONCE, side="right")))
+            own = share[first:last]
+            start = np.cumsum(own) - own
             # Positions of different blocks do not meet: a block's picks stay below four times its size.
-            at = np.arange(share[d], dtype=np.int64) + here * 4 * block
-            out[d] = data[hashed_array(np.int64(d), at, seed) % len(data)].sum(axis=0)
+            at = np.arange(int(own.sum()), dtype=np.int64) - np.repeat(start, own) + here * 4 * block
+            some = np.flatnonzero(own)
+            if len(some):
+                picked = data[hashed_array(np.repeat(every[first:last], own), at, seed) % len(data)]
+                out[first + some] = np.add.reduceat(picked, start[some], axis=0)
+            first = last
         frame = pd.DataFrame(out, columns=names)
-        frame.insert(0, "draw", np.arange(draws))
+        frame.insert(0, "draw", every)
         return frame
 
     schema = "draw bigint, " + ", ".join(f"{v} double" for v in names)
-    parts = indexed.withColumn("__block", F.floor(F.col("idx") / block)).groupBy("__block").applyInPandas(resample, schema)
+    ranges = F.explode(F.sequence(F.lit(0), F.lit(spread - 1)))
+    parts = indexed.withColumn("__block", F.floor(F.col("idx") / block)).withColumn("__part", ranges)
+    if spread > 1:
+        # The narrow rows of few blocks are too small for the optimizer to deal out.
+        parts = parts.repartition(n_blocks * spread, "__block", "__part")
+    parts = parts.groupBy("__block", "__part").applyInPandas(resample, schema)
     return parts.groupBy("draw").agg(*[F.sum(v).alias(v) for v in names])
 
 

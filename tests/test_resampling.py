@@ -55,7 +55,7 @@ def test_blocks_agree_with_the_sequential_generator_on_the_interval(spark):
 
 def test_many_blocks_draw_n_of_n():
     n, size = 150, 16
-    shares = [R._tree_share(5, n, -(-n // size), b, 300, size) for b in range(-(-n // size))]
+    shares = [R._tree_share(5, n, -(-n // size), b, np.arange(300), size) for b in range(-(-n // size))]
     assert all(sum(s[d] for s in shares) == n for d in range(300))
     assert shares[0].mean() == pytest.approx(16, rel=0.1)
     assert shares[-1].mean() == pytest.approx(n % 16, rel=0.15)
@@ -67,7 +67,7 @@ def test_shares_of_very_many_units_reach_every_block():
     n = 2**33
     blocks = -(-n // R.TREE_BLOCK)
     for b in (0, blocks // 2, blocks - 1):
-        assert R._tree_share(5, n, blocks, b, 20, R.TREE_BLOCK).mean() == pytest.approx(R.TREE_BLOCK, rel=0.02)
+        assert R._tree_share(5, n, blocks, b, np.arange(20), R.TREE_BLOCK).mean() == pytest.approx(R.TREE_BLOCK, rel=0.02)
     high = R.hashed_array(np.int64(3), np.arange(2000, dtype=np.int64) + (blocks - 1) * 4 * R.TREE_BLOCK, 1) % R.TREE_BLOCK
     assert high.min() < 1000 and high.max() > R.TREE_BLOCK - 1000
 
