@@ -11,6 +11,7 @@ blocks are a task each.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -227,15 +228,39 @@ def paired_cluster_bootstrap(
 # --- subsamples without replacement -----------------------------------------------------------
 
 
-def _floyd(draw: Column, n: int, k: int, seed: int) -> Column:
-    """k distinct numbers of 0..n-1: of each step's pick and its bound, whichever is still free."""
-    steps = F.sequence(F.lit(n - k).cast("bigint"), F.lit(n - 1).cast("bigint"))
+#: Rounds of the permutation; each mixes one half of a number into the other.
+ROUNDS = 4
 
-    def step(taken: Column, j: Column) -> Column:
-        pick = hashed(draw, j, seed) % (j + 1)
-        return F.concat(taken, F.array(F.when(F.array_contains(taken, pick), j).otherwise(pick)))
 
-    return F.aggregate(steps, F.array().cast("array<bigint>"), step)
+def permuted(draw: np.ndarray, position: np.ndarray, n: int, seed: int) -> np.ndarray:
+    """Where a draw's own permutation of 0..n-1 takes each position.
+
+    A Feistel network permutes the square of the least side that holds n; what falls beyond n walks on along its
+    cycle until it is below. Equal draws and different positions never meet, and every number can be reached.
+    """
+    side = math.isqrt(max(n - 1, 0)) + 1
+    x = position.astype(np.int64)
+    todo = np.arange(len(x))
+    while len(todo):
+        left, right = x[todo] // side, x[todo] % side
+        for k in range(ROUNDS):
+            left, right = right, (left + hashed_array(draw[todo].astype(np.int64) * ROUNDS + k, right, seed)) % side
+        x[todo] = left * side + right
+        todo = todo[x[todo] >= n]
+    return x
+
+
+def permuted_sql(positions: str, seed: int) -> str:
+    """CTE `picks` (draw, idx) of the rows (draw, pos, n) of `positions`, for a recursive WITH."""
+    step = "SELECT draw, pos, n, side, x // side AS l, x % side AS r FROM walk WHERE moved = 0 OR x >= n"
+    for k in range(ROUNDS):
+        step = f"SELECT draw, pos, n, side, r AS l, (l + {hashed_sql(f'(draw * {ROUNDS} + {k})', 'r', seed)}) % side AS r FROM ({step})"
+    return f"""
+        walk(draw, pos, n, side, x, moved) AS (
+          SELECT draw, pos, n, CAST(ceil(sqrt(n)) AS BIGINT), pos, 0 FROM {positions}
+          UNION ALL
+          SELECT draw, pos, n, side, l * side + r, 1 FROM ({step})),
+        picks AS (SELECT draw, x AS idx FROM walk WHERE moved = 1 AND x < n)"""
 
 
 def subsample_distribution(
@@ -248,17 +273,21 @@ def subsample_distribution(
 ) -> DataFrame:
     """Means of k-query subsets: their spread, and the share of subsets above each threshold.
 
-    The picks number draws x k whatever the run's size, so they go to the scores and not the
-    other way round. The upper end has no -1 here, unlike the bootstrap.
+    A draw's subset is the first k places of its permutation. The picks number draws x k whatever the run's size, so
+    they go to the scores and not the other way round. The upper end has no -1 here, unlike the bootstrap.
     """
     scores = keep(scores.select(key, "score"))
     n = scores.count()
     if n < k:
         raise ValueError(f"only {n} scores, {k} needed")
     indexed = with_row_index(scores, key, rows=n)
-    picks = scores.sparkSession.range(draws).select(
-        F.col("id").alias("draw"), F.explode(_floyd(F.col("id"), n, k, seed)).alias("idx")
-    )
+
+    @F.pandas_udf("bigint")
+    def place(draw: pd.Series, position: pd.Series) -> pd.Series:
+        return pd.Series(permuted(draw.to_numpy(), position.to_numpy(), n, seed))
+
+    picks = scores.sparkSession.range(draws).select(F.col("id").alias("draw"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long"))).alias("position"))
+    picks = picks.select("draw", place("draw", "position").alias("idx"))
     means = picks.join(indexed.select("idx", "score"), "idx").groupBy("draw").agg(F.avg("score").alias("m"))
     lo, hi = int(0.025 * draws), int(0.975 * draws)
     return scores.agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("full_mean")).crossJoin(

@@ -566,13 +566,8 @@ K = 10
         f"""one AS (SELECT query_id, f AS score FROM sc WHERE system = 'b'),
         size AS (SELECT count(*) AS n FROM one),
         num AS (SELECT *, row_number() OVER (ORDER BY query_id) - 1 AS idx FROM one),
-        steps AS (SELECT d.range AS draw, 0 AS step, CAST([] AS BIGINT[]) AS taken, n FROM range({DRAWS}) d, size
-          UNION ALL
-          SELECT draw, step + 1, list_append(taken, CASE WHEN list_contains(taken,
-              {resampling.hashed_sql('draw', f'(n - {K} + step)', protocol.SEED)} % (n - {K} + step + 1)) THEN n - {K} + step
-              ELSE {resampling.hashed_sql('draw', f'(n - {K} + step)', protocol.SEED)} % (n - {K} + step + 1) END), n
-          FROM steps WHERE step < {K}),
-        picks AS (SELECT draw, unnest(taken) AS idx FROM steps WHERE step = {K}),
+        places AS (SELECT d.range AS draw, p.range AS pos, n FROM range({DRAWS}) d, range({K}) p, size),
+        {resampling.permuted_sql('places', protocol.SEED)},
         means AS (SELECT draw, avg(score) AS m FROM picks JOIN num USING (idx) GROUP BY 1),
         spread AS (SELECT list_sort(list(m)) AS ms, avg(m) AS draw_mean, min(m) AS lo, max(m) AS hi,
             {', '.join(f"avg(CASE WHEN m > {t} THEN 1.0 ELSE 0.0 END) AS above_{f'{t:.3f}'.replace('.', '_')}" for t in protocol.SUBSAMPLE_THRESHOLDS)} FROM means)""",

@@ -91,10 +91,18 @@ def test_a_missing_cluster_fails(spark):
 
 
 def test_subsample_draws_distinct_members(spark):
-    picks = spark.range(2000).select(R._floyd(F.col("id"), 20, 5, 11).alias("p")).collect()
-    assert all(len(set(r.p)) == 5 and 0 <= min(r.p) and max(r.p) < 20 for r in picks)
-    seen = Counter(x for r in picks for x in r.p)
+    picks = R.permuted(np.repeat(np.arange(2000), 5), np.tile(np.arange(5), 2000), 20, 11).reshape(-1, 5)
+    assert all(len(set(p)) == 5 for p in picks.tolist()) and picks.min() >= 0 and picks.max() < 20
+    seen = Counter(picks.ravel().tolist())
     assert max(seen.values()) / min(seen.values()) < 1.4
+    for n in (1, 2, 3, 16, 17, 1000):
+        assert sorted(R.permuted(np.full(n, 7), np.arange(n), n, 3).tolist()) == list(range(n))
+    # Beyond 2^31 every part is reached alike, and no number twice.
+    n = 2**33
+    far = R.permuted(np.zeros(40_000, np.int64), np.arange(40_000), n, 5)
+    assert len(set(far.tolist())) == 40_000 and far.max() < n
+    parts = np.bincount(far * 16 // n, minlength=16)
+    assert parts.min() > 2200 and parts.max() < 2800
     scores = spark.createDataFrame([(f"q{i}", float(i)) for i in range(20)], "query_id string, score double")
     out = R.subsample_distribution(scores, 20, draws=50).first()
     assert out.low == out.high == out.full_mean == 9.5
