@@ -92,6 +92,34 @@ def _flatness(recalls: DataFrame, scores: DataFrame) -> DataFrame:
     )
 
 
+def decomposition_buckets(
+    recalls: DataFrame, ours: DataFrame, baseline: DataFrame, metrics: Sequence[str] = ("recall", "precision", "f1")
+) -> DataFrame:
+    """metric, side, bucket, n, mean, spread, stdev: both sides' bucket means, every bucket of each, and the control.
+
+    The control says how far the baseline's means lie apart; it is NULL on our side, and with fewer than two filled
+    buckets. Queries that lack a recall or a score are left out.
+    """
+    recalls = keep(recalls.select("query_id", F.col("recall").alias("__r")))
+    base = keep(_long(baseline, metrics))
+    scores = _long(ours, metrics).withColumn("side", F.lit("ours")).unionByName(base.withColumn("side", F.lit("baseline")))
+    stats = (
+        scores.join(recalls, "query_id")
+        .where(F.col("__r").isNotNull() & F.col("score").isNotNull())
+        .groupBy("metric", "side", recall_bucket(F.col("__r")).alias("bucket"))
+        .agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("mean"))
+    )
+    # Metrics, sides and buckets are a handful of names.
+    names = [(m, side, b) for m in metrics for side in ("ours", "baseline") for b in protocol.RECALL_BUCKETS]
+    every = recalls.sparkSession.createDataFrame(names, "metric string, side string, bucket string")
+    control = _flatness(recalls.withColumnRenamed("__r", "recall"), base).withColumn("side", F.lit("baseline"))
+    return (
+        every.join(stats, ["metric", "side", "bucket"], "left")
+        .join(F.broadcast(control), ["metric", "side"], "left")
+        .select("metric", "side", "bucket", F.coalesce("n", F.lit(0)).alias("n"), "mean", "spread", "stdev")
+    )
+
+
 def attribution(
     recalls: DataFrame, ours: DataFrame, baseline: DataFrame, metrics: Sequence[str] = ("recall", "precision", "f1")
 ) -> DataFrame:
@@ -122,11 +150,11 @@ def attribution(
     reasons = F.filter(
         F.array(
             F.when(gap.isNull() | gap_hit.isNull(), F.lit("empty bucket")).when(
-                gap < protocol.MIN_GAP, F.lit("gap below noise")
+                gap < protocol.MIN_GAP, F.format_string(f"gap %.4f below noise of {protocol.MIN_GAP}", gap)
             ),
             F.when(
                 spread.isNotNull() & (gap >= protocol.MIN_GAP) & (spread > protocol.MAX_CONTROL_SPREAD * gap),
-                F.lit("control failed"),
+                F.format_string("control failed: baseline varies by %.4f over buckets, against a gap of %.4f", spread, gap),
             ),
         ),
         lambda x: x.isNotNull(),

@@ -422,8 +422,9 @@ def _attribution_sql() -> str:
         )
     body = " UNION ALL ".join(parts)
     reasons = """array_to_string(list_filter([CASE WHEN ba - oa IS NULL OR bp - op IS NULL THEN 'empty bucket'
-        WHEN ba - oa < 0.02 THEN 'gap below noise' END,
-        CASE WHEN spread IS NOT NULL AND ba - oa >= 0.02 AND spread > 0.5 * (ba - oa) THEN 'control failed' END],
+        WHEN ba - oa < 0.02 THEN printf('gap %.4f below noise of 0.02', ba - oa) END,
+        CASE WHEN spread IS NOT NULL AND ba - oa >= 0.02 AND spread > 0.5 * (ba - oa)
+          THEN printf('control failed: baseline varies by %.4f over buckets, against a gap of %.4f', spread, ba - oa) END],
         lambda x: x IS NOT NULL), '; ')"""
     return O.with_ctes(
         *_CHAT_PACK,
@@ -438,6 +439,33 @@ def _attribution_sql() -> str:
     )
 
 
+def _bucket_sql() -> str:
+    cells = " UNION ALL ".join(
+        f"SELECT '{metric}' AS metric, CASE system WHEN 'c' THEN 'ours' ELSE 'baseline' END AS side, {_BUCKET.replace('recall', 'q.recall')} AS bucket, s.{col} AS v"
+        " FROM scored s JOIN recalls q USING (query_id) WHERE system IN ('a', 'c') AND s.parsed AND q.recall IS NOT NULL"
+        for metric, col in (("recall", "recall"), ("precision", "precision"), ("f1", "f"))
+    )
+    return O.with_ctes(
+        *_CHAT_PACK, _GOT, LAST, MARKS, _BUCKETS,
+        f"""cells AS ({cells}),
+        st AS (SELECT metric, side, bucket, count(*) AS n, avg(v) AS mean FROM cells WHERE v IS NOT NULL GROUP BY ALL),
+        flat AS (SELECT metric, side, CASE WHEN count(*) > 1 THEN round(max(m) - min(m), 4) + 0.0 END AS spread,
+            CASE WHEN count(*) > 1 THEN round(stddev_pop(m), 4) + 0.0 END AS stdev
+          FROM (SELECT metric, side, round(mean, 4) AS m FROM st WHERE side = 'baseline') GROUP BY ALL),
+        every AS (SELECT metric, side, bucket FROM (VALUES ('recall'), ('precision'), ('f1')) m(metric), (VALUES ('ours'), ('baseline')) s(side), dim)""",
+        select="""SELECT metric, side, bucket, coalesce(n, 0) AS n, round(mean, 6) AS mean, spread, stdev
+          FROM every LEFT JOIN st USING (metric, side, bucket) LEFT JOIN flat USING (metric, side)""",
+    )
+
+
+@register("decomposition_buckets", _bucket_sql())
+def decomposition_buckets(spark, sf):
+    items = _fact_items(spark, sf).where("parsed")
+    ours, base = items.where(F.col("system") == "c"), items.where(F.col("system") == "a")
+    out = attribution.decomposition_buckets(_recalls(spark, sf), ours, base)
+    return out.withColumn("mean", F.round("mean", 6))
+
+
 @register("attribution", _attribution_sql())
 def attribution_query(spark, sf):
     items = _fact_items(spark, sf).where("parsed")
