@@ -6,6 +6,7 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -16,17 +17,52 @@ PIECE = 1 << 18
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the cluster names it; a temporary one only where it names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share, as spark.checkpoint.dir names it.
+
+    A local master shares its own temporary folder; any other needs the setting.
+    """
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or _LOCAL.get(sc.applicationId)
     if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="convolens-shared-")
-        spark.conf.set("spark.checkpoint.dir", named)
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        named = _LOCAL[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="convolens-shared-")
     return named.rstrip("/")
 
 
+#: Temporary folders of local sessions, by application.
+_LOCAL: dict[str, str] = {}
+
+
+#: Lists that get the paths made while they are watched.
+_WATCHED: list[list[str]] = []
+
+
+@contextmanager
+def watched(paths: list[str]) -> Iterator[None]:
+    """Paths made inside are added to the list."""
+    _WATCHED.append(paths)
+    try:
+        yield
+    finally:
+        _WATCHED.remove(paths)
+
+
+def delete(spark: SparkSession, paths: list[str], but_for: DataFrame) -> None:
+    """Delete these folders, but for those that a table reads, and empty the list."""
+    read = {f.rsplit("/", 1)[0].rsplit("/", 1)[-1] for f in but_for.inputFiles()}
+    for path in paths:
+        if path.rsplit("/", 1)[-1] not in read:
+            hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+    paths.clear()
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A path of its own in the shared folder; it goes when the application ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    for paths in _WATCHED:
+        paths.append(path)
     jvm = spark.sparkContext._jvm
     hadoop = jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
@@ -47,7 +83,6 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = new_path(spark, name)
     _collect(spark)
     df.write.parquet(path, compression="zstd")
-    _collect(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -56,12 +91,13 @@ def small_batches(df: DataFrame) -> None:
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
 
-def discard(df: DataFrame) -> None:
-    """Delete a staged table that no frame reads any more."""
-    spark = df.sparkSession
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def discard(*tables: DataFrame) -> None:
+    """Delete staged tables that no frame reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

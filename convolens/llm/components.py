@@ -17,9 +17,11 @@ def components(links: DataFrame) -> DataFrame:
     """
     spark = links.sparkSession
     steps: list[DataFrame] = []
-    links = links.filter("a <> b")
+    links, before = links.filter("a <> b"), []
     while True:
         links = C.staged(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+        C.discard(*before)
+        before = [links]
         if not links.take(1):
             break
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -34,4 +36,6 @@ def components(links: DataFrame) -> DataFrame:
     for step in reversed(steps[:-1]):
         later = found.select(F.col("node").alias("root"), F.col("root").alias("next"))
         found = step.join(later, "root", "left").select("node", F.coalesce("next", "root").alias("root"))
-    return C.staged(found, "components")
+    found = C.staged(found, "components")
+    C.discard(*steps, *before)
+    return found

@@ -1,15 +1,19 @@
 """N-gram Jaccard join by grouped prefixes: groups of documents with one prefix and size, then their members.
 
-A document's shingles are put in one order for all, rare ones first. Two sets of the least similarity share one of
-their first shingles, the prefix. Equal sets are one class, classes of the same prefix and size one group. Groups
-that share a prefix shingle and have sizes near enough are candidates; their members are verified by their sets.
+A document's shingles are put in one order for all, by how many sets they stand in, rare ones first. Two sets of the
+least similarity share one of their first shingles, the prefix. Equal sets are one class, classes of the same prefix and
+size one group. Groups that share a prefix shingle and have sizes near enough are candidates; their members are verified
+by their sets.
+
+Only three of eight shingles, by their hash, are looked at for this: two sets of the least similarity miss at most a known
+number of each other's shingles, so of a set that has more than that many of the looked-at kind, at least the rest is
+shared. Sets with fewer post all of their shingles. Shingles of one set alone are counted, not kept: they come first in
+the order, and no list needs them. A set with too few others links with none and is done.
 
 Links are wanted as components, so no list of groups is turned into all of its pairs: in each round a list has one
 hub, and members that are not yet in its component are verified against it; lists whose members are all in one
-component are done. What rounds leave over is verified pair by pair, in full.
-
-The order is by how often a shingle's bucket occurs, of a fixed number of buckets: any order gives right results,
-and this one keeps what is common out of the prefixes.
+component are done. As soon as the pairs that are left are no more than a few for each place of the lists, or the
+rounds are over, what is left is verified pair by pair, in full.
 """
 
 from __future__ import annotations
@@ -24,12 +28,14 @@ from pyspark.sql import functions as F
 from convolens.llm import common as C
 from convolens.llm.components import components
 
-BUCKET_BITS = 21
-_CHUNK_BITS = 14
+#: Shingles with more than one in this many of all places: there are fewer of them than this, so they can be broadcast.
+HOT = 1000
 #: Rounds of hubs before the rest is verified pair by pair.
 ROUNDS = 3
 #: Hubs of a list in each round after the first.
 HUBS = 16
+#: Pairs left for each place in a list, up to which all of them are looked at.
+FEW = 16
 
 
 def shingle_hashes(data: np.ndarray, offsets: np.ndarray, words: int) -> Iterator[np.ndarray]:
@@ -56,35 +62,6 @@ def sets_of(column: pa.Array, words: int) -> Iterator[np.ndarray]:
         yield from shingle_hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], words)
 
 
-def bucket_counts(texts: DataFrame, words: int) -> np.ndarray:
-    """In how many documents each bucket's shingles stand, over all documents; 2^21 numbers, whatever the input."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        C.forget()
-        total = np.zeros(1 << BUCKET_BITS, np.int64)
-        for batch in batches:
-            for own in sets_of(batch.column(0), words):
-                np.add.at(total, (own >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), 1)
-        parts = total.reshape(-1, 1 << _CHUNK_BITS)
-        if total.any():
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts), dtype=np.int32)), pa.array([p.astype(np.int32).tobytes() for p in parts], pa.binary())], names=["chunk", "n"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for chunk, n in zip(batch.column(0).to_pylist(), batch.column(1)):
-                own = np.frombuffer(n.as_buffer(), np.int32)
-                sums[chunk] = sums[chunk] + own if chunk in sums else own.astype(np.int64)
-        for chunk, n in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([n.tobytes()], pa.binary())], names=["chunk", "n"])
-
-    rows = texts.select("text").mapInArrow(count, "chunk int, n binary").repartition("chunk").mapInArrow(add, "chunk int, n binary").collect()
-    out = np.zeros((1 << (BUCKET_BITS - _CHUNK_BITS), 1 << _CHUNK_BITS), np.int64)
-    for r in rows:
-        out[r.chunk] = np.frombuffer(r.n, np.int64)
-    return out.reshape(-1)
-
-
 def counted(own: np.ndarray) -> bytes:
     """How many of a set's shingles have each value of the hash's last byte; 255 stands for that many or more."""
     return np.minimum(np.bincount(own.view(np.uint8)[:: 8], minlength=256), 255).astype(np.uint8).tobytes()
@@ -96,36 +73,60 @@ def most_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.minimum(a, b).sum(axis=1)
 
 
-def prefixes(texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """doc, n, two hashes of the set, one of the prefix, the set's counts by last byte, and the prefix's shingles."""
-    counts = texts.sparkSession.sparkContext.broadcast(bucket_counts(texts, words).astype(np.uint32))
+def shingled(texts: DataFrame, words: int, percent: int, whole: bool) -> DataFrame:
+    """doc, n, two hashes of the set, and `tokens`: its shingles with `counts` by last byte if `whole`, else those that it posts."""
+    names = ["doc", "n", "h1", "h2", "tokens", "counts"][: 5 + whole]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         C.forget()
-        rank = counts.value
         for batch in batches:
             for lo in range(0, len(batch), 500):
                 part = batch.slice(lo, 500)
-                n, one, two, group, counts_, tokens = [], [], [], [], [], []
-                for own in sets_of(part.column(1), words):
-                    n.append(len(own))
-                    counts_.append(counted(own))
-                    one.append(C.mix(own + np.uint64(1)).sum())
-                    two.append(C.mix(own + np.uint64(2)).sum())
-                    # At least percent of the set must be shared, so one of these is.
-                    size = len(own) - -(-len(own) * percent // 100) + 1 if len(own) else 0
-                    order = np.lexsort((own, rank[own >> np.uint64(64 - BUCKET_BITS)]))[:size]
-                    head = own[order]
-                    group.append(C.mix(head + np.uint64(3)).sum())
-                    tokens.append(C.signed(head))
-                signed = lambda x: pa.array(C.signed(np.array(x, np.uint64)))
-                ends = np.cumsum([0, *map(len, tokens)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(n, pa.int64()), signed(one), signed(two), signed(group), pa.array(counts_, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(tokens)))],
-                    names=["doc", "n", "h1", "h2", "prefix", "counts", "tokens"],
-                )
-
-    return texts.select("doc", "text").mapInArrow(run, "doc long, n long, h1 long, h2 long, prefix long, counts binary, tokens array<bigint>")
+                own = list(sets_of(part.column(1), words))
+                sums = lambda k: pa.array(C.signed(np.array([C.mix(x + np.uint64(k)).sum() for x in own], np.uint64)))
+                out = own if whole else [posted(x, percent) for x in own]
+                ends = np.cumsum([0, *map(len, out)]).astype(np.int32)
+                tokens = pa.ListArray.from_arrays(pa.array(ends), pa.array(C.signed(np.concatenate(out))))
+                columns = [part.column(0), pa.array([len(x) for x in own], pa.int64()), sums(1), sums(2), tokens]
+                yield pa.RecordBatch.from_arrays([*columns, *[pa.array([counted(x) for x in own], pa.binary())] * whole], names=names)
+
+    schema = "doc long, n long, h1 long, h2 long, tokens array<bigint>" + ", counts binary" * whole
+    return texts.select("doc", "text").mapInArrow(run, schema)
+
+
+def posted(own: np.ndarray, percent: int) -> np.ndarray:
+    """Three of eight shingles of a set, by their hash; all if those are no more than a similar set may miss."""
+    some = own[own & np.uint64(7) < 3]
+    return some if len(some) > len(own) * (100 - percent) // 100 else own
+
+
+def shared_shingles(sets: DataFrame) -> DataFrame:
+    """token, df: posted shingles of two documents or more, and of how many."""
+    return sets.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
+
+
+def prefixes(sets: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
+    """doc, h1, n, prefix, some, before and tokens: of each set that others may reach, how many shingles come before its
+    first shared one, and those of its prefix that are shared.
+
+    The most common shingles are few and go to the sets; the others are met by key.
+    """
+    key = ["doc", "h1"]
+    places = sets.select(*key, F.explode("tokens").alias("token"))
+    total = sets.agg(F.sum(F.size("tokens"))).first()[0] or 0
+    hot = F.broadcast(shared.filter(F.col("df") * HOT > total))
+    cold = places.join(hot.select("token"), "token", "left_anti").join(shared.filter(F.col("df") * HOT <= total), "token")
+    own = places.join(hot, "token").unionByName(cold).groupBy(*key).agg(F.collect_list(F.struct("df", "token")).alias("own"))
+    own = own.join(sets.select(*key, "n", F.size("tokens").alias("posted")), key)
+    # A similar set misses at most so many of the shingles, so one of the first slack + 1 that are posted is shared.
+    slack = F.expr(f"n * {100 - percent} div 100")
+    some = F.col("posted") < F.col("n")
+    own = own.filter(F.size("own") >= F.when(some, F.col("posted") - slack).otherwise(1))
+    unshared = F.when(some, F.col("posted") - F.size("own")).otherwise(0)
+    head = F.when(some, F.slice(F.sort_array("own"), F.lit(1), F.greatest(F.lit(0), slack + 1 - unshared).cast("int"))).otherwise(F.col("own"))
+    own = own.select(*key, "n", some.alias("some"), unshared.alias("before"), F.transform(head, lambda x: x["token"]).alias("tokens"))
+    prefix = F.struct("some", "before", F.xxhash64("tokens").alias("hash"), F.col("tokens")[0].alias("first"))
+    return own.select(*key, "n", "some", prefix.alias("prefix"), "before", "tokens")
 
 
 def may_reach(a_n: Column, a_pos: Column, b_n: Column, b_pos: Column, percent: int) -> Column:
@@ -149,34 +150,20 @@ def hopeful(pairs: DataFrame, counts: DataFrame, percent: int) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long").distinct()
 
 
-def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of ids whose sets are similar: 100 * intersection >= percent * union."""
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        C.forget()
-        for batch in batches:
-            for lo in range(0, len(batch), 500):
-                part = batch.slice(lo, 500)
-                found = [own.tobytes() for own in sets_of(part.column(1), words)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary())], names=["doc", "shingles"])
-
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hit = []
             for x, y in zip(batch.column(2), batch.column(3)):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.sort(np.concatenate([p, q]))
+                both = np.sort(np.concatenate([x.values.to_numpy(), y.values.to_numpy()]))
                 shared = int(np.count_nonzero(both[1:] == both[:-1]))
                 hit.append(100 * shared >= percent * (len(both) - shared))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(hit, pa.bool_()))
 
-    wanted = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct()
-    full = C.staged(texts.join(wanted, "doc", "left_semi").select("doc", "text").mapInArrow(sets, "doc long, shingles binary"), "sets")
-    at = lambda end: full.select(F.col("doc").alias(end), F.col("shingles").alias(f"{end}_set"))
-    out = pairs.join(at("a"), "a").join(at("b"), "b").select("a", "b", "a_set", "b_set").mapInArrow(compare, "a long, b long")
-    out = C.staged(out, "similar")
-    C.discard(full)
-    return out
+    at = lambda end: sets.select(F.col("doc").alias(end), F.col("tokens").alias(f"{end}_set"))
+    return pairs.join(at("a"), "a").join(at("b"), "b").select("a", "b", "a_set", "b_set").mapInArrow(compare, "a long, b long")
 
 
 def link_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -192,24 +179,39 @@ def link_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
         raise ValueError("percent must be from 1 to 100")
     C.small_batches(docs)
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    rows = C.staged(prefixes(texts, words, percent), "prefixes")
-    nodes = rows.filter("doc IS NOT NULL AND n > 0").select("doc", "n", "h1", "h2", "prefix")
-    classes = C.staged(nodes.groupBy("n", "h1", "h2", "prefix").agg(F.min("doc").alias("class")), "classes")
-    groups = classes.groupBy("prefix", "n").agg(F.min("class").alias("group"))
-    members = C.staged(classes.select("class", "prefix", "n").distinct().join(groups, ["prefix", "n"]).select("class", "group", "n", "prefix"), "members")
-    # The shingles of one document for each group; only lists with two groups go on.
-    heads = members.filter("class = group").select(F.col("class").alias("doc"), "prefix").distinct()
-    postings = rows.select("doc", "n", "prefix", "tokens").join(heads, ["doc", "prefix"], "left_semi").select("doc", "n", F.posexplode("tokens").alias("pos", "token"))
-    postings = C.staged(postings.distinct() if _repeating(rows) else postings, "postings").withColumnRenamed("doc", "group")
-    shared = postings.groupBy("token").agg(F.min("group").alias("least"), F.max("group").alias("most")).filter("least < most").select("token")
-    lists = C.staged(postings.join(C.staged(shared, "shared"), "token"), "lists")
-    C.discard(postings)
+    sets = C.staged(shingled(texts, words, percent, False), "sets")
+    rows = C.staged(sets.select("doc", "n", "h1", "h2"), "rows")
+    nodes = rows.filter("doc IS NOT NULL AND n > 0")
+    key = ["n", "h1", "h2"]
+    classes = C.staged(nodes.groupBy(*key).agg(F.min("doc").alias("class")), "classes")
+    repeating = _repeating(nodes)
+    once = sets.filter("doc IS NOT NULL AND n > 0")
+    once = once.dropDuplicates(["doc", "h1", "h2"]) if repeating else once
+    shared = C.staged(shared_shingles(once), "shared")
+    # One row per class from here on.
     heads = classes.select(F.col("class").alias("doc"), "h1", "h2")
-    counts = C.staged(rows.select("doc", "n", "h1", "h2", "counts").join(heads, ["doc", "h1", "h2"], "left_semi").select("doc", "n", "counts"), "counts")
-    roots = _classes(lists, members.drop("prefix"), counts, texts, words, percent)
+    firsts = C.staged(prefixes(once, shared, percent).join(heads.select("doc", "h1"), ["doc", "h1"], "left_semi"), "prefixes")
+    C.discard(shared, sets)
+    # Whole sets of what is left: few, since most documents share too little with any other.
+    left = texts.join(firsts.select("doc").distinct(), "doc", "left_semi")
+    own = shingled(left, words, percent, True).join(heads, ["doc", "h1", "h2"], "left_semi")
+    own = C.staged(own.dropDuplicates(["doc", "h1", "h2"]) if repeating else own, "own")
+    groups = firsts.groupBy("prefix", "n").agg(F.min("doc").alias("group"))
+    members = C.staged(firsts.join(groups, ["prefix", "n"]).select(F.col("doc").alias("class"), "group", "n").distinct(), "members")
+    # The prefix of one document for each group; only lists with two groups go on.
+    heads = firsts.join(members.filter("class = group").select(F.col("group").alias("doc")).distinct(), "doc", "left_semi")
+    places = heads.select(F.col("doc").alias("group"), "n", "some", "before", F.posexplode("tokens").alias("at", "token"))
+    # Of a set that posts all, others that do not may share more than what is posted.
+    places = C.staged(places.select("group", "n", F.when(F.col("some"), F.col("before") + F.col("at")).otherwise(0).alias("pos"), "token"), "places")
+    several = places.groupBy("token").agg(F.min("group").alias("least"), F.max("group").alias("most")).filter("least < most").select("token")
+    lists = C.staged(places.join(several, "token"), "lists")
+    C.discard(places, firsts)
+    roots = C.staged(_classes(lists, members, own, percent), "classes")
+    C.discard(lists, own, members)
+    named = classes.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
+    named = C.staged(_one_id(nodes, named) if repeating else named, "named")
     # Back to all rows: by class, then by component.
-    named = classes.join(roots.distinct(), "class").select("n", "h1", "h2", "class", "root")
-    out = rows.select("doc", "n", "h1", "h2").join(C.staged(named, "named"), ["n", "h1", "h2"], "left")
+    out = rows.join(named, key, "left")
     has = F.col("doc").isNotNull()
     return out.select(
         F.col("doc").alias(id_col), F.col("n").alias("n_shingles"),
@@ -217,17 +219,25 @@ def link_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     )
 
 
+def _one_id(nodes: DataFrame, named: DataFrame) -> DataFrame:
+    """`named` with the components of one id's different sets as one."""
+    ids = nodes.join(named, ["n", "h1", "h2"]).select("doc", "root").distinct()
+    least = ids.groupBy("doc").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b").select("doc", "a")
+    ends = components(ids.join(least, "doc").select("a", F.col("root").alias("b"))).select(F.col("node").alias("root"), F.col("root").alias("next"))
+    return named.join(ends, "root", "left").withColumn("root", F.coalesce("next", "root")).drop("next")
+
+
 def representatives(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` whose id is the smallest of their component, with all columns; one of rows that share an id.
 
     Rows without an id stay.
     """
-    found = link_components(docs, words, percent, id_col, text_col).select(id_col, "component_id")
-    kept = found.filter(F.col(id_col) == F.col("component_id")).groupBy(id_col).agg((F.count("*") > 1).alias("__twice"))
-    joined = docs.join(C.staged(kept, "kept"), id_col, "left").filter(F.col(id_col).isNull() | F.col("__twice").isNotNull())
-    once = joined.filter(F.coalesce("__twice", F.lit(False)) == F.lit(False))
-    again = joined.filter("__twice").dropDuplicates([id_col])
-    return once.unionByName(again).select(*docs.columns)
+    found = link_components(docs, words, percent, id_col, text_col).select(F.col(id_col).alias("id"), "component_id")
+    kept = C.staged(found.filter("id = component_id").groupBy("id").agg((F.count("*") > 1).alias("twice")), "kept")
+    joined = docs.select(F.col(id_col).cast("long").alias("id"), F.struct(*[F.col(c) for c in docs.columns]).alias("row")).join(kept, "id", "left")
+    once = joined.filter("id IS NULL OR NOT twice")
+    again = joined.filter("twice").dropDuplicates(["id"])
+    return once.unionByName(again).select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def _repeating(rows: DataFrame) -> bool:
@@ -240,13 +250,15 @@ def _mask(turn: int, i: int) -> Column:
     return F.shiftrightunsigned(F.xxhash64("token", F.lit(turn), F.lit(i)), 1)
 
 
-def _classes(lists: DataFrame, members: DataFrame, counts: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+def _classes(lists: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """class, root: the smallest class that links reach from each."""
     spark = lists.sparkSession
     tried = spark.createDataFrame([], "a long, b long")
-    known = members.withColumn("root", F.col("class"))
+    known, held, places = members.withColumn("root", F.col("class")), [], lists.count()
     for turn in range(ROUNDS + 1):
         known = C.staged(known, "known")
+        C.discard(*held)
+        held = [known]
         # A group whose members are apart counts as a component of its own.
         apart = F.min("root") != F.max("root")
         spans = known.groupBy("group").agg(F.when(apart, -1 - F.col("group")).otherwise(F.min("root")).alias("root"))
@@ -262,12 +274,13 @@ def _classes(lists: DataFrame, members: DataFrame, counts: DataFrame, texts: Dat
             counted = by_root.agg(F.count("*").alias("n"), *lowest).select("token", "root", "n", hubs.alias("hubs"))
         state = (
             counted.groupBy("token")
-            .agg(F.count("*").alias("parts"), F.max(F.struct("n", "root", "hubs")).alias("top"), F.min("root").alias("least"))
+            .agg(F.count("*").alias("parts"), F.sum("n").alias("all"), F.max(F.struct("n", "root", "hubs")).alias("top"), F.min("root").alias("least"))
             .filter("parts > 1 OR least < 0")
-            .select("token", "top.hubs", F.col("top.root").alias("most"))
+            .select("token", "top.hubs", F.col("top.root").alias("most"), ((F.col("all") - F.when(F.col("top.root") < 0, 0).otherwise(F.col("top.n"))) * F.col("all")).alias("pairs"))
         )
         state = C.staged(state, "open")
-        rest = turn == ROUNDS
+        held.append(state)
+        rest = turn == ROUNDS or (state.agg(F.sum("pairs")).first()[0] or 0) <= FEW * places
         h = lists.select(F.col("token").alias("h_token"), F.col("group").alias("hub"), F.col("n").alias("h_n"), F.col("pos").alias("h_pos"))
         reach = may_reach(F.col("n"), F.col("pos"), F.col("h_n"), F.col("h_pos"), percent) & (F.col("group") != F.col("hub"))
         if rest:
@@ -285,14 +298,16 @@ def _classes(lists: DataFrame, members: DataFrame, counts: DataFrame, texts: Dat
         others = known.select("group", F.col("class").alias("b"), F.col("root").alias("b_root"))
         within = mine.join(others, "group").filter("a > b AND a_root <> b_root")
         within = (within if rest else within.filter(F.col("b") == F.col("group"))).select("a", "b")
-        if turn == 0:
+        if turn == 0 and not rest:
             pairs = pairs.groupBy("a").agg(F.max(F.struct("n_shared", "b")).alias("best")).select("a", "best.b")
         pairs = pairs.select("a", "b")
         pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).union(within).distinct()
-        pairs = C.staged(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        likely = C.staged(hopeful(pairs, counts, percent), "likely")
+        pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = pairs if rest else C.staged(pairs, "pairs")
+        likely = C.staged(hopeful(pairs, sets, percent), "likely")
         if likely.take(1):
-            found = verified(likely, texts, words, percent)
+            found = C.staged(verified(likely, sets, percent), "similar")
+            held += [likely, found]
             at = lambda end: known.select(F.col("class").alias(end), F.col("root").alias(f"{end}_root"))
             merged = components(found.join(at("a"), "a").join(at("b"), "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b")))
             known = known.join(merged.select(F.col("node").alias("root"), F.col("root").alias("next")), "root", "left")
@@ -300,4 +315,5 @@ def _classes(lists: DataFrame, members: DataFrame, counts: DataFrame, texts: Dat
         if rest:
             break
         tried = tried.unionByName(pairs)
-    return known.select("class", "root")
+    # Sets of one id share their node, which takes the least root.
+    return known.groupBy("class").agg(F.min("root").alias("root"))
