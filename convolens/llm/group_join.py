@@ -35,7 +35,7 @@ ROUNDS = 3
 #: Hubs of a list in each round after the first.
 HUBS = 16
 #: Pairs left for each place in a list, up to which all of them are looked at.
-FEW = 16
+FEW = 1
 
 
 def shingle_hashes(data: np.ndarray, offsets: np.ndarray, words: int) -> Iterator[np.ndarray]:
@@ -105,19 +105,18 @@ def shared_shingles(sets: DataFrame) -> DataFrame:
     return sets.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
 
 
-def prefixes(sets: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
-    """doc, h1, n, prefix, some, before and tokens: of each set that others may reach, how many shingles come before its
-    first shared one, and those of its prefix that are shared.
+def prefixes(sets: DataFrame, shared: DataFrame, percent: int, key: list[str]) -> DataFrame:
+    """`key` (what tells sets apart), n, prefix, some, before and tokens: of each set that others may reach, how many
+    shingles come before its first shared one, and those of its prefix that are shared.
 
-    The most common shingles are few and go to the sets; the others are met by key.
+    The most common shingles are few and go to the sets; the others, whose number grows with the documents, are met by key.
     """
-    key = ["doc", "h1"]
     places = sets.select(*key, F.explode("tokens").alias("token"))
     total = sets.agg(F.sum(F.size("tokens"))).first()[0] or 0
     hot = F.broadcast(shared.filter(F.col("df") * HOT > total))
-    cold = places.join(hot.select("token"), "token", "left_anti").join(shared.filter(F.col("df") * HOT <= total), "token")
+    cold = places.join(hot.select("token"), "token", "left_anti").join(shared.filter(F.col("df") * HOT <= total).hint("merge"), "token")
     own = places.join(hot, "token").unionByName(cold).groupBy(*key).agg(F.collect_list(F.struct("df", "token")).alias("own"))
-    own = own.join(sets.select(*key, "n", F.size("tokens").alias("posted")), key)
+    own = own.join(sets.select(*key, "n", F.size("tokens").alias("posted")).hint("merge"), key)
     # A similar set misses at most so many of the shingles, so one of the first slack + 1 that are posted is shared.
     slack = F.expr(f"n * {100 - percent} div 100")
     some = F.col("posted") < F.col("n")
@@ -190,7 +189,12 @@ def link_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     shared = C.staged(shared_shingles(once), "shared")
     # One row per class from here on.
     heads = classes.select(F.col("class").alias("doc"), "h1", "h2")
-    firsts = C.staged(prefixes(once, shared, percent).join(heads.select("doc", "h1"), ["doc", "h1"], "left_semi"), "prefixes")
+    # An id of several sets needs their hash to tell them apart, which others spare.
+    if repeating:
+        firsts = prefixes(once, shared, percent, ["doc", "h1"]).join(heads.select("doc", "h1"), ["doc", "h1"], "left_semi")
+    else:
+        firsts = prefixes(once, shared, percent, ["doc"]).join(heads.select("doc"), "doc", "left_semi")
+    firsts = C.staged(firsts, "prefixes")
     C.discard(shared, sets)
     # Whole sets of what is left: few, since most documents share too little with any other.
     left = texts.join(firsts.select("doc").distinct(), "doc", "left_semi")
