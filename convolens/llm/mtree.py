@@ -30,12 +30,23 @@ PAGE = 4096
 MOST_PAGES = 1 << 16
 LEAF = 64
 BLOCK = 512
-#: Room for rounding in the bounds, so that no tie is lost.
-SLACK = 1e-6
+#: Room for rounding in the bounds, so that no tie is lost, as a share of the largest norm (plus one).
+SLACK = 4e-7
+#: Below every score: squares of the vectors that take part are less than this, so all products are.
+NONE = -(1 << 62)
+#: Whole numbers below this are exact as doubles, in sums too.
+EXACT = 1 << 53
+
+
+def room(most: float) -> float:
+    return SLACK * (1 + most**0.5)
 
 
 def vectors(df: DataFrame, id_col: str, vector_col: str, scale: float) -> DataFrame:
-    """id, x: floor(scale * component) of every vector without null or non-finite components, as 32-bit numbers."""
+    """id, x: floor(scale * component) of every vector without null or non-finite components, as 32-bit numbers.
+
+    Vectors whose own square no 64-bit number holds are left out.
+    """
     width = df.agg(F.max(F.size(vector_col))).first()[0] or 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -47,11 +58,14 @@ def vectors(df: DataFrame, id_col: str, vector_col: str, scale: float) -> DataFr
             row = np.repeat(np.arange(len(batch)), size)
             x[row, np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)] = values
             good = np.isfinite(x).all(axis=1) & lists.is_valid().to_numpy(zero_copy_only=False)
-            x = np.floor(scale * x[good])
-            if x.size and np.abs(x).max() >= 1 << 22:
-                raise ValueError("components are too large for exact products")
+            x[~good] = 0
+            with np.errstate(over="ignore"):
+                x = np.floor(scale * x)
+                square = (x * x).sum(axis=1)
+            good &= square < -NONE
+            x, square = x[good], square[good]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).filter(pa.array(good)), pa.array([v.tobytes() for v in x.astype("<i4")], pa.binary()), pa.array((x * x).sum(axis=1))], names=["id", "x", "square"]
+                [batch.column(0).filter(pa.array(good)), pa.array([v.tobytes() for v in x.astype("<i4")], pa.binary()), pa.array(square)], names=["id", "x", "square"]
             )
 
     chosen = df.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
@@ -59,7 +73,7 @@ def vectors(df: DataFrame, id_col: str, vector_col: str, scale: float) -> DataFr
 
 
 def matrix(column) -> np.ndarray:
-    """Rows of a binary column as 64-bit floats, in which all products are exact."""
+    """Rows of a binary column as 64-bit floats."""
     rows = [x.as_buffer() for x in column]
     return np.array([np.frombuffer(r, "<i4") for r in rows], np.float64).reshape(len(rows), -1)
 
@@ -72,13 +86,20 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :] - 2 * a @ b.T))
 
 
-def farthest_first(x: np.ndarray, k: int) -> np.ndarray:
+def products(a: np.ndarray, b: np.ndarray, most: float) -> np.ndarray:
+    """Inner products of rows of whole numbers: as doubles where those are exact, else as 64-bit numbers, which hold them all."""
+    if most < EXACT:
+        return (a @ b.T).astype(np.int64)
+    return a.astype(np.int64) @ b.astype(np.int64).T
+
+
+def farthest_first(x: np.ndarray, k: int, least: float) -> np.ndarray:
     """Rows of which each is farthest from those before it; fewer than k where all others are equal to one of them."""
     chosen = [0]
     near = distances(x, x[:1])[:, 0]
     while len(chosen) < min(k, len(x)):
         best = int(np.argmax(near))
-        if near[best] <= SLACK:
+        if near[best] <= least:
             break
         chosen.append(best)
         near = np.minimum(near, distances(x, x[best : best + 1])[:, 0])
@@ -90,7 +111,7 @@ def build_page(ids: np.ndarray, x: np.ndarray, most: float, root: np.ndarray) ->
     order = np.argsort(ids, kind="stable")
     ids, x = ids[order], x[order]
     y = lifted(x, most)
-    routing = y[farthest_first(y[: 8 * LEAF], max(1, len(y) // LEAF))]
+    routing = y[farthest_first(y[: 8 * LEAF], max(1, len(y) // LEAF), room(most))]
     near = distances(y, routing)
     node = near.argmin(axis=1)
     order = np.argsort(node, kind="stable")
@@ -112,9 +133,9 @@ def search_page(page: dict, queries: np.ndarray, query_ids: np.ndarray, to_root:
     own = queries[q]
     square = (own * own).sum(axis=1)
     # The k best scores so far and, from the least of them, how far away the next may be.
-    best = np.full((len(q), k), -np.inf)
+    best = np.full((len(q), k), NONE, np.int64)
     least = floor[q].copy()
-    far = lambda: np.sqrt(np.maximum(0.0, square + most - 2 * least)) + SLACK
+    far = lambda: np.sqrt(np.maximum(0.0, square + most - 2.0 * least)) + room(most)
     ends = np.cumsum(page["size"])
     # From stored distances alone.
     bound = np.abs(to_root[q][:, None] - page["to_root"][None, :]) - page["radius"][None, :]
@@ -131,9 +152,9 @@ def search_page(page: dict, queries: np.ndarray, query_ids: np.ndarray, to_root:
         a, b = ends[n] - page["size"][n], ends[n]
         if not len(live) or a == b:
             continue
-        product = own[live] @ page["x"][a:b].T
-        product[page["ids"][a:b][None, :] == query_ids[q[live]][:, None]] = -np.inf
-        hit = (product >= least[live][:, None]) & (product > -np.inf)
+        product = products(own[live], page["x"][a:b], most)
+        product[page["ids"][a:b][None, :] == query_ids[q[live]][:, None]] = NONE
+        hit = (product >= least[live][:, None]) & (product > NONE)
         r, c = np.nonzero(hit)
         if not len(r):
             continue
@@ -154,7 +175,7 @@ def search_page(page: dict, queries: np.ndarray, query_ids: np.ndarray, to_root:
     rows, ids, scores = rows[order], ids[order], scores[order]
     first = np.searchsorted(rows, rows)
     keep = np.arange(len(rows)) - first < k
-    return q[rows[keep]], ids[keep], scores[keep].astype(np.int64)
+    return q[rows[keep]], ids[keep], scores[keep]
 
 
 _PAGE = "page long, root int, n long, reach double, ids binary, x binary, routing binary, size binary, radius binary, to_root binary"
@@ -164,8 +185,9 @@ def top_products(df: DataFrame, is_query: Callable[[Column], Column], k: int = 2
     """query_id, rank, <id_col>, score: for each row whose id `is_query` picks, the k others of largest product.
 
     Products are of floor(scale * component), in whole numbers; ties go to the smaller id. A query's own id is no
-    candidate. Rows that are null, hold null or non-finite components, or lack an id take no part; shorter vectors
-    count as if zeros followed. Rows that share an id are candidates each. An empty table gives none.
+    candidate. Rows that are null, hold null or non-finite components, or lack an id take no part, nor do those whose
+    product with themselves is 2^62 or more, since a long could not hold all scores; shorter vectors count as if zeros
+    followed. Rows that share an id are candidates each. An empty table gives none.
     """
     C.positive("k", k)
     spark = df.sparkSession
@@ -176,7 +198,7 @@ def top_products(df: DataFrame, is_query: Callable[[Column], Column], k: int = 2
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long").withColumnRenamed("vec_id", id_col)
     sample = table.orderBy(F.xxhash64("id"), "id").select("x").limit(SAMPLE).toArrow()
     roots = lifted(matrix(sample.column("x")), most)
-    roots = roots[farthest_first(roots, ROOTS)]
+    roots = roots[farthest_first(roots, ROOTS, room(most))]
     capacity = max(PAGE, -(-n // MOST_PAGES))
     shared = spark.sparkContext.broadcast(roots)
 
@@ -235,7 +257,7 @@ def top_products(df: DataFrame, is_query: Callable[[Column], Column], k: int = 2
                 page["routing"] = page["routing"].reshape(len(page["radius"]), -1)
                 root = shared.value[batch.column("root")[i].as_py()]
                 to_root = distances(np.column_stack([q, np.zeros(len(q))]), root[None, :])[:, 0]
-                floor = get("floor", "<f8")
+                floor = get("floor", "<i8")
                 active = np.unpackbits(get("active", np.uint8), count=len(qids)).astype(bool)
                 row, ids, scores = search_page(page, q, qids, to_root, floor, active, most, k)
                 yield pa.RecordBatch.from_arrays([pa.array(qids[row]), pa.array(ids), pa.array(scores)], names=["query_id", "vec_id", "score"])
@@ -249,7 +271,7 @@ def top_products(df: DataFrame, is_query: Callable[[Column], Column], k: int = 2
                 qids, _ = unpack(batch, i)
                 page = first_page.get(batch.column("nearest")[i].as_py(), next(iter(first_page.values())))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, 1), pa.array([page], pa.int64()), pa.array([np.full(len(qids), -np.inf).tobytes()], pa.binary()), pa.array([np.packbits(np.ones(len(qids), bool)).tobytes()], pa.binary())],
+                    [batch.column(0).slice(i, 1), pa.array([page], pa.int64()), pa.array([np.full(len(qids), NONE, "<i8").tobytes()], pa.binary()), pa.array([np.packbits(np.ones(len(qids), bool)).tobytes()], pa.binary())],
                     names=["block", "page", "floor", "active"],
                 )
 
@@ -260,7 +282,7 @@ def top_products(df: DataFrame, is_query: Callable[[Column], Column], k: int = 2
     floors = begun.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least")).select("query_id", F.when(F.col("n") >= k, F.col("least")).alias("least"))
     # One row per block again: what each of its queries must reach at least.
     of_block = queries.select(block_of.alias("block"), F.col("id").alias("query_id")).join(floors, "query_id", "left")
-    of_block = of_block.groupBy("block").agg(F.collect_list(F.struct("query_id", F.coalesce("least", F.lit(-(1 << 62))).alias("least"))).alias("floors"))
+    of_block = of_block.groupBy("block").agg(F.collect_list(F.struct("query_id", F.coalesce("least", F.lit(NONE)).alias("least"))).alias("floors"))
 
     def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """All other pages that some query of the block may find something in."""
@@ -269,9 +291,8 @@ def top_products(df: DataFrame, is_query: Callable[[Column], Column], k: int = 2
             for i in range(len(batch)):
                 qids, q = unpack(batch, i)
                 known = {f["query_id"]: f["least"] for f in batch.column("floors")[i].as_py()}
-                floor = np.array([known[x] for x in qids.tolist()], np.float64)
-                floor[floor <= -(1 << 62)] = -np.inf
-                far = np.sqrt(np.maximum(0.0, (q * q).sum(axis=1) + most - 2 * floor)) + SLACK
+                floor = np.array([known[x] for x in qids.tolist()], "<i8")
+                far = np.sqrt(np.maximum(0.0, (q * q).sum(axis=1) + most - 2.0 * floor)) + room(most)
                 near = distances(np.column_stack([q, np.zeros(len(q))]), shared.value)
                 begun_with = first_page.get(batch.column("nearest")[i].as_py(), next(iter(first_page.values())))
                 for p, r, d in zip(page_ids.tolist(), page_roots.tolist(), reach.tolist()):

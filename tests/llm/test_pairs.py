@@ -1,5 +1,6 @@
 """Similarity join, leaks and search against plain code."""
 
+import math
 import random
 import re
 
@@ -188,3 +189,17 @@ def test_search_of_few_or_no_rows(spark):
     assert sorted(got) == [(20, 1, 21, 4096), (20, 2, 21, 4096)]
     assert mtree.top_products(df.limit(0), lambda i: i % 20 == 0).count() == 0
     assert mtree.top_products(df.filter("vec_id = 21"), lambda i: i % 20 == 0).count() == 0
+
+
+def test_large_components(spark):
+    """Components beyond 32-bit products, ids of several vectors, and a vector whose own product no long holds."""
+    rows = [(i, [float((i * 7919 + k * 104729) % 9973) * 10.0 ** (i % 4) * (-1) ** (i * k)  for k in range(5)]) for i in range(120)]
+    rows += [(3, [1e6, -1e6, 5e5, 2.5, 0.0]), (40, [-3e6] * 5), (41, [1e30] * 5), (42, [1.7e308] * 5)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = [(i, [math.floor(64 * c) for c in v]) for i, v in rows if max(map(abs, v)) < 1e29]
+    want = []
+    for q, x in [(i, v) for i, v in whole if i % 40 == 0 and i != 40]:
+        scores = sorted((-sum(a * b for a, b in zip(x, y)), i) for i, y in whole if i != q)[:9]
+        want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scores)]
+    got = mtree.top_products(df, lambda i: (i % 40 == 0) & (i != 40), 9).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
