@@ -46,7 +46,8 @@ def query_windows(windows: DataFrame, queries: DataFrame, hot: bool = False, cro
     `hot`, their windows go to several tasks and the few queries are copied to each. When some are
     `crowded`, their queries go to several tasks and the windows of those transcripts are copied.
     """
-    q = queries.select("query_id", "meeting_id", "query_type", "query", "reference", "gold_spans")
+    own = [c for c in ("__qv",) if c in queries.columns]
+    q = queries.select("query_id", "meeting_id", "query_type", "query", "reference", "gold_spans", *own)
     # Tokens once per query and once per window; what no scorer reads is pruned.
     q = q.withColumn("__q", F.array_distinct(alnum_tokens(F.col("query"))))
     w = windows.withColumn("__w", F.array_distinct(alnum_tokens(F.col("text"))))
@@ -109,32 +110,31 @@ def model_scorer(load: Callable[[], Callable[[list[str], list[str]], Sequence[fl
     return score
 
 
+def _dot(x: Column, y: Column) -> Column:
+    return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine of two vectors: dot product over the product of their lengths."""
+    return _dot(a, b) / F.sqrt(_dot(a, a) * _dot(b, b))
 
-    def dot(x: Column, y: Column) -> Column:
-        return F.aggregate(
-            F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v
-        )
-
-    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
+def with_vectors(rows: DataFrame, vectors: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """The rows that have a stored vector without nulls, with it and its square as the struct `name`.
 
-def embedding_scorer(window_vectors: DataFrame, query_vectors: DataFrame) -> Scorer:
-    """Cosine of stored vectors: `(meeting_id, start, vector)` and `(query_id, vector)`."""
+    Vectors meet windows and queries before those meet each other, so no pair is shuffled for them.
+    """
+    whole = F.col("vector").isNotNull() & ~F.exists("vector", lambda x: x.isNull())
+    own = vectors.where(whole).select(*keys, F.struct("vector", _dot(F.col("vector"), F.col("vector")).alias("square")).alias(name))
+    return rows.join(own, keys)
 
-    def score(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.drop("__q", "__w")
-        w = window_vectors.select("meeting_id", "start", F.col("vector").alias("__w"))
-        q = query_vectors.select("query_id", F.col("vector").alias("__q"))
-        return (
-            pairs.join(w, ["meeting_id", "start"])
-            .join(q, "query_id")
-            .withColumn("score", cosine(F.col("__w"), F.col("__q")))
-            .drop("__w", "__q")
-        )
 
-    return score
+def embedding_scorer(pairs: DataFrame) -> DataFrame:
+    """Cosine of the vectors that `locate` was given; 0 where one of them has no length or their lengths differ."""
+    w, q = F.col("__wv"), F.col("__qv")
+    usable = (w["square"] > 0) & (q["square"] > 0) & (F.size(w["vector"]) == F.size(q["vector"]))
+    score = F.when(usable, _dot(w["vector"], q["vector"]) / F.sqrt(q["square"] * w["square"])).otherwise(0.0)
+    return pairs.withColumn("score", score).drop("__q", "__w", "__qv", "__wv")
 
 
 def rank_windows(scored: DataFrame, hot: bool = False) -> DataFrame:
@@ -244,11 +244,22 @@ def pack_windows(
 
 
 def transcript_pairs(
-    utterances: DataFrame, queries: DataFrame, chunk_words: int | None = None, block_lines: int = BLOCK_LINES
+    utterances: DataFrame,
+    queries: DataFrame,
+    chunk_words: int | None = None,
+    block_lines: int = BLOCK_LINES,
+    vectors: tuple[DataFrame, DataFrame] | None = None,
 ) -> tuple[DataFrame, bool]:
-    """Labelled (query, window) pairs, spread as the transcripts need it, and whether any is hot."""
+    """Labelled (query, window) pairs, spread as the transcripts need it, and whether any is hot.
+
+    `vectors` are those of windows, `(meeting_id, start, vector)`, and of queries, `(query_id, vector)`; windows and
+    queries without one then take no part.
+    """
     hot = is_multi_block(utterances, chunk_words or protocol.CHUNK_WORDS, block_lines)
     wins = build_windows(utterances, chunk_words, block_lines, multi=hot)
+    if vectors:
+        wins = with_vectors(wins, vectors[0], ["meeting_id", "start"], "__wv")
+        queries = with_vectors(queries, vectors[1], ["query_id"], "__qv")
     return query_windows(wins, queries, hot, is_crowded(queries)), hot
 
 
@@ -259,9 +270,10 @@ def locate(
     chunk_words: int | None = None,
     budgets: int | Sequence[int] | None = None,
     block_lines: int = BLOCK_LINES,
+    vectors: tuple[DataFrame, DataFrame] | None = None,
 ) -> DataFrame:
-    """Windows, scores and packing in one go."""
-    pairs, hot = transcript_pairs(utterances, queries, chunk_words, block_lines)
+    """Windows, scores and packing in one go; `vectors` are for `embedding_scorer`."""
+    pairs, hot = transcript_pairs(utterances, queries, chunk_words, block_lines, vectors)
     return pack_windows(scorer(pairs), budgets, hot)
 
 

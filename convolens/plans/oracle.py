@@ -120,13 +120,16 @@ CHAT_LABEL = """CASE WHEN is_specific AND ((s <= turn + 2 AND e >= turn + 1) OR
      THEN 1 ELSE 0 END"""
 
 
-def packed(budget: int, label: str = "0") -> str:
-    """CTEs `pairs` and `picked` with the lexical score."""
+LEXICAL = f"len(list_intersect(list_distinct({tokens('query')}), list_distinct({tokens('text')})))"
+
+
+def packed(budget: int, label: str = "0", score: str = LEXICAL, joins: str = "") -> str:
+    """CTEs `pairs` and `picked`, with the lexical score unless another is given."""
     return f"""
 pairs AS (
   SELECT query_id, meeting_id, query, win_idx, s, e, n_words, text, {label} AS label,
-         len(list_intersect(list_distinct({tokens('query')}), list_distinct({tokens('text')}))) AS score
-  FROM queries JOIN win USING (meeting_id)),
+         {score} AS score
+  FROM queries JOIN win USING (meeting_id) {joins}),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, s DESC) AS r FROM pairs),
 pk AS (
   SELECT query_id, r, n_words AS used, true AS taken FROM ranked WHERE r = 1

@@ -34,13 +34,14 @@ SELECT query_id, CAST(sum(n_words) AS INTEGER) AS used_words, count(*) AS n_pick
 """
 
 
-def _pack_columns(packed):
+def _pack_columns(packed, *more):
     return packed.select(
         "query_id",
         "used_words",
         F.size("picks").cast("bigint").alias("n_picked"),
         F.array_join(F.transform("picks", lambda p: p["start"].cast("string")), ",").alias("starts"),
         F.array_join(F.transform("picks", lambda p: p["text"]), "\n").alias("text"),
+        *more,
     )
 
 
@@ -242,6 +243,50 @@ def locator_sweep(spark, sf):
     )
 
 
+_VEC = """
+vec AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, (SELECT count(*) FROM embeddings) AS n_vec FROM embeddings)
+"""
+_COSINE = """CASE WHEN list_dot_product(wv.v, wv.v) > 0 AND list_dot_product(qv.v, qv.v) > 0
+       THEN list_dot_product(wv.v, qv.v) / sqrt(list_dot_product(qv.v, qv.v) * list_dot_product(wv.v, wv.v)) ELSE 0 END"""
+_VEC_JOINS = """
+       JOIN vec wv ON wv.vec_id = (CAST(meeting_id AS BIGINT) * 31 + s) % wv.n_vec
+       JOIN vec qv ON qv.vec_id = (CAST(meeting_id AS BIGINT) * 17 + queries.turn) % qv.n_vec"""
+
+
+@register(
+    "embedding_pack",
+    O.with_ctes(
+        O.CHAT_LINES,
+        O.CHAT_QUERIES,
+        _VEC,
+        O.windows(CHUNK),
+        O.packed(SPAN, O.CHAT_LABEL.replace("turn", "queries.turn"), _COSINE, _VEC_JOINS),
+        select="""SELECT query_id, CAST(sum(n_words) AS INTEGER) AS used_words, count(*) AS n_picked,
+          string_agg(CAST(s AS VARCHAR), ',' ORDER BY s) AS starts, string_agg(text, chr(10) ORDER BY s) AS text,
+          round(max(score), 6) + 0.0 AS best_score FROM picked GROUP BY query_id""",
+    ),
+)
+def embedding_pack(spark, sf):
+    """Every line, as a window's start, and every query gets a stored vector; windows are ranked by cosine and packed."""
+    utterances, queries = _chat(spark, sf)
+    stored = V.table(spark, sf, "embeddings")
+    n = F.broadcast(stored.agg(F.count(F.lit(1)).alias("n_vec")))  # one row
+    meeting = F.col("meeting_id").cast("bigint")
+
+    def placed(rows, keys, number):
+        at = rows.select(*keys, number.alias("number")).crossJoin(n).withColumn("vec_id", F.col("number") % F.col("n_vec"))
+        return at.join(stored, "vec_id").select(*keys, F.col("embedding").alias("vector"))
+
+    lines = placed(utterances.withColumnRenamed("utt_idx", "start"), ["meeting_id", "start"], meeting * 31 + F.col("start"))
+    turn = F.regexp_extract("query_id", "([0-9]+)$", 1).cast("bigint")
+    asked = placed(queries, ["query_id"], meeting * 17 + turn)
+    packed = retrieval.locate(
+        utterances, queries, retrieval.embedding_scorer, chunk_words=CHUNK, budgets=SPAN, vectors=(lines, asked)
+    )
+    best = F.round(F.array_max(F.transform("picks", lambda p: p["score"])), 6) + F.lit(0.0)
+    return _pack_columns(packed, best.alias("best_score"))
+
+
 @register(
     "embedding_ranking",
     """

@@ -163,3 +163,35 @@ def test_training_targets_do_not_depend_on_the_spreading(spark, monkeypatch):
             words = "\n".join(texts).split()
             want = "\n".join(texts) if len(words) <= 40 else " ".join(words[:40])
             assert f"Transcript:\n{want}\n\nSummary:" in dict((r[0], r[1]) for r in plain)[qid]
+
+
+def test_stored_vectors_rank_and_pack(spark):
+    rng = random.Random(5)
+    utts, queries = _data(5, [30, 12, 1], 4)
+    u, q = _frames(spark, utts, queries)
+    line = {(m, i): [rng.gauss(0, 1) for _ in range(4)] for m, us in utts.items() for i in range(len(us))}
+    asked = {row[0]: [rng.gauss(0, 1) for _ in range(4)] for row in queries}
+    line["m0", 0] = [0.0] * 4  # without length: scores 0
+    asked["m1_q1"] = [1.0] * 3  # of another length: scores 0 everywhere
+    gone, lost = ("m0", 5), "m0_q2"
+    lines = [(m, i, None if (m, i) == gone else v) for (m, i), v in line.items()]
+    wv = spark.createDataFrame(lines, "meeting_id string, start int, vector array<double>")
+    qv = spark.createDataFrame([(k, v if k != lost else [1.0, None]) for k, v in asked.items()], "query_id string, vector array<double>")
+    got = retrieval.locate(u, q, retrieval.embedding_scorer, chunk_words=10, budgets=40, vectors=(wv, qv)).collect()
+
+    def cos(a, b):
+        dot = lambda x, y: sum(p * r for p, r in zip(x, y))
+        return dot(a, b) / (dot(a, a) * dot(b, b)) ** 0.5 if len(a) == len(b) and dot(a, a) * dot(b, b) > 0 else 0.0
+
+    assert {r.query_id for r in got} == set(asked) - {lost}
+    windows = {}
+    for w in build_windows(u, 10).collect():
+        windows.setdefault(w.meeting_id, []).append(w)
+    for r in got:
+        have = [w for w in windows[r.meeting_id] if (w.meeting_id, w.start) != gone]
+        best = sorted(have, key=lambda w: (-cos(asked[r.query_id], line[w.meeting_id, w.start]), -w.start))
+        used, picks = best[0].n_words, [best[0].start]
+        for w in best[1:]:
+            if used + w.n_words <= 40:
+                used, picks = used + w.n_words, [*picks, w.start]
+        assert (r.used_words, [p.start for p in r.picks]) == (used, sorted(picks))
