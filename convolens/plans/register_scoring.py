@@ -277,6 +277,61 @@ def score_row(spark, sf):
     return scoring.run_figures(costs.with_cost(V.event_runs(spark, sf), costs.price_table(spark)), ["system"])
 
 
+_MEASURED = """
+noted AS (
+  SELECT *, CASE WHEN k % 7 <> 0 THEN (k % 1000) / 8.0 END AS latency_s, CASE WHEN k % 7 <> 0 THEN (k % 1000) / 32.0 END AS locate_s,
+         CASE WHEN k % 11 <> 0 THEN (k % 1000) / 16.0 END AS generate_s, k % 13 = 0 AS warmup,
+         CASE WHEN k % 2 = 0 THEN 'gpu-a' ELSE 'gpu-b' END AS device, CASE WHEN k % 3 = 0 THEN 'batch' END AS mode,
+         CASE WHEN k % 5 <> 0 THEN (k % 64) / 1024.0 END AS cost, CASE WHEN k % 4 <> 0 THEN (k % 97) / 4.0 END AS peak
+  FROM (SELECT query_id, conv_id * 7 + turn AS k FROM preds WHERE system = 'b')),
+p AS (SELECT list_sort(list(peak) FILTER (peak IS NOT NULL)) AS v FROM noted)
+"""
+
+
+@register(
+    "run_score_row",
+    O.with_ctes(
+        O.CHAT_QUERIES,
+        LAST,
+        overlap_ctes(1),
+        "f1 AS (SELECT round(avg(f), 6) AS rouge1, count(*) AS n FROM sc WHERE system = 'b')",
+        overlap_ctes(2).replace("toks", "toks2").replace("grams", "grams2").replace("pc", "pc2").replace("rc", "rc2")
+        .replace("hit", "hit2").replace("ov", "ov2").replace("sc AS", "sc2 AS"),
+        "f2 AS (SELECT round(avg(f), 6) AS rouge2 FROM sc2 WHERE system = 'b')",
+        _MEASURED,
+        f"""fig AS (
+          SELECT round(sum(cost), 6) AS cost_usd_total, {_mean_sql('latency_s')}, {_mean_sql('locate_s')}, {_mean_sql('generate_s')},
+            CAST(nullif(count_if({_TIMED}), 0) AS BIGINT) AS latency_n_timed, string_agg(DISTINCT device, '+' ORDER BY device) AS device,
+            string_agg(DISTINCT mode, '+' ORDER BY mode) AS billing_mode FROM noted)""",
+        select="""SELECT 'run-b' AS run_id, 'test' AS split, n, rouge1, rouge2, fig.*, v[-1] AS peak_vram_gb_max,
+          CASE WHEN len(v) % 2 = 1 THEN v[len(v) // 2 + 1] ELSE round((v[len(v) // 2] + v[len(v) // 2 + 1]) / 2, 3) END AS peak_vram_gb_median,
+          v[CAST(least(len(v) - 1, round_even(CAST(0.95 AS DOUBLE) * (len(v) - 1), 0)) AS BIGINT) + 1] AS peak_vram_gb_p95,
+          v[-1] + 0.5 AS peak_vram_reserved_gb_max, 'measured by rule' AS notes FROM f1, f2, fig, p""",
+    ),
+)
+def run_score_row(spark, sf):
+    """The whole row of one run: guards, overlap, cost, times and memory peaks; what was measured follows from the ids."""
+    at = lambda i: F.regexp_extract("query_id", "^([0-9]+)_.([0-9]+)$", i).cast("bigint")
+    k = F.col("k")
+    measured = V.predictions(spark, sf, "b").withColumn("k", at(1) * 7 + at(2)).select(
+        "query_id",
+        "prediction",
+        F.when(k % 7 != 0, k % 1000 / 8).alias("latency_s"),
+        F.when(k % 7 != 0, k % 1000 / 32).alias("locate_s"),
+        F.when(k % 11 != 0, k % 1000 / 16).alias("generate_s"),
+        (k % 13 == 0).alias("warmup"),
+        F.when(k % 2 == 0, "gpu-a").otherwise("gpu-b").alias("device"),
+        F.when(k % 3 == 0, "batch").alias("mode"),
+        F.when(k % 5 != 0, k % 64 / 1024).alias("cost_usd"),
+        F.when(k % 4 != 0, k % 97 / 4).alias("peak_vram_gb"),
+        F.when(k % 4 != 0, k % 97 / 4 + 0.5).alias("peak_vram_reserved_gb"),
+    )
+    row = scoring.score_row(
+        measured, V.chat_queries(spark, sf), "run-b", "test", "measured by rule", ["rouge1", "rouge2"], stemmed=False
+    )
+    return row.withColumns({m: F.round(m, 6) for m in ("rouge1", "rouge2")})
+
+
 @register(
     "peak_summary",
     O.with_ctes(
