@@ -130,13 +130,15 @@ def score_row(
     """The one-row summary of a run. Validation and test runs must be complete."""
     guard_run(predictions, queries, allow_partial or split not in ("val", "test"))
     rows = matched(predictions, queries)
-    quality = quality_means(with_rouge(rows.select("prediction", "reference"), metrics, stemmed), (), metrics)
+    # Texts become numbers in one pass; all figures are taken from those.
+    rows = keep(with_rouge(rows, metrics, stemmed).drop("prediction", "reference", "meeting_id"))
+    quality = quality_means(rows, (), metrics)
     figures = run_figures(rows).drop("n")
     peaks = []
-    for column, keep in (("peak_vram_gb", ("max", "median", "p95")), ("peak_vram_reserved_gb", ("max",))):
+    for column, figures_of in (("peak_vram_gb", ("max", "median", "p95")), ("peak_vram_reserved_gb", ("max",))):
         peaks.append(
             peak_summary(rows.withColumn("__all", F.lit(1)), ["__all"], column).agg(
-                *[F.max(k).alias(f"{column}_{k}") for k in keep]
+                *[F.max(k).alias(f"{column}_{k}") for k in figures_of]
             )
         )
     # Each side is one row.
