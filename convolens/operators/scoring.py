@@ -255,10 +255,16 @@ def latency_probe(rows: DataFrame, by: Sequence[str]) -> DataFrame:
         rows.groupBy(*by)
         .agg(F.avg("latency_s").alias("mean"), F.min("latency_s").alias("min"), F.max("latency_s").alias("max"))
         .join(stats, list(by))
-        .withColumn("spread_ratio", F.col("max") / F.col("min"))
+        .withColumn("spread_ratio", _ratio(F.col("max"), F.col("min")))
     )
 
 
+def _ratio(top: Column, bottom: Column) -> Column:
+    """top / bottom of doubles, where a bottom of 0 gives infinity, or NaN below a top of 0, as floating point has it."""
+    beyond = F.when(top == 0, F.lit(float("nan"))).otherwise(F.signum(top) * float("inf"))
+    return F.when(bottom == 0, beyond).otherwise(top / bottom)
+
+
 def seed_spread(runs: DataFrame, by: Sequence[str], metric: str, order: str = "seed") -> DataFrame:
     """Extremes with their seeds, range, mean and sample deviation; groups of one run drop out.
 
