@@ -5,14 +5,14 @@ tree says how many of a draw's picks fall into each block, and the picks are mad
 integer and plain floating-point arithmetic on (draw, position), so any engine can repeat it, and what leaves a
 block is one sum per draw.
 
-The unit of work is a block and a range of draws. Few blocks are given to several tasks, each with other draws; many
-blocks are a task each.
+The unit of work is a run of neighbouring blocks, up to GROUP_ROWS units, and a range of draws. Few runs are given to
+several tasks, each with other draws; many runs are a task each. A run goes down the tree once for all of its blocks.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -31,8 +31,11 @@ from convolens.operators.indexing import (
 from convolens.session import keep
 
 TREE_BLOCK = 65_536
-#: Tasks that few blocks are spread over, by ranges of draws.
+#: Units of smaller blocks that one task takes together.
+GROUP_ROWS = 65_536
+#: Tasks that few runs of blocks are spread over, by ranges of draws, and no more than so many partitions at once.
 TASKS = 32
+MAX_PARTITIONS = 4096
 #: Picks that a task makes at a time.
 AT_ONCE = 1 << 18
 PRIME = 2_147_483_647
@@ -90,23 +93,32 @@ def _split(draws: np.ndarray, node: int, picks: np.ndarray, share: float, seed:
     return np.clip(near, 0, picks).astype(np.int64)
 
 
-def _tree_share(seed: int, n_rows: int, n_blocks: int, block: int, every: np.ndarray, size: int) -> np.ndarray:
-    """How many of a draw's n_rows picks fall into one block, for each of some draws.
+def _tree_shares(
+    seed: int, n_rows: int, n_blocks: int, blocks: range, every: np.ndarray, size: int
+) -> Iterator[tuple[int, np.ndarray]]:
+    """For each of some neighbouring blocks, in order: how many of a draw's n_rows picks fall into it, for some draws.
 
-    Splits depend on their place alone, so every block finds the same ones on its own. A node is its first
-    block times 2^20 plus its last.
+    Splits depend on their place alone, so every task finds the same ones on its own; one above several blocks is made
+    once for all of them. A node is its first block times 2^20 plus its last.
     """
     rows = lambda lo, hi: min(hi * size, n_rows) - lo * size
-    lo, hi = 0, n_blocks
-    left = np.full(len(every), n_rows, dtype=np.int64)
-    while hi - lo > 1:
+    # Only the way down is held: the halves still to come, a few for each level.
+    todo = [(0, n_blocks, np.full(len(every), n_rows, dtype=np.int64))]
+    while todo:
+        lo, hi, here = todo.pop()
+        if hi <= blocks.start or lo >= blocks.stop:
+            continue
+        if hi - lo == 1:
+            yield lo, here
+            continue
         mid = (lo + hi) // 2
-        first = _split(every, lo * (1 << 20) + hi, left, rows(lo, mid) / rows(lo, hi), seed)
-        if block < mid:
-            left, hi = first, mid
-        else:
-            left, lo = left - first, mid
-    return left
+        first = _split(every, lo * (1 << 20) + hi, here, rows(lo, mid) / rows(lo, hi), seed)
+        todo += [(mid, hi, here - first), (lo, mid, first)]
+
+
+def _tree_share(seed: int, n_rows: int, n_blocks: int, block: int, every: np.ndarray, size: int) -> np.ndarray:
+    """How many of a draw's n_rows picks fall into one block, for each of some draws."""
+    return next(_tree_shares(seed, n_rows, n_blocks, range(block, block + 1), every, size))[1]
 
 
 def draw_sums(units: DataFrame, key: str, values: Sequence[str], draws: int, seed: int, block: int = TREE_BLOCK) -> DataFrame:
@@ -116,40 +128,44 @@ def draw_sums(units: DataFrame, key: str, values: Sequence[str], draws: int, see
         raise ValueError("nothing to resample: the two systems share no query")
     indexed = with_row_index(units, key, rows=n).select("idx", *values)
     n_blocks = -(-n // block)
+    # Small blocks go together, so a sum of each draw leaves a task once for many blocks.
+    per = max(1, GROUP_ROWS // block)
+    n_groups = -(-n_blocks // per)
     names = list(values)
 
-    spread = max(1, min(draws, -(-TASKS // n_blocks)))
+    spread = max(1, min(draws, -(-TASKS // n_groups)))
 
     def resample(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        here, part = int(key[0]), int(key[1])
-        data = rows.sort_values("idx")[names].to_numpy(dtype=np.float64)
+        group, part = int(key[0]), int(key[1])
+        inside = rows.sort_values("idx")[names].to_numpy(dtype=np.float64)
         every = np.arange(part * draws // spread, (part + 1) * draws // spread, dtype=np.int64)
-        share = _tree_share(seed, n, n_blocks, here, every, block)
         out = np.zeros((len(every), len(names)))
-        ends = np.cumsum(share)
-        first = 0
-        while first < len(every):
-            last = max(first + 1, int(np.searchsorted(ends, ends[first] - share[first] + AT_ONCE, side="right")))
-            own = share[first:last]
-            start = np.cumsum(own) - own
-            # Positions of different blocks do not meet: a block's picks stay below four times its size.
-            at = np.arange(int(own.sum()), dtype=np.int64) - np.repeat(start, own) + here * 4 * block
-            some = np.flatnonzero(own)
-            if len(some):
-                picked = data[hashed_array(np.repeat(every[first:last], own), at, seed) % len(data)]
-                out[first + some] = np.add.reduceat(picked, start[some], axis=0)
-            first = last
+        blocks = range(group * per, min((group + 1) * per, n_blocks))
+        for here, share in _tree_shares(seed, n, n_blocks, blocks, every, block):
+            data = inside[(here - blocks.start) * block : (here - blocks.start + 1) * block]
+            ends = np.cumsum(share)
+            first = 0
+            while first < len(every):
+                last = max(first + 1, int(np.searchsorted(ends, ends[first] - share[first] + AT_ONCE, side="right")))
+                own = share[first:last]
+                start = np.cumsum(own) - own
+                # Positions of different blocks do not meet: a block's picks stay below four times its size.
+                at = np.arange(int(own.sum()), dtype=np.int64) - np.repeat(start, own) + here * 4 * block
+                some = np.flatnonzero(own)
+                if len(some):
+                    picked = data[hashed_array(np.repeat(every[first:last], own), at, seed) % len(data)]
+                    out[first + some] += np.add.reduceat(picked, start[some], axis=0)
+                first = last
         frame = pd.DataFrame(out, columns=names)
         frame.insert(0, "draw", every)
         return frame
 
     schema = "draw bigint, " + ", ".join(f"{v} double" for v in names)
     ranges = F.explode(F.sequence(F.lit(0), F.lit(spread - 1)))
-    parts = indexed.withColumn("__block", F.floor(F.col("idx") / block)).withColumn("__part", ranges)
-    if spread > 1:
-        # The narrow rows of few blocks are too small for the optimizer to deal out.
-        parts = parts.repartition(n_blocks * spread, "__block", "__part")
-    parts = parts.groupBy("__block", "__part").applyInPandas(resample, schema)
+    parts = indexed.withColumn("__group", F.floor(F.col("idx") / (block * per))).withColumn("__part", ranges)
+    # The narrow rows are too small for the optimizer to deal out by the work that they make.
+    parts = parts.repartition(min(n_groups * spread, MAX_PARTITIONS), "__group", "__part")
+    parts = parts.groupBy("__group", "__part").applyInPandas(resample, schema)
     return parts.groupBy("draw").agg(*[F.sum(v).alias(v) for v in names])
 
 

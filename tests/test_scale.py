@@ -2,7 +2,10 @@
 
 import math
 
-from convolens.operators import scoring
+import numpy as np
+from pyspark.sql import functions as F
+
+from convolens.operators import resampling, scoring
 
 
 def test_a_fastest_run_of_no_time_has_an_infinite_spread(spark):
@@ -10,3 +13,25 @@ def test_a_fastest_run_of_no_time_has_an_infinite_spread(spark):
     df = spark.createDataFrame(rows, "system string, latency_s double")
     got = {r.system: r.spread_ratio for r in scoring.latency_probe(df, ["system"]).collect()}
     assert math.isnan(got.pop("b")) and got == {"a": math.inf, "c": 4.0}
+
+
+def test_small_blocks_go_down_the_tree_together(spark, monkeypatch):
+    plain, names = resampling._split, ["d", "one"]
+    monkeypatch.setattr(resampling, "GROUP_ROWS", 64)
+    monkeypatch.setattr(resampling, "TASKS", 1)
+    units = spark.range(300).select(F.format_string("%04d", "id").alias("k"), (F.col("id") % 17).cast("double").alias("d"), F.lit(1.0).alias("one"))
+    got = {r.draw: (r.d, r.one) for r in resampling.draw_sums(units, "k", names, 40, 3, block=8).collect()}
+    # One block after the other, as the blocks of a run had been done.
+    every, n, blocks = np.arange(40), 300, 38
+    want = np.zeros((40, 2))
+    for b in range(blocks):
+        data = np.array([[i % 17, 1.0] for i in range(b * 8, min(b * 8 + 8, n))])
+        for k, c in enumerate(resampling._tree_share(3, n, blocks, b, every, 8)):
+            at = np.arange(c) + b * 32
+            want[k] += data[resampling.hashed_array(np.full(c, k), at, 3) % len(data)].sum(axis=0)
+    assert got == {k: tuple(v) for k, v in enumerate(want)} and all(one == n for _, one in got.values())
+    # A run of 8 blocks makes its own 7 splits and the few above, not as many for each block as the tree is deep.
+    calls = []
+    monkeypatch.setattr(resampling, "_split", lambda *a: calls.append(1) or plain(*a))
+    assert [b for b, _ in resampling._tree_shares(3, 4096, 512, range(8, 16), every, 8)] == list(range(8, 16))
+    assert len(calls) == 6 + 7
