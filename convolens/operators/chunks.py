@@ -16,24 +16,22 @@ IGNORED = -100
 
 def _pass(prefix: Column, tokens: Column, width: Column, n_chunks: int, pad: bool, pad_id: int) -> Column:
     """One pass over the tokens: chunks of prefix plus `width` tokens, as `{ids, mask}`."""
-    full = F.lit(n_chunks) * width
     have = F.size(tokens)
-    padding = (
-        F.greatest(full - have, F.lit(0)) if pad else F.when(have % width == 0, 0).otherwise(width - have % width)
-    )
-    count = ((have + padding) / width).cast("int")
+    # Chunks with tokens; behind them come chunks of padding alone, which are all one.
+    used = F.ceil(have / width).cast("int")
+    blank = F.lit(n_chunks) - used if pad else F.lit(0)
 
-    def chunk(k: Column) -> Column:
-        part = F.slice(tokens, k * width + 1, width)
+    def chunk(part: Column) -> Column:
         fill = width - F.size(part)
-        ones = F.array_repeat(F.lit(1), F.size(prefix) + F.size(part))
         return F.struct(
             F.concat(prefix, part, F.array_repeat(F.lit(pad_id), fill)).alias("ids"),
-            F.concat(ones, F.array_repeat(F.lit(0), fill)).alias("mask"),
+            F.concat(F.array_repeat(F.lit(1), F.size(prefix) + F.size(part)), F.array_repeat(F.lit(0), fill)).alias("mask"),
         )
 
     none = F.array().cast("array<struct<ids: array<int>, mask: array<int>>>")
-    return F.when(count == 0, none).otherwise(F.transform(F.sequence(F.lit(0), count - 1), chunk))
+    cut = F.transform(F.sequence(F.lit(0), used - 1), lambda k: let(F.slice(tokens, k * width + 1, width), chunk))
+    full = F.when(used == 0, none).otherwise(cut)
+    return F.concat(full, F.array_repeat(chunk(F.array().cast("array<int>")), blank))
 
 
 def chunk_tokens(

@@ -5,7 +5,7 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
-from convolens.operators import resampling, scoring
+from convolens.operators import chunks, resampling, scoring
 
 
 def test_a_fastest_run_of_no_time_has_an_infinite_spread(spark):
@@ -35,3 +35,22 @@ def test_small_blocks_go_down_the_tree_together(spark, monkeypatch):
     monkeypatch.setattr(resampling, "_split", lambda *a: calls.append(1) or plain(*a))
     assert [b for b, _ in resampling._tree_shares(3, 4096, 512, range(8, 16), every, 8)] == list(range(8, 16))
     assert len(calls) == 6 + 7
+
+
+def test_chunks_of_padding_are_made_once(spark):
+    rows = [(1, [7], []), (2, [7, 7], list(range(9))), (3, [7], list(range(40))), (4, [7], None)]
+    df = spark.createDataFrame(rows, "k int, p array<int>, t array<int>")
+    for pad in (True, False):
+        got = {r.k: r.c for r in df.select("k", chunks.chunk_tokens(F.col("p"), F.col("t"), 6, 4, pad=pad).alias("c")).collect()}
+        assert got[4] is None
+        for k, p, t in rows[:3]:
+            want = []
+            for some, most in ((t[: 4 * (6 - len(p))], 4), (t[(6 - len(p)) // 2 :][: 3 * (6 - len(p))], 3)):
+                size = 6 - len(p)
+                for i in range(most if pad else -(-len(some) // size)):
+                    part = some[i * size : (i + 1) * size]
+                    want.append((p + part + [1] * (size - len(part)), [1] * (len(p) + len(part)) + [0] * (size - len(part))))
+            assert [(list(c.ids), list(c["mask"])) for c in got[k]] == want
+    # The plan builds the padding outside the step that cuts tokens, once for all of its chunks.
+    plan = df.select(chunks.chunk_tokens(F.col("p"), F.col("t"), 6, 4, stride=False).alias("c"))._jdf.queryExecution().analyzed().toString()
+    assert "array_repeat(struct(ids" in plan.replace("named_struct", "struct")
