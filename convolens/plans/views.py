@@ -79,13 +79,20 @@ def scored_pairs(spark: SparkSession, sf_dir: str, system: str) -> DataFrame:
     else:
         last = conv.where(F.col("role") == "assistant").groupBy("conv_id").agg(F.max_by("text", "turn").alias("last"))
     text = F.concat_ws(" ", "query", "last") if system == "b" else F.col("last")
-    return (
+    return spread(
         chat_queries(spark, sf_dir)
         .join(last, "conv_id")
-        .select("query_id", "meeting_id", "conv_id", "turn", "query", "reference", text.alias("prediction"))
+        .select("query_id", "meeting_id", "conv_id", "turn", "query", "reference", text.alias("prediction")),
+        "conv_id",
+        "turn",
     )
 
 
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows over all shuffle partitions: the optimizer, which goes by bytes, gives texts that take long to few tasks."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def predictions(spark: SparkSession, sf_dir: str, system: str) -> DataFrame:
     return scored_pairs(spark, sf_dir, system).select("query_id", "prediction")
 

@@ -5,7 +5,9 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
+from convolens.functions import rouge
 from convolens.operators import chunks, resampling, scoring
+from convolens.plans import views as V
 
 
 def test_a_fastest_run_of_no_time_has_an_infinite_spread(spark):
@@ -54,3 +56,33 @@ def test_chunks_of_padding_are_made_once(spark):
     # The plan builds the padding outside the step that cuts tokens, once for all of its chunks.
     plan = df.select(chunks.chunk_tokens(F.col("p"), F.col("t"), 6, 4, stride=False).alias("c"))._jdf.queryExecution().analyzed().toString()
     assert "array_repeat(struct(ids" in plan.replace("named_struct", "struct")
+
+
+def _conversations(spark, folder, n):
+    """n conversations of three turns."""
+    words = "the cat sat on a mat and the dog ran".split()
+    text = lambda i, t: " ".join(words[(i + t + k) % 10] for k in range(5 + (i + t) % 4)) + "."
+    roles = ("user", "assistant", "user")
+    rows = [(i, t, roles[t], text(i, t)) for i in range(n) for t in range(3)]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    df.write.parquet(f"{folder}/conversations.parquet")
+    return rows
+
+
+def test_scored_pairs_fill_all_shuffle_partitions(spark, tmp_path):
+    _conversations(spark, tmp_path, 60)
+    pairs = V.scored_pairs(spark, str(tmp_path), "b")
+    assert pairs.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert pairs.count() == 60
+
+
+def test_tokens_go_to_python_as_text(spark):
+    rows = [(1, "The cat. The cat sat!", "the cat sat"), (2, None, "a b"), (3, "a", " . ! ")]
+    df = spark.createDataFrame(rows, "i int, prediction string, reference string")
+    scored = rouge.with_rouge(df, ["rouge1", "rouge2", "rougeL", "rougeLsum"], stemmed=False)
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrowEvalPython" in plan and "array_sort" not in plan
+    got = {r.i: r for r in scored.collect()}
+    assert all(tuple(got[i][m]) == rouge.score_pair(p, q, [m], False)[m] for i, p, q in rows for m in rouge.METRICS)
+    assert rouge.pair_hits("the cat\nthe cat sat", "the cat sat", rouge.METRICS) == [3, 2, 3, 3]
+    assert rouge.pair_hits("", "a", rouge.METRICS) == [0, 0, 0, 0]
