@@ -14,7 +14,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -25,6 +25,9 @@ from convolens.session import keep
 MIN_BLOCK = 2048
 PRED_BLOCK = 2_000
 REF_BLOCK = 20_000
+#: Files of one block go to Python together, about this many rows at a time, over this many groups at least.
+GROUP_ROWS = 4_096
+GROUPS = 64
 
 
 class AlignmentRefused(ValueError):
@@ -37,6 +40,21 @@ def overlap_f1(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([ngram_overlap(tokenize(y or "", False), tokenize(x or "", False), 1)[2] for x, y in zip(a, b)])
 
 
+def group_count(rows: DataFrame) -> int:
+    """Groups of files of about GROUP_ROWS rows; a Python call for each file would cost more than its work."""
+    return max(GROUPS, -(-rows.count() // GROUP_ROWS))
+
+
+def group_of(file_id: str, groups: int) -> Column:
+    return F.pmod(F.xxhash64(file_id), F.lit(groups))
+
+
+def _dealt(rows: DataFrame, groups: int, *keys: str) -> DataFrame:
+    """By key over all shuffle partitions: the optimizer goes by bytes, which are few here."""
+    most = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(max(1, min(groups, most)), *keys)
+
+
 def file_sizes(predictions: DataFrame, references: DataFrame) -> DataFrame:
     """`file_id, n_pred, n_ref, slack`; more predictions than references fail the query."""
     p = predictions.groupBy("file_id").agg(F.count(F.lit(1)).alias("n_pred"))
@@ -107,13 +125,18 @@ def align(band_rows: DataFrame, longest: int | None = None, min_block: int = MIN
     result = "file_id string, i bigint, j bigint"
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
-        i, sims = _square(rows)
-        exact = _forward(sims, np.zeros(sims.shape[1]))
-        offsets, _ = _backward(exact, sims.shape[1] - 1)
-        return pd.DataFrame({"file_id": rows["file_id"].iloc[0], "i": i, "j": i + offsets})
+        out = []
+        for file_id, file in rows.groupby("file_id", dropna=False, sort=False):
+            i, sims = _square(file)
+            exact = _forward(sims, np.zeros(sims.shape[1]))
+            offsets, _ = _backward(exact, sims.shape[1] - 1)
+            out.append((file_id, i, i + offsets))
+        return pd.DataFrame({"file_id": np.repeat(np.array([x[0] for x in out], object), [len(x[1]) for x in out]),
+                             "i": np.concatenate([x[1] for x in out]), "j": np.concatenate([x[2] for x in out])})
 
     if longest <= block:
-        return band_rows.groupBy("file_id").applyInPandas(solve, result)
+        groups = group_count(band_rows)
+        return _dealt(band_rows.withColumn("g", group_of("file_id", groups)), groups, "g").groupBy("g").applyInPandas(solve, result)
 
     rows = band_rows.withColumn("blk", F.floor(F.col("i") / block))
 
@@ -172,10 +195,23 @@ def align(band_rows: DataFrame, longest: int | None = None, min_block: int = MIN
 # --- controls ---------------------------------------------------------------------------------
 
 
-def _block_stats(preds: pd.DataFrame, refs: pd.DataFrame) -> pd.DataFrame:
-    """For every prediction of a block, what one block of references adds to its figures."""
+_STATS = ["file_id", "i", "beaten", "ahead", "total", "others"]
+
+
+def _group_stats(preds: pd.DataFrame, refs: pd.DataFrame) -> pd.DataFrame:
+    """`_block_stats` of each file of a group."""
     if preds.empty or refs.empty:
-        return pd.DataFrame({"file_id": [], "i": [], "beaten": [], "ahead": [], "total": [], "others": []})
+        return pd.DataFrame({c: [] for c in _STATS})
+    places = refs.groupby("r_file", sort=False).indices
+    out = []
+    for file_id, own in preds.groupby("file_id", sort=False):
+        if file_id in places:
+            out += _block_stats(own, refs.iloc[places[file_id]])
+    return pd.DataFrame(out, columns=_STATS)
+
+
+def _block_stats(preds: pd.DataFrame, refs: pd.DataFrame) -> list[tuple]:
+    """For every prediction of a block, what one block of references adds to its figures."""
     js = refs["r_j"].to_numpy()
     sizes = np.zeros(len(js))
     postings: dict[str, tuple[list, list]] = {}
@@ -202,15 +238,20 @@ def _block_stats(preds: pd.DataFrame, refs: pd.DataFrame) -> pd.DataFrame:
         other = js != j
         before = other & ((sim > target) | ((sim == target) & (js < j)))
         out.append((file_id, i, int((other & (sim < target)).sum()), int(before.sum()), float(sim[other].sum()), int(other.sum())))
-    return pd.DataFrame(out, columns=["file_id", "i", "beaten", "ahead", "total", "others"])
+    return out
 
 
 def rank_statistics(predictions: DataFrame, references: DataFrame, mapping: DataFrame, band_rows: DataFrame) -> DataFrame:
     """Per prediction: how many other references it beats, how many come before it, and their mean.
 
     Blocks of predictions meet blocks of references and send on four numbers per prediction, never
-    a pair. A file of ordinary length is one such meeting.
+    a pair. A file of ordinary length is one such meeting, and many of them go to Python together.
     """
+    # Files of one block are in groups, numbered from 0; each longer one is on its own, below 0.
+    groups = group_count(references)
+    small = (F.col("n_ref") <= min(GROUP_ROWS, REF_BLOCK)) & (F.col("n_pred") <= PRED_BLOCK)
+    group = lambda c: F.when(small, group_of(c, groups)).otherwise(F.lit(-1)).alias
+    alone = lambda c: F.when(small, "").otherwise(F.col(c)).alias
     sims = band_rows.select("file_id", "i", (F.col("i") + F.col("o")).alias("j"), "sim")
     sizes = file_sizes(predictions, references)
     left = (
@@ -222,6 +263,8 @@ def rank_statistics(predictions: DataFrame, references: DataFrame, mapping: Data
             "j",
             "text",
             "sim",
+            group("file_id")("g"),
+            alone("file_id")("long_file"),
             F.floor(F.col("i") / PRED_BLOCK).alias("pb"),
             F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n_ref") - 1) / REF_BLOCK))).alias("rb"),
         )
@@ -229,21 +272,26 @@ def rank_statistics(predictions: DataFrame, references: DataFrame, mapping: Data
     # New names keep the two sides of the cogroup apart where both stem from one table.
     right = references.join(sizes, "file_id").select(
         F.col("file_id").alias("r_file"),
+        group("file_id")("r_g"),
+        alone("file_id")("r_long"),
         F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n_pred") - 1) / PRED_BLOCK))).alias("r_pb"),
         F.floor(F.col("j") / REF_BLOCK).alias("r_rb"),
         F.col("j").alias("r_j"),
         F.col("text").alias("r_text"),
     )
     parts = (
-        left.groupBy("file_id", "pb", "rb")
-        .cogroup(right.groupBy("r_file", "r_pb", "r_rb"))
-        .applyInPandas(_block_stats, "file_id string, i bigint, beaten bigint, ahead bigint, total double, others bigint")
+        _dealt(left, groups, "g", "long_file", "pb", "rb")
+        .groupBy("g", "long_file", "pb", "rb")
+        .cogroup(_dealt(right, groups, "r_g", "r_long", "r_pb", "r_rb").groupBy("r_g", "r_long", "r_pb", "r_rb"))
+        .applyInPandas(_group_stats, "file_id string, i bigint, beaten bigint, ahead bigint, total double, others bigint")
     )
     return parts.groupBy("file_id", "i").agg(*[F.sum(c).alias(c) for c in ("beaten", "ahead", "total", "others")])
 
 
 def verify(predictions: DataFrame, references: DataFrame, mapping: DataFrame, band_rows: DataFrame) -> DataFrame:
     """Every control of an alignment, reported pass or fail; one row per file."""
+    # The mapping is read three times, and making it goes through Python.
+    mapping = keep(mapping)
     sims = band_rows.select("file_id", "i", (F.col("i") + F.col("o")).alias("j"), "sim")
     matched = mapping.join(sims, ["file_id", "i", "j"])
     ranks = rank_statistics(predictions, references, mapping, band_rows)

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from convolens.functions import rouge
-from convolens.operators import chunks, resampling, scoring
+from convolens.operators import alignment, chunks, resampling, scoring
 from convolens.plans import views as V
 
 
@@ -86,3 +86,30 @@ def test_tokens_go_to_python_as_text(spark):
     assert all(tuple(got[i][m]) == rouge.score_pair(p, q, [m], False)[m] for i, p, q in rows for m in rouge.METRICS)
     assert rouge.pair_hits("the cat\nthe cat sat", "the cat sat", rouge.METRICS) == [3, 2, 3, 3]
     assert rouge.pair_hits("", "a", rouge.METRICS) == [0, 0, 0, 0]
+
+
+def test_short_files_are_aligned_together(spark, monkeypatch):
+    words = "the cat sat on a mat and one dog ran".split()
+    text = lambda f, j: " ".join(words[(f * 3 + j * k + k) % 10] for k in range(1, 7)) + f" w{f}x{j}"
+    sizes = {f"f{f:02d}": 3 + f % 4 if f else 40 for f in range(30)}
+    refs = [(f, j, text(int(f[1:]), j)) for f, n in sizes.items() for j in range(n)]
+    gone = {f: n // 3 for f, n in sizes.items()}
+    preds = [(f, j - (j > gone[f]), t) for f, j, t in refs if j != gone[f]]
+    p = spark.createDataFrame(preds, "file_id string, i bigint, text string")
+    r = spark.createDataFrame(refs, "file_id string, j bigint, text string")
+    band = alignment.band(p, r)
+    mapping = alignment.align(band)
+    assert "FlatMapGroupsInPandas [g#" in mapping._jdf.queryExecution().optimizedPlan().toString()
+    want = {(f, j - (j > gone[f])): j for f, j, _ in refs if j != gone[f]}
+    assert {(x.file_id, x.i): x.j for x in mapping.collect()} == want
+    stats = lambda: {(x.file_id, x.i): x for x in alignment.rank_statistics(p, r, mapping, band).collect()}
+    got = stats()
+    assert set(got) == set(want) and all(got[f, i].others == sizes[f] - 1 for f, i in want)
+    assert all(x.ahead == 0 and x.beaten == x.others for x in got.values())
+    # A file of several blocks stays on its own beside the short ones.
+    monkeypatch.setattr(alignment, "PRED_BLOCK", 10)
+    monkeypatch.setattr(alignment, "REF_BLOCK", 15)
+    again = stats()
+    assert {k: (x.beaten, x.ahead, x.others, round(x.total, 9)) for k, x in again.items()} == {
+        k: (x.beaten, x.ahead, x.others, round(x.total, 9)) for k, x in got.items()
+    }
