@@ -33,7 +33,9 @@ HOT = 1000
 #: Rounds of hubs before the rest is verified pair by pair.
 ROUNDS = 3
 #: Hubs of a list in each round after the first.
-HUBS = 16
+HUBS = 8
+#: Columns of a set's parities.
+BITS = ("b0", "b1", "b2", "b3")
 #: Pairs left for each place in a list, up to which all of them are looked at.
 FEW = 1
 
@@ -73,9 +75,24 @@ def most_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.minimum(a, b).sum(axis=1)
 
 
+def parities(own: np.ndarray) -> np.ndarray:
+    """For each value of the hash's second byte whether an odd number of a set's shingles have it, as four 64-bit numbers.
+
+    Sets that differ by k shingles differ in at most k of these bits.
+    """
+    odd = np.bincount(own.view(np.uint8)[1::8], minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def alike(a: str, b: str, a_n: Column, b_n: Column, percent: int) -> Column:
+    """Whether sets with these parities can be similar: they miss at most a known number of each other's shingles."""
+    apart = sum((F.bit_count(F.col(a)[k].bitwiseXOR(F.col(b)[k])) for k in BITS[1:]), F.bit_count(F.col(a)[BITS[0]].bitwiseXOR(F.col(b)[BITS[0]])))
+    return apart * (100 + percent) <= (a_n + b_n) * (100 - percent)
+
+
 def shingled(texts: DataFrame, words: int, percent: int, whole: bool) -> DataFrame:
-    """doc, n, two hashes of the set, and `tokens`: its shingles with `counts` by last byte if `whole`, else those that it posts."""
-    names = ["doc", "n", "h1", "h2", "tokens", "counts"][: 5 + whole]
+    """doc, n, two hashes of the set, and `tokens`: its shingles with `counts` by last byte and parities if `whole`, else those that it posts."""
+    names = ["doc", "n", "h1", "h2", "tokens"] + ["counts", *BITS] * whole
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         C.forget()
@@ -88,9 +105,12 @@ def shingled(texts: DataFrame, words: int, percent: int, whole: bool) -> DataFra
                 ends = np.cumsum([0, *map(len, out)]).astype(np.int32)
                 tokens = pa.ListArray.from_arrays(pa.array(ends), pa.array(C.signed(np.concatenate(out))))
                 columns = [part.column(0), pa.array([len(x) for x in own], pa.int64()), sums(1), sums(2), tokens]
-                yield pa.RecordBatch.from_arrays([*columns, *[pa.array([counted(x) for x in own], pa.binary())] * whole], names=names)
+                if whole:
+                    bits = np.array([parities(x) for x in own], np.int64).reshape(-1, len(BITS))
+                    columns += [pa.array([counted(x) for x in own], pa.binary()), *map(pa.array, np.ascontiguousarray(bits.T))]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    schema = "doc long, n long, h1 long, h2 long, tokens array<bigint>" + ", counts binary" * whole
+    schema = "doc long, n long, h1 long, h2 long, tokens array<bigint>" + (", counts binary, " + ", ".join(f"{b} long" for b in BITS)) * whole
     return texts.select("doc", "text").mapInArrow(run, schema)
 
 
@@ -258,7 +278,8 @@ def _classes(lists: DataFrame, members: DataFrame, sets: DataFrame, percent: int
     """class, root: the smallest class that links reach from each."""
     spark = lists.sparkSession
     tried = spark.createDataFrame([], "a long, b long")
-    known, held, places = members.withColumn("root", F.col("class")), [], lists.count()
+    bits = sets.select(F.col("doc").alias("class"), "n", F.struct(*BITS).alias("bits"))
+    known, held, places = members.join(bits, ["class", "n"]).withColumn("root", F.col("class")), [], lists.count()
     for turn in range(ROUNDS + 1):
         known = C.staged(known, "known")
         C.discard(*held)
@@ -285,22 +306,27 @@ def _classes(lists: DataFrame, members: DataFrame, sets: DataFrame, percent: int
         state = C.staged(state, "open")
         held.append(state)
         rest = turn == ROUNDS or (state.agg(F.sum("pairs")).first()[0] or 0) <= FEW * places
-        h = lists.select(F.col("token").alias("h_token"), F.col("group").alias("hub"), F.col("n").alias("h_n"), F.col("pos").alias("h_pos"))
+        # Sets that are too different are told apart where lists meet: a common line would make rows of all their pairs.
+        # Only a group of one set has its parities; members of others are looked at below.
+        alone = known.groupBy("group").agg(F.count("*").alias("m"), F.first("bits").alias("bits")).filter("m = 1").drop("m")
+        h = lists.join(alone, "group", "left")
+        h = h.select(F.col("token").alias("h_token"), F.col("group").alias("hub"), F.col("n").alias("h_n"), F.col("pos").alias("h_pos"), F.col("bits").alias("h_bits"))
         reach = may_reach(F.col("n"), F.col("pos"), F.col("h_n"), F.col("h_pos"), percent) & (F.col("group") != F.col("hub"))
+        reach = reach & F.coalesce(alike("bits", "h_bits", F.col("n"), F.col("h_n"), percent), F.lit(True))
         if rest:
             outside = lists.join(state.select("token", "most"), "token").join(spans, "group")
             outside = outside.filter((F.col("root") != F.col("most")) | (F.col("root") < 0)).select("token", "group", "n", "pos")
+            outside = outside.join(alone, "group", "left")
             pairs = outside.join(h, (F.col("token") == F.col("h_token")) & reach).select("group", "hub").distinct().withColumn("n_shared", F.lit(1))
         else:
             hubs = h.join(state.select(F.col("token").alias("h_token"), F.explode("hubs").alias("hub")), ["h_token", "hub"])
-            pairs = lists.join(hubs, (F.col("token") == F.col("h_token")) & reach).groupBy("group", "hub").agg(F.count("*").alias("n_shared"))
-        hub = known.select(F.col("group").alias("hub"), F.col("class").alias("b"), F.col("root").alias("b_root"))
-        pairs = pairs.join(known.select("group", F.col("class").alias("a"), F.col("root").alias("a_root")), "group").join(hub, "hub")
-        pairs = pairs.filter(F.col("a_root") != F.col("b_root")).select("a", "b", "n_shared")
+            pairs = lists.join(alone, "group", "left").join(hubs, (F.col("token") == F.col("h_token")) & reach).groupBy("group", "hub").agg(F.count("*").alias("n_shared"))
+        end = lambda e: [F.col("class").alias(e), F.col("root").alias(f"{e}_root"), F.col("bits").alias(f"{e}_bits"), F.col("n").alias(f"{e}_n")]
+        near = (F.col("a_root") != F.col("b_root")) & alike("a_bits", "b_bits", F.col("a_n"), F.col("b_n"), percent)
+        pairs = pairs.join(known.select("group", *end("a")), "group").join(known.select(F.col("group").alias("hub"), *end("b")), "hub")
+        pairs = pairs.filter(near).select("a", "b", "n_shared")
         # Within a group: each member with the group's first, and at last all members that are still apart.
-        mine = known.select("group", F.col("class").alias("a"), F.col("root").alias("a_root"))
-        others = known.select("group", F.col("class").alias("b"), F.col("root").alias("b_root"))
-        within = mine.join(others, "group").filter("a > b AND a_root <> b_root")
+        within = known.select("group", *end("a")).join(known.select("group", *end("b")), "group").filter((F.col("a") > F.col("b")) & near)
         within = (within if rest else within.filter(F.col("b") == F.col("group"))).select("a", "b")
         if turn == 0 and not rest:
             pairs = pairs.groupBy("a").agg(F.max(F.struct("n_shared", "b")).alias("best")).select("a", "best.b")
@@ -315,7 +341,7 @@ def _classes(lists: DataFrame, members: DataFrame, sets: DataFrame, percent: int
             at = lambda end: known.select(F.col("class").alias(end), F.col("root").alias(f"{end}_root"))
             merged = components(found.join(at("a"), "a").join(at("b"), "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b")))
             known = known.join(merged.select(F.col("node").alias("root"), F.col("root").alias("next")), "root", "left")
-            known = known.select("class", "group", "n", F.coalesce("next", "root").alias("root"))
+            known = known.select("class", "group", "n", "bits", F.coalesce("next", "root").alias("root"))
         if rest:
             break
         tried = tried.unionByName(pairs)

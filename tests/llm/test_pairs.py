@@ -203,3 +203,25 @@ def test_large_components(spark):
         want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scores)]
     got = mtree.top_products(df, lambda i: (i % 40 == 0) & (i != 40), 9).collect()
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_parities_part_unlike_sets_and_no_similar_ones(spark):
+    rng = np.random.default_rng(5)
+    rows, similar = [], []
+    for k in range(300):
+        n = int(rng.integers(1, 400))
+        a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+        keep = int(len(a) * rng.uniform(0.7, 1))
+        b = np.unique(np.concatenate([a[:keep], rng.integers(0, 2**63, int(rng.integers(0, max(1, len(a) // 5) + 1)), dtype=np.uint64)]))
+        both = len(np.intersect1d(a, b))
+        similar.append(100 * both >= 80 * (len(a) + len(b) - both))
+        # Beside it a set that shares a tenth, as texts with one common line do.
+        c = np.unique(np.concatenate([a[: len(a) // 10], rng.integers(0, 2**63, len(a), dtype=np.uint64)]))
+        sides = [[int(v) for v in group_join.parities(x)] for x in (a, b, c)]
+        rows.append((k, len(a), len(b), len(c), *sides))
+    bits = "struct<b0: bigint, b1: bigint, b2: bigint, b3: bigint>"
+    df = spark.createDataFrame([(*r[:4], *map(tuple, r[4:])) for r in rows], f"k int, n int, m int, o int, a {bits}, b {bits}, c {bits}")
+    near = lambda end, n: group_join.alike("a", end, F.col("n"), F.col(n), 80)
+    got = {r.k: r for r in df.select("k", "n", near("b", "m").alias("near"), near("c", "o").alias("far")).collect()}
+    assert 30 < sum(similar) < 270 and all(got[k].near for k, x in enumerate(similar) if x)
+    assert not any(r.far for r in got.values() if 20 <= r.n)
