@@ -11,6 +11,7 @@ from contextlib import contextmanager
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Texts are taken through numpy in pieces of about this many symbols.
 PIECE = 1 << 18
@@ -100,6 +101,23 @@ def discard(*tables: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Bits for the keys of `hits`: a table of at most a 64th as many rows, so it can be broadcast.
+SLOTS = 1 << 24
+
+
+def hits(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """`df` with a column `hit`, false only where `key` is none of those in `keys`, a table with that column too.
+
+    Each key sets one bit by its hash. So rows that a join by key would not meet are told before they are shuffled, nearly
+    all of them while there are fewer keys than bits, and fewer after that; a row with a hit still has to be joined.
+    """
+    bit = F.xxhash64(key).bitwiseAND(SLOTS - 1)
+    place = [F.shiftright(bit, 6).alias("_word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(63).cast("int")).alias("_bit")]
+    table = keys.select(*place).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    hit = F.coalesce(F.col("_bit").bitwiseAND(F.col("_bits")) != 0, F.lit(False))
+    return df.select("*", *place).join(F.broadcast(table), "_word", "left").select(*df.columns, hit.alias("hit"))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -217,7 +217,9 @@ def link_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     firsts = C.staged(firsts, "prefixes")
     C.discard(shared, sets)
     # Whole sets of what is left: few, since most documents share too little with any other.
-    left = texts.join(firsts.select("doc").distinct(), "doc", "left_semi")
+    # Their texts alone are shuffled. A semi-join would be pushed below the filter, so it is a join with distinct ids.
+    near = firsts.select("doc").distinct()
+    left = C.hits(texts, "doc", firsts).filter("hit").join(near, "doc").select("doc", "text")
     own = shingled(left, words, percent, True).join(heads, ["doc", "h1", "h2"], "left_semi")
     own = C.staged(own.dropDuplicates(["doc", "h1", "h2"]) if repeating else own, "own")
     groups = firsts.groupBy("prefix", "n").agg(F.min("doc").alias("group"))
@@ -256,12 +258,19 @@ def representatives(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
 
     Rows without an id stay.
     """
-    found = link_components(docs, words, percent, id_col, text_col).select(F.col(id_col).alias("id"), "component_id")
-    kept = C.staged(found.filter("id = component_id").groupBy("id").agg((F.count("*") > 1).alias("twice")), "kept")
-    joined = docs.select(F.col(id_col).cast("long").alias("id"), F.struct(*[F.col(c) for c in docs.columns]).alias("row")).join(kept, "id", "left")
-    once = joined.filter("id IS NULL OR NOT twice")
-    again = joined.filter("twice").dropDuplicates(["id"])
-    return once.unionByName(again).select(*[F.col("row")[c].alias(c) for c in docs.columns])
+    found = link_components(docs, words, percent, id_col, text_col).select(F.col(id_col).alias("id"), "component_id").filter("id IS NOT NULL")
+    # Ids that go, or stay in one of their rows; all others stay as they are, without a shuffle of their texts.
+    odd = C.staged(found.groupBy("id").agg(F.count_if(F.col("id") == F.col("component_id")).alias("least")).filter("least <> 1"), "odd")
+    rows = C.hits(docs.select(F.col(id_col).cast("long").alias("id"), F.struct(*[F.col(c) for c in docs.columns]).alias("row")), "id", odd)
+    kept = rows.filter("id IS NULL OR NOT hit").select("row")
+    # An anti-join would be pushed below the filter.
+    doubtful = rows.filter("id IS NOT NULL AND hit")
+    kept = kept.unionByName(doubtful.join(odd, "id", "left").filter("least IS NULL").select("row"))
+    twice = odd.filter("least > 1")
+    if twice.take(1):
+        again = C.hits(rows.drop("hit"), "id", twice).filter("hit").join(twice, "id")
+        kept = kept.unionByName(again.dropDuplicates(["id"]).select("row"))
+    return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def _repeating(rows: DataFrame) -> bool:

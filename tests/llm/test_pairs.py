@@ -9,7 +9,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from convolens.llm import components, decontaminate, group_join, mtree
+from convolens.llm import common, components, decontaminate, group_join, mtree
 
 
 def shingles(text, k=5):
@@ -84,6 +84,44 @@ def test_sets_of_one_id_are_one_node(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [3, 8, 10] and kept.columns == df.columns
 
 
+def shuffled(plan):
+    """Rows that the plan's shuffles wrote, of those that carry whole rows of documents."""
+    name = plan.getClass().getSimpleName()
+    if name == "AdaptiveSparkPlanExec":
+        return shuffled(plan.executedPlan())
+    if name.endswith("QueryStageExec"):
+        return shuffled(plan.plan())
+    own = 0
+    if name == "ShuffleExchangeExec" and "row#" in plan.output().mkString(","):
+        own = plan.metrics().apply("shuffleRecordsWritten").value()
+    below = plan.children()
+    return own + sum(shuffled(below.apply(i)) for i in range(below.size()))
+
+
+def test_rows_that_surely_stay_are_not_shuffled(spark):
+    rows = [(i, " ".join(f"x{i}y{k}" for k in range(12))) for i in range(400)] + [(1000 + i, " ".join(f"x{i}y{k}" for k in range(12))) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = group_join.representatives(df)
+        assert sorted(r.doc_id for r in kept.collect()) == list(range(400))
+        assert 20 <= shuffled(kept._jdf.queryExecution().executedPlan()) < 60
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+@pytest.mark.parametrize("slots", [1 << 24, 64])
+def test_hits_miss_no_key(spark, monkeypatch, slots):
+    monkeypatch.setattr(common, "SLOTS", slots)
+    rows = [(i * 37 - 900, i) for i in range(3000)] + [(None, -1)]
+    df, keys = spark.createDataFrame(rows, "id long, at long"), spark.createDataFrame([(i * 74 - 900,) for i in range(20)] * 2, "id long")
+    got = {r.at: r.hit for r in common.hits(df, "id", keys).collect()}
+    assert len(got) == len(rows) and all(got[2 * i] for i in range(20))
+    assert sum(got.values()) < (25 if slots > 64 else 1500)
+    assert not any(r.hit for r in common.hits(df, "id", keys.limit(0)).collect())
+
+
 def weighted(a, b):
     from collections import Counter
 
