@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -31,6 +32,8 @@ BLOCK = 1 << 18
 LANES = 512
 #: Steps of all lanes between two checkpoints.
 STEPS = 128
+#: Bytes of texts that are cut together.
+GROUP = 16 * C.PIECE
 _LOW = np.uint64(1 << 31)
 _WORD = np.uint64(32)
 
@@ -131,13 +134,14 @@ def decode_block(n: int, lanes: int, marks: np.ndarray, words: np.ndarray, table
 class Ids:
     """Ids as the tokenizers library gives them for the file at `path`.
 
-    Plain texts go through tiktoken with the merges of that file, which gives the same ids several times as fast.
-    Texts that hold added tokens, characters on which Unicode versions differ, or very many letters, and all texts
-    under a file whose ids are not in the order of its merges, go through the library itself.
+    Plain texts are cut together, and tiktoken merges each distinct piece of them once, with the merges of that file,
+    which gives the same ids many times as fast. Texts that hold added tokens, zero characters or characters on which
+    Unicode versions differ, and all texts under a file whose ids are not in the order of its merges, go through the
+    library itself.
     """
 
-    #: Letters of the longest text that tiktoken's pattern is asked to cut.
-    LONGEST = 1 << 20
+    #: Letters of remembered pieces, beyond which they are forgotten.
+    LETTERS = 1 << 24
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -152,18 +156,66 @@ class Ids:
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
         byte = {x: b for b, x in enumerate(bpe.byte_letters())}
         merged = [vocab["".join(m.split(" ") if isinstance(m, str) else m)] for m in merges]
+        self.zero = vocab[bpe.byte_letters()[0]]
+        self.forget()
         self.fast = None
         if merged == sorted(set(merged)) and (not merged or max(vocab[x] for x in byte) < merged[0]):
             ranks = {bytes(byte[x] for x in token): i for token, i in vocab.items()}
-            self.fast = tiktoken.Encoding("file", pat_str=bpe.FAST_PATTERN, mergeable_ranks=ranks, special_tokens={})
-
-    def encode(self, text: str) -> np.ndarray:
-        if self.fast is None or len(text) > self.LONGEST or not bpe.agreed(text) or any(t in text for t in self.added):
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
-        return np.array(self.fast.encode_ordinary(text), np.uint32)
+            # Takes pieces with a zero character between them, so that one call merges many.
+            self.fast = tiktoken.Encoding("file", pat_str="[^\\x00]+|\\x00", mergeable_ranks=ranks, special_tokens={})
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.letters = 0
+        self.lists = pa.array([], pa.large_list(pa.uint32()))
+
+    def merged(self, pieces: str) -> pa.Array:
+        """The ids of each piece, as a list; pieces have a zero character between them."""
+        ids = self.fast.encode_to_numpy(pieces)
+        zeros = np.flatnonzero(ids == self.zero)
+        ends = np.concatenate([[0], zeros - np.arange(len(zeros)), [len(ids) - len(zeros)]])
+        return pa.LargeListArray.from_arrays(pa.array(ends), pa.array(np.delete(ids, zeros)))
+
+    def looked_up(self, pieces: pa.Array) -> pa.Array:
+        """The ids of each piece, as a list. Distinct pieces are merged, but for those that are remembered."""
+        if len(self.known) > bpe.REMEMBERED or self.letters > self.LETTERS:
+            self.forget()
+        found = pieces.dictionary_encode()
+        distinct = pc.binary_join(pa.ListArray.from_arrays([0, len(found.dictionary)], found.dictionary), pa.scalar("\0", pa.large_string()))[0].as_py().split("\0")
+        new = [x for x in distinct if x not in self.known]
+        if new:
+            joined = "\0".join(new)
+            self.lists = pa.concat_arrays([self.lists, self.merged(joined)])
+            self.known.update(zip(new, range(len(self.known), len(self.lists))))
+            self.letters += len(joined)
+        at = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
+        return self.lists.take(pa.array(at[found.indices.to_numpy()]))
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text; null is empty."""
+        data, offsets = C.text_bytes(texts)
+        if self.fast is None:
+            return [self.whole(t or "") for t in texts.to_pylist()]
+        if not len(data):
+            return [np.zeros(0, np.uint32)] * len(texts)
+        starts, odd = bpe.cuts(data, offsets)
+        raw = data.tobytes().replace(b"\0", b" ")
+        if any(t.encode() in raw for t in self.added):
+            odd = np.union1d(odd, [i for i, t in enumerate(texts.to_pylist()) if t and any(x in t for x in self.added)])
+        lists = self.looked_up(pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(np.append(starts, len(data))), pa.py_buffer(raw)))
+        first = lists.offsets.to_numpy()[np.searchsorted(starts, offsets)]
+        ids = lists.values.to_numpy()
+        out = [ids[a:b] for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
+        for i in odd.tolist():
+            out[i] = self.whole(texts[i].as_py())
+        return out
 
 
 _IDS: dict[str, Ids] = {}
+C.held(lambda: [own.forget() for own in _IDS.values()])
 
 
 def blocks_of_ids(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: str, block: int) -> DataFrame:
@@ -193,9 +245,9 @@ def blocks_of_ids(docs: DataFrame, path: str, end_id: int, id_col: str, text_col
         for batch in batches:
             sizes = C.text_bytes(batch.column(1))[1]
             keys = batch.column(0).to_pylist()
-            for a, b in C.pieces(sizes, 2 * C.PIECE):
-                for key, text in zip(keys[a:b], batch.column(1).slice(a, b - a).to_pylist()):
-                    ids = np.append(_IDS[path].encode(text or ""), np.uint32(end_id))
+            for a, b in C.pieces(sizes, GROUP):
+                for key, ids in zip(keys[a:b], _IDS[path].encode(batch.column(1).slice(a, b - a))):
+                    ids = np.append(ids, np.uint32(end_id))
                     if size and size + len(ids) > block:
                         yield close()
                     for at in range(0, len(ids), block):

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -61,6 +62,34 @@ def test_bpe_query(spark, sf_dir, library):
         assert got[r.doc_id].decoded_sha256 == hashlib.sha256((r.text or "").encode()).hexdigest()
 
 
+def test_texts_cut_together_get_the_librarys_ids(library):
+    rng = random.Random(5)
+    letters = ["'"] * 6 + list("stmdrevlLx \n\t ") + [" "] * 4 + ["  ", "é", "\u3000", "\u2003", "\x85", "\xa0", "1", "٣", "²", "!", "😀", "日", "\x1c"]
+    rare = ["\0", "࢏", "<|endoftext|>"]
+    texts = [None, *TEXTS, *("".join(rng.choice(letters if i % 8 else letters + rare) for _ in range(rng.randrange(30))) for i in range(5000)), None, ""]
+    want = [x.ids for x in library.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    own = rans.Ids(PATH)
+    column = pa.array(texts)
+    assert [x.tolist() for x in own.encode(column)] == want
+    for a, b in ((0, 0), (0, 1), (7, 1200), (1200, 4000), (len(texts) - 2, len(texts))):
+        assert [x.tolist() for x in own.encode(column.slice(a, b - a))] == want[a:b]
+
+
+def test_a_distinct_piece_is_merged_once(library, monkeypatch):
+    own = rans.Ids(PATH)
+    seen = []
+    merged = own.merged
+    monkeypatch.setattr(own, "merged", lambda pieces: seen.extend(pieces.split("\0")) or merged(pieces))
+    texts = ["unremarkable words, unremarkably repeated", "repeated words"] * 100
+    want = [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
+    for _ in range(2):
+        assert [x.tolist() for x in own.encode(pa.array(texts))] == want
+    assert sorted(seen) == [" repeated", " unremarkably", " words", ",", "repeated", "unremarkable"]
+    monkeypatch.setattr(bpe, "REMEMBERED", 3)
+    assert [x.tolist() for x in own.encode(pa.array(texts[1:2]))] == want[1:2]
+    assert list(own.known) == ["repeated", " words"] and len(own.lists) == 2
+
+
 @pytest.mark.parametrize("n", [1, 2, 63, 65, 500, 5000, 70000])
 def test_blocks_round_trip_from_every_checkpoint(n):
     rng = np.random.default_rng(n)
